@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lattica.plans.shared import table
 
-from . import exact_dedup
+from . import exact_dedup, mixing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,8 +28,13 @@ FROM d WINDOW w AS (PARTITION BY norm)
 """
 
 
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.mix(mixing.document_sizes(table(spark, sf_dir, "documents")))
+    return rows.select("doc_id", "size", "source_size", "target", (rows["copies"] * rows["size"]).alias("taken"), "source", "copies")
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_exact_dedup": op1_exact_dedup}
+    return {"op1_exact_dedup": op1_exact_dedup, "op7_mix_sources": op7_mix_sources}
 
 
 def oracle_sql() -> dict[str, str]:
