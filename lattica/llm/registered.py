@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lattica.plans.shared import table
 
-from . import exact_dedup, mixing
+from . import exact_dedup, mixing, packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,8 +33,12 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", (rows["copies"] * rows["size"]).alias("taken"), "source", "copies")
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_exact_dedup": op1_exact_dedup, "op7_mix_sources": op7_mix_sources}
+    return {"op1_exact_dedup": op1_exact_dedup, "op2_best_fit_packing": op2_best_fit_packing, "op7_mix_sources": op7_mix_sources}
 
 
 def oracle_sql() -> dict[str, str]:
