@@ -35,7 +35,7 @@ from .columns import WORD
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MAX_COPIES = 2
-CELL = 4096
+CELL = 256
 STEPS = 60
 TOLERANCE = 1e-7
 

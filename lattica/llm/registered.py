@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lattica.plans.shared import table
 
-from . import exact_dedup, mixing, packing
+from . import exact_dedup, mixing, packing, toxicity
+from .columns import crc_mod
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +30,15 @@ FROM d WINDOW w AS (PARTITION BY norm)
 """
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score_documents(docs.select("doc_id", F.col("text").alias("body")), model, "body", with_spans=True)
+    return scored.select(
+        "doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"), F.col("toxic_spans").alias("spans")
+    )
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.mix(mixing.document_sizes(table(spark, sf_dir, "documents")))
     return rows.select("doc_id", "size", "source_size", "target", (rows["copies"] * rows["size"]).alias("taken"), "source", "copies")
@@ -38,7 +49,7 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_exact_dedup": op1_exact_dedup, "op2_best_fit_packing": op2_best_fit_packing, "op7_mix_sources": op7_mix_sources}
+    return {"op1_exact_dedup": op1_exact_dedup, "op2_best_fit_packing": op2_best_fit_packing, "op6_toxicity": op6_toxicity, "op7_mix_sources": op7_mix_sources}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -121,3 +121,32 @@ def hash_words(words: list[str]) -> np.ndarray:
     """word_hashes of given words, each as a text of its own; a word must have no blanks."""
     offsets, data = as_bytes(pa.array(words, pa.string()))
     return np.concatenate([word_hashes(offs[:-1], offs[1:], part) for _, _, offs, part in blocks(offsets, data)]) if words else np.zeros(0, np.uint64)
+
+
+class Prefixes:
+    """Hashes of whole words and of their first k bytes, from one running sum over a block."""
+
+    def __init__(self, starts: np.ndarray, ends: np.ndarray, data: np.ndarray):
+        up, self.down = _Powers.upto(len(data) + 1)
+        self.starts, self.ends = starts, ends
+        self.sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_VALUES[data] * up[: len(data)], out=self.sums[1:])
+        self.base, self.scale = self.sums[starts], self.down[starts]
+
+    def whole(self) -> np.ndarray:
+        return mix((self.sums[self.ends] - self.base) * self.scale)
+
+    def first(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Indices of the words of more than k bytes, and the hashes of their first k; never equal to a whole word's."""
+        at = np.flatnonzero(self.ends - self.starts > k)
+        return at, mix((self.sums[self.starts[at] + k] - self.base[at]) * self.scale[at] + np.uint64(k))
+
+
+def lower_latin(data: np.ndarray) -> np.ndarray:
+    """Bytes with the accented capitals of Latin-1 (UTF-8: C3 80 to C3 9E) lower-cased."""
+    up = np.flatnonzero(data[:-1] == 0xC3) + 1
+    up = up[(data[up] >= 0x80) & (data[up] <= 0x9E)]
+    if len(up):
+        data = data.copy()
+        data[up] += 0x20
+    return data
