@@ -8,7 +8,7 @@ lowest hashes of their ids):
    among others; a token of a toxic document that has such a feature is labelled 1, all others 0;
 2. the field is fitted to windows of labelled tokens around such tokens, in both kinds of documents, and to evenly spread windows
    of clean text, by L2-penalised likelihood with forward-backward gradients;
-3. a logistic layer maps each document's marginals (largest log-odds, expected number of toxic tokens, length) to its score.
+3. a logistic layer maps each document's marginals (largest log-odds, expected number of toxic tokens) to its score.
 
 Scoring covers whole texts. Tokens without features all have the same factors, so a run of n of them is the n-th power of
 one 2x2 matrix, in closed form; forward-backward runs over the others and is exact. Marginals of 0.5 and more make
@@ -45,7 +45,7 @@ class Model:
     features: np.ndarray  # sorted hashes
     weights: np.ndarray
     chain: np.ndarray  # bias of label 1, and the factors' logs 0->1, 1->0, 1->1
-    layer: np.ndarray  # intercept, and factors of the document's three figures
+    layer: np.ndarray  # intercept, and factors of the document's two figures
     constant: float = 0.0  # the score where nothing could be learned
 
     def filter(self) -> np.ndarray:
@@ -144,11 +144,10 @@ def marginals(chain: np.ndarray, doc: np.ndarray, token: np.ndarray, weight: np.
 
 
 def _figures(doc: np.ndarray, p: np.ndarray, n_tokens: np.ndarray) -> np.ndarray:
-    """Per document: largest log-odds, log of the expected number of toxic tokens, log of the length."""
+    """Per document: largest log-odds, and log of 1 + the expected number of toxic tokens."""
     top = np.full(len(n_tokens), 1e-6)
     np.maximum.at(top, doc, np.clip(p, 1e-6, 1 - 1e-6))
-    total = np.bincount(doc, p, len(n_tokens)) + 1e-3
-    return np.stack([np.log(top / (1 - top)), np.log(total), np.log1p(n_tokens)], 1)
+    return np.stack([np.log(top / (1 - top)), np.log1p(np.bincount(doc, p, len(n_tokens)))], 1)
 
 
 def _score(model: Model, figures: np.ndarray) -> np.ndarray:
@@ -274,7 +273,7 @@ def _select(texts: pa.Array, toxic: np.ndarray) -> np.ndarray:
 
 def fit(texts: pa.Array, toxic: np.ndarray, chain_l2: float = 1.0) -> Model:
     """A model of labelled texts."""
-    nothing = Model(np.zeros(0, np.uint64), np.zeros(0), np.zeros(4), np.zeros(4), float(toxic.mean()) if len(toxic) else 0.0)
+    nothing = Model(np.zeros(0, np.uint64), np.zeros(0), np.zeros(4), np.zeros(3), float(toxic.mean()) if len(toxic) else 0.0)
     if not len(toxic) or toxic.all() or not toxic.any():
         return nothing
     features = _select(texts, toxic)
@@ -312,7 +311,7 @@ def fit(texts: pa.Array, toxic: np.ndarray, chain_l2: float = 1.0) -> Model:
     theta = np.zeros(4 + len(features))
     theta[0] = -5.0
     theta = _descend(lambda x: _window_gradient(x, 4, slots, token_features, mask.shape, labels, mask, chain_l2), theta)
-    model = Model(features, theta[4:], theta[:4], np.zeros(4))
+    model = Model(features, theta[4:], theta[:4], np.zeros(3))
     new = np.r_[True, key[1:] != key[:-1]]
     weight = np.bincount(np.cumsum(new) - 1, model.weights[k]) if len(k) else np.zeros(0)
     x = _figures(doc[new], marginals(model.chain, doc[new], token[new], weight, counts), counts)
