@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lattica.plans.shared import table
 
-from . import exact_dedup, mixing, packing, toxicity
+from . import exact_dedup, minhash, mixing, packing, toxicity
 from .columns import crc_mod
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,8 +48,12 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_exact_dedup": op1_exact_dedup, "op2_best_fit_packing": op2_best_fit_packing, "op6_toxicity": op6_toxicity, "op7_mix_sources": op7_mix_sources}
+    return {"op1_exact_dedup": op1_exact_dedup, "op2_best_fit_packing": op2_best_fit_packing, "op6_toxicity": op6_toxicity, "op7_mix_sources": op7_mix_sources, "op10_minhash": op10_minhash}
 
 
 def oracle_sql() -> dict[str, str]:
