@@ -217,7 +217,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 def drop_near(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The documents of which one stays per component, all columns; of rows that repeat its id, one."""
     ids = near_duplicates(docs, shingle=shingle, percent=percent).filter("kept").select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(ids, docs["doc_id"].eqNullSafe(ids["__id"]), "left_semi")
-    row = F.struct(*docs.columns)
-    one = kept.groupBy("doc_id").agg(F.min_by(row, F.xxhash64(row)).alias("__row"))
+    rows = docs.select(F.col("doc_id").alias("__doc"), F.struct(*docs.columns).alias("__row"))
+    kept = rows.join(ids, F.col("__doc").eqNullSafe(F.col("__id")), "left_semi")
+    one = kept.groupBy("__doc").agg(F.min_by("__row", F.xxhash64("__row")).alias("__row"))
     return one.select(*[F.col("__row")[c].alias(c) for c in docs.columns])

@@ -381,3 +381,10 @@ def score_documents(docs: DataFrame, model: Model, text: str = "text", with_span
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept) + ", toxic_score double" + ", toxic_spans array<struct<start:long,end:long,p:double>>" * with_spans
     return docs.select(*kept, F.col(text).alias("__text")).mapInArrow(run, schema)
+
+
+def drop_toxic(docs: DataFrame, model: Model, reject: float = 0.5, text: str = "text") -> DataFrame:
+    """The documents that score below reject, with their own columns whatever their names."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("body"))
+    kept = score_documents(rows, model, "body").filter(F.col("toxic_score") < reject)
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
