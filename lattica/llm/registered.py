@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lattica.plans.shared import table
 
-from . import exact_dedup, minhash, mixing, packing, toxicity
+from . import exact_dedup, media, minhash, mixing, packing, toxicity, warc
 from .columns import crc_mod
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,15 @@ FROM d WINDOW w AS (PARTITION BY norm)
 """
 
 
+def op3_audio_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.audio_digests(media.store(table(spark, sf_dir, "documents")))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.read(warc.write(table(spark, sf_dir, "pages")))
+    return found.withColumns({c: F.col(c).cast("long") for c in ("page_id", "refers_to")})
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -53,7 +62,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_exact_dedup": op1_exact_dedup, "op2_best_fit_packing": op2_best_fit_packing, "op6_toxicity": op6_toxicity, "op7_mix_sources": op7_mix_sources, "op10_minhash": op10_minhash}
+    return {"op1_exact_dedup": op1_exact_dedup, "op2_best_fit_packing": op2_best_fit_packing, "op3_audio_columns": op3_audio_columns, "op5_warc": op5_warc, "op6_toxicity": op6_toxicity, "op7_mix_sources": op7_mix_sources, "op10_minhash": op10_minhash}
 
 
 def oracle_sql() -> dict[str, str]:
