@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lattica.plans.shared import table
 
-from . import exact_dedup, media, minhash, mixing, packing, toxicity, warc
+from . import exact_dedup, html, media, minhash, mixing, packing, secrets, toxicity, warc
 from .columns import crc_mod
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,10 @@ def op3_audio_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.audio_digests(media.store(table(spark, sf_dir, "documents")))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.read(warc.write(table(spark, sf_dir, "pages")))
     return found.withColumns({c: F.col(c).cast("long") for c in ("page_id", "refers_to")})
@@ -57,12 +61,16 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_exact_dedup": op1_exact_dedup, "op2_best_fit_packing": op2_best_fit_packing, "op3_audio_columns": op3_audio_columns, "op5_warc": op5_warc, "op6_toxicity": op6_toxicity, "op7_mix_sources": op7_mix_sources, "op10_minhash": op10_minhash}
+    return {"op1_exact_dedup": op1_exact_dedup, "op2_best_fit_packing": op2_best_fit_packing, "op3_audio_columns": op3_audio_columns, "op4_html_text": op4_html_text, "op5_warc": op5_warc, "op6_toxicity": op6_toxicity, "op7_mix_sources": op7_mix_sources, "op8_secrets": op8_secrets, "op10_minhash": op10_minhash}
 
 
 def oracle_sql() -> dict[str, str]:
