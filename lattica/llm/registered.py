@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lattica.plans.shared import table
 
-from . import exact_dedup, html, media, minhash, mixing, packing, secrets, toxicity, warc
+from . import brown, exact_dedup, html, media, minhash, mixing, packing, secrets, toxicity, warc
 from .columns import crc_mod
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,12 +65,16 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_brown_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_exact_dedup": op1_exact_dedup, "op2_best_fit_packing": op2_best_fit_packing, "op3_audio_columns": op3_audio_columns, "op4_html_text": op4_html_text, "op5_warc": op5_warc, "op6_toxicity": op6_toxicity, "op7_mix_sources": op7_mix_sources, "op8_secrets": op8_secrets, "op10_minhash": op10_minhash}
+    return {"op1_exact_dedup": op1_exact_dedup, "op2_best_fit_packing": op2_best_fit_packing, "op3_audio_columns": op3_audio_columns, "op4_html_text": op4_html_text, "op5_warc": op5_warc, "op6_toxicity": op6_toxicity, "op7_mix_sources": op7_mix_sources, "op8_secrets": op8_secrets, "op9_brown_scores": op9_brown_scores, "op10_minhash": op10_minhash}
 
 
 def oracle_sql() -> dict[str, str]:
