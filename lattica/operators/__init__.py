@@ -1 +1 @@
-
+"""Lattice, dictionary, evaluation and training operators."""
