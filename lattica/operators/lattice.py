@@ -22,6 +22,8 @@ from lattica.plans.model import BOS, EOS, NORMAL, UNKNOWN, Model
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _VALUES = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 INFINITE = np.int64(1) << np.int64(60)
+FILTER = 20
+SPARSE = 150  # edges a wave below which single steps are faster
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -59,9 +61,11 @@ class Dictionary:
     def __init__(self, model: Model):
         self.model = model
         self.by_length: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
+        self.filter = np.zeros(1 << FILTER, bool)
         if model.surfaces:
             text = Text(model.surfaces)
             h = text.hashes(text.offsets[:-1], text.offsets[1:])
+            self.filter[h & np.uint64((1 << FILTER) - 1)] = True
             for size in np.unique(text.sizes):
                 at = np.flatnonzero(text.sizes == size)
                 order = at[np.argsort(h[at], kind="stable")]
@@ -82,6 +86,8 @@ class Dictionary:
             if not len(at):
                 continue
             x = text.hashes(start[at], start[at] + size)
+            maybe = self.filter[x & np.uint64((1 << FILTER) - 1)]
+            at, x = at[maybe], x[maybe]
             k = np.minimum(np.searchsorted(h, x), len(h) - 1)
             hit = h[k] == x
             at = at[hit]
@@ -270,15 +276,15 @@ class Lattice:
 
     def _edges_into(self, nodes: np.ndarray, position: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(left node, index into nodes) for left nodes that end at the positions, best ties first."""
-        span = int(self.text.sizes.max(initial=0)) + 2
-        key_end = self.sentence * span + self.end
-        usable = self.stat != EOS
-        by_end = np.flatnonzero(usable)
-        by_end = by_end[np.lexsort((by_end, -self._first_key[by_end], key_end[by_end]))]
-        keys = key_end[by_end]
-        wanted = self.sentence[nodes] * span + position
-        lo, hi = np.searchsorted(keys, wanted, "left"), np.searchsorted(keys, wanted, "right")
-        count = hi - lo
+        slot = self.text.offsets[:-1] + np.arange(len(self.text.sizes))  # a sentence of n bytes has n + 1 positions
+        by_end = np.flatnonzero(self.stat != EOS)
+        keys = slot[self.sentence[by_end]] + self.end[by_end]
+        order = np.lexsort((-self._first_key[by_end], keys))
+        by_end = by_end[order]
+        upto = np.concatenate([[0], np.cumsum(np.bincount(keys, minlength=len(self.text.data) + len(slot)))])
+        wanted = slot[self.sentence[nodes]] + position
+        lo = upto[wanted]
+        count = upto[wanted + 1] - lo
         return by_end[np.repeat(lo, count) + _ranges(count)], np.repeat(np.arange(len(nodes)), count)
 
     def _costs(self) -> None:
@@ -298,6 +304,9 @@ class Lattice:
             cuts = np.flatnonzero(np.r_[True, wave_of[1:] != wave_of[:-1]])
             bounds = np.append(heads[cuts], len(right))
             node_bounds = np.append(cuts, len(heads))
+            if len(right) < SPARSE * len(cuts):
+                self._one_by_one(left, right, edge)
+                cuts = cuts[:0]
             for w in range(len(cuts)):
                 a, b = bounds[w], bounds[w + 1]
                 first = heads[node_bounds[w] : node_bounds[w + 1]] - a
@@ -314,6 +323,17 @@ class Lattice:
         if ((self.cost > 2147483646) & (self.cost < INFINITE // 2)).any():
             raise ValueError("too long sentence.")
 
+    def _one_by_one(self, left: np.ndarray, right: np.ndarray, edge: np.ndarray) -> None:
+        """The same over single edges, for blocks whose waves are too thin for array operations."""
+        cost, prev = self.cost.tolist(), self.prev.tolist()
+        for a, b, c in zip(left.tolist(), right.tolist(), edge.tolist(), strict=True):
+            c += cost[a]
+            if c < cost[b]:
+                cost[b], prev[b] = c, a
+        self.cost, self.prev = np.array(cost, np.int64), np.array(prev, np.int64)
+        self.cost[self.cost >= INFINITE // 2] = INFINITE
+        self.prev[self.cost == INFINITE] = -1
+
     def _prune_and_end(self) -> None:
         n = len(self.text.sizes)
         keep = self.cost < INFINITE // 2
