@@ -8,12 +8,14 @@
    fall out unless they make up most of a text.
 3. links, in linear rounds: each node is compared with one centre among its lists (another random order each round) and
    linked when the full sets confirm it. Lists whose nodes are all in one component can add nothing and are skipped.
-4. the rest: in lists that still join several components, all pairs of different components are counted, in blocks
-   of BLOCK x BLOCK signatures (coordinates that agree, by array comparison; only pairs of MATCHES and more become rows),
-   and confirmed. No pair is skipped but those already connected, so the components are those of all pairs.
+4. the rest: in lists that still join several components, nodes of different components are compared, in blocks of
+   BLOCK x BLOCK signatures: coordinates that agree are counted, and pairs of MATCHES and more are held against SKETCH further
+   coordinates (a byte each). First each node's best partner is confirmed (BEST rounds, linear in the lists), which
+   joins most of what belongs together; then all other pairs of different components that pass both thresholds, each in the first list
+   that both nodes are in. No pair is skipped but those already connected, so the components are those of all pairs.
 
 A pair of similarity 0.8 agrees in fewer than 36 of 64 coordinates about 4 times in a million (binomial tail); more similar ones
-more rarely. A confirmed link is exact up to collisions of 64-bit hashes.
+more rarely; it agrees in fewer than SKETCH_MATCHES of SKETCH bytes about 3 times in 10 millions. A confirmed link is exact up to collisions of 64-bit hashes.
 
 Defined results: null, empty and wordless texts have an empty set and are linked with nothing; texts of fewer words
 than a shingle are one shingle; null ids take part, are never the smallest and are kept only if no other id is in their
@@ -35,9 +37,11 @@ from .textblocks import as_bytes, blocks, mix, word_hashes, word_spans
 
 COORDINATES, MATCHES = 64, 36
 SHINGLE, PERCENT = 5, 80
-ROUNDS = 3
+ROUNDS, BEST = 2, 2
+SKETCH, SKETCH_MATCHES = 512, 364  # five standard deviations below a similarity of 0.8
 BLOCK = 1024
 _MULTIPLIERS = np.random.default_rng(7).integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SKETCH = np.random.default_rng(13).integers(1, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ROLL = np.random.default_rng(11).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 
 
@@ -101,6 +105,21 @@ def _sets(k: int):
     return run
 
 
+def _sketches(batches):
+    for batch in batches:
+        offsets, raw = batch.column("set").buffers()[1], batch.column("set").buffers()[2]
+        offsets = np.frombuffer(offsets, np.int32)[batch.column("set").offset :][: batch.num_rows + 1]
+        values = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]].copy().view(np.uint64)
+        at = (offsets[:-1] - offsets[0]) // 8
+        out = np.zeros((batch.num_rows, SKETCH), np.uint8)
+        for lo in range(0, batch.num_rows, 64):  # 64 sets at a time stay in the cache
+            hi = min(lo + 64, batch.num_rows)
+            part = values[at[lo] : at[hi] if hi < batch.num_rows else len(values)]
+            for i, m in enumerate(_SKETCH):
+                out[lo:hi, i] = np.minimum.reduceat(part * m, at[lo:hi] - at[lo]) >> np.uint64(40) & np.uint64(255)
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([x.tobytes() for x in out], pa.binary())], names=["node", "sketch"])
+
+
 def _confirm(percent: int):
     def run(batches):
         for batch in batches:
@@ -132,23 +151,50 @@ def postings(nodes: DataFrame, matches: int = MATCHES) -> DataFrame:
     return mine.filter(room > 0).select("node", F.explode(F.slice("t", F.lit(1), room)).alias("p")).select("node", "p.token")
 
 
-def _pairs_in_block(percent: int, matches: int):
+def _pairs_in_block(percent: int, matches: int, best: bool):
+    """Pairs of one block that pass both thresholds and have no earlier list in common: each node's best one, or all."""
+
     def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
         side, node, n, comp = (table.column(c).to_numpy() for c in ("side", "node", "n", "comp"))
+        token = table.column("token")[0].as_py()
         sig = table.column("sig").combine_chunks().flatten().to_numpy().reshape(len(node), COORDINATES)
+        sketch = np.stack([np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("sketch")])
+        lists = table.column("lists")
+        names, counts = np.unique(comp, return_counts=True)
+        outside = comp != names[counts.argmax()]  # of two nodes in different components, one is outside the largest
+        found: list[np.ndarray] = []
+
+        def compare(left: np.ndarray, right: np.ndarray) -> None:
+            for lo in range(0, len(left), 64):
+                i = left[lo : lo + 64]
+                same = np.zeros((len(i), len(right)), np.int16)
+                for c in range(COORDINATES):
+                    same += sig[i, c][:, None] == sig[right, c][None]
+                good = (same >= matches) & (comp[i][:, None] != comp[right][None])
+                good &= 100 * np.minimum(n[i][:, None], n[right][None]) >= percent * np.maximum(n[i][:, None], n[right][None])
+                p, q = np.nonzero(good)
+                for a in range(0, len(p), 4096):
+                    x, y = i[p[a : a + 4096]], right[q[a : a + 4096]]
+                    like = (sketch[x] == sketch[y]).sum(1)
+                    ok = like >= SKETCH_MATCHES
+                    found.append(np.stack([x[ok], y[ok], like[ok]]))
+
         left, right = np.flatnonzero(side & 1), np.flatnonzero(side & 2)
-        out = []
-        for lo in range(0, len(left), 64):
-            i = left[lo : lo + 64]
-            same = np.zeros((len(i), len(right)), np.int16)
-            for c in range(COORDINATES):
-                same += sig[i, c][:, None] == sig[right, c][None]
-            good = (same >= matches) & (comp[i][:, None] != comp[right][None]) & (node[i][:, None] != node[right][None])
-            good &= 100 * np.minimum(n[i][:, None], n[right][None]) >= percent * np.maximum(n[i][:, None], n[right][None])
-            p, q = np.nonzero(good)
-            a, b = node[i[p]], node[right[q]]
-            out.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1))
-        a, b = np.concatenate(out, 1) if out else np.zeros((2, 0), np.int64)
+        compare(left[outside[left]], right)
+        if (side != 3).any():
+            compare(left[~outside[left]], right[outside[right]])
+        x, y, like = np.concatenate(found, 1) if found else np.zeros((3, 0), np.int64)
+        if best:  # each node's most similar one
+            both = np.concatenate([np.stack([x, y, like]), np.stack([y, x, like])], 1)
+            both = both[:, np.lexsort((node[both[1]], -both[2], both[0]))]
+            first = np.r_[True, both[0, 1:] != both[0, :-1]] if both.shape[1] else np.zeros(0, bool)
+            x, y = both[0, first], both[1, first]
+        own = {int(k): set(lists[int(k)].as_py()) for k in np.unique(np.r_[x, y])}
+        first = np.array([min(own[a] & own[b]) == token for a, b in zip(x.tolist(), y.tolist(), strict=True)], bool)
+        x, y = x[first], y[first]  # a pair is named by the first list that both are in
+        a, b = np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
+        a, b = np.unique(np.stack([a, b]), axis=1) if len(a) else (a, b)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
@@ -186,17 +232,24 @@ def node_components(docs: DataFrame, profile: DataFrame, shingle: int, percent:
         pairs = pairs.groupBy("node").agg(F.min_by("c", F.xxhash64("c", F.lit(r))).alias("b")).select(F.col("node").alias("a"), "b")
         links = materialize(links.union(_confirmed(pairs, sets, percent)).union(stars), "minhash-links").distinct()
         stars = connected(links)
-    named = materialize(_labelled(lists, stars), "minhash-mixed")
-    if not named.limit(1).count():
-        return stars
-    many = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = named.withColumn("nb", many).withColumn("b0", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
-    dealt = own.withColumn("b1", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    side = F.when(F.col("b0") == F.col("b1"), 3).when(F.col("b0") < F.col("b1"), 1).otherwise(2)
-    dealt = dealt.select("token", F.least("b0", "b1").alias("lo"), F.greatest("b0", "b1").alias("hi"), side.alias("side"), "node", "n", "comp").join(distinct.join(posted, "node", "left_semi"), "node")
-    found = dealt.groupBy("token", "lo", "hi").applyInArrow(_pairs_in_block(percent, matches), "a long, b long").distinct()
-    more = _confirmed(materialize(found, "minhash-pairs"), sets, percent)
-    return connected(materialize(more.union(stars), "minhash-links"))
+    known = None
+    for r in range(BEST + 1):
+        named = materialize(_labelled(lists, stars), "minhash-mixed")
+        if not named.limit(1).count():
+            return stars
+        if known is None:
+            left = named.select("node").distinct()
+            sketches = sets.join(left, "node", "left_semi").mapInArrow(_sketches, "node long, sketch binary")
+            whole = lists.join(left, "node", "left_semi").groupBy("node").agg(F.collect_set("token").alias("lists"))  # at most COORDINATES each
+            known = materialize(sketches.join(whole, "node").join(distinct, "node"), "minhash-known")
+        own = named.withColumn("nb", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("b0", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
+        dealt = own.withColumn("b1", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+        side = F.when(F.col("b0") == F.col("b1"), 3).when(F.col("b0") < F.col("b1"), 1).otherwise(2)
+        dealt = dealt.select("token", F.least("b0", "b1").alias("lo"), F.greatest("b0", "b1").alias("hi"), side.alias("side"), "node", "n", "comp").join(known, "node")
+        found = dealt.groupBy("token", "lo", "hi").applyInArrow(_pairs_in_block(percent, matches, r < BEST), "a long, b long").distinct()
+        more = _confirmed(materialize(found, "minhash-pairs"), sets, percent)
+        stars = connected(materialize(more.union(stars), "minhash-links"))
+    return stars
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
