@@ -8,6 +8,7 @@ Null sentences are empty; an empty or blank sentence has no tokens.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ from lattica.plans.model import BOS, EOS, Model
 BLOCK = 1 << 20
 LIMIT = 1 << 30
 TOKEN_FIELDS = "surface string, feature string, begin int, start int, end int, length int, rlength int, left_id int, right_id int, pos_id int, char_type int, stat int, wcost int, cost long, node_id int"
-_FEATURES: dict[int, tuple] = {}
+_FEATURES: dict[str, tuple] = {}
 
 
 class _Decoder:
@@ -32,14 +33,14 @@ class _Decoder:
         if model.size > LIMIT:
             raise ValueError("the dictionary is too large to send to every executor; use operators.candidates")
         self.shared = spark.sparkContext.broadcast(model)
+        self.key = uuid.uuid4().hex
 
     def ready(self) -> tuple[Dictionary, pa.Array]:
-        key = self.shared._jbroadcast.id() if hasattr(self.shared, "_jbroadcast") and self.shared._jbroadcast is not None else id(self.shared)
-        if key not in _FEATURES:
+        if self.key not in _FEATURES:  # one model a worker at a time
             m = self.shared.value
             _FEATURES.clear()
-            _FEATURES[key] = (Dictionary(m), pa.array([*m.features, m.conf.bos_feature], pa.string()))
-        return _FEATURES[key]
+            _FEATURES[self.key] = (Dictionary(m), pa.array([*m.features, m.conf.bos_feature], pa.string()))
+        return _FEATURES[self.key]
 
 
 def _blocks(column: pa.Array) -> Iterator[tuple[np.ndarray, list[bytes]]]:
