@@ -1 +1,280 @@
-"""Queries of dictionary building, evaluation and training."""
+"""Queries of dictionary building, rewriting, evaluation, training and merges."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lattica.functions import columns as C
+from lattica.operators import etl, evaluate, lexicon, rewrite
+from lattica.plans.registry import query
+from lattica.plans.shapes import lines_of, lines_sql, words
+from lattica.plans.shared import materialize, table
+from lattica.plans.text_queries import _definition
+from lattica.sources import readers
+
+RULES = {
+    "unigram": [("*,*,*,*", "$1,$2,$3,$4")],
+    "left": [("(small|large|big),*,*", "SIZE,$2,*"), ("*,Brand#1*,*", "$1,B1,*"), ("*,*,*", "$1,$2,$3")],
+    "right": [("red,*,*", "RED,*,$3"), ("*,*,(STANDARD|PROMO)", "$1,*,P"), ("*,*,*", "$1,$2,*")],
+}
+POS = [("red,*,*", 7), ("*,(Brand#1|Brand#2),*", 12), ("blue,*", 20)]
+UNIGRAMS = ["U0:%F[0]", "U1:%F[0]/%F?[1]", "U2:%F[3]-%t"]
+BIGRAMS = ["B0:%L[0]/%R[0]", "B1:%L?[1]/%R?[1]"]
+
+#: One feature row per distinct (first word, brand, first word of the type, size).
+_FEATURES = "f AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS a, p_brand AS b, split_part(p_type, ' ', 1) AS c, CAST(p_size AS VARCHAR) AS d FROM part), x AS (SELECT a, b, c, d, a || ',' || b || ',' || c || ',' || d AS feature FROM f)"
+_L = "CASE WHEN a IN ('small', 'large', 'big') THEN 'SIZE,' || b || ',*' WHEN b = 'Brand#1*' THEN a || ',B1,*' ELSE a || ',' || b || ',' || c END"
+_R = "CASE WHEN a = 'red' THEN 'RED,*,' || c WHEN c IN ('STANDARD', 'PROMO') THEN a || ',*,P' ELSE a || ',' || b || ',*' END"
+
+
+def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    first = lambda c: F.split_part(c, F.lit(" "), F.lit(1))
+    return p.select(F.concat_ws(",", first(F.col("p_name")), "p_brand", first(F.col("p_type")), F.col("p_size").cast("string")).alias("feature")).distinct()
+
+
+@query("rewrite_features", f"WITH {_FEATURES} SELECT feature, feature AS ufeature, {_L} AS lfeature, {_R} AS rfeature FROM x")
+def rewrite_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rewrite.rewrite_features(_features(spark, sf_dir), RULES)
+
+
+@query("pos_ids", f"WITH {_FEATURES} SELECT feature, CAST(CASE WHEN a = 'red' THEN 7 WHEN b IN ('Brand#1', 'Brand#2') THEN 12 WHEN a = 'blue' THEN 20 ELSE 65535 END AS INTEGER) AS pos_id FROM x")
+def pos_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _features(spark, sf_dir).select("feature", rewrite.pos_id(POS, F.col("feature")).alias("pos_id"))
+
+
+_CONTEXT = f"SELECT CAST(0 AS INTEGER) AS id, 'BOS/EOS,*,*' AS feature UNION ALL SELECT CAST(row_number() OVER (ORDER BY v) AS INTEGER), v FROM (SELECT DISTINCT {_L} AS v FROM x)"
+
+
+def _left_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexicon.context_ids(rewrite.rewrite_features(_features(spark, sf_dir), RULES), "lfeature", "BOS/EOS,*,*")
+
+
+def _right_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexicon.context_ids(rewrite.rewrite_features(_features(spark, sf_dir), RULES), "rfeature", "BOS/EOS,*,*")
+
+
+@query("context_ids", f"WITH {_FEATURES} {_CONTEXT}")
+def context_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _left_ids(spark, sf_dir)
+
+
+@query(
+    "template_features",
+    f"WITH {_FEATURES} SELECT feature, 'U0:' || a AS crf_feature FROM x UNION ALL SELECT feature, 'U1:' || a || '/' || b FROM x WHERE b NOT IN ('*', '') UNION ALL SELECT feature, 'U2:' || d || '-3' FROM x",
+)
+def template_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _features(spark, sf_dir).select("feature", F.col("feature").alias("ufeature"), F.lit(3).alias("char_type"), F.lit("").alias("surface"))
+    return rewrite.expand_templates(t, UNIGRAMS).select("feature", "crf_feature")
+
+
+_WEIGHTS = "g AS (SELECT f, (length(f) % 7 - 3) / 8.0 AS alpha FROM (SELECT DISTINCT 'U0:' || a AS f FROM x UNION SELECT DISTINCT 'U1:' || a || '/' || b FROM x))"
+
+
+def _weights(spark: SparkSession, sf_dir: str, templates: list[str]) -> DataFrame:
+    t = _features(spark, sf_dir).select("feature", F.col("feature").alias("ufeature"), F.lit(3).alias("char_type"), F.lit("").alias("surface"))
+    return rewrite.expand_templates(t, templates).select(F.col("crf_feature").alias("feature")).distinct().withColumn("alpha", (F.length("feature") % 7 - 3) / 8.0)
+
+
+@query("lexicon_from_model", f"WITH {_FEATURES}, {_WEIGHTS} SELECT feature, CAST(trunc(least(greatest(-800 * sum(alpha), -32767), 32767)) AS INTEGER) AS word_cost FROM x JOIN g ON f IN ('U0:' || a, 'U1:' || a || '/' || b) GROUP BY feature")
+def lexicon_from_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = _features(spark, sf_dir).withColumn("word_cost", F.lit(None).cast("int"))
+    return lexicon.model_costs(entries, RULES, UNIGRAMS[:2], _weights(spark, sf_dir, UNIGRAMS[:2]), 800).select("feature", "word_cost")
+
+
+_PAIRS = f"""WITH {_FEATURES}, li AS ({_CONTEXT}), ri AS ({_CONTEXT.replace(_L, _R)}),
+p AS (SELECT ri.id AS right_ctx, li.id AS left_ctx, 'B0:' || split_part(ri.feature, ',', 1) || '/' || split_part(li.feature, ',', 1) AS f0,
+  CASE WHEN split_part(ri.feature, ',', 2) NOT IN ('*', '') AND split_part(li.feature, ',', 2) NOT IN ('*', '') THEN 'B1:' || split_part(ri.feature, ',', 2) || '/' || split_part(li.feature, ',', 2) END AS f1 FROM ri, li)
+SELECT right_ctx, left_ctx, CAST(trunc(-700 * ((length(f0) % 5 - 2) / 4.0 + CASE WHEN f1 IS NOT NULL THEN (length(f1) % 5 - 2) / 4.0 ELSE 0 END)) AS INTEGER) AS cost FROM p"""
+
+
+@query("matrix_from_model", _PAIRS)
+def matrix_from_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left, right = materialize(_left_ids(spark, sf_dir), "left-ids"), materialize(_right_ids(spark, sf_dir), "right-ids")
+    # the model's features: all those that occur, with weights from their length
+    cells = {"L": C.csv_fields(F.col("rf")), "R": C.csv_fields(F.col("lf"))}
+    pairs = right.select(F.col("feature").alias("rf")).crossJoin(left.select(F.col("feature").alias("lf")))
+    every = F.array(*[rewrite.template_column(t, cells, {}) for t in BIGRAMS])
+    model = pairs.select(F.explode(F.filter(every, lambda x: x.isNotNull())).alias("feature")).distinct().withColumn("alpha", (F.length("feature") % 5 - 2) / 4.0)
+    return lexicon.matrix_from_model(left, right, BIGRAMS, model, 700)
+
+
+@query("auto_context_ids", f"WITH {_FEATURES}, li AS ({_CONTEXT}) SELECT x.feature, li.id AS left_id FROM x JOIN li ON li.feature = {_L}")
+def auto_context_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = _features(spark, sf_dir).withColumns({"left_id": F.lit(-1), "right_id": F.lit(-1)})
+    return lexicon.auto_ids(entries, RULES, _left_ids(spark, sf_dir), _right_ids(spark, sf_dir)).select("feature", "left_id")
+
+
+_LEX = f"""WITH l AS ({lines_sql("documents", "doc_id", "text")}), c AS (SELECT w AS surface, count(*) AS n FROM (SELECT unnest(string_split(sentence, ' ')) AS w FROM l) WHERE w <> '' GROUP BY w),
+lex AS (SELECT surface, CAST(n AS INTEGER) % 5 AS left_id, CAST(greatest(-32767, trunc(-400 * pow(strlen(surface), 1.5))) AS INTEGER) AS word_cost FROM c)"""
+
+
+def _lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = words(lines_of(spark, sf_dir, "documents", "doc_id"), []).groupBy(F.col("w").alias("surface")).agg(F.count("*").alias("n"))
+    return c.select("surface", (F.col("n").cast("int") % 5).alias("left_id"), C.keyword_cost(F.col("surface")).alias("word_cost"))
+
+
+@query("lexicon_build", f"{_LEX} SELECT * FROM lex")
+def lexicon_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lexicon(spark, sf_dir)
+
+
+@query("lexicon_length_filter", f"{_LEX} SELECT * FROM lex WHERE length(surface) BETWEEN 3 AND 8")
+def lexicon_length_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return etl.length_filter(_lexicon(spark, sf_dir), 3, 8)
+
+
+@query("lexicon_dedupe", "WITH r AS (SELECT p_name AS surface, p_name || ',' || p_type || ',' || CASE WHEN p_size % 2 = 0 THEN p_name ELSE upper(p_name) END AS feature FROM part) SELECT DISTINCT surface, feature FROM r WHERE surface = string_split(feature, ',')[3]")
+def lexicon_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select(F.col("p_name").alias("surface"), F.concat_ws(",", "p_name", "p_type", F.when(F.col("p_size") % 2 == 0, F.col("p_name")).otherwise(F.upper("p_name"))).alias("feature"))
+    return etl.base_form_only(p, 2).distinct()
+
+
+@query("ext_column_merge", f"{_LEX}, e AS (SELECT surface || ',' || left_id AS key, ' x' || length(surface) || ' ' AS ext FROM lex WHERE length(surface) % 3 = 0) SELECT lex.*, coalesce(trim(ext), '') AS ext FROM lex LEFT JOIN e ON key = surface || ',' || left_id")
+def ext_column_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lex = _lexicon(spark, sf_dir)
+    e = lex.filter(F.char_length("surface") % 3 == 0).select(F.concat_ws(",", "surface", F.col("left_id").cast("string")).alias("key"), F.concat(F.lit(" x"), F.char_length("surface").cast("string"), F.lit(" ")).alias("ext"))
+    return etl.extension_merge(lex, e)
+
+
+@query("cost_override", f"{_LEX} SELECT surface, left_id, CASE WHEN length(surface) = 4 THEN -left_id ELSE word_cost END AS word_cost FROM lex")
+def cost_override(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lex = _lexicon(spark, sf_dir)
+    new = lex.filter(F.char_length("surface") == 4).select("surface", "left_id", (-F.col("left_id")).alias("new_cost"))
+    return etl.override_costs(lex, new, ["surface", "left_id"]).select("surface", "left_id", "word_cost")
+
+
+@query("cost_scale", f"{_LEX} SELECT surface, CAST(trunc(CASE WHEN starts_with(surface, 'th') THEN word_cost * 0.4 WHEN length(surface) > 6 THEN word_cost * 0.75 ELSE word_cost END) AS INTEGER) AS word_cost FROM lex")
+def cost_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return etl.scale_costs(_lexicon(spark, sf_dir), [(F.col("surface").startswith("th"), 0.4), (F.char_length("surface") > 6, 0.75)]).select("surface", "word_cost")
+
+
+@query("surface_order", f"{_LEX} SELECT surface, left_id FROM lex ORDER BY encode(surface)")
+def surface_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexicon.compile_entries(_lexicon(spark, sf_dir).withColumn("feature", F.lit("W"))).select("surface", "left_id")
+
+
+@query("surface_runs", "SELECT split_part(p_name, ' ', 1) AS surface, count(*) AS n_entries FROM part GROUP BY 1")
+def surface_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "part").select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("surface"), F.col("p_partkey").alias("entry_ord"), F.col("p_type").alias("feature"))
+    return lexicon.surface_runs(e).select("surface", "n_entries")
+
+
+@query("lexicon_csv", "SELECT CASE WHEN contains(p_name, ',') THEN '\"' || p_name || '\"' ELSE p_name END || ',0,0,' || p_size || ',' || p_type AS line FROM part")
+def lexicon_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    return lexicon.to_csv(p.select(F.col("p_name").alias("surface"), F.lit(0).alias("left_id"), F.lit(0).alias("right_id"), F.col("p_size").alias("word_cost"), F.col("p_type").alias("feature")))
+
+
+@query("lexicon_csv_scan", "SELECT CAST(p_partkey AS INTEGER) AS entry_ord, p_name AS surface, 1 AS left_id, true AS right_empty, -p_size AS word_cost, p_type || ',\"a,b\",' || p_brand AS feature FROM part")
+def lexicon_csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    lines = p.select(F.col("p_partkey").cast("int").alias("line_no"), F.concat(F.lit('"'), F.col("p_name"), F.lit('", 1,,-'), F.col("p_size").cast("string"), F.lit(","), F.col("p_type"), F.lit(',"a,b",'), F.col("p_brand")).alias("line"))
+    return readers.lexicon(lines).select("entry_ord", "surface", "left_id", F.col("right_id").isNull().alias("right_empty"), "word_cost", "feature")
+
+
+@query("matrix_scan", "SELECT a AS right_ctx, b AS left_ctx, CASE WHEN a = 1 AND b = 2 THEN -7 WHEN a = 0 AND b = 1 THEN 5 ELSE 0 END AS cost FROM (SELECT CAST(unnest(range(3)) AS INTEGER) AS a), (SELECT CAST(unnest(range(3)) AS INTEGER) AS b)")
+def matrix_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.matrix(_definition(spark, "3 3\n1 2 4\n0 1 5\n1 2 -7\n"))
+
+
+@query("nation_overrides", "SELECT n_nationkey AS right_ctx, n_regionkey AS left_ctx, CASE WHEN n_regionkey = 1 THEN 100 ELSE n_nationkey END AS cost FROM nation")
+def nation_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("right_ctx"), F.col("n_regionkey").alias("left_ctx"), F.col("n_nationkey").alias("cost"))
+    return etl.override_connections(n, n.filter("left_ctx = 1").select("right_ctx", "left_ctx", F.lit(100).alias("new_cost"))).select("right_ctx", "left_ctx", "cost")
+
+
+@query("insert_absent", "SELECT n_name AS surface, 'old' AS origin FROM nation WHERE n_regionkey < 3 UNION ALL SELECT n_name, 'new' FROM nation WHERE NOT n_regionkey < 3")
+def insert_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "nation").select(F.col("n_name").alias("surface"), F.lit("NNP").alias("pos"), F.lit("*").alias("semantic_class"), F.lit(True).alias("is_available"), "n_regionkey")
+    return etl.insert_absent(n.filter("n_regionkey < 3").withColumn("origin", F.lit("old")), n.withColumn("origin", F.lit("new"))).select("surface", "origin")
+
+
+@query("apply_patch", "SELECT n_name AS line FROM nation WHERE n_regionkey <> 2 UNION ALL SELECT r_name FROM region")
+def apply_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "nation")
+    line = lambda d: d.select(F.col("n_name").alias("line"))
+    return etl.apply_patch(line(n), line(n.filter("n_regionkey = 2")), table(spark, sf_dir, "region").select(F.col("r_name").alias("line")))
+
+
+@query("classify_names", "SELECT n_name AS surface, CASE WHEN n_regionkey = 0 THEN 'place' WHEN n_regionkey IN (1, 2) THEN 'person' ELSE '*' END AS semantic_class FROM nation")
+def classify_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "nation").select(F.col("n_name").alias("surface"), "n_regionkey")
+    return etl.classify_names(n.select("surface"), n.filter("n_regionkey = 0"), n.filter("n_regionkey in (0, 1, 2)"))
+
+
+@query("conjugation", "SELECT DISTINCT w AS stem, w || e AS surface FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part), (VALUES ('s'), ('ed'), ('ing')) t(e)")
+def conjugation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stems = words(table(spark, sf_dir, "part"), [], "p_name").select(F.col("w").alias("stem"), F.lit("v").alias("ctype"))
+    endings = spark.createDataFrame([("v", x) for x in ("s", "ed", "ing")], "ctype string, ending string")
+    return etl.conjugate(stems, endings).select("stem", "surface").distinct()
+
+
+_EVAL = f"""WITH l AS ({lines_sql("documents", "doc_id", "text")}), t AS (SELECT doc_id, sent_id, unnest(range(len(s))) AS i, unnest(s) AS w FROM (SELECT doc_id, sent_id, string_split(sentence, ' ') AS s FROM l)), g AS (SELECT * FROM t WHERE w <> ''),
+y AS (SELECT doc_id, sent_id, i * 2 AS i, CASE WHEN length(w) > 6 THEN left(w, 3) ELSE w END AS w FROM g UNION ALL SELECT doc_id, sent_id, i * 2 + 1, substr(w, 4) FROM g WHERE length(w) > 6),
+o AS (SELECT doc_id, sent_id, w, length(w) % 2 AS f, coalesce(sum(strlen(w)) OVER (PARTITION BY doc_id, sent_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS st FROM g),
+p AS (SELECT doc_id, sent_id, w, length(w) % 3 AS f, coalesce(sum(strlen(w)) OVER (PARTITION BY doc_id, sent_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS st FROM y),
+k AS (SELECT count(*) FILTER (WHERE p.w = o.w) AS c0, count(*) FILTER (WHERE p.w = o.w AND p.f = o.f) AS c1 FROM p JOIN o USING (doc_id, sent_id, st)), n AS (SELECT (SELECT count(*) FROM p) AS ns, (SELECT count(*) FROM o) AS ng),
+r AS (SELECT 0 AS level, c0 AS correct, ns, ng FROM k, n UNION ALL SELECT -1, c1, ns, ng FROM k, n)
+SELECT level, correct, ns AS n_system, ng AS n_gold, 100.0 * correct / ns AS precision, 100.0 * correct / ng AS recall, 2 * (100.0 * correct / ns) * (100.0 * correct / ng) / (100.0 * correct / ns + 100.0 * correct / ng) AS f FROM r"""
+
+
+def _system_and_gold(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    g = words(lines_of(spark, sf_dir, "documents", "doc_id"), ["doc_id", "sent_id"])
+    parts = F.when(F.char_length("w") > 6, F.array(F.left("w", F.lit(3)), F.substring("w", 4, 1 << 30))).otherwise(F.array("w"))
+    y = g.select("doc_id", "sent_id", "i", F.posexplode(parts).alias("j", "w"))
+    feature = lambda d, m: d.withColumns({"surface": F.col("w"), "feature": (F.char_length("w") % m).cast("string")})
+    return feature(y.withColumn("tok_idx", F.col("i") * 2 + F.col("j")), 3), feature(g.withColumn("tok_idx", F.col("i")), 2)
+
+
+@query("eval_prf", _EVAL)
+def eval_prf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.evaluate(*_system_and_gold(spark, sf_dir), ["doc_id", "sent_id"])
+
+
+@query("eval_report")
+def eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.report(eval_prf(spark, sf_dir))
+
+
+@query("corpus_scan", f"WITH l AS ({lines_sql('benchmark', 'item_id', 'text')}) SELECT item_id, CAST(unnest(range(len(w))) AS INTEGER) AS tok_idx, unnest(w) AS surface, 'F' AS feature FROM (SELECT item_id, list_filter(string_split(string_agg(sentence, ' ' ORDER BY sent_id), ' '), lambda x: x <> '') AS w FROM l GROUP BY item_id)")
+def corpus_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.array_join(F.transform(F.filter(F.split("text", "[ \n]"), lambda x: x != ""), lambda w: F.concat(w, F.lit("\tF"))), "\n"), F.lit("\nEOS"))
+    lines = readers.split_lines(table(spark, sf_dir, "benchmark").select("item_id", text.alias("t")), "item_id", "t")
+    return readers.corpus(lines, "item_id").select("item_id", "tok_idx", "surface", "feature")
+
+
+@query("raw_sentences", "SELECT item_id, replace(replace(text, ' ', ''), chr(10), '') AS sentence FROM benchmark")
+def raw_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.raw_sentences(corpus_scan(spark, sf_dir), ["item_id"])
+
+
+@query("result_offsets", f"WITH l AS ({lines_sql('benchmark', 'item_id', 'text')}), t AS (SELECT item_id, unnest(range(len(w))) AS tok_idx, unnest(w) AS surface FROM (SELECT item_id, list_filter(string_split(string_agg(sentence, ' ' ORDER BY sent_id), ' '), lambda x: x <> '') AS w FROM l GROUP BY item_id)) SELECT item_id, CAST(tok_idx AS INTEGER) AS tok_idx, strlen(surface) AS length, CAST(sum(strlen(surface)) OVER (PARTITION BY item_id ORDER BY tok_idx) - strlen(surface) AS INTEGER) AS begin_pos FROM t")
+def result_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.result_offsets(corpus_scan(spark, sf_dir), ["item_id"]).select("item_id", "tok_idx", "length", "begin_pos")
+
+
+@query("tokenization_differences", f"WITH l AS ({lines_sql('conversations', 'conv_id, turn', 'text')}) SELECT conv_id, turn, sent_id, sentence AS a, replace(sentence, ',', ' ,') AS b FROM l WHERE contains(sentence, ',')")
+def tokenization_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("sent_id", "text"))
+    return evaluate.differences(lines, lines.withColumn("text", F.replace("text", F.lit(","), F.lit(" ,"))), ["conv_id", "turn", "sent_id"])
+
+
+@query("toxic_token_stats", f"WITH l AS ({lines_sql('documents', 'doc_id', 'text')}) SELECT toxic, count(*) AS n_tokens, count(DISTINCT w) AS n_words FROM (SELECT doc_id, unnest(string_split(sentence, ' ')) AS w FROM l) JOIN labels USING (doc_id) WHERE w <> '' GROUP BY toxic")
+def toxic_token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = words(lines_of(spark, sf_dir, "documents", "doc_id"), ["doc_id"]).join(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id")
+    return w.groupBy("toxic").agg(F.count("*").alias("n_tokens"), F.countDistinct("w").alias("n_words"))
+
+
+@query("crf_training")
+def crf_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights learned from part names, whose words are the gold tokens."""
+    from lattica.operators import train
+    from lattica.plans.shapes import part_model
+
+    m = part_model(spark, sf_dir, pieces=True)
+    tokens = table(spark, sf_dir, "part").select("p_partkey", F.posexplode(F.split("p_name", " ")).alias("tok_idx", "surface")).withColumn("feature", F.concat(F.lit("NOUN,"), F.char_length("surface").cast("string")))
+    corpus = train.corpus_sentences(tokens, ["p_partkey"])
+    weights = train.train(corpus, m, {}, ["U0:%F[0]", "U1:%F[0],%F[1]"], ["B0:%L[0]/%R[0]"], steps=6)
+    return spark.createDataFrame(sorted(weights.items()), "feature string, alpha double")
