@@ -63,10 +63,10 @@ def tokens(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class Lookup:
-    """Sorted hashes behind a bit filter; position of each hash asked for, -1 if it isn't there."""
+    """Sorted hashes behind a bit filter; position of each hash asked for, -1 if it isn't there. slots: numbers set aside for them."""
 
-    def __init__(self, hashes: np.ndarray):
-        self.hashes = hashes
+    def __init__(self, hashes: np.ndarray, slots: int = 0):
+        self.hashes, self.slots = hashes, slots
         self.filter = np.zeros(1 << _BITS, bool)
         self.filter[hashes & ((1 << _BITS) - 1)] = True
 
@@ -107,13 +107,13 @@ def word_counts(training: DataFrame) -> DataFrame:
 
 
 def _symbols(lookup: Lookup, h: np.ndarray, f: np.ndarray) -> np.ndarray:
-    """Hot words 0 to HOT - 1, then forms, then the end."""
+    """Hot words first (lookup.slots numbers), then forms, then the end."""
     k = lookup(h)
-    return np.where(k >= 0, k, HOT + f)
+    return np.where(k >= 0, k, lookup.slots + f)
 
 
 def _count_pairs(lookup: Lookup):
-    size = HOT + FORMS + 1
+    size = lookup.slots + FORMS + 1
 
     def run(batches):
         for batch in batches:
@@ -123,7 +123,7 @@ def _count_pairs(lookup: Lookup):
                 h, f, begins = tokens(offs, part)
                 s = _symbols(lookup, h, f)
                 prev = np.concatenate([[0], s[:-1]])
-                prev[begins[:-1]] = HOT + FORMS
+                prev[begins[:-1]] = lookup.slots + FORMS
                 key, n = np.unique(prev * size + s, return_counts=True)
                 keys.append(key)
                 counts.append(n)
@@ -213,19 +213,19 @@ class Model:
         return np.log10((counts + 0.5) / (self.total + 0.5 * (self.distinct + 1)))
 
 
-def learn(training: DataFrame, counts: DataFrame) -> Model:
+def learn(training: DataFrame, counts: DataFrame, hot_words: int = HOT, near_words: int = NEAR) -> Model:
     """The model of training texts and their written counts table."""
-    top = counts.orderBy(F.desc("n"), "h").limit(NEAR).toArrow()  # a fixed bound
+    top = counts.orderBy(F.desc("n"), "h").limit(near_words).toArrow()  # a fixed bound
     h, n, f = (top.column(c).to_numpy() for c in ("h", "n", "form"))
     order = np.lexsort((h, -n))
     h, n, f = h[order], n[order], f[order]
     words = h != END
-    hot = h[words][:HOT]
+    hot = h[words][:hot_words]
     rank = np.arange(len(hot))
     by_hash = np.argsort(hot)
-    classes = np.concatenate([np.full(HOT, 0), CLASSES + np.arange(FORMS + 1)])
+    classes = np.concatenate([np.full(hot_words, 0), CLASSES + np.arange(FORMS + 1)])
     classes[: len(hot)] = (rank % CLASSES)[by_hash]
-    lookup = Lookup(hot[by_hash])
+    lookup = Lookup(hot[by_hash], hot_words)
     pairs = materialize(training.select("text").mapInArrow(_count_pairs(lookup), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")), "brown-pairs")
     best = None
     for r in range(ROUNDS + 1):
@@ -244,7 +244,7 @@ def learn(training: DataFrame, counts: DataFrame) -> Model:
     class_n, class_v = np.zeros(len(table)), np.zeros(len(table))
     for k, x in totals.items():
         class_n[CLASSES + k], class_v[CLASSES + k] = x["n"], x["v"]
-    hot_n, hot_f = n[words][:HOT], f[words][:HOT]
+    hot_n, hot_f = n[words][:hot_words], f[words][:hot_words]
     np.subtract.at(class_n, CLASSES + hot_f, hot_n)
     np.subtract.at(class_v, CLASSES + hot_f, 1)
     own = classes[: len(hot)][np.argsort(by_hash)]
@@ -260,7 +260,7 @@ _MISS = pa.list_(pa.struct([("h", pa.int64()), ("k", pa.int32()), ("form", pa.in
 
 def _score_here(model: Model):
     def run(batches):
-        hot, near = Lookup(model.hot), Lookup(model.near)
+        hot, near = Lookup(model.hot, len(model.classes) - FORMS - 1), Lookup(model.near)
         for batch in batches:
             offsets, data = as_bytes(batch.column("text"))
             for a, b, offs, part in blocks(offsets, data):
@@ -323,11 +323,11 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     )
 
 
-def score_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", fold: int = 5, held: int = 1) -> DataFrame:
+def score_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", fold: int = 5, held: int = 1, hot_words: int = HOT, near_words: int = NEAR) -> DataFrame:
     """Learn from the documents outside the held-out fold and score all: one row per document."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     training = rows.filter(crc_mod(F.col("doc_id"), fold) != held)
     counts = materialize(word_counts(training), "brown-counts")
-    model = learn(training, counts)
+    model = learn(training, counts, hot_words, near_words)
     scored = score(rows, model, counts)
     return scored.select("doc_id", (crc_mod(F.col("doc_id"), fold) == held).alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
