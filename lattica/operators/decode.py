@@ -120,6 +120,12 @@ def _apply(df: DataFrame, text: str, schema: str, work) -> DataFrame:
     return df.mapInArrow(run, f"{out}, {schema}" if out else schema)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt anew only where its scan has fewer partitions than the cluster has cores (a small file, one row group)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(4 * cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _columns(schema: str) -> list[str]:
     depth, out, now = 0, [], ""
     for ch in schema:

@@ -242,7 +242,7 @@ def partial_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("document_tokens", f"WITH l AS ({lines_sql('documents', 'doc_id', 'text')}) SELECT doc_id, sum(length(replace(sentence, ' ', ''))) AS n_chars FROM l GROUP BY doc_id")
 def document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = decode.tokenize(lines_of(spark, sf_dir, "documents", "doc_id"), piece_model(spark, sf_dir))
+    tokens = decode.tokenize(decode.spread(lines_of(spark, sf_dir, "documents", "doc_id")), piece_model(spark, sf_dir))
     docs = table(spark, sf_dir, "documents").select("doc_id")
     counts = tokens.groupBy("doc_id").agg(F.sum(F.char_length("surface")).alias("n"))
     return docs.join(counts, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("n_chars"))
@@ -250,6 +250,6 @@ def document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of all documents with a dictionary of the benchmark words: counts by feature."""
-    tokens = decode.tokenize(lines_of(spark, sf_dir, "documents", "doc_id"), piece_model(spark, sf_dir))
+    tokens = decode.tokenize(decode.spread(lines_of(spark, sf_dir, "documents", "doc_id")), piece_model(spark, sf_dir))
     return tokens.groupBy("feature", "stat").agg(F.count("*").alias("n"), F.sum("length").alias("n_bytes"))
 

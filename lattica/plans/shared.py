@@ -39,3 +39,10 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder, through Spark's own reader (any store)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most so many rows from now on, so that a Python worker's memory follows a few megabytes of text."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) > rows:
+        spark.conf.set(key, str(rows))
