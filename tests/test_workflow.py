@@ -87,5 +87,5 @@ def test_binary_forms():
     raw = np.array([2, 3], "<u2").tobytes() + np.arange(6, dtype="<i2").tobytes()
     assert build.read_binary_matrix(raw).tolist() == [[0, 2, 4], [1, 3, 5]]
     assert murmur3_x86_128(b"", 0) == (0, 0, 0, 0)
-    assert murmur3_x86_128(b"The quick brown fox jumps over the lazy dog", 0) == (0x2F1583C3, 0xECCE2C67, 0x5D7BF66C, 0xE5E91D2C)
+    assert murmur3_x86_128(b"The quick brown fox jumps over the lazy dog", 0) == (0x2F1583C3, 0xECEE2C67, 0x5D7BF66C, 0xE5E91D2C)
     assert 0 <= fingerprint("U0:x") < 1 << 64
