@@ -67,7 +67,11 @@ def drop_exact(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", norm
         F.col(doc_id).alias("__id"), row.alias("__row"), F.sha2(norm.cast("binary"), 256).alias("__sha"), F.xxhash64(norm).alias("__h2"), F.octet_length(norm).alias("__len")
     )
     won = exact_groups(docs, text, doc_id, normalise, salts).select("__sha", "__h2", "__len", "__keep").distinct()
-    same = [rows[c] == won[c] for c in ("__sha", "__h2", "__len")] + [rows["__id"].eqNullSafe(won["__keep"])]
-    kept = rows.join(won, same, "left_semi")
-    one = kept.groupBy("__id", "__sha", "__h2", "__len").agg(F.min_by("__row", F.xxhash64("__row")).alias("__row"))
-    return one.select(*[F.col("__row")[c].alias(c) for c in docs.columns])
+    same = lambda a, b, i: [a[c] == b[c] for c in ("__sha", "__h2", "__len")] + [a["__id"].eqNullSafe(b[i])]
+    kept = rows.join(won, same(rows, won, "__keep"), "left_semi")
+    # rows that repeat id and content are few; only they are grouped, the others stay where the join has put them
+    key = ["__id", "__sha", "__h2", "__len"]
+    repeated = _keyed(docs, text, doc_id, normalise, salts).groupBy(*key).agg(F.count("*").alias("__rows")).filter("__rows > 1").drop("__rows")
+    once = kept.join(repeated, same(kept, repeated, "__id"), "left_anti").select("__row")
+    again = kept.join(repeated, same(kept, repeated, "__id"), "left_semi").groupBy(*key).agg(F.min_by("__row", F.xxhash64("__row")).alias("__row")).select("__row")
+    return once.unionByName(again).select(*[F.col("__row")[c].alias(c) for c in docs.columns])
