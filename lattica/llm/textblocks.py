@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SPACES = (0x20, *range(0x09, 0x0E))
 

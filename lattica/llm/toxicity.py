@@ -4,7 +4,8 @@ Tokens are runs of letters. Their features are the word and its first PREFIXES b
 
 Training, on a bounded sample of labelled documents (at most TOXIC_ROWS toxic and CLEAN_ROWS others, those with the
 lowest hashes of their ids):
-1. features are kept that stand in at least SUPPORT toxic documents and whose document rate among toxic ones is LIFT times that
+1. features are kept that stand in at least SUPPORT toxic documents and PLACES different surroundings there (so that copies do
+   not count) and whose document rate among toxic ones is LIFT times that
    among others; a token of a toxic document that has such a feature is labelled 1, all others 0;
 2. the field is fitted to windows of labelled tokens around such tokens, in both kinds of documents, and to evenly spread windows
    of clean text, by L2-penalised likelihood with forward-backward gradients;
@@ -21,6 +22,7 @@ ids without a document, null labels and null ids are not learned from; repeated
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,12 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattica.plans.shared import bound_batches
+
 from .columns import crc_mod
 from .textblocks import Prefixes, as_bytes, blocks, is_letter_table, lower_latin, word_spans
 
 PREFIXES = (3, 4, 5, 6, 7, 8)
-TOXIC_ROWS, CLEAN_ROWS = 3000, 6000
-SUPPORT, LIFT = 4, 8.0
+TOXIC_ROWS, CLEAN_ROWS = 1500, 3000
+SUPPORT, PLACES, LIFT = 4, 4, 8.0
 WINDOW = 8
 MAX_FEATURES = 50_000
 FILTER_BITS = 20
@@ -228,14 +232,15 @@ def _descend(f, theta: np.ndarray, steps: int = 60, memory: int = 6) -> np.ndarr
 
 
 def _document_features(texts: pa.Array, wanted=None):
-    """Per block: first row, token counts, and arrays (doc, token, hash) of all features or of the wanted ones."""
+    """Per block: first row, token counts, and arrays (doc, token, hash) of all features or of the wanted ones; last, the tokens' hashes."""
     offsets, data = as_bytes(texts)
     for a, _, offs, part in blocks(offsets, data):
         part, starts, ends, before = _spans(offs, part)
         n = np.diff(before)
         doc = np.repeat(np.arange(len(n)), n)
-        ats, hs = [], []
+        ats, hs, whole = [], [], None
         for at, h in _features(starts, ends, part):
+            whole = h if whole is None else whole
             if wanted is not None:
                 k = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
                 hit = np.flatnonzero(wanted[k] == h)
@@ -243,27 +248,40 @@ def _document_features(texts: pa.Array, wanted=None):
             ats.append(at)
             hs.append(h)
         at, h = np.concatenate(ats), np.concatenate(hs)
-        yield a, n, doc[at], at - before[doc[at]], h
+        yield a, n, doc[at], at - before[doc[at]], h, (at, whole)
+
+
+def _once(doc: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """h without repeats inside a document."""
+    order = np.lexsort((h, doc))
+    doc, h = doc[order], h[order]
+    return h[np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]] if len(h) else h
+
+
+def _surroundings(whole: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A hash of the tokens before and after."""
+    around = np.concatenate([np.zeros(1, np.uint64), whole, np.zeros(1, np.uint64)])
+    return around[at] * np.uint64(0x9E3779B97F4A7C15) + around[at + 2]
 
 
 def _select(texts: pa.Array, toxic: np.ndarray) -> np.ndarray:
-    """Hashes of the features that mark toxic documents."""
-    hits, total = [], []
-    for a, _, doc, _, h in _document_features(texts):
-        order = np.lexsort((h, doc))
-        doc, h = doc[order], h[order]
-        new = np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])] if len(h) else np.zeros(0, bool)
-        bad = toxic[a + doc[new]]
-        hits.append(h[new][bad])
-        total.append(h[new][~bad])
-    marked, times = np.unique(np.concatenate(hits), return_counts=True)
+    """Hashes of the features that mark toxic documents. The others' features are only counted, never kept.
+
+    Support counts different surroundings, not documents: a word of a text that was copied often stands in one place only."""
+    bad = texts.filter(pa.array(toxic))
+    marked, times = np.unique(np.concatenate([_once(doc, h) for _, _, doc, _, h, _ in _document_features(bad)]), return_counts=True)
     marked, times = marked[times >= SUPPORT], times[times >= SUPPORT]
+    if not len(marked):
+        return marked
+    places = [_pairs(k.astype(np.uint64), _surroundings(whole, at)) for _, _, _, _, k, (at, whole) in _document_features(bad, marked)]
+    support = np.bincount(_pairs(*np.concatenate(places, 1))[0].astype(np.int64), minlength=len(marked))
+    keep = (support >= PLACES) & (support >= times / 4)
+    marked, times = marked[keep], times[keep]
     if not len(marked):
         return marked
     clean = np.zeros(len(marked), np.int64)
-    for h in total:
-        k = np.minimum(np.searchsorted(marked, h), len(marked) - 1)
-        clean += np.bincount(k[marked[k] == h], minlength=len(marked))
+    for _, _, doc, _, k, _ in _document_features(texts.filter(pa.array(~toxic)), marked):
+        clean += np.bincount(_once(doc, k), minlength=len(marked))
     lift = (times / toxic.sum()) / ((clean + 0.5) / max(1, (~toxic).sum()))
     keep = lift >= LIFT
     marked, lift, times = marked[keep], lift[keep], times[keep]
@@ -271,6 +289,14 @@ def _select(texts: pa.Array, toxic: np.ndarray) -> np.ndarray:
     return np.sort(marked[best])
 
 
+def _pairs(h: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Distinct pairs, by h."""
+    order = np.lexsort((c, h))
+    h, c = h[order], c[order]
+    new = np.r_[True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])] if len(h) else np.zeros(0, bool)
+    return np.stack([h[new], c[new]])
+
+
 def fit(texts: pa.Array, toxic: np.ndarray, chain_l2: float = 1.0) -> Model:
     """A model of labelled texts."""
     nothing = Model(np.zeros(0, np.uint64), np.zeros(0), np.zeros(4), np.zeros(3), float(toxic.mean()) if len(toxic) else 0.0)
@@ -280,7 +306,7 @@ def fit(texts: pa.Array, toxic: np.ndarray, chain_l2: float = 1.0) -> Model:
     if not len(features):
         return nothing
     rows, counts = [], np.zeros(len(texts), np.int64)
-    for a, n, doc, token, k in _document_features(texts, features):
+    for a, n, doc, token, k, _ in _document_features(texts, features):
         counts[a : a + len(n)] = n
         rows.append(np.stack([doc + a, token, k]))
     doc, token, k = np.concatenate(rows, 1) if rows else np.zeros((3, 0), np.int64)
@@ -315,7 +341,10 @@ def fit(texts: pa.Array, toxic: np.ndarray, chain_l2: float = 1.0) -> Model:
     new = np.r_[True, key[1:] != key[:-1]]
     weight = np.bincount(np.cumsum(new) - 1, model.weights[k]) if len(k) else np.zeros(0)
     x = _figures(doc[new], marginals(model.chain, doc[new], token[new], weight, counts), counts)
-    model.layer = _logistic(x, toxic.astype(float))
+    y = toxic.astype(float)
+    model.layer = _logistic(x, y)
+    if (model.layer[1:] < 0).any():  # the figures go together; more of either must not lower a score
+        model.layer = np.append(_logistic(x[:, :1], y), 0.0)
     return model
 
 
@@ -361,13 +390,23 @@ def train(docs: DataFrame, labels: DataFrame, fold: int = 5, toxic_rows: int = T
     usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     sample = usable.filter("toxic = 1").orderBy(*order).limit(toxic_rows).unionByName(usable.filter("toxic = 0").orderBy(*order).limit(clean_rows))
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text").toArrow()  # at most toxic_rows + clean_rows ids
-    rows = rows.sort_by([("doc_id", "ascending")])
-    return fit(rows.column("text").combine_chunks(), rows.column("toxic").to_numpy().astype(bool))
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most toxic_rows + clean_rows ids
+
+    def fitted(batches):
+        table = pa.Table.from_batches(batches, schema)
+        table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(table.column("text").combine_chunks(), table.column("toxic").to_numpy().astype(bool)))], pa.binary())], names=["model"])
+
+    kind = {"string": pa.string(), "int": pa.int32()}.get(docs.schema["doc_id"].dataType.simpleString(), pa.int64())
+    schema = pa.schema([("doc_id", kind), ("toxic", pa.int32()), ("text", pa.string())])
+    one = rows.select("doc_id", "toxic", "text").repartition(1).mapInArrow(fitted, "model binary")  # one task fits the bounded sample, not the driver
+    found = one.first()
+    return pickle.loads(found["model"]) if found else fit(pa.array([], pa.string()), np.zeros(0, bool))
 
 
 def score_documents(docs: DataFrame, model: Model, text: str = "text", with_spans: bool = False) -> DataFrame:
     """docs with toxic_score, and toxic_spans (byte offsets in UTF-8) if asked for; other columns stay."""
+    bound_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c not in ("toxic_score", "toxic_spans")]
     names = kept + ["toxic_score"] + ["toxic_spans"] * with_spans
 
