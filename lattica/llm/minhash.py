@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.plans.shared import materialize
+from lattica.plans.shared import bound_batches, materialize
 
 from .components import connected
 from .textblocks import as_bytes, blocks, mix, word_hashes, word_spans
@@ -165,20 +165,28 @@ def _pairs_in_block(percent: int, matches: int, best: bool):
         outside = comp != names[counts.argmax()]  # of two nodes in different components, one is outside the largest
         found: list[np.ndarray] = []
 
+        low = np.ascontiguousarray((sig & 255).astype(np.uint8).T)  # bytes first: they agree at least as often as the values
+
         def compare(left: np.ndarray, right: np.ndarray) -> None:
+            columns, small = low[:, right], n[right]
+            equal = np.empty((64, len(right)), bool)
             for lo in range(0, len(left), 64):
                 i = left[lo : lo + 64]
-                same = np.zeros((len(i), len(right)), np.int16)
+                same, eq = np.zeros((len(i), len(right)), np.uint8), equal[: len(i)]
                 for c in range(COORDINATES):
-                    same += sig[i, c][:, None] == sig[right, c][None]
-                good = (same >= matches) & (comp[i][:, None] != comp[right][None])
-                good &= 100 * np.minimum(n[i][:, None], n[right][None]) >= percent * np.maximum(n[i][:, None], n[right][None])
-                p, q = np.nonzero(good)
-                for a in range(0, len(p), 4096):
-                    x, y = i[p[a : a + 4096]], right[q[a : a + 4096]]
-                    like = (sketch[x] == sketch[y]).sum(1)
+                    np.equal(low[c, i][:, None], columns[c][None], out=eq)
+                    same += eq.view(np.uint8)
+                p, q = np.nonzero(same >= matches)
+                x, y = i[p], right[q]
+                ok = (comp[x] != comp[y]) & (100 * np.minimum(n[x], small[q]) >= percent * np.maximum(n[x], small[q]))
+                x, y = x[ok], y[ok]
+                for a in range(0, len(x), 4096):
+                    u, v = x[a : a + 4096], y[a : a + 4096]
+                    ok = (sig[u] == sig[v]).sum(1) >= matches
+                    u, v = u[ok], v[ok]
+                    like = (sketch[u] == sketch[v]).sum(1)
                     ok = like >= SKETCH_MATCHES
-                    found.append(np.stack([x[ok], y[ok], like[ok]]))
+                    found.append(np.stack([u[ok], v[ok], like[ok]]))
 
         left, right = np.flatnonzero(side & 1), np.flatnonzero(side & 2)
         compare(left[outside[left]], right)
@@ -254,6 +262,7 @@ def node_components(docs: DataFrame, profile: DataFrame, shingle: int, percent:
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest id of its component), kept."""
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     profile = materialize(rows.mapInArrow(_profile(shingle), f"doc_id {kind}, n long, node long, sig array<int>"), "minhash-profile")
