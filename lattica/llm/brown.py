@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.plans.shared import materialize
+from lattica.plans.shared import bound_batches, materialize
 
 from .columns import crc_mod
 from .textblocks import as_bytes, blocks, word_hashes, word_spans
@@ -39,6 +39,7 @@ ADD, EMIT = 0.1, 0.5
 FORMS = 16
 END = np.int64(0x7F3A5C1D2B4E6F80)
 _BITS = 20
+KEYS = 1 << 20
 _KIND = np.zeros(256, np.int64)
 _KIND[48:58] = 1  # digits
 _KIND[65:91] = _KIND[97:123] = 2
@@ -79,26 +80,42 @@ class Lookup:
         return out
 
 
-def _sums(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    return key, np.bincount(inverse, np.concatenate(counts), len(key)).astype(np.int64)
+class _Sums:
+    """Counts by key that go out whenever about KEYS keys have come together."""
+
+    def __init__(self):
+        self.parts, self.size = [], 0
+
+    def add(self, key: np.ndarray, n: np.ndarray, note: np.ndarray | None = None) -> None:
+        self.parts.append((key, n, note if note is not None else np.zeros(len(key), np.int32)))
+        self.size += len(key)
+
+    def ready(self, all_of_it: bool = False):
+        if self.size >= KEYS or all_of_it and self.size:
+            key, first, inverse = np.unique(np.concatenate([p[0] for p in self.parts]), return_index=True, return_inverse=True)
+            n = np.bincount(inverse, np.concatenate([p[1] for p in self.parts]), len(key)).astype(np.int64)
+            note = np.concatenate([p[2] for p in self.parts])[first]
+            if len(key) < KEYS // 2 and not all_of_it:  # most were repeats: go on with the sums
+                self.parts, self.size = [(key, n, note)], len(key)
+                return
+            self.parts, self.size = [], 0
+            yield key, n, note
 
 
 def _count_words(batches):
+    sums = _Sums()
+    schema = ["h", "form", "n"]
+    rows = lambda key, n, note: pa.RecordBatch.from_arrays([pa.array(key), pa.array(note.astype(np.int32)), pa.array(n)], names=schema)
     for batch in batches:
-        keys, counts, forms = [], [], []
         offsets, data = as_bytes(batch.column("text"))
         for _, _, offs, part in blocks(offsets, data):
             h, f, _ = tokens(offs, part)
             key, first, n = np.unique(h, return_index=True, return_counts=True)
-            keys.append(key)
-            counts.append(n)
-            forms.append(f[first])
-        if keys:
-            every = np.concatenate(keys)
-            key, first, inverse = np.unique(every, return_index=True, return_inverse=True)
-            n = np.bincount(inverse, np.concatenate(counts), len(key)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.concatenate(forms)[first].astype(np.int32)), pa.array(n)], names=["h", "form", "n"])
+            sums.add(key, n, f[first].astype(np.int32))
+        for x in sums.ready():
+            yield rows(*x)
+    for x in sums.ready(True):
+        yield rows(*x)
 
 
 def word_counts(training: DataFrame) -> DataFrame:
@@ -116,20 +133,20 @@ def _count_pairs(lookup: Lookup):
     size = lookup.slots + FORMS + 1
 
     def run(batches):
+        sums = _Sums()
+        rows = lambda key, n, _: pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["pair", "n"])
         for batch in batches:
-            keys, counts = [], []
             offsets, data = as_bytes(batch.column("text"))
             for _, _, offs, part in blocks(offsets, data):
                 h, f, begins = tokens(offs, part)
                 s = _symbols(lookup, h, f)
                 prev = np.concatenate([[0], s[:-1]])
                 prev[begins[:-1]] = lookup.slots + FORMS
-                key, n = np.unique(prev * size + s, return_counts=True)
-                keys.append(key)
-                counts.append(n)
-            if keys:
-                key, n = _sums(keys, counts)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["pair", "n"])
+                sums.add(*np.unique(prev * size + s, return_counts=True))
+            for x in sums.ready():
+                yield rows(*x)
+        for x in sums.ready(True):
+            yield rows(*x)
 
     return run
 
@@ -325,6 +342,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
 
 def score_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", fold: int = 5, held: int = 1, hot_words: int = HOT, near_words: int = NEAR) -> DataFrame:
     """Learn from the documents outside the held-out fold and score all: one row per document."""
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     training = rows.filter(crc_mod(F.col("doc_id"), fold) != held)
     counts = materialize(word_counts(training), "brown-counts")

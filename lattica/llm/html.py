@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattica.plans.shared import bound_batches
+
 _TOKEN = re.compile(r"<!--(?:>|->|.*?(?:-->|--!>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>|<[!?/][^>]*(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
@@ -439,6 +441,7 @@ def extract(page: str | None) -> tuple[str, str]:
 
 def extract_pages(pages: DataFrame, html: str = "html", page_id: str = "page_id") -> DataFrame:
     """page_id, title, text of every page."""
+    bound_batches(pages.sparkSession)
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(html).alias("html"))
 
     def run(batches):

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.plans.shared import fresh_path
+from lattica.plans.shared import bound_batches, fresh_path
 
 RATE, UP, DOWN, TAPS = 8000, 3, 4, 8
 FRAME, HOP, BANDS, CHUNK = 256, 128, 32, 32
@@ -148,6 +148,7 @@ def feature_string(tensor: np.ndarray, spans: np.ndarray, active: list[tuple[flo
 
 def store(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """A written media table: doc_id, n_bytes, media (WAV of the padded UTF-8 text)."""
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"))
 
     def run(batches):

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.plans.shared import fresh_path, materialize
+from lattica.plans.shared import bound_batches, fresh_path, materialize
 
 from .storage import open_input, open_output
 
@@ -93,6 +93,7 @@ _MANIFEST = pa.schema([("path", pa.string()), ("bytes", pa.int64()), ("records",
 
 def write(pages: DataFrame, least: int = 0, roll: int = ROLL) -> DataFrame:
     """Archive pages (page_id, url, html); the manifest: path, bytes, records."""
+    bound_batches(pages.sparkSession)
     html = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", "url", html.alias("html"), F.sha1(html.cast("binary")).alias("sha"), F.octet_length(html).alias("len"))
     keepers = rows.filter(F.col("len") >= least).groupBy("sha", "len").agg(F.max("page_id").alias("keeper"))
