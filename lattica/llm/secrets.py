@@ -3,7 +3,8 @@
 Base spans follow three patterns (assign, access, hex), each leftmost and non-overlapping, kept if long enough.
 
 Novelty spans: a candidate is a run of MINIMUM or more letters, digits and +/_=- that no base span touches, has both letters and
-digits, and follows a sensitive word within CONTEXT characters on its line. It is compressed by a zstandard compressor whose raw
+digits, and follows a sensitive word within CONTEXT characters on its line; of NAME=VALUE the value is one (and the name, if it is long
+and follows another sensitive word). It is compressed by a zstandard compressor whose raw
 dictionary is a list of common identifiers followed by the code around it (AROUND characters on each side, without the
 candidate). Its marginal bytes over those of an empty input, divided by its length, are its novelty; candidates of NOVELTY
 and more say something that neither the identifiers nor their surroundings do and are reported as kind ``novel``.
@@ -36,7 +37,9 @@ _SENSITIVE = ("password", "passwd", "pwd", "secret", "token", "key", "credential
 _SENSITIVE_BYTES = tuple(x.encode() for x in _SENSITIVE)
 _WORD = re.compile("(?ai:" + "|".join(_SENSITIVE) + ")")
 MINIMUM, CONTEXT, AROUND, NOVELTY = 16, 48, 1024, 0.75
-_CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[^\s]*[0-9])(?=[^\s]*[A-Za-z])[A-Za-z0-9+/_=-]{%d,}" % MINIMUM)
+_IN_RUN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
+_RUN = re.compile(r"[A-Za-z0-9+/_=-]+")
+_EQUALS = re.compile(r"=+")
 _HEX_RUN = re.compile(rb"[0-9a-f]{16}")
 IDENTIFIERS = (
     "access account address admin api application authorization backend bearer bucket cache callback certificate client cloud config connection "
@@ -69,24 +72,43 @@ def novelty(candidate: str, before: str, after: str) -> float:
     return (len(press.compress(candidate.encode())) - len(press.compress(b""))) / len(candidate)
 
 
-def novel_spans(text: str, low: bytes, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    if not any(x in low for x in _SENSITIVE_BYTES):
-        return []
-    out, done = [], -1
+def _candidates(text: str) -> list[tuple[int, int]]:
+    """Runs of MINIMUM and more characters after sensitive words, values without their names; they do not overlap."""
+    values, names = {}, set()  # end -> start of values, the innermost word's
+    start, end = 0, 0
     for word in _WORD.finditer(text):
+        if word.start() >= end:
+            start = word.start()
+            while start and text[start - 1] in _IN_RUN:
+                start -= 1
+            end = _RUN.match(text, start).end()
         stop = word.end() + CONTEXT
-        for m in _CANDIDATE.finditer(text, word.end()):
-            a, b = m.span()
+        if (m := _EQUALS.search(text, word.end(), end)) and m.end() < stop and end - m.end() >= MINIMUM:
+            values[end] = max(m.end(), values.get(end, 0))
+        for run in _RUN.finditer(text, end):
+            a, b = run.span()
             if a >= stop or "\n" in text[word.end() : a]:
                 break
-            if a <= done:
+            if b - a < MINIMUM:
                 continue
-            done = a
-            inner = m[0]
-            if any(s < b and a < e for s, _, e in base) or not (any(c.isdigit() for c in inner) and any(c.isalpha() for c in inner)):
-                continue
-            if novelty(inner, text[max(0, a - AROUND) : a], text[b : b + AROUND]) >= NOVELTY:
-                out.append((a, 3, b))
+            if (m := _EQUALS.search(text, a, b)) and b - m.end() >= MINIMUM:
+                if m.start() - a >= MINIMUM:
+                    names.add((a, m.start()))
+                a = m.end()
+            values[b] = max(a, values.get(b, 0))
+    return sorted({(a, b) for b, a in values.items()} | names)
+
+
+def novel_spans(text: str, low: bytes, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    if not any(x in low for x in _SENSITIVE_BYTES):
+        return []
+    out = []
+    for a, b in _candidates(text):
+        inner = text[a:b]
+        if any(s < b and a < e for s, _, e in base) or not (any(c.isdigit() for c in inner) and any(c.isalpha() for c in inner)):
+            continue
+        if novelty(inner, text[max(0, a - AROUND) : a], text[b : b + AROUND]) >= NOVELTY:
+            out.append((a, 3, b))
     return out
 
 
