@@ -6,8 +6,8 @@ Novelty spans: a candidate is a run of MINIMUM or more letters, digits and +/_=-
 digits, and follows a sensitive word within CONTEXT characters on its line; of NAME=VALUE the value is one (and the name, if it is long
 and follows another sensitive word). It is compressed by a zstandard compressor whose raw
 dictionary is a list of common identifiers followed by the code around it (AROUND characters on each side, without the
-candidate). Its marginal bytes over those of an empty input, divided by its length, are its novelty; candidates of NOVELTY
-and more say something that neither the identifiers nor their surroundings do and are reported as kind ``novel``.
+candidate and its other copies, of which only words between separators stay). Its marginal bytes over those of an empty input, divided by
+those of a random string of its length and alphabet, are its novelty; candidates of NOVELTY and more say something that neither the identifiers nor their surroundings do and are reported as kind ``novel``.
 
 Positions are code points, ends exclusive. Defined results: a null text is empty; null and repeated ids pass through; equal texts have
 equal spans; an empty table gives no rows; other columns are ignored.
@@ -16,7 +16,10 @@ equal spans; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import string
+from functools import lru_cache
 
 import pyarrow as pa
 import zstandard
@@ -65,11 +68,41 @@ def base_spans(text: str, raw: bytes, low: bytes) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def novelty(candidate: str, before: str, after: str) -> float:
-    """Marginal compressed bytes per character of a candidate between its surroundings."""
-    primed = zstandard.ZstdCompressionDict(IDENTIFIERS + b"\n" + after.encode() + b"\n" + before.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+_ALPHABETS = (string.digits, "abcdef", "ABCDEF", string.ascii_lowercase, string.ascii_uppercase)
+_NAME_PART = re.compile(r"(?<![^_/-])[A-Za-z]{4,}(?![^_/-])")
+LONG = 1024  # the expectation a character of longer strings is that of this length
+
+
+def _marginal(candidate: str, surroundings: bytes) -> int:
+    primed = zstandard.ZstdCompressionDict(IDENTIFIERS + b"\n" + surroundings, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     press = zstandard.ZstdCompressor(level=3, dict_data=primed, write_content_size=False, write_dict_id=False)
-    return (len(press.compress(candidate.encode())) - len(press.compress(b""))) / len(candidate)
+    return len(press.compress(candidate.encode())) - len(press.compress(b""))
+
+
+@lru_cache(maxsize=1 << 14)
+def _random_rate(length: int, alphabet: str) -> float:
+    """Marginal bytes per character of a random string; 1 where zstandard stores it plainly."""
+    r = random.Random(f"{length} {alphabet}")
+    return min(1.0, _marginal("".join(r.choice(alphabet) for _ in range(length)), b"") / length)
+
+
+def _alphabet(candidate: str) -> str:
+    """The smallest usual alphabet: digits, hexadecimal or all letters of each case, and the signs that occur."""
+    used = set(candidate)
+    out = [x for x, wide in zip(_ALPHABETS[:3], ("", *_ALPHABETS[3:]), strict=True) if used & set(x) and not used & (set(wide) - set(x))]
+    out += [x for x in _ALPHABETS[3:] if used & (set(x) - set("abcdefABCDEF"))]
+    return "".join(out) + "".join(sorted(used - set("".join(out))))
+
+
+def novelty(candidate: str, before: str, after: str) -> float:
+    """Marginal compressed bytes of a candidate between its surroundings, as a share of a random string's."""
+    words = ["\n"] * len(candidate)  # what stays of equal copies: names are explained by their parts, random strings are not
+    for m in _NAME_PART.finditer(candidate):
+        words[m.start() : m.end()] = m[0]
+    words = "".join(words)
+    before, after = (x.replace(candidate, words) for x in (before, after))
+    expected = len(candidate) * _random_rate(min(len(candidate), LONG), _alphabet(candidate))
+    return _marginal(candidate, after[:AROUND].encode() + b"\n" + before[-AROUND:].encode()) / expected
 
 
 def _candidates(text: str) -> list[tuple[int, int]]:
@@ -107,7 +140,7 @@ def novel_spans(text: str, low: bytes, base: list[tuple[int, int, int]]) -> list
         inner = text[a:b]
         if any(s < b and a < e for s, _, e in base) or not (any(c.isdigit() for c in inner) and any(c.isalpha() for c in inner)):
             continue
-        if novelty(inner, text[max(0, a - AROUND) : a], text[b : b + AROUND]) >= NOVELTY:
+        if novelty(inner, text[max(0, a - AROUND - (b - a) + 1) : a], text[b : b + AROUND + (b - a) - 1]) >= NOVELTY:
             out.append((a, 3, b))
     return out
 
