@@ -86,7 +86,8 @@ def _profile(k: int):
                     for i, m in enumerate(_MULTIPLIERS):
                         sig[some, i] = (np.minimum.reduceat(values * m, at) >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (b - a + 1) * COORDINATES, COORDINATES, dtype=np.int32)), pa.array(sig.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(n.astype(np.int64)), pa.array(_digests(values, begins)), lists], names=["doc_id", "n", "node", "sig"])
+                kept = [c for c in batch.schema.names if c != "text"]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in kept), pa.array(n.astype(np.int64)), pa.array(_digests(values, begins)), lists], names=[*kept, "n", "node", "sig"])
 
     return run
 
@@ -260,26 +261,40 @@ def node_components(docs: DataFrame, profile: DataFrame, shingle: int, percent:
     return stars
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (the smallest id of its component), kept."""
-    bound_batches(docs.sparkSession)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    profile = materialize(rows.mapInArrow(_profile(shingle), f"doc_id {kind}, n long, node long, sig array<int>"), "minhash-profile")
+def _labelled_profile(rows: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The written profile of rows (doc_id, text, others), and per node its component (node, comp, component_id)."""
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
+    profile = materialize(rows.mapInArrow(_profile(shingle), f"{kept}, n long, node long, sig array<int>"), "minhash-profile")
     stars = node_components(rows, profile, shingle, percent)
     nodes = profile.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("id"))
     named = nodes.join(stars.select(F.col("a").alias("node"), F.col("b").alias("m")), "node", "left").select("node", "id", F.coalesce("m", "node").alias("comp"))
     smallest = named.groupBy("comp").agg(F.min("id").alias("component_id"))
-    label = named.join(smallest, "comp").select("node", "component_id")
-    some = profile.filter("n > 0").select("doc_id", "n", "node").join(label, "node").select("doc_id", "n", "component_id")
+    return profile, named.join(smallest, "comp").select("node", "comp", "component_id")
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (the smallest id of its component), kept."""
+    bound_batches(docs.sparkSession)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    profile, label = _labelled_profile(rows, shingle, percent)
+    some = profile.filter("n > 0").select("doc_id", "n", "node").join(label.drop("comp"), "node").select("doc_id", "n", "component_id")
     none = profile.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     return some.unionByName(none).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def drop_near(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The documents of which one stays per component, all columns; of rows that repeat its id, one."""
-    ids = near_duplicates(docs, shingle=shingle, percent=percent).filter("kept").select(F.col("doc_id").alias("__id")).distinct()
-    rows = docs.select(F.col("doc_id").alias("__doc"), F.struct(*docs.columns).alias("__row"))
-    kept = rows.join(ids, F.col("__doc").eqNullSafe(F.col("__id")), "left_semi")
-    one = kept.groupBy("__doc").agg(F.min_by("__row", F.xxhash64("__row")).alias("__row"))
+    """One row per component, all columns: that of the smallest id (null ids last), then of the smallest digest and row hash.
+
+    Rows are told apart by id and content, so rows without an id, or with one id and several texts, stay if their components differ.
+    Texts without words are in no component; of those that repeat an id and a content, one stays."""
+    bound_batches(docs.sparkSession)
+    key = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
+    profile, label = _labelled_profile(docs.select("doc_id", "text", key.alias("key")), shingle, percent)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    some = profile.filter("n > 0").select("doc_id", "key", "node").join(label.select("node", "comp"), "node")
+    some = some.groupBy("comp").agg(F.min(order).alias("first")).select("first.doc_id", "first.key")
+    won = some.unionByName(profile.filter("n = 0").select("doc_id", "key")).select(F.col("doc_id").alias("__id"), F.col("key").alias("__won"))
+    rows = docs.select(F.col("doc_id").alias("__doc"), key.alias("__key"), F.struct(*docs.columns).alias("__row"))
+    kept = rows.join(won, (rows["__key"] == won["__won"]) & rows["__doc"].eqNullSafe(won["__id"]), "left_semi")
+    one = kept.groupBy("__doc", "__key").agg(F.min_by("__row", F.xxhash64("__row")).alias("__row"))
     return one.select(*[F.col("__row")[c].alias(c) for c in docs.columns])
