@@ -10,7 +10,8 @@ what a page does not show; the renderer writes all other text with its layout:
 
 Hidden: head, script, style, template, noscript (a page is taken to run scripts), object fallbacks, hidden inputs, closed details but
 their summary, the hidden attribute, and display:none or visibility:hidden by style attribute or by a style sheet rule for
-a tag, class or id.
+a tag, class or id, at top level or for all screens (print and size-dependent rules hide nothing). Of several rules the cascade's
+last one counts: important, then style attribute, id, class, tag, then the later one.
 
 Defined results: null and empty pages give an empty text; broken markup never fails: stray ends are skipped, an unclosed tag ends with the page, a "<"
 that opens nothing is text; nesting is walked without recursion; null and repeated page ids, and other columns, pass through.
@@ -30,8 +31,9 @@ from lattica.plans.shared import bound_batches
 
 _TOKEN = re.compile(r"<!--(?:>|->|.*?(?:-->|--!>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>|<[!?/][^>]*(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-_HIDES = re.compile(r"(?:^|;|\s)(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+_CSS = re.compile(r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|[{};]", re.S)
+_DECLARED = re.compile(r"(?:^|[;\s])(display|visibility)\s*:\s*([\w-]+)([^;]*)", re.I)
+_ON_SCREEN = re.compile(r"(?:(?:only\s+)?(?:screen|all)|not\s+(?!(?:screen|all)\Z)[\w-]+)?")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 # Fixed values of the HTML standard.
@@ -77,25 +79,90 @@ class Node:
         return None
 
 
+def on_screen(media: str) -> bool:
+    """Whether a media query list holds for screens of every size."""
+    return any(_ON_SCREEN.fullmatch(q.strip().lower()) for q in media.split(","))
+
+
+def _group_applies(head: str) -> bool:
+    name, rest = re.match(r"@([\w-]*)\s*(.*)", head, re.S).groups()
+    if name.lower() == "media":
+        return on_screen(rest)
+    return name.lower() == "layer" or name.lower() == "supports" and not rest.lower().startswith("not")
+
+
+def css_rules(css: str):
+    """(selectors, body) of the rules that apply on screens; blocks nest, rules inside of rules are left out."""
+    css = re.sub(r"/\*.*?(?:\*/|\Z)|<!--|-->", " ", css, flags=re.S)
+    stack: list[list] = []  # [selectors or None for a group, applies, body so far, where it goes on]
+    start = 0
+    for m in _CSS.finditer(css):
+        if m[0] == ";":
+            start = m.end()
+        elif m[0] == "{":
+            head, applies = css[start : m.start()].strip(), stack[-1][1] if stack else True
+            if stack and stack[-1][0] is not None:
+                stack[-1][2] += css[stack[-1][3] : start]
+                stack.append([None, False, "", 0])
+            elif head.startswith("@"):
+                stack.append([None, applies and _group_applies(head), "", 0])
+            else:
+                stack.append([head, applies, "", m.end()])
+            start = m.end()
+        elif m[0] == "}":
+            start = m.end()
+            if stack:
+                selectors, applies, body, at = stack.pop()
+                if selectors is not None and applies:
+                    yield selectors, body + css[at : m.start()]
+                if stack and stack[-1][0] is not None:
+                    stack[-1][3] = start
+    if stack and stack[-1][0] is not None and stack[-1][1]:  # the end of the sheet closes all
+        yield stack[-1][0], stack[-1][2] + css[stack[-1][3] :]
+
+
+def _declared(body: str) -> dict[str, tuple[bool, bool]]:
+    """(important, hides) of display and visibility."""
+    out: dict[str, tuple[bool, bool]] = {}
+    for m in _DECLARED.finditer(body):
+        name, important = m[1].lower(), "!important" in m[3].lower().replace(" ", "")
+        if important or not out.get(name, (False,))[0]:
+            out[name] = important, m[2].lower() in (("none",) if name == "display" else ("hidden", "collapse"))
+    return out
+
+
 class Sheet:
-    """Tags, classes and ids that style sheets hide."""
+    """What style sheets say of display and visibility of tags, classes and ids."""
 
     def __init__(self):
-        self.tags, self.classes, self.ids = set(), set(), set()
+        self.rules: dict[tuple[str, str], dict[str, tuple[bool, int, bool]]] = {}  # important, order, hides
+        self.order = 0
 
     def add(self, css: str) -> None:
-        for selectors, body in _RULE.findall(re.sub(r"/\*.*?\*/", "", css, flags=re.S)):
-            if _HIDES.search(body):
+        for selectors, body in css_rules(css):
+            if found := _declared(body):
+                self.order += 1
                 for s in map(str.strip, selectors.split(",")):
                     if m := re.fullmatch(r"([.#]?)([\w-]+)", s):
-                        {"": self.tags, ".": self.classes, "#": self.ids}[m[1]].add(m[2] if m[1] else m[2].lower())
+                        said = self.rules.setdefault((m[1], m[2] if m[1] else m[2].lower()), {})
+                        for name, (important, hides) in found.items():
+                            if important or not said.get(name, (False,))[0]:
+                                said[name] = important, self.order, hides
 
     def hides(self, node: Node) -> bool:
-        if node.tag in self.tags:
-            return True
-        if not (self.classes or self.ids):
+        style = _declared(node.attribute("style") or "") if "style" in node.attrs.lower() else {}
+        if not self.rules and not style:
             return False
-        return bool(self.ids and node.attribute("id") in self.ids or self.classes and not self.classes.isdisjoint((node.attribute("class") or "").split()))
+        keys = [("", node.tag)]
+        if self.rules and node.attrs:
+            keys += [(".", c) for c in (node.attribute("class") or "").split()] + [("#", node.attribute("id") or "")]
+        said = [(" .#".index(k[0] or " "), self.rules[k]) for k in keys if k in self.rules]
+        for name in ("display", "visibility"):
+            ranked = [(important, rank, order, hides) for rank, found in said for n, (important, order, hides) in found.items() if n == name]
+            ranked += [(important, 3, 0, hides) for n, (important, hides) in style.items() if n == name]
+            if ranked and max(ranked)[3]:
+                return True
+        return False
 
 
 def parse(page: str) -> tuple[Node, Sheet]:
@@ -204,7 +271,7 @@ def parse(page: str) -> tuple[Node, Sheet]:
             inner = page[at : close.start()]
             at = close.end()
             node.children.append(unescape(inner) if tag in RCDATA else inner)
-            if tag == "style":
+            if tag == "style" and on_screen(node.attribute("media") or ""):
                 sheet.add(inner)
             continue
         stack.append(node)
@@ -217,9 +284,7 @@ def _invisible(node: Node, sheet: Sheet) -> bool:
     if not node.attrs:
         return False
     low = node.attrs.lower()
-    if "hidden" in low and (node.attribute("hidden") is not None or node.tag == "input" and (node.attribute("type") or "").lower() == "hidden"):
-        return True
-    return "style" in low and bool(_HIDES.search(node.attribute("style") or ""))
+    return "hidden" in low and (node.attribute("hidden") is not None or node.tag == "input" and (node.attribute("type") or "").lower() == "hidden")
 
 
 class _Lines:
