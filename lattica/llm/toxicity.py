@@ -9,7 +9,8 @@ lowest hashes of their ids):
    among others; a token of a toxic document that has such a feature is labelled 1, all others 0;
 2. the field is fitted to windows of labelled tokens around such tokens, in both kinds of documents, and to evenly spread windows
    of clean text, by L2-penalised likelihood with forward-backward gradients;
-3. a logistic layer maps each document's marginals (largest log-odds, expected number of toxic tokens) to its score.
+3. a logistic layer maps each document's marginals (largest log-odds, expected number of toxic tokens) to its score; its rows
+   count by the inverse of their kind's sampling rate, so that scores follow the labels' true share at every size.
 
 Scoring covers whole texts. Tokens without features all have the same factors, so a run of n of them is the n-th power of
 one 2x2 matrix, in closed form; forward-backward runs over the others and is exact. Marginals of 0.5 and more make
@@ -297,9 +298,10 @@ def _pairs(h: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.stack([h[new], c[new]])
 
 
-def fit(texts: pa.Array, toxic: np.ndarray, chain_l2: float = 1.0) -> Model:
-    """A model of labelled texts."""
-    nothing = Model(np.zeros(0, np.uint64), np.zeros(0), np.zeros(4), np.zeros(3), float(toxic.mean()) if len(toxic) else 0.0)
+def fit(texts: pa.Array, toxic: np.ndarray, chain_l2: float = 1.0, counts_for: tuple[float, float] = (1.0, 1.0)) -> Model:
+    """A model of labelled texts; a sampled row that is not toxic, or is, stands for so many labelled rows."""
+    share = np.where(toxic, counts_for[1], counts_for[0])
+    nothing = Model(np.zeros(0, np.uint64), np.zeros(0), np.zeros(4), np.zeros(3), float(np.average(toxic, weights=share)) if len(toxic) else 0.0)
     if not len(toxic) or toxic.all() or not toxic.any():
         return nothing
     features = _select(texts, toxic)
@@ -342,19 +344,19 @@ def fit(texts: pa.Array, toxic: np.ndarray, chain_l2: float = 1.0) -> Model:
     weight = np.bincount(np.cumsum(new) - 1, model.weights[k]) if len(k) else np.zeros(0)
     x = _figures(doc[new], marginals(model.chain, doc[new], token[new], weight, counts), counts)
     y = toxic.astype(float)
-    model.layer = _logistic(x, y)
+    model.layer = _logistic(x, y, share)
     if (model.layer[1:] < 0).any():  # the figures go together; more of either must not lower a score
-        model.layer = np.append(_logistic(x[:, :1], y), 0.0)
+        model.layer = np.append(_logistic(x[:, :1], y, share), 0.0)
     return model
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.01) -> np.ndarray:
-    """Newton's method for an L2-penalised logistic layer."""
+def _logistic(x: np.ndarray, y: np.ndarray, share: np.ndarray, l2: float = 0.01) -> np.ndarray:
+    """Newton's method for an L2-penalised logistic layer of weighted rows."""
     x = np.concatenate([np.ones((len(x), 1)), x], 1)
     w = np.zeros(x.shape[1])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + l2 * np.eye(len(w)), x.T @ (p - y) + l2 * w)
+        step = np.linalg.solve((x * (share * p * (1 - p))[:, None]).T @ x + l2 * np.eye(len(w)), x.T @ (share * (p - y)) + l2 * w)
         w -= step
         if np.abs(step).max() < 1e-8:
             break
@@ -388,6 +390,8 @@ def train(docs: DataFrame, labels: DataFrame, fold: int = 5, toxic_rows: int = T
     """Fit on a bounded sample of labelled rows outside of fold 0."""
     usable = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), fold) != 0)).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    n = {r["toxic"]: r["count"] for r in usable.groupBy("toxic").count().collect()}  # two rows at most
+    counts_for = max(1.0, n.get(0, 0) / max(1, clean_rows)), max(1.0, n.get(1, 0) / max(1, toxic_rows))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     sample = usable.filter("toxic = 1").orderBy(*order).limit(toxic_rows).unionByName(usable.filter("toxic = 0").orderBy(*order).limit(clean_rows))
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most toxic_rows + clean_rows ids
@@ -395,7 +399,7 @@ def train(docs: DataFrame, labels: DataFrame, fold: int = 5, toxic_rows: int = T
     def fitted(batches):
         table = pa.Table.from_batches(batches, schema)
         table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(table.column("text").combine_chunks(), table.column("toxic").to_numpy().astype(bool)))], pa.binary())], names=["model"])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(table.column("text").combine_chunks(), table.column("toxic").to_numpy().astype(bool), counts_for=counts_for))], pa.binary())], names=["model"])
 
     kind = {"string": pa.string(), "int": pa.int32()}.get(docs.schema["doc_id"].dataType.simpleString(), pa.int64())
     schema = pa.schema([("doc_id", kind), ("toxic", pa.int32()), ("text", pa.string())])
