@@ -8,14 +8,20 @@
    fall out unless they make up most of a text.
 3. links, in linear rounds: each node is compared with one centre among its lists (another random order each round) and
    linked when the full sets confirm it. Lists whose nodes are all in one component can add nothing and are skipped.
-4. the rest: in lists that still join several components, nodes of different components are compared, in blocks of
-   BLOCK x BLOCK signatures: coordinates that agree are counted, and pairs of MATCHES and more are held against SKETCH further
-   coordinates (a byte each). First each node's best partner is confirmed (BEST rounds, linear in the lists), which
-   joins most of what belongs together; then all other pairs of different components that pass both thresholds, each in the first list
-   that both nodes are in. No pair is skipped but those already connected, so the components are those of all pairs.
+4. merging: the posting lists that still join several components are merged with counters. Inside a list the rarest values come first
+   again, by their count in that list, so that what all its members share takes no part: collisions in these shorter prefixes name
+   the candidates, whose other coordinates are then counted, and pairs of MATCHES and more are held against SKETCH further
+   coordinates (a byte each). First each node's best partner is confirmed (BEST passes), which joins most of what belongs
+   together; then all other pairs of different components that pass both thresholds. No pair is skipped but those
+   already connected, so the components are those of all pairs.
+
+Lists of more than PIECE nodes are never one task's work: their nodes are posted again, in tables, under (list, value) for the rarest
+values inside the list, first of the signature and, where that leaves long lists, of SKETCH whole minima. Members of a common
+passage fall out here, in linear work. What is longer still (more than PIECE nodes that agree pairwise about as much as similar texts do and
+yet are not connected) is compared in pieces of BLOCK against BLOCK nodes.
 
 A pair of similarity 0.8 agrees in fewer than 36 of 64 coordinates about 4 times in a million (binomial tail); more similar ones
-more rarely; it agrees in fewer than SKETCH_MATCHES of SKETCH bytes about 3 times in 10 millions. A confirmed link is exact up to collisions of 64-bit hashes.
+more rarely; it agrees in fewer than SKETCH_MATCHES of SKETCH about 3 times in 10 millions. A confirmed link is exact up to collisions of 64-bit hashes.
 
 Defined results: null, empty and wordless texts have an empty set and are linked with nothing; texts of fewer words
 than a shingle are one shingle; null ids take part, are never the smallest and are kept only if no other id is in their
@@ -25,21 +31,22 @@ component; repeated rows are rows of their own in one component; an empty table
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.plans.shared import bound_batches, materialize
+from lattica.plans.shared import bound_batches, materialize, scratch
 
 from .components import connected
 from .textblocks import as_bytes, blocks, mix, word_hashes, word_spans
 
 COORDINATES, MATCHES = 64, 36
 SHINGLE, PERCENT = 5, 80
-ROUNDS, BEST = 2, 2
+ROUNDS, BEST = 2, 1
 SKETCH, SKETCH_MATCHES = 512, 364  # five standard deviations below a similarity of 0.8
-BLOCK = 1024
+PIECE, BLOCK = 256, 512
+CHUNK = 4096  # rows merged at a time
+PAIRS = 1 << 20  # candidates at a time
 _MULTIPLIERS = np.random.default_rng(7).integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SKETCH = np.random.default_rng(13).integers(1, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ROLL = np.random.default_rng(11).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
@@ -106,19 +113,34 @@ def _sets(k: int):
     return run
 
 
+def _minima(column: pa.Array, shift: int, dtype) -> np.ndarray:
+    """(rows, SKETCH): the high bits of each set's minima under further hash functions."""
+    offsets, raw = column.buffers()[1], column.buffers()[2]
+    offsets = np.frombuffer(offsets, np.int32)[column.offset :][: len(column) + 1]
+    values = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]].copy().view(np.uint64)
+    at = (offsets[:-1] - offsets[0]) // 8
+    out = np.zeros((len(column), SKETCH), dtype)
+    for lo in range(0, len(column), 64):  # 64 sets at a time stay in the cache
+        hi = min(lo + 64, len(column))
+        part = values[at[lo] : at[hi] if hi < len(column) else len(values)]
+        for i, m in enumerate(_SKETCH):
+            out[lo:hi, i] = np.minimum.reduceat(part * m, at[lo:hi] - at[lo]) >> np.uint64(shift)
+    return out
+
+
 def _sketches(batches):
     for batch in batches:
-        offsets, raw = batch.column("set").buffers()[1], batch.column("set").buffers()[2]
-        offsets = np.frombuffer(offsets, np.int32)[batch.column("set").offset :][: batch.num_rows + 1]
-        values = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]].copy().view(np.uint64)
-        at = (offsets[:-1] - offsets[0]) // 8
-        out = np.zeros((batch.num_rows, SKETCH), np.uint8)
-        for lo in range(0, batch.num_rows, 64):  # 64 sets at a time stay in the cache
-            hi = min(lo + 64, batch.num_rows)
-            part = values[at[lo] : at[hi] if hi < batch.num_rows else len(values)]
-            for i, m in enumerate(_SKETCH):
-                out[lo:hi, i] = np.minimum.reduceat(part * m, at[lo:hi] - at[lo]) >> np.uint64(40) & np.uint64(255)
-        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([x.tobytes() for x in out], pa.binary())], names=["node", "sketch"])
+        low = _minima(batch.column("set"), 40, np.uint32).astype(np.uint8) if batch.num_rows else np.zeros((0, SKETCH), np.uint8)
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([x.tobytes() for x in low], pa.binary())], names=["node", "sketch"])
+
+
+def _wide_tokens(batches):
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 256):
+            part = batch.slice(lo, 256)
+            tokens = mix(_minima(part.column("set"), 0, np.uint64) + np.arange(SKETCH, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            offsets = pa.array(np.arange(0, (part.num_rows + 1) * SKETCH, SKETCH, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([part.column("node"), pa.ListArray.from_arrays(offsets, pa.array(tokens.reshape(-1).view(np.int64)))], names=["node", "tokens"])
 
 
 def _confirm(percent: int):
@@ -142,122 +164,202 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long")
 
 
+def _prefixes(posted: DataFrame, keys: list[str], total: int, matches: int) -> DataFrame:
+    """posted (keys, node, token): the rows of each node's prefix among its total tokens, without tokens that one node alone has."""
+    shared = posted.groupBy(*keys, "token").agg(F.count("*").alias("df")).filter("df > 1")
+    mine = posted.join(shared, [*keys, "token"]).groupBy(*keys, "node").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))  # at most total each
+    room = F.lit(1 - matches) + F.size("t")  # places left after the tokens that are this node's own: the prefix has total - matches + 1
+    return mine.filter(room > 0).select(*keys, "node", F.explode(F.slice("t", F.lit(1), room)).alias("p")).select(*keys, "node", "p.token")
+
+
 def postings(nodes: DataFrame, matches: int = MATCHES) -> DataFrame:
-    """(token, node, n) of the prefix of each node, without tokens that one node alone has."""
-    tokens = nodes.select("node", F.posexplode("sig").alias("i", "v")).select("node", F.xxhash64("i", "v").alias("token"))
-    shared = tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
-    mine = tokens.join(shared, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))  # at most COORDINATES each
-    prefix = COORDINATES - matches + 1
-    room = F.lit(prefix - COORDINATES) + F.size("t")  # places left after the tokens that are this node's own
-    return mine.filter(room > 0).select("node", F.explode(F.slice("t", F.lit(1), room)).alias("p")).select("node", "p.token")
-
-
-def _pairs_in_block(percent: int, matches: int, best: bool):
-    """Pairs of one block that pass both thresholds and have no earlier list in common: each node's best one, or all."""
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        side, node, n, comp = (table.column(c).to_numpy() for c in ("side", "node", "n", "comp"))
-        token = table.column("token")[0].as_py()
-        sig = table.column("sig").combine_chunks().flatten().to_numpy().reshape(len(node), COORDINATES)
-        sketch = np.stack([np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("sketch")])
-        lists = table.column("lists")
-        names, counts = np.unique(comp, return_counts=True)
-        outside = comp != names[counts.argmax()]  # of two nodes in different components, one is outside the largest
-        found: list[np.ndarray] = []
-
-        low = np.ascontiguousarray((sig & 255).astype(np.uint8).T)  # bytes first: they agree at least as often as the values
-
-        def compare(left: np.ndarray, right: np.ndarray) -> None:
-            columns, small = low[:, right], n[right]
-            equal = np.empty((64, len(right)), bool)
-            for lo in range(0, len(left), 64):
-                i = left[lo : lo + 64]
-                same, eq = np.zeros((len(i), len(right)), np.uint8), equal[: len(i)]
-                for c in range(COORDINATES):
-                    np.equal(low[c, i][:, None], columns[c][None], out=eq)
-                    same += eq.view(np.uint8)
-                p, q = np.nonzero(same >= matches)
-                x, y = i[p], right[q]
-                ok = (comp[x] != comp[y]) & (100 * np.minimum(n[x], small[q]) >= percent * np.maximum(n[x], small[q]))
+    """(token, node) of the prefix of each node, without tokens that one node alone has."""
+    return _prefixes(nodes.select("node", F.posexplode("sig").alias("i", "v")).select("node", F.xxhash64("i", "v").alias("token")), [], COORDINATES, matches)
+
+
+def _whole_lists(batches):
+    """Tables of about CHUNK rows out of a stream sorted by token, lists uncut."""
+    held = []
+    for batch in batches:
+        held.append(batch)
+        if sum(x.num_rows for x in held) >= CHUNK:
+            table = pa.Table.from_batches(held)
+            token = table.column("token").to_numpy()
+            cut = int(np.searchsorted(token, token[-1], "left"))  # the last list may go on
+            if cut:
+                yield table.slice(0, cut)
+            held = table.slice(cut).combine_chunks().to_batches()
+    if sum(x.num_rows for x in held):
+        yield pa.Table.from_batches(held)
+
+
+def _pairs_of(start: np.ndarray, follow: np.ndarray):
+    """Index pairs (start, start + 1 to start + follow), at most about PAIRS at a time."""
+    upto = np.cumsum(follow)
+    lo = 0
+    while lo < len(start):
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + PAIRS, "right")))
+        n = follow[lo:hi]
+        x = np.repeat(start[lo:hi], n)
+        yield x, x + 1 + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        lo = hi
+
+
+def _candidates(g: np.ndarray, sig: np.ndarray, comp: np.ndarray, matches: int):
+    """Pairs of rows of one list (g, rising) that collide in their prefixes and are in different components; repeats are possible."""
+    n = len(g)
+    token = ((g.astype(np.uint64)[:, None] * np.uint64(COORDINATES) + np.arange(COORDINATES, dtype=np.uint64)) << np.uint64(32)) | sig.view(np.uint32).astype(np.uint64)
+    token = token.reshape(-1)
+    order = np.argsort(token, kind="stable")
+    first = np.flatnonzero(np.r_[True, token[order][1:] != token[order][:-1]])
+    df = np.empty(len(token), np.int64)
+    df[order] = np.repeat(np.diff(np.r_[first, len(token)]), np.diff(np.r_[first, len(token)]))
+    entry = np.flatnonzero(df > 1)
+    row = entry // COORDINATES
+    shared = np.bincount(row, minlength=n)
+    entry = entry[np.lexsort((token[entry], df[entry], row))]
+    row = entry // COORDINATES
+    place = np.arange(len(entry)) - np.repeat(np.cumsum(shared) - shared, shared)
+    entry = entry[place < (shared - matches + 1)[row]]  # the row's prefix, after the tokens that are its own
+    row = entry // COORDINATES
+    # of two rows in different components, one is outside of their list's largest
+    by = np.lexsort((comp, g))
+    begin = np.flatnonzero(np.r_[True, (g[by][1:] != g[by][:-1]) | (comp[by][1:] != comp[by][:-1])])
+    size = np.diff(np.r_[begin, n])
+    rank = np.lexsort((-size, g[by][begin]))
+    lead = begin[rank[np.r_[True, g[by][begin][rank][1:] != g[by][begin][rank][:-1]]]] if n else begin
+    largest = np.zeros(int(g[-1]) + 1 if n else 0, comp.dtype)
+    largest[g[by][lead]] = comp[by][lead]
+    inside = comp == largest[g]
+    order = np.lexsort((row, inside[row], token[entry]))  # outsiders lead their runs
+    row, t = row[order], token[entry][order]
+    last = np.r_[np.flatnonzero(t[1:] != t[:-1]), len(t) - 1] if len(t) else np.zeros(0, np.int64)
+    ends = np.repeat(last, np.diff(np.r_[-1, last]))
+    follow = np.where(inside[row], 0, ends - np.arange(len(t)))
+    some = np.flatnonzero(follow)
+    for a, b in _pairs_of(some, follow[some]):
+        a, b = row[a], row[b]
+        ok = comp[a] != comp[b]
+        a, b = a[ok], b[ok]
+        pair = np.unique(np.minimum(a, b) * n + np.maximum(a, b))
+        yield pair // max(n, 1), pair % max(n, 1)
+
+
+def _merge(percent: int, matches: int, best: bool):
+    """Pairs of whole lists that pass both thresholds: each node's most similar one of a list, or all."""
+
+    def run(batches):
+        for table in _whole_lists(batches):
+            table = table.combine_chunks()
+            token, side, node, n, comp = (table.column(c).to_numpy() for c in ("token", "side", "node", "n", "comp"))
+            g = np.cumsum(np.r_[True, token[1:] != token[:-1]]) - 1
+            sig = np.ascontiguousarray(table.column("sig").combine_chunks().flatten().to_numpy().reshape(len(node), COORDINATES))
+            sketch = np.stack([np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("sketch")])
+            found = [np.zeros((3, 0), np.int64)]
+            for x, y in _candidates(g, sig, comp, matches):
+                ok = ((side[x] & 1 & side[y] >> 1) | (side[y] & 1 & side[x] >> 1)) > 0
+                ok &= 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
                 x, y = x[ok], y[ok]
-                for a in range(0, len(x), 4096):
-                    u, v = x[a : a + 4096], y[a : a + 4096]
+                for lo in range(0, len(x), 4096):
+                    u, v = x[lo : lo + 4096], y[lo : lo + 4096]
                     ok = (sig[u] == sig[v]).sum(1) >= matches
                     u, v = u[ok], v[ok]
                     like = (sketch[u] == sketch[v]).sum(1)
                     ok = like >= SKETCH_MATCHES
                     found.append(np.stack([u[ok], v[ok], like[ok]]))
-
-        left, right = np.flatnonzero(side & 1), np.flatnonzero(side & 2)
-        compare(left[outside[left]], right)
-        if (side != 3).any():
-            compare(left[~outside[left]], right[outside[right]])
-        x, y, like = np.concatenate(found, 1) if found else np.zeros((3, 0), np.int64)
-        if best:  # each node's most similar one
-            both = np.concatenate([np.stack([x, y, like]), np.stack([y, x, like])], 1)
-            both = both[:, np.lexsort((node[both[1]], -both[2], both[0]))]
-            first = np.r_[True, both[0, 1:] != both[0, :-1]] if both.shape[1] else np.zeros(0, bool)
-            x, y = both[0, first], both[1, first]
-        own = {int(k): set(lists[int(k)].as_py()) for k in np.unique(np.r_[x, y])}
-        first = np.array([min(own[a] & own[b]) == token for a, b in zip(x.tolist(), y.tolist(), strict=True)], bool)
-        x, y = x[first], y[first]  # a pair is named by the first list that both are in
-        a, b = np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
-        a, b = np.unique(np.stack([a, b]), axis=1) if len(a) else (a, b)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            x, y, like = np.concatenate(found, 1)
+            if best and len(x):
+                both = np.concatenate([np.stack([x, y, like]), np.stack([y, x, like])], 1)
+                both = both[:, np.lexsort((node[both[1]], -both[2], both[0]))]
+                first = np.r_[True, both[0, 1:] != both[0, :-1]]
+                x, y = both[0, first], both[1, first]
+            a, b = np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
+            if len(a):
+                a, b = np.unique(np.stack([a, b]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
 
+def _mixed(named: DataFrame) -> DataFrame:
+    """Lists (token, node, n, comp) that join several components, with their size."""
+    mixed = named.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("size")).filter("c0 <> c1").drop("c0", "c1")
+    return named.join(mixed, "token")
+
+
 def _labelled(lists: DataFrame, stars: DataFrame) -> DataFrame:
     """lists (token, node, n) with the component of each node, only of tokens that still join several components."""
     s = stars.select(F.col("a").alias("node"), F.col("b").alias("m"))
-    named = lists.join(s, "node", "left").select("token", "node", "n", F.coalesce("m", "node").alias("comp"))
-    mixed = named.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("size")).filter("c0 <> c1").drop("c0", "c1")
-    return named.join(mixed, "token")
+    return _mixed(lists.join(s, "node", "left").select("token", "node", "n", F.coalesce("m", "node").alias("comp")))
+
+
+def _centres(named: DataFrame, r: int, percent: int) -> DataFrame:
+    """Each node with one of the centres of its lists, (a, b); long lists meet their centre in pieces."""
+    pieces = F.ceil(F.col("size") / PIECE).cast("int")
+    centre = named.groupBy("token").agg(F.min_by(F.struct(F.col("node").alias("c"), F.col("comp").alias("cc"), F.col("n").alias("cn")), F.xxhash64("node", F.lit(r))).alias("s"), F.max("size").alias("size"))
+    centre = centre.select("token", "s", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece"))
+    dealt = named.withColumn("piece", F.pmod(F.xxhash64("node"), pieces).cast("int"))
+    pairs = dealt.join(centre, ["token", "piece"]).select("node", "comp", "n", "s.*").filter("comp <> cc").filter(100 * F.least("n", "cn") >= percent * F.greatest("n", "cn"))
+    return pairs.groupBy("node").agg(F.min_by("c", F.xxhash64("c", F.lit(r))).alias("b")).select(F.col("node").alias("a"), "b")
+
+
+def _bounded_lists(named: DataFrame, most: int, profile: DataFrame, sets: DataFrame, matches: int) -> DataFrame:
+    """The lists (token, node, n, comp, side) in which every pair that the thresholds ask for still meets, none longer than PIECE or two blocks."""
+    columns = ["token", "node", "n", "comp"]
+    out = named.filter(F.col("size") <= PIECE).select(*columns, F.lit(3).alias("side"))
+    for level in (1, 2):
+        if most <= PIECE:
+            return out
+        long = named.filter(F.col("size") > PIECE).select(F.col("token").alias("list"), "node", "n", "comp")
+        if level == 1:
+            tokens, total, least = profile.select("node", F.expr("transform(sig, (v, i) -> xxhash64(i, v))").alias("tokens")), COORDINATES, matches
+        else:
+            left = long.select("node").distinct()
+            tokens, total, least = sets.join(left, "node", "left_semi").mapInArrow(_wide_tokens, "node long, tokens array<long>"), SKETCH, SKETCH_MATCHES
+        posted = long.select("list", "node").join(tokens, "node").select("list", "node", F.explode("tokens").alias("token"))
+        fine = _prefixes(posted, ["list"], total, least).join(long, ["list", "node"]).select(F.xxhash64("list", "token").alias("token"), "node", "n", "comp")
+        named = materialize(_mixed(fine), "minhash-fine")
+        most = named.agg(F.max("size")).first()[0] or 0
+        out = out.union(named.filter(F.col("size") <= PIECE).select(*columns, F.lit(3).alias("side")))
+    own = named.filter(F.col("size") > PIECE).withColumn("nb", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("b0", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
+    dealt = own.withColumn("b1", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    side = F.when(F.col("b0") == F.col("b1"), 3).when(F.col("b0") < F.col("b1"), 1).otherwise(2)
+    return out.union(dealt.select(F.xxhash64("token", F.least("b0", "b1"), F.greatest("b0", "b1")).alias("token"), "node", "n", "comp", side.alias("side")))
 
 
 def node_components(docs: DataFrame, profile: DataFrame, shingle: int, percent: int, matches: int = MATCHES) -> DataFrame:
     """(a, b): nodes and the smallest node of their component, where that is another one."""
     spark = docs.sparkSession
-    nodes = profile.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("id"), F.min("n").alias("n"))
-    distinct = profile.filter("n > 0").select("node", "sig").dropDuplicates(["node"])
-    lists = postings(distinct, matches).join(nodes.select("node", "n"), "node")
-    lists = materialize(lists.select("token", "node", "n"), "minhash-lists")
-    posted = lists.select("node").distinct()
-    wanted = nodes.join(posted, "node", "left_semi").select(F.col("id").alias("__id")).distinct()
-    picked = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    sets = picked.select("text").mapInArrow(_sets(shingle), "node long, set binary").join(posted, "node", "left_semi").dropDuplicates(["node"])
-    sets = materialize(sets, "minhash-sets")
-    links = spark.createDataFrame([], "a long, b long")
-    stars = links
-    for r in range(ROUNDS):
-        named = materialize(_labelled(lists, stars), "minhash-mixed")
-        if not named.limit(1).count():
-            return stars
-        rank = F.xxhash64("node", F.lit(r))
-        centre = named.groupBy("token").agg(F.min_by(F.struct(F.col("node").alias("c"), F.col("comp").alias("cc"), F.col("n").alias("cn")), rank).alias("s"))
-        pairs = named.join(centre, "token").select("node", "comp", "n", "s.*").filter("comp <> cc").filter(100 * F.least("n", "cn") >= percent * F.greatest("n", "cn"))
-        pairs = pairs.groupBy("node").agg(F.min_by("c", F.xxhash64("c", F.lit(r))).alias("b")).select(F.col("node").alias("a"), "b")
-        links = materialize(links.union(_confirmed(pairs, sets, percent)).union(stars), "minhash-links").distinct()
-        stars = connected(links)
-    known = None
-    for r in range(BEST + 1):
-        named = materialize(_labelled(lists, stars), "minhash-mixed")
-        if not named.limit(1).count():
-            return stars
-        if known is None:
-            left = named.select("node").distinct()
-            sketches = sets.join(left, "node", "left_semi").mapInArrow(_sketches, "node long, sketch binary")
-            whole = lists.join(left, "node", "left_semi").groupBy("node").agg(F.collect_set("token").alias("lists"))  # at most COORDINATES each
-            known = materialize(sketches.join(whole, "node").join(distinct, "node"), "minhash-known")
-        own = named.withColumn("nb", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("b0", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
-        dealt = own.withColumn("b1", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        side = F.when(F.col("b0") == F.col("b1"), 3).when(F.col("b0") < F.col("b1"), 1).otherwise(2)
-        dealt = dealt.select("token", F.least("b0", "b1").alias("lo"), F.greatest("b0", "b1").alias("hi"), side.alias("side"), "node", "n", "comp").join(known, "node")
-        found = dealt.groupBy("token", "lo", "hi").applyInArrow(_pairs_in_block(percent, matches, r < BEST), "a long, b long").distinct()
-        more = _confirmed(materialize(found, "minhash-pairs"), sets, percent)
-        stars = connected(materialize(more.union(stars), "minhash-links"))
+    with scratch(spark) as keep:
+        nodes = profile.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("id"), F.min("n").alias("n"))
+        distinct = profile.filter("n > 0").select("node", "sig").dropDuplicates(["node"])
+        lists = postings(distinct, matches).join(nodes.select("node", "n"), "node")
+        lists = materialize(lists.select("token", "node", "n"), "minhash-lists")
+        posted = lists.select("node").distinct()
+        wanted = nodes.join(posted, "node", "left_semi").select(F.col("id").alias("__id")).distinct()
+        picked = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+        sets = picked.select("text").mapInArrow(_sets(shingle), "node long, set binary").join(posted, "node", "left_semi").dropDuplicates(["node"])
+        sets = materialize(sets, "minhash-sets")
+        stars = spark.createDataFrame([], "a long, b long")
+        known = None
+        for r in range(ROUNDS + BEST + 1):
+            named = materialize(_labelled(lists, stars), "minhash-mixed")
+            most = named.agg(F.max("size")).first()[0]
+            if most is None:
+                break
+            if r < ROUNDS:
+                more = _confirmed(_centres(named, r, percent), sets, percent)
+            else:
+                if known is None:
+                    left = named.select("node").distinct()
+                    sketches = sets.join(left, "node", "left_semi").mapInArrow(_sketches, "node long, sketch binary")
+                    known = materialize(sketches.join(distinct, "node"), "minhash-known")
+                bounded = _bounded_lists(named, most, known.select("node", "sig"), sets, matches)
+                whole = bounded.join(known, "node").repartition("token").sortWithinPartitions("token")
+                found = whole.mapInArrow(_merge(percent, matches, r < ROUNDS + BEST), "a long, b long").distinct()
+                more = _confirmed(materialize(found, "minhash-pairs"), sets, percent)
+            stars = connected(materialize(more.union(stars), "minhash-links"))
+        keep(stars)
     return stars
 
 

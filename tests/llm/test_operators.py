@@ -540,9 +540,11 @@ def plain_components(rows, k):
     return out
 
 
-@pytest.mark.parametrize("block", [1024, 4])
-def test_near_duplicates_equal_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize("piece,block", [(256, 512), (5, 4)])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, piece, block):
     monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "PIECE", piece)
+    monkeypatch.setattr(minhash, "CHUNK", 16 * piece)
     monkeypatch.setattr(minhash, "ROUNDS", 1)
     monkeypatch.setattr(minhash, "BEST", 1)
     r = random.Random(1)
