@@ -9,6 +9,9 @@ dictionary is a list of common identifiers followed by the code around it (AROUN
 candidate and its other copies, of which only words between separators stay). Its marginal bytes over those of an empty input, divided by
 those of a random string of its length and alphabet, are its novelty; candidates of NOVELTY and more say something that neither the identifiers nor their surroundings do and are reported as kind ``novel``.
 
+CONTEXT and AROUND are parameters of the method: how far a sensitive word reaches, and how much code a string is held against. Every
+candidate of every text is judged; work grows in proportion to a text's length.
+
 Positions are code points, ends exclusive. Defined results: a null text is empty; null and repeated ids pass through; equal texts have
 equal spans; an empty table gives no rows; other columns are ignored.
 """
@@ -19,7 +22,9 @@ import hashlib
 import random
 import re
 import string
+from bisect import bisect_left
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
@@ -94,7 +99,7 @@ def _alphabet(candidate: str) -> str:
     return "".join(out) + "".join(sorted(used - set("".join(out))))
 
 
-def novelty(candidate: str, before: str, after: str) -> float:
+def novelty(candidate: str, before: str, after: str, around: int = AROUND) -> float:
     """Marginal compressed bytes of a candidate between its surroundings, as a share of a random string's."""
     words = ["\n"] * len(candidate)  # what stays of equal copies: names are explained by their parts, random strings are not
     for m in _NAME_PART.finditer(candidate):
@@ -102,11 +107,13 @@ def novelty(candidate: str, before: str, after: str) -> float:
     words = "".join(words)
     before, after = (x.replace(candidate, words) for x in (before, after))
     expected = len(candidate) * _random_rate(min(len(candidate), LONG), _alphabet(candidate))
-    return _marginal(candidate, after[:AROUND].encode() + b"\n" + before[-AROUND:].encode()) / expected
+    return _marginal(candidate, after[:around].encode() + b"\n" + before[max(0, len(before) - around) :].encode()) / expected
+
 
+def _candidates(text: str, context: int = CONTEXT) -> list[tuple[int, int]]:
+    """Runs of MINIMUM and more characters after sensitive words, values without their names; they do not overlap.
 
-def _candidates(text: str) -> list[tuple[int, int]]:
-    """Runs of MINIMUM and more characters after sensitive words, values without their names; they do not overlap."""
+    One pass from left to right; every search ends where a word's context does."""
     values, names = {}, set()  # end -> start of values, the innermost word's
     start, end = 0, 0
     for word in _WORD.finditer(text):
@@ -115,13 +122,15 @@ def _candidates(text: str) -> list[tuple[int, int]]:
             while start and text[start - 1] in _IN_RUN:
                 start -= 1
             end = _RUN.match(text, start).end()
-        stop = word.end() + CONTEXT
-        if (m := _EQUALS.search(text, word.end(), end)) and m.end() < stop and end - m.end() >= MINIMUM:
+        stop = word.end() + context
+        if (m := _EQUALS.search(text, word.end(), min(end, stop))) and m.end() < stop and end - m.end() >= MINIMUM:
             values[end] = max(m.end(), values.get(end, 0))
-        for run in _RUN.finditer(text, end):
-            a, b = run.span()
-            if a >= stop or "\n" in text[word.end() : a]:
+        b = end
+        while b < stop and (first := _RUN.search(text, b, stop)):
+            a = first.start()
+            if text.find("\n", word.end(), a) >= 0:
                 break
+            b = first.end() if first.end() < stop else _RUN.match(text, a).end()
             if b - a < MINIMUM:
                 continue
             if (m := _EQUALS.search(text, a, b)) and b - m.end() >= MINIMUM:
@@ -132,15 +141,19 @@ def _candidates(text: str) -> list[tuple[int, int]]:
     return sorted({(a, b) for b, a in values.items()} | names)
 
 
-def novel_spans(text: str, low: bytes, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+def novel_spans(text: str, low: bytes, base: list[tuple[int, int, int]], context: int = CONTEXT, around: int = AROUND) -> list[tuple[int, int, int]]:
+    """The candidates within context characters of a sensitive word that around characters on each side do not explain; base is sorted."""
     if not any(x in low for x in _SENSITIVE_BYTES):
         return []
     out = []
-    for a, b in _candidates(text):
+    starts = [s for s, _, _ in base]
+    furthest = list(accumulate((e for _, _, e in base), max))
+    for a, b in _candidates(text, context):
         inner = text[a:b]
-        if any(s < b and a < e for s, _, e in base) or not (any(c.isdigit() for c in inner) and any(c.isalpha() for c in inner)):
+        before = bisect_left(starts, b)
+        if before and furthest[before - 1] > a or not (any(c.isdigit() for c in inner) and any(c.isalpha() for c in inner)):
             continue
-        if novelty(inner, text[max(0, a - AROUND - (b - a) + 1) : a], text[b : b + AROUND + (b - a) - 1]) >= NOVELTY:
+        if novelty(inner, text[max(0, a - around - (b - a) + 1) : a], text[b : b + around + (b - a) - 1], around) >= NOVELTY:
             out.append((a, 3, b))
     return out
 
@@ -149,19 +162,19 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+def scan(text: str | None, context: int = CONTEXT, around: int = AROUND) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(base spans, all spans) of a text, in order."""
     text = text or ""
     raw = text.encode()
     low = raw.lower()
     base = base_spans(text, raw, low)
-    return base, sorted(base + novel_spans(text, low, base))
+    return base, sorted(base + novel_spans(text, low, base, context, around))
 
 
 _SCHEMA = pa.schema([("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_novel", pa.int64())])
 
 
-def scan_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def scan_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", context: int = CONTEXT, around: int = AROUND) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_novel of every document."""
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
@@ -170,7 +183,7 @@ def scan_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
         for batch in batches:
             found = []
             for text in batch.column("text"):
-                base, every = scan(text.as_py())
+                base, every = scan(text.as_py(), context, around)
                 counts = [sum(k == i for _, k, _ in every) for i in range(4)]
                 found.append((*counts[:3], hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(every), counts[3]))
             columns = [pa.array([x[i] for x in found], f.type) for i, f in enumerate(_SCHEMA)]
