@@ -11,17 +11,17 @@
 4. merging: the posting lists that still join several components are merged with counters. Inside a list the rarest values come first
    again, by their count in that list, so that what all its members share takes no part: collisions in these shorter prefixes name
    the candidates, whose other coordinates are then counted, and pairs of MATCHES and more are held against SKETCH further
-   coordinates (a byte each). First each node's best partner is confirmed (BEST passes), which joins most of what belongs
+   coordinates (a byte each). First each node's best partner is confirmed, which joins most of what belongs
    together; then all other pairs of different components that pass both thresholds. No pair is skipped but those
    already connected, so the components are those of all pairs.
 
-Lists of more than PIECE nodes are never one task's work: their nodes are posted again, in tables, under (list, value) for the rarest
-values inside the list, first of the signature and, where that leaves long lists, of SKETCH whole minima. Members of a common
-passage fall out here, in linear work. What is longer still (more than PIECE nodes that agree pairwise about as much as similar texts do and
-yet are not connected) is compared in pieces of BLOCK against BLOCK nodes.
+Lists of more than PIECE nodes are never one task's work. Further rounds of step 3 run on them as long as they shrink, which takes the groups of
+near copies out of them. The nodes that are left in long lists are posted once more, in one table, by WIDE further minima, of which similar texts share WIDE_MATCHES:
+texts that have a passage in common but are not similar have prefixes of their own there, so long lists of passages dissolve in linear work. What is
+longer still is compared in pieces of BLOCK nodes outside of a list's largest component against BLOCK nodes of the whole list.
 
 A pair of similarity 0.8 agrees in fewer than 36 of 64 coordinates about 4 times in a million (binomial tail); more similar ones
-more rarely; it agrees in fewer than SKETCH_MATCHES of SKETCH about 3 times in 10 millions. A confirmed link is exact up to collisions of 64-bit hashes.
+more rarely; it agrees in fewer than SKETCH_MATCHES of SKETCH, or WIDE_MATCHES of WIDE, about 3 times in 10 millions each. A confirmed link is exact up to collisions of 64-bit hashes.
 
 Defined results: null, empty and wordless texts have an empty set and are linked with nothing; texts of fewer words
 than a shingle are one shingle; null ids take part, are never the smallest and are kept only if no other id is in their
@@ -30,6 +30,8 @@ component; repeated rows are rows of their own in one component; an empty table
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,9 +44,11 @@ from .textblocks import as_bytes, blocks, mix, word_hashes, word_spans
 
 COORDINATES, MATCHES = 64, 36
 SHINGLE, PERCENT = 5, 80
-ROUNDS, BEST = 2, 1
+ROUNDS = 2
 SKETCH, SKETCH_MATCHES = 512, 364  # five standard deviations below a similarity of 0.8
+WIDE, WIDE_MATCHES = 256, 172  # five standard deviations too
 PIECE, BLOCK = 256, 512
+LONG_ROUNDS, SHRINK = 8, 0.8
 CHUNK = 4096  # rows merged at a time
 PAIRS = 1 << 20  # candidates at a time
 _MULTIPLIERS = np.random.default_rng(7).integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -113,24 +117,24 @@ def _sets(k: int):
     return run
 
 
-def _minima(column: pa.Array, shift: int, dtype) -> np.ndarray:
-    """(rows, SKETCH): the high bits of each set's minima under further hash functions."""
+def _minima(column: pa.Array, size: int, shift: int, dtype) -> np.ndarray:
+    """(rows, size): the high bits of each set's minima under further hash functions."""
     offsets, raw = column.buffers()[1], column.buffers()[2]
     offsets = np.frombuffer(offsets, np.int32)[column.offset :][: len(column) + 1]
     values = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]].copy().view(np.uint64)
     at = (offsets[:-1] - offsets[0]) // 8
-    out = np.zeros((len(column), SKETCH), dtype)
+    out = np.zeros((len(column), size), dtype)
     for lo in range(0, len(column), 64):  # 64 sets at a time stay in the cache
         hi = min(lo + 64, len(column))
         part = values[at[lo] : at[hi] if hi < len(column) else len(values)]
-        for i, m in enumerate(_SKETCH):
+        for i, m in enumerate(_SKETCH[:size]):
             out[lo:hi, i] = np.minimum.reduceat(part * m, at[lo:hi] - at[lo]) >> np.uint64(shift)
     return out
 
 
 def _sketches(batches):
     for batch in batches:
-        low = _minima(batch.column("set"), 40, np.uint32).astype(np.uint8) if batch.num_rows else np.zeros((0, SKETCH), np.uint8)
+        low = _minima(batch.column("set"), SKETCH, 40, np.uint32).astype(np.uint8) if batch.num_rows else np.zeros((0, SKETCH), np.uint8)
         yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([x.tobytes() for x in low], pa.binary())], names=["node", "sketch"])
 
 
@@ -138,8 +142,8 @@ def _wide_tokens(batches):
     for batch in batches:
         for lo in range(0, batch.num_rows, 256):
             part = batch.slice(lo, 256)
-            tokens = mix(_minima(part.column("set"), 0, np.uint64) + np.arange(SKETCH, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            offsets = pa.array(np.arange(0, (part.num_rows + 1) * SKETCH, SKETCH, dtype=np.int32))
+            tokens = mix(_minima(part.column("set"), WIDE, 0, np.uint64) + np.arange(WIDE, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            offsets = pa.array(np.arange(0, (part.num_rows + 1) * WIDE, WIDE, dtype=np.int32))
             yield pa.RecordBatch.from_arrays([part.column("node"), pa.ListArray.from_arrays(offsets, pa.array(tokens.reshape(-1).view(np.int64)))], names=["node", "tokens"])
 
 
@@ -164,17 +168,17 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long")
 
 
-def _prefixes(posted: DataFrame, keys: list[str], total: int, matches: int) -> DataFrame:
-    """posted (keys, node, token): the rows of each node's prefix among its total tokens, without tokens that one node alone has."""
-    shared = posted.groupBy(*keys, "token").agg(F.count("*").alias("df")).filter("df > 1")
-    mine = posted.join(shared, [*keys, "token"]).groupBy(*keys, "node").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))  # at most total each
-    room = F.lit(1 - matches) + F.size("t")  # places left after the tokens that are this node's own: the prefix has total - matches + 1
-    return mine.filter(room > 0).select(*keys, "node", F.explode(F.slice("t", F.lit(1), room)).alias("p")).select(*keys, "node", "p.token")
+def _prefixes(posted: DataFrame, matches: int) -> DataFrame:
+    """posted (node, token): the rows of each node's prefix, without tokens that one node alone has."""
+    shared = posted.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
+    mine = posted.join(shared, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))  # at most a signature each
+    room = F.lit(1 - matches) + F.size("t")  # of the all - matches + 1 places of a prefix the node's own tokens take all - size first
+    return mine.filter(room > 0).select("node", F.explode(F.slice("t", F.lit(1), room)).alias("p")).select("node", "p.token")
 
 
 def postings(nodes: DataFrame, matches: int = MATCHES) -> DataFrame:
     """(token, node) of the prefix of each node, without tokens that one node alone has."""
-    return _prefixes(nodes.select("node", F.posexplode("sig").alias("i", "v")).select("node", F.xxhash64("i", "v").alias("token")), [], COORDINATES, matches)
+    return _prefixes(nodes.select("node", F.posexplode("sig").alias("i", "v")).select("node", F.xxhash64("i", "v").alias("token")), matches)
 
 
 def _whole_lists(batches):
@@ -303,28 +307,26 @@ def _centres(named: DataFrame, r: int, percent: int) -> DataFrame:
     return pairs.groupBy("node").agg(F.min_by("c", F.xxhash64("c", F.lit(r))).alias("b")).select(F.col("node").alias("a"), "b")
 
 
-def _bounded_lists(named: DataFrame, most: int, profile: DataFrame, sets: DataFrame, matches: int) -> DataFrame:
-    """The lists (token, node, n, comp, side) in which every pair that the thresholds ask for still meets, none longer than PIECE or two blocks."""
+def _bounded_lists(named: DataFrame, most: int, sets: DataFrame) -> DataFrame:
+    """The lists (token, node, n, comp, side) in which every pair that the thresholds ask for still meets, none longer than PIECE or about two blocks."""
     columns = ["token", "node", "n", "comp"]
     out = named.filter(F.col("size") <= PIECE).select(*columns, F.lit(3).alias("side"))
-    for level in (1, 2):
-        if most <= PIECE:
-            return out
-        long = named.filter(F.col("size") > PIECE).select(F.col("token").alias("list"), "node", "n", "comp")
-        if level == 1:
-            tokens, total, least = profile.select("node", F.expr("transform(sig, (v, i) -> xxhash64(i, v))").alias("tokens")), COORDINATES, matches
-        else:
-            left = long.select("node").distinct()
-            tokens, total, least = sets.join(left, "node", "left_semi").mapInArrow(_wide_tokens, "node long, tokens array<long>"), SKETCH, SKETCH_MATCHES
-        posted = long.select("list", "node").join(tokens, "node").select("list", "node", F.explode("tokens").alias("token"))
-        fine = _prefixes(posted, ["list"], total, least).join(long, ["list", "node"]).select(F.xxhash64("list", "token").alias("token"), "node", "n", "comp")
-        named = materialize(_mixed(fine), "minhash-fine")
-        most = named.agg(F.max("size")).first()[0] or 0
-        out = out.union(named.filter(F.col("size") <= PIECE).select(*columns, F.lit(3).alias("side")))
-    own = named.filter(F.col("size") > PIECE).withColumn("nb", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("b0", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
-    dealt = own.withColumn("b1", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    side = F.when(F.col("b0") == F.col("b1"), 3).when(F.col("b0") < F.col("b1"), 1).otherwise(2)
-    return out.union(dealt.select(F.xxhash64("token", F.least("b0", "b1"), F.greatest("b0", "b1")).alias("token"), "node", "n", "comp", side.alias("side")))
+    if most <= PIECE:
+        return out
+    left = named.filter(F.col("size") > PIECE).select("node", "n", "comp").distinct()
+    posted = sets.join(left, "node", "left_semi").mapInArrow(_wide_tokens, "node long, tokens array<long>").select("node", F.explode("tokens").alias("token"))
+    wide = _prefixes(posted, WIDE_MATCHES).join(left, "node").select(F.xxhash64(F.lit("wide"), "token").alias("token"), "node", "n", "comp")
+    wide = materialize(_mixed(wide), "minhash-wide")
+    out = out.union(wide.filter(F.col("size") <= PIECE).select(*columns, F.lit(3).alias("side")))
+    long = wide.filter(F.col("size") > PIECE)
+    lead = long.groupBy("token", "comp").agg(F.count("*").alias("k")).groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("largest"), F.max("k").alias("inside"))
+    long = long.join(lead, "token").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("outer", F.ceil((F.col("size") - F.col("inside")) / BLOCK).cast("int"))
+    upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    mine = lambda c, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(c)).cast("int")
+    every = long.withColumn("x", upto("outer")).withColumn("y", mine("blocks", 1)).withColumn("side", F.lit(2))
+    outside = long.filter("comp <> largest").withColumn("x", mine("outer", 2)).withColumn("y", upto("blocks")).withColumn("side", F.lit(1))
+    dealt = every.select(*columns, "side", "x", "y").union(outside.select(*columns, "side", "x", "y"))
+    return out.union(dealt.select(F.xxhash64("token", "x", "y").alias("token"), "node", "n", "comp", "side"))
 
 
 def node_components(docs: DataFrame, profile: DataFrame, shingle: int, percent: int, matches: int = MATCHES) -> DataFrame:
@@ -341,24 +343,33 @@ def node_components(docs: DataFrame, profile: DataFrame, shingle: int, percent:
         sets = picked.select("text").mapInArrow(_sets(shingle), "node long, set binary").join(posted, "node", "left_semi").dropDuplicates(["node"])
         sets = materialize(sets, "minhash-sets")
         stars = spark.createDataFrame([], "a long, b long")
-        known = None
-        for r in range(ROUNDS + BEST + 1):
+        known, left, stage = None, None, "centres"  # then "long", "best", "all"
+        for r in itertools.count():
             named = materialize(_labelled(lists, stars), "minhash-mixed")
-            most = named.agg(F.max("size")).first()[0]
+            most, long = named.agg(F.max("size"), F.count_if(F.col("size") > PIECE)).first()
             if most is None:
                 break
-            if r < ROUNDS:
-                more = _confirmed(_centres(named, r, percent), sets, percent)
+            if stage == "centres" and r == ROUNDS:
+                stage = "long"
+            if stage == "long" and (not long or r >= ROUNDS + LONG_ROUNDS or left is not None and long > SHRINK * left):
+                stage = "best"
+            left = long
+            if stage in ("centres", "long"):
+                wanted = named if stage == "centres" else named.filter(F.col("size") > PIECE)
+                more = _confirmed(_centres(wanted, r, percent), sets, percent)
             else:
                 if known is None:
-                    left = named.select("node").distinct()
-                    sketches = sets.join(left, "node", "left_semi").mapInArrow(_sketches, "node long, sketch binary")
+                    rest = named.select("node").distinct()
+                    sketches = sets.join(rest, "node", "left_semi").mapInArrow(_sketches, "node long, sketch binary")
                     known = materialize(sketches.join(distinct, "node"), "minhash-known")
-                bounded = _bounded_lists(named, most, known.select("node", "sig"), sets, matches)
-                whole = bounded.join(known, "node").repartition("token").sortWithinPartitions("token")
-                found = whole.mapInArrow(_merge(percent, matches, r < ROUNDS + BEST), "a long, b long").distinct()
+                whole = _bounded_lists(named, most, sets).join(known, "node").repartition("token").sortWithinPartitions("token")
+                found = whole.mapInArrow(_merge(percent, matches, stage == "best"), "a long, b long").distinct()
                 more = _confirmed(materialize(found, "minhash-pairs"), sets, percent)
             stars = connected(materialize(more.union(stars), "minhash-links"))
+            if stage == "all":
+                break
+            if stage == "best":
+                stage = "all"
         keep(stars)
     return stars
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lattica.llm import brown, exact_dedup, html, media, minhash, mixing, packing, registered, secrets, toxicity, warc
+from lattica.llm import brown, exact_dedup, html, media, minhash, mixing, packing, registered, secrets, textblocks, toxicity, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = "lorem ipsum dolor sit amet " * 3000
@@ -491,22 +491,88 @@ def test_brown_model_is_a_distribution_and_exchange_helps(spark):
     rows = [(i, " ".join(f"a{r.randrange(20)} b{r.randrange(20)}" for _ in range(20))) for i in range(100)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     counts = brown.materialize(brown.word_counts(docs), "t")
-    model = brown.learn(docs, counts)
+    model, words_table = brown.learn(docs, counts)
     assert np.allclose((10**model.step).sum(1), 1.0)
     got = rows_of(brown.score_documents(docs))
     assert sum(x["score"] for x in got) > sum(x["base_score"] for x in got)
     # emissions of a class, with its free place, sum to one
     per = collections.defaultdict(float)
-    table = {x["h"]: x for x in rows_of(counts)}
-    lookup = brown.Lookup(model.hot, brown.HOT)
-    for h, x in table.items():
-        s = int(brown._symbols(lookup, np.array([h]), np.array([x["form"]]))[0])
-        k = int(model.classes[s])
-        per[k] += (x["n"] + brown.EMIT) / model.emit_total[k]
+    for w in rows_of(words_table):
+        per[w["c"]] += (w["n"] + brown.EMIT) / model.emit_total[w["c"]]
     for k, p in per.items():
         assert p + brown.EMIT / model.emit_total[k] == pytest.approx(1.0)
 
 
+def plain_class_scores(rows, words_table, fold, unseen):
+    """Class bigram scores from the words' classes alone, by plain counting."""
+    name = {lower(w): int(h) for _, t in rows for w, h in zip(words(t), textblocks.hash_words(words(t)).view(np.int64), strict=True)} | {None: int(brown.END)}
+    count, cls = ({w["h"]: w[k] for w in words_table} for k in ("n", "c"))
+    pairs, size, kinds = collections.Counter(), collections.Counter(), collections.Counter()
+    for h in count:
+        size[cls[h]] += count[h]
+        kinds[cls[h]] += 1
+    sequence = lambda t: [name[lower(w)] for w in words(t)] + [name[None]]
+    for i, t in rows:
+        if fold(i) != 1:
+            c = [brown.CLASSES, *(cls[h] for h in sequence(t))]
+            pairs.update(zip(c, c[1:]))
+    before = collections.Counter()
+    for (a, _), n in pairs.items():
+        before[a] += n
+    out = []
+    for _, t in rows:
+        total, prev = 0.0, brown.CLASSES
+        for w, h in zip([*words(t), None], sequence(t), strict=True):
+            c = cls.get(h, brown.CLASSES if w is None else unseen(w))
+            total += math.log10((pairs[prev, c] + brown.ADD) / (before[prev] + brown.ADD * (brown.CLASSES + 1)))
+            total += math.log10((count.get(h, 0) + brown.EMIT) / (size[c] + brown.EMIT * (kinds[c] + 1)))
+            prev = c
+        out.append(total)
+    return out
+
+
+@pytest.mark.parametrize("hot,near", [(8192, 1 << 17), (6, 1 << 17), (6, 9), (0, 0)])
+def test_scores_equal_a_plain_class_model(spark, hot, near):
+    rows = [(i, word_salad(i, 25, 50 if i % 3 else 900)) for i in range(90)] + [(500, ""), (501, None), (None, "w1 unheard of words"), (7, "w2 W2 é é")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    fold = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5
+    training = docs.filter(brown.crc_mod(F.col("doc_id"), 5) != 1)
+    counts = brown.materialize(brown.word_counts(training), "t")
+    model, words_table = brown.learn(training, counts, hot, near)
+    table = rows_of(words_table)
+    assert len(table) == counts.count() and all(w["c"] == brown.CLASSES if w["h"] == brown.END else 0 <= w["c"] < brown.CLASSES for w in table)
+
+    def unseen(w):
+        raw = w.encode()
+        return int(model.unseen[brown.form(np.array([0]), np.array([len(raw)]), np.frombuffer(raw, np.uint8))[0]])
+
+    want = plain_class_scores(rows, table, fold, unseen)
+    got = rows_of(brown.score(docs, model, words_table))
+    key = lambda x: (str(x[0]), round(x[1], 6))
+    assert sorted(map(key, [(r["doc_id"], r["score"]) for r in got])) == sorted(map(key, zip([i for i, _ in rows], want, strict=True)))
+
+
+def test_placing_takes_the_class_of_greatest_gain():
+    r = np.random.default_rng(5)
+    k = brown.CLASSES + brown.FORMS + 1
+    table = r.integers(0, 30, (k, k)).astype(float)
+    h = np.repeat(np.arange(40), 6)
+    cell = np.concatenate([np.sort(r.choice(2 * k, 6, replace=False)) for _ in range(40)])
+    n = r.integers(1, 9, len(h))
+    (got,) = brown._place(table)(iter([pa.RecordBatch.from_arrays([pa.array(h), pa.array(cell), pa.array(n)], names=["h", "cell", "n"])]))
+    for w in range(40):
+        values = []
+        for c in range(brown.CLASSES):
+            new = table.copy()
+            for x, m in zip(cell[h == w], n[h == w], strict=True):
+                if x < k:
+                    new[x, c] += m
+                else:
+                    new[c, x - k] += m
+            values.append(brown._likelihood(new))
+        assert values[got.column("c")[w].as_py()] == pytest.approx(max(values))
+
+
 def test_empty_corpus_scores(empty):
     assert brown.score_documents(empty).count() == 0
 
@@ -546,7 +612,7 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, piece, block):
     monkeypatch.setattr(minhash, "PIECE", piece)
     monkeypatch.setattr(minhash, "CHUNK", 16 * piece)
     monkeypatch.setattr(minhash, "ROUNDS", 1)
-    monkeypatch.setattr(minhash, "BEST", 1)
+    monkeypatch.setattr(minhash, "LONG_ROUNDS", 1 if piece > 5 else 0)
     r = random.Random(1)
     base = [word_salad(s, 120) for s in range(4)]
     rows = [(i, word_salad(100 + i, r.randint(1, 60))) for i in range(30)]
