@@ -6,15 +6,20 @@ what a page does not show; the renderer writes all other text with its layout:
 * white space collapses outside of pre and textarea; inline elements join, br breaks;
 * p, headings, lists, tables, quotes and pre stand between blank lines, other blocks on lines of their own;
 * li gets "- " or its number, nested lists are indented; dd is indented; quotes get "> ";
-* table cells are padded to their column's width and parted by " | "; colspan counts.
+* table cells are padded to their column's width and parted by " | "; colspan and rowspan count;
+* indents grow to INDENT characters and no further.
 
-Hidden: head, script, style, template, noscript (a page is taken to run scripts), object fallbacks, hidden inputs, closed details but
-their summary, the hidden attribute, and display:none or visibility:hidden by style attribute or by a style sheet rule for
-a tag, class or id, at top level or for all screens (print and size-dependent rules hide nothing). Of several rules the cascade's
-last one counts: important, then style attribute, id, class, tag, then the later one.
+Hidden with all they hold: head, script, style, template, noscript (a page is taken to run scripts), object fallbacks, hidden inputs, closed
+details but their summary, and what the hidden attribute or display:none hides, by style attribute or by a style sheet rule for
+a tag, class or id, at top level or for all screens (print and size-dependent rules hide nothing). visibility:hidden is inherited, and what is
+visible again inside is shown. Of several rules the cascade's last one counts: important, then style attribute, id, class, tag, then the later one.
 
-Defined results: null and empty pages give an empty text; broken markup never fails: stray ends are skipped, an unclosed tag ends with the page, a "<"
-that opens nothing is text; nesting is walked without recursion; null and repeated page ids, and other columns, pass through.
+Tags are scanned once from left to right, with quotes read as the standard has it, and open elements are found by their place on the stack, so
+time follows a page's length whatever stands in it.
+
+Defined results: null and empty pages give an empty text; broken markup never fails: stray ends are skipped, an unclosed element ends with the page, a tag or
+comment that the page's end cuts off is dropped, a "<" that opens nothing is text; nesting is walked without recursion; null and repeated page
+ids pass through; other columns are left out, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -29,8 +34,14 @@ from pyspark.sql import functions as F
 
 from lattica.plans.shared import bound_batches
 
-_TOKEN = re.compile(r"<!--(?:>|->|.*?(?:-->|--!>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>|<[!?/][^>]*(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_SKIP = re.compile(r"[ \t\n\r\f/]*+")
+_NAME = re.compile(r"[^ \t\n\r\f/>]++")
+_ATTRIBUTE = re.compile(r"[^ \t\n\r\f/>][^ \t\n\r\f/>=]*+")
+_EQUALS = re.compile(r"[ \t\n\r\f]*+=[ \t\n\r\f]*+")
+_UNQUOTED = re.compile(r"[^ \t\n\r\f>]*+")
+_COMMENT_END = re.compile(r"--!?>")
+INDENT = 64
+COLUMNS = 1000  # the standard's bound of colspan; row spans count among so many columns
 _CSS = re.compile(r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|[{};]", re.S)
 _DECLARED = re.compile(r"(?:^|[;\s])(display|visibility)\s*:\s*([\w-]+)([^;]*)", re.I)
 _ON_SCREEN = re.compile(r"(?:(?:only\s+)?(?:screen|all)|not\s+(?!(?:screen|all)\Z)[\w-]+)?")
@@ -68,15 +79,65 @@ SCOPE = frozenset("table td th caption html".split())
 @dataclass(slots=True)
 class Node:
     tag: str
-    attrs: str = ""
+    attrs: dict = field(default_factory=dict)
     children: list = field(default_factory=list)  # nodes and strings
-    hidden: bool = False
 
     def attribute(self, name: str) -> str | None:
-        for m in _ATTRIBUTE.finditer(self.attrs):
-            if m[1].lower() == name:
-                return unescape(m[2] or m[3] or m[4] or "")
-        return None
+        value = self.attrs.get(name)
+        return unescape(value) if value and "&" in value else value
+
+
+def scan_tag(page: str, at: int) -> tuple[dict, int] | None:
+    """Attributes (the first of a name counts) from a tag's name on, and the place after its ">"; None if the page ends before."""
+    attrs: dict = {}
+    size = len(page)
+    while True:
+        at = _SKIP.match(page, at).end()
+        if at >= size:
+            return None
+        if page[at] == ">":
+            return attrs, at + 1
+        name = _ATTRIBUTE.match(page, at)
+        at, value = name.end(), ""
+        if equals := _EQUALS.match(page, at):
+            at = equals.end()
+            if page[at : at + 1] in ('"', "'"):
+                close = page.find(page[at], at + 1)
+                if close < 0:
+                    return None
+                value, at = page[at + 1 : close], close + 1
+            else:
+                plain = _UNQUOTED.match(page, at)
+                value, at = plain[0], plain.end()
+        attrs.setdefault(name[0].lower(), value)
+
+
+def scan(page: str, at: int) -> tuple[int, int, str, bool, dict]:
+    """The next token at or after a place: start, end, tag ("" for comments and the page's end), whether it is an end tag, attributes."""
+    size = len(page)
+    look = at
+    while True:
+        start = page.find("<", look)
+        if start < 0 or start + 1 >= size:
+            return size, size, "", False, {}
+        sign = page[start + 1]
+        closing = sign == "/"
+        letter = page[start + 2 : start + 3] if closing else sign
+        if letter.isascii() and letter.isalpha():
+            name = _NAME.match(page, start + 1 + closing)
+            found = scan_tag(page, name.end())
+            if found is None:
+                return start, size, "", False, {}
+            return start, found[1], name[0].lower(), closing, found[0]
+        if page.startswith("<!--", start):
+            if page.startswith(("<!-->", "<!--->"), start):
+                return start, page.index(">", start) + 1, "", False, {}
+            end = _COMMENT_END.search(page, start + 4)
+            return start, end.end() if end else size, "", False, {}
+        if sign in "!?" or closing and letter:
+            end = page.find(">", start)
+            return start, end + 1 if end >= 0 else size, "", False, {}
+        look = start + 1
 
 
 def on_screen(media: str) -> bool:
@@ -121,13 +182,14 @@ def css_rules(css: str):
         yield stack[-1][0], stack[-1][2] + css[stack[-1][3] :]
 
 
-def _declared(body: str) -> dict[str, tuple[bool, bool]]:
-    """(important, hides) of display and visibility."""
-    out: dict[str, tuple[bool, bool]] = {}
+def _declared(body: str) -> dict[str, tuple[bool, bool | None]]:
+    """(important, hides) of display and visibility; None: as the element around."""
+    out: dict[str, tuple[bool, bool | None]] = {}
     for m in _DECLARED.finditer(body):
         name, important = m[1].lower(), "!important" in m[3].lower().replace(" ", "")
         if important or not out.get(name, (False,))[0]:
-            out[name] = important, m[2].lower() in (("none",) if name == "display" else ("hidden", "collapse"))
+            value = m[2].lower()
+            out[name] = important, value == "none" if name == "display" else {"hidden": True, "collapse": True, "visible": False, "initial": False}.get(value)
     return out
 
 
@@ -149,94 +211,95 @@ class Sheet:
                             if important or not said.get(name, (False,))[0]:
                                 said[name] = important, self.order, hides
 
-    def hides(self, node: Node) -> bool:
-        style = _declared(node.attribute("style") or "") if "style" in node.attrs.lower() else {}
+    def says(self, node: Node) -> tuple[bool | None, bool | None]:
+        """Whether display and visibility hide a node; None where nothing is said."""
+        style = _declared(node.attribute("style") or "") if "style" in node.attrs else {}
         if not self.rules and not style:
-            return False
+            return None, None
         keys = [("", node.tag)]
         if self.rules and node.attrs:
             keys += [(".", c) for c in (node.attribute("class") or "").split()] + [("#", node.attribute("id") or "")]
         said = [(" .#".index(k[0] or " "), self.rules[k]) for k in keys if k in self.rules]
+        out = []
         for name in ("display", "visibility"):
             ranked = [(important, rank, order, hides) for rank, found in said for n, (important, order, hides) in found.items() if n == name]
             ranked += [(important, 3, 0, hides) for n, (important, hides) in style.items() if n == name]
-            if ranked and max(ranked)[3]:
-                return True
-        return False
+            out.append(max(ranked, key=lambda x: x[:3])[3] if ranked else None)
+        return out[0], out[1]
+
+
+class _Stack:
+    """Open elements, outermost first, with the places of each tag."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.places = [root], {root.tag: [0]}
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, size: int) -> None:
+        while len(self.nodes) > size:
+            self.places[self.nodes.pop().tag].pop()
+
+    def last(self, tags) -> int:
+        """The place of the innermost open one of tags, -1 if there is none."""
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=-1)
+
+    def add(self, child) -> None:
+        self.nodes[-1].children.append(child)
 
 
 def parse(page: str) -> tuple[Node, Sheet]:
     """The tree of a page, with implied tags put in, and its style sheets' hiding rules."""
     root = Node("html")
-    stack, sheet = [root], Sheet()
+    stack, sheet = _Stack(root), Sheet()
     state = "start"  # then head, then body
 
-    def text_to(value: str) -> None:
-        if value:
-            stack[-1].children.append(value)
-
-    def open_node(tag: str, attrs: str = "") -> Node:
-        node = Node(tag, attrs)
-        stack[-1].children.append(node)
-        stack.append(node)
-        return node
+    def open_node(tag: str, attrs: dict | None = None) -> None:
+        node = Node(tag, attrs or {})
+        stack.add(node)
+        stack.push(node)
 
     def body() -> None:
         nonlocal state
         if state != "body":
-            del stack[1:]
+            stack.cut(1)
             open_node("body")
             state = "body"
 
     def end(tags: tuple, bound: frozenset) -> None:
-        """Close the outermost open one of tags below the bound."""
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in bound:
-                break
-            if stack[i].tag in tags:
-                cut = i
-                while cut > 1 and stack[cut - 1].tag in tags:
-                    cut -= 1
-                del stack[cut:]
-                return
+        """Close the innermost open one of tags inside the bound, and those right around it."""
+        i = stack.last(tags)
+        if i > max(0, stack.last(bound)):
+            while i > 1 and stack.nodes[i - 1].tag in tags:
+                i -= 1
+            stack.cut(i)
 
     at, size = 0, len(page)
     while at < size:
-        m = _TOKEN.search(page, at)
-        stop = m.start() if m else size
-        if stop > at:
-            chunk = page[at:stop]
+        start, stop, tag, closing, attrs = scan(page, at)
+        if start > at:
+            chunk = page[at:start]
             if state == "body" or chunk.strip(" \t\n\r\f"):
                 body()
-                text_to(unescape(chunk) if "&" in chunk else chunk)
-        if not m:
-            break
-        at = m.end()
-        if not m[2]:
+                stack.add(unescape(chunk) if "&" in chunk else chunk)
+        at = stop
+        if not tag:
             continue
-        tag, attrs = m[2].lower(), m[3]
-        if m[1]:
+        if closing:
             if tag in ("html", "body"):
                 continue
             if tag == "head":
                 if state == "head":
-                    del stack[1:]
-                continue
-            if tag == "br":
+                    stack.cut(1)
+            elif tag == "br" or tag == "p" and stack.last(("p",)) < 0:
                 body()
-                stack[-1].children.append(Node("br"))
-                continue
-            if tag == "p" and not any(x.tag == "p" for x in stack):
-                body()
-                stack[-1].children.append(Node("p"))
-                continue
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    if i > 0 and stack[i].tag != "body":
-                        del stack[i:]
-                    break
-                if stack[i].tag in SCOPE and tag not in ("table", "tr", "tbody", "thead", "tfoot"):
-                    break
+                stack.add(Node(tag))
+            else:
+                i = stack.last((tag,))
+                if i > 0 and (i >= stack.last(SCOPE) or tag in ("table", "tr", "tbody", "thead", "tfoot")):
+                    stack.cut(i)
             continue
         if tag == "html":
             root.attrs = root.attrs or attrs
@@ -248,7 +311,7 @@ def parse(page: str) -> tuple[Node, Sheet]:
             continue
         if tag == "body":
             body()
-            stack[1].attrs = stack[1].attrs or attrs
+            stack.nodes[1].attrs = stack.nodes[1].attrs or attrs
             continue
         if state != "body":
             if tag not in HEAD:
@@ -260,31 +323,33 @@ def parse(page: str) -> tuple[Node, Sheet]:
             end(("p",), frozenset(["table", "td", "th", "button", "caption", "body"]))
         if tag in ENDS:
             end(*ENDS[tag])
-        if tag in ("td", "th") and stack[-1].tag not in ("tr", "td", "th") and any(x.tag == "table" for x in stack):
+        if tag in ("td", "th") and stack.nodes[-1].tag not in ("tr", "td", "th") and stack.last(("table",)) >= 0:
             open_node("tr")
         node = Node(tag, attrs)
-        stack[-1].children.append(node)
-        if tag in VOID or attrs.endswith("/") and tag in ("svg", "path", "circle", "rect"):
+        stack.add(node)
+        if tag in VOID or tag in ("svg", "path", "circle", "rect") and page.endswith("/>", 0, at):
             continue
         if tag in RAW or tag in RCDATA:
-            close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>|\Z", re.I).search(page, at)
-            inner = page[at : close.start()]
-            at = close.end()
+            close = re.compile(rf"</{re.escape(tag)}(?=[ \t\n\r\f/>])", re.I).search(page, at)
+            inner = page[at : close.start() if close else size]
+            ended = scan_tag(page, close.end()) if close else None
+            at = ended[1] if ended else size
             node.children.append(unescape(inner) if tag in RCDATA else inner)
             if tag == "style" and on_screen(node.attribute("media") or ""):
                 sheet.add(inner)
             continue
-        stack.append(node)
+        stack.push(node)
     return root, sheet
 
 
-def _invisible(node: Node, sheet: Sheet) -> bool:
-    if node.tag in HIDDEN or sheet.hides(node):
-        return True
-    if not node.attrs:
-        return False
-    low = node.attrs.lower()
-    return "hidden" in low and (node.attribute("hidden") is not None or node.tag == "input" and (node.attribute("type") or "").lower() == "hidden")
+def _hides(node: Node, sheet: Sheet) -> tuple[bool, bool | None]:
+    """Whether a node is hidden with all it holds, and what is said of its visibility."""
+    if node.tag in HIDDEN:
+        return True, None
+    display, visibility = sheet.says(node)
+    if node.attrs and (node.tag == "input" and (node.attribute("type") or "").lower() == "hidden" or display is None and "hidden" in node.attrs):
+        return True, None
+    return bool(display), visibility
 
 
 class _Lines:
@@ -317,7 +382,10 @@ class _Lines:
         if self.gap and self.lines:
             self.lines.append("")
         self.gap = False
-        self.now.append("".join(self.indents[:-1]) + self.marker if self.marker else "".join(self.indents))
+        if self.marker:
+            self.now.append("".join(self.indents[:-1])[:INDENT] + self.marker)
+        else:
+            self.now.append("".join(self.indents)[:INDENT])
         self.marker = ""  # further lines of the item get its last indent instead
 
     def newline(self) -> None:
@@ -357,9 +425,12 @@ def render(root: Node, sheet: Sheet) -> str:
     counters: list[list] = []
     tables: list[list] = []
     pre = 0
+    unseen = False  # inside of visibility:hidden
     while todo:
         item = todo.pop()
         if isinstance(item, str):
+            if unseen:
+                continue
             if not pre:
                 out.text(item)
             else:
@@ -376,10 +447,19 @@ def render(root: Node, sheet: Sheet) -> str:
             if got is not None:
                 out = got
             continue
-        if _invisible(item, sheet):
+        hidden, visibility = _hides(item, sheet)
+        if hidden:
             continue
         tag = item.tag
         children = item.children
+        if visibility is not None and visibility != unseen:
+
+            def as_before(value=unseen):
+                nonlocal unseen
+                unseen = value
+
+            todo.append(as_before)
+            unseen = visibility
         if tag == "br":
             out.line_break()
             continue
@@ -387,7 +467,7 @@ def render(root: Node, sheet: Sheet) -> str:
             out.blank()
             continue
         if tag == "input":
-            if (item.attribute("type") or "").lower() in ("submit", "button", "reset"):
+            if not unseen and (item.attribute("type") or "").lower() in ("submit", "button", "reset"):
                 out.text(item.attribute("value") or "")
             continue
         if tag == "details" and item.attribute("open") is None:
@@ -408,7 +488,7 @@ def render(root: Node, sheet: Sheet) -> str:
             here = counters[-1] if counters else [1, False]
             mark = f"{here[0]}. " if here[1] else "- "
             here[0] += 1
-            out.marker = mark
+            out.marker = "" if unseen else mark
             out.indents.append(" " * len(mark))
 
             def close_li(o=out):
@@ -447,16 +527,16 @@ def render(root: Node, sheet: Sheet) -> str:
         elif tag in ("td", "th") and tables:
             if not tables[-1]:
                 tables[-1].append([])
-            span = item.attribute("colspan") or "1"
+            wide, high = (int(x) if (x := item.attribute(name) or "1").isdecimal() and len(x) < 6 else 1 for name in ("colspan", "rowspan"))
             cell = _Lines()
             outputs.append(cell)
             saved = counters
             counters = []
 
-            def close_cell(row=tables[-1][-1], n=int(span) if re.fullmatch(r"[1-9]\d{0,2}", span) else 1, saved=saved):
+            def close_cell(row=tables[-1][-1], wide=min(max(wide, 1), COLUMNS), high=high, saved=saved):
                 nonlocal counters
                 counters = saved
-                row.append((outputs.pop().done().split("\n"), n))
+                row.append((outputs.pop().done().split("\n"), wide, high))
                 return outputs[-1]
 
             out = cell
@@ -466,25 +546,40 @@ def render(root: Node, sheet: Sheet) -> str:
     return outputs[0].done()
 
 
-def align(rows: list[list[tuple[list[str], int]]]) -> list[str]:
-    """Lines of a table: cells (lines, columns) padded to their column's width."""
-    width: dict[int, int] = {}
+def _placed(rows: list[list[tuple[list[str], int, int]]]) -> list[list[tuple[list[str], int, int]]]:
+    """Cells (lines, columns, rows) -> cells (lines, first column, columns); columns that a cell above still takes hold an empty one. 0 rows: all below.
+    Columns beyond COLUMNS are not held."""
+    out, taken = [], {}  # column -> rows still taken
     for row in rows:
-        at = 0
-        for lines, n in row:
+        at, cells, below = 0, [], {}
+        for lines, wide, high in row:
+            while at in taken:
+                cells.append(([""], at, 1))
+                at += 1
+            cells.append((lines, at, wide))
+            if high != 1 and at + wide <= COLUMNS:
+                below.update(dict.fromkeys(range(at, at + wide), high - 1 if high else len(rows)))
+            at += wide
+        taken = {c: n - 1 for c, n in taken.items() if n > 1} | below
+        out.append(cells)
+    return out
+
+
+def align(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
+    """Lines of a table: cells (lines, columns, rows) padded to their column's width."""
+    placed = _placed(rows)
+    width: dict[int, int] = {}
+    for row in placed:
+        for lines, at, n in row:
             if n == 1:
                 width[at] = max(width.get(at, 0), max(map(len, lines)))
-            at += n
     out = []
-    for row in rows:
-        if not any(any(lines) for lines, _ in row):
+    for row in placed:
+        if not any(any(lines) for lines, _, _ in row):
             continue
-        for k in range(max(len(lines) for lines, _ in row)):
-            parts, at = [], 0
-            for lines, n in row:
-                w = sum(width.get(at + j, 0) for j in range(n)) + 3 * (n - 1)
-                parts.append((lines[k] if k < len(lines) else "").ljust(w))
-                at += n
+        widths = [sum(width.get(at + j, 0) for j in range(n)) + 3 * (n - 1) for _, at, n in row]
+        for k in range(max(len(lines) for lines, _, _ in row)):
+            parts = [(lines[k] if k < len(lines) else "").ljust(w) for (lines, _, _), w in zip(row, widths, strict=True)]
             out.append(" | ".join(parts).rstrip(" "))
     return out
 
