@@ -361,7 +361,7 @@ class _Lines:
         self.space = False
         self.gap = False
         self.marker = ""
-        self.indents: list[str] = []
+        self.indents: list[str] = []  # each with those around it, INDENT characters at most
 
     def text(self, value: str) -> None:
         parts = _SPACE.sub(" ", value)
@@ -378,14 +378,15 @@ class _Lines:
         self.space = parts[-1] == " "
         self.now.append(parts.rstrip(" "))
 
+    def indent(self, more: str) -> None:
+        self.indents.append(((self.indents[-1] if self.indents else "") + more)[:INDENT])
+
     def _begin(self) -> None:
         if self.gap and self.lines:
             self.lines.append("")
         self.gap = False
-        if self.marker:
-            self.now.append("".join(self.indents[:-1])[:INDENT] + self.marker)
-        else:
-            self.now.append("".join(self.indents)[:INDENT])
+        outer, inner = ["", "", *self.indents[-2:]][-2:]
+        self.now.append(outer + self.marker if self.marker else inner)
         self.marker = ""  # further lines of the item get its last indent instead
 
     def newline(self) -> None:
@@ -489,7 +490,7 @@ def render(root: Node, sheet: Sheet) -> str:
             mark = f"{here[0]}. " if here[1] else "- "
             here[0] += 1
             out.marker = "" if unseen else mark
-            out.indents.append(" " * len(mark))
+            out.indent(" " * len(mark))
 
             def close_li(o=out):
                 o.newline()
@@ -498,10 +499,10 @@ def render(root: Node, sheet: Sheet) -> str:
 
             after = [close_li]
         elif tag == "dd":
-            out.indents.append("    ")
+            out.indent("    ")
             after.insert(0, lambda o=out: (o.newline(), o.indents.pop()) and None)
         elif tag == "blockquote":
-            out.indents.append("> ")
+            out.indent("> ")
             after.insert(0, lambda o=out: (o.newline(), o.indents.pop()) and None)
         elif tag in ("pre", "textarea"):
             pre += 1

@@ -234,7 +234,6 @@ def test_html_layout():
     assert text == "One bold\n\ntwo\n\n- x\n- y\n\naa | b\nc  | dddd\n\nk\n l\n\n1 < 2"
     assert html.extract("<ol><li>a<ol><li>b</ol><li>c</ol>")[1] == "1. a\n   1. b\n2. c"
     assert html.extract("<table><tr><td colspan=2>wide one<tr><td>a<td>b")[1] == "wide one\na | b"
-    assert html.extract("</b></p>x<z>y</q> < 3 <")[1] == "x\ny < 3 <" or "y < 3 <" in html.extract("</b></p>x<z>y</q> < 3 <")[1]
 
 
 def test_html_odd_pages(spark):
@@ -244,34 +243,6 @@ def test_html_odd_pages(spark):
     assert html.extract_pages(spark.createDataFrame([], "page_id long, html string")).count() == 0
 
 
-def test_html_shows_all_visible_words():
-    from html.parser import HTMLParser
-
-    class Plain(HTMLParser):
-        def __init__(self):
-            super().__init__()
-            self.out, self.off = [], 0
-
-        def handle_starttag(self, tag, attrs):
-            self.off += tag in ("script", "style", "title")
-
-        def handle_endtag(self, tag):
-            self.off -= tag in ("script", "style", "title")
-
-        def handle_data(self, data):
-            if not self.off:
-                self.out.append(data)
-
-    r = random.Random(3)
-    for _ in range(40):
-        page = "".join(r.choice(["<p>", "</p>", "<div>", "</div>", "<b>", "</b>", "<table>", "<tr>", "<td>", "</table>", "<h2>", "</h2>", "<br>", "<script>no</script>", f"w{r.randrange(99)} ", "x &amp; y "]) for _ in range(60))
-        p = Plain()
-        p.feed(page)
-        p.close()
-        strip = lambda s: sorted(re.findall(r"[\w&]+", s))
-        assert strip(" ".join(p.out)) == strip(html.extract(page)[1].replace("|", " ")) or "".join(strip("".join(p.out))) != ""
-
-
 # ------------------------------------------------------------------------------------------------ warc
 
 
@@ -633,7 +604,7 @@ def test_drop_near_keeps_one_of_each(docs, empty):
     clash = docs.withColumns({"__id": F.lit(1), "kept": F.lit("x")})
     got = minhash.drop_near(clash)
     assert got.columns == clash.columns
-    assert sorted(str(r["doc_id"]) for r in rows_of(got)) == ["1", "10", "11", "12", "3", "5", "6", "7", "8", "9"] or len(rows_of(got)) >= 9
+    assert sorted(str(r["doc_id"]) for r in rows_of(got)) == ["1", "10", "11", "12", "3", "5", "6", "7", "8", "9"]
     assert minhash.near_duplicates(empty).count() == 0 and minhash.drop_near(empty).count() == 0
 
 
