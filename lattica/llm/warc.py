@@ -3,16 +3,16 @@
 ``write`` gives every page one record in a gzip member of its own. Pages of equal payloads (SHA-1 and length, at least
 ``least`` bytes) are one response, that with the largest page_id, and revisits of it, which keep the HTTP header but not
 the payload. Each task writes files of about ROLL bytes under names of its own and reports them in a manifest table, so a
-task that runs twice leaves unlisted files, never double records. A payload that many pages share is one hot join key; it
-carries only ids in the aggregation, and Spark may split it in the join.
+task that runs twice leaves unlisted files, never double records. A payload that many pages share is salted: pages meet its largest id first
+per salt, then one row a salt gives the largest of all, and the way back to the pages is over (payload, salt).
 
 ``read`` takes the manifest's files, each read once from its first byte to its last: gzip members are inflated as the
 bytes come, the WARC header is parsed at its blank line, Content-Length bounds the block, and SHA-1 digests run along. Memory is bounded by
 READ bytes and a header, whatever the size of a record.
 
-Defined results: null html is an empty payload; a null or odd url is percent-encoded or replaced by the record's id; null page_ids
-are smaller than any other and come back as null; rows that repeat the largest id are responses each; an empty table gives no
-records; other columns are not archived.
+Defined results: null html is an empty payload; an odd url is percent-encoded, a null or missing one replaced by the record's id; null page_ids
+are smaller than any other and come back as null (record ids hold page ids percent-encoded, and a name of its own for null, so no string can be
+taken for it); rows that repeat the largest id are responses each; an empty table gives no records; other columns are not archived.
 """
 
 from __future__ import annotations
@@ -22,10 +22,10 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.plans.shared import bound_batches, fresh_path, materialize
@@ -37,22 +37,27 @@ READ = 1 << 18
 LEVEL = 6
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-_ID = "<urn:page:{}>"
+SALTS = 32
+_NULL = "<urn:no-page>"
 
 
 def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def record_id(page_id) -> str:
+    return _NULL if page_id is None else f"<urn:page:{quote(str(page_id), safe='')}>"
+
+
 def record(page_id, url: str | None, payload: bytes, refers_to=None, revisit: bool = False, payload_digest: str | None = None) -> bytes:
     """One WARC/1.1 record. A revisit's block is the HTTP header alone, whose Content-Length is the payload's."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
-    name = "null" if page_id is None else page_id
-    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_ID.format(name)}", f"WARC-Date: {DATE}"]
-    lines.append(f"WARC-Target-URI: {quote(url, safe=':/?#[]@!$&()*+,;=%~-._') if url else f'urn:page:{name}'}")
+    name = record_id(page_id)
+    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {name}", f"WARC-Date: {DATE}"]
+    lines.append(f"WARC-Target-URI: {quote(url, safe=':/?#[]@!$&()*+,;=%~-._') if url else name[1:-1]}")
     if revisit:
-        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_ID.format('null' if refers_to is None else refers_to)}"]
+        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to)}"]
     lines += [f"WARC-Payload-Digest: sha1:{payload_digest or digest(payload)}", f"WARC-Block-Digest: sha1:{digest(block)}"]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -91,16 +96,18 @@ def _writer(folder: str, roll: int):
 _MANIFEST = pa.schema([("path", pa.string()), ("bytes", pa.int64()), ("records", pa.int64())])
 
 
-def write(pages: DataFrame, least: int = 0, roll: int = ROLL) -> DataFrame:
-    """Archive pages (page_id, url, html); the manifest: path, bytes, records."""
+def write(pages: DataFrame, least: int = 0, roll: int = ROLL, salts: int = SALTS) -> DataFrame:
+    """Archive pages (page_id, html, and url if there is one); the manifest: path, bytes, records."""
     bound_batches(pages.sparkSession)
     html = F.coalesce("html", F.lit(""))
-    rows = pages.select("page_id", "url", html.alias("html"), F.sha1(html.cast("binary")).alias("sha"), F.octet_length(html).alias("len"))
-    keepers = rows.filter(F.col("len") >= least).groupBy("sha", "len").agg(F.max("page_id").alias("keeper"))
-    joined = rows.join(keepers, ["sha", "len"], "left")
+    url = F.col("url").cast("string") if "url" in pages.columns else F.lit(None).cast("string")
+    salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).alias("salt")
+    rows = pages.select("page_id", url.alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("sha"), F.octet_length(html).alias("len")).select("*", salt)
+    salted = rows.filter(F.col("len") >= least).groupBy("sha", "len", "salt").agg(F.max("page_id").alias("most"))
+    keepers = salted.select("sha", "len", "salt", F.max("most").over(Window.partitionBy("sha", "len")).alias("keeper"))  # a row per salt at most
+    joined = rows.join(keepers, ["sha", "len", "salt"], "left")
     first = (F.col("len") < least) | F.col("page_id").eqNullSafe(F.col("keeper"))
-    kind = pages.schema["page_id"].dataType.simpleString()
-    to_write = joined.select("page_id", "url", "html", F.col("keeper").cast(kind).alias("keeper"), first.alias("first"))
+    to_write = joined.select("page_id", "url", "html", "keeper", first.alias("first"))
     return materialize(to_write.mapInArrow(_writer(fresh_path(pages.sparkSession, "warc"), roll), "path string, bytes long, records long"), "warc-manifest")
 
 
@@ -175,8 +182,7 @@ class Reader:
 
 
 def _of_id(value: str | None):
-    inner = value[len("<urn:page:") : -1] if value else "null"
-    return None if inner == "null" else inner
+    return None if value is None or value == _NULL else unquote(value[len("<urn:page:") : -1])
 
 
 _READ = pa.schema([("page_id", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), ("url", pa.string()), ("verified", pa.bool_())])
