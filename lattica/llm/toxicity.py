@@ -3,7 +3,8 @@
 Tokens are runs of letters. Their features are the word and its first PREFIXES bytes (stems with changing endings).
 
 Training, on a bounded sample of labelled documents (at most TOXIC_ROWS toxic and CLEAN_ROWS others, those with the
-lowest hashes of their ids):
+lowest hashes of their ids, one row an id, texts of at most ROW_BYTES; all three are parameters, so the one task that fits has at most their product
+in bytes, whatever the tables hold; features are as many as this sample gives):
 1. features are kept that stand in at least SUPPORT toxic documents and PLACES different surroundings there (so that copies do
    not count) and whose document rate among toxic ones is LIFT times that
    among others; a token of a toxic document that has such a feature is labelled 1, all others 0;
@@ -40,7 +41,7 @@ PREFIXES = (3, 4, 5, 6, 7, 8)
 TOXIC_ROWS, CLEAN_ROWS = 1500, 3000
 SUPPORT, PLACES, LIFT = 4, 4, 8.0
 WINDOW = 8
-MAX_FEATURES = 50_000
+ROW_BYTES = 1 << 16
 FILTER_BITS = 20
 _LETTER = is_letter_table()
 
@@ -285,9 +286,7 @@ def _select(texts: pa.Array, toxic: np.ndarray) -> np.ndarray:
         clean += np.bincount(_once(doc, k), minlength=len(marked))
     lift = (times / toxic.sum()) / ((clean + 0.5) / max(1, (~toxic).sum()))
     keep = lift >= LIFT
-    marked, lift, times = marked[keep], lift[keep], times[keep]
-    best = np.argsort(-(np.log(lift) * times), kind="stable")[:MAX_FEATURES]
-    return np.sort(marked[best])
+    return marked[keep]
 
 
 def _pairs(h: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -386,24 +385,26 @@ def score_texts(model: Model, texts: pa.Array, with_spans: bool = False):
     return scores, spans
 
 
-def train(docs: DataFrame, labels: DataFrame, fold: int = 5, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS) -> Model:
-    """Fit on a bounded sample of labelled rows outside of fold 0."""
+def train(docs: DataFrame, labels: DataFrame, fold: int = 5, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS, row_bytes: int = ROW_BYTES) -> Model:
+    """Fit on a bounded sample of labelled rows outside of fold 0; ids may be of any type that can be compared."""
     usable = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), fold) != 0)).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = {r["toxic"]: r["count"] for r in usable.groupBy("toxic").count().collect()}  # two rows at most
     counts_for = max(1.0, n.get(0, 0) / max(1, clean_rows)), max(1.0, n.get(1, 0) / max(1, toxic_rows))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     sample = usable.filter("toxic = 1").orderBy(*order).limit(toxic_rows).unionByName(usable.filter("toxic = 0").orderBy(*order).limit(clean_rows))
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most toxic_rows + clean_rows ids
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.octet_length("text") <= row_bytes)
+    rows = texts.join(F.broadcast(sample), "doc_id")  # at most toxic_rows + clean_rows ids
+    one_each = rows.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min("text").alias("text"))  # repeated rows are merged before they move
 
     def fitted(batches):
-        table = pa.Table.from_batches(batches, schema)
-        table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(table.column("text").combine_chunks(), table.column("toxic").to_numpy().astype(bool), counts_for=counts_for))], pa.binary())], names=["model"])
+        table = pa.Table.from_batches(held) if (held := list(batches)) else None
+        if table is not None:
+            table = table.sort_by([("doc_id", "ascending")])
+            model = fit(table.column("text").combine_chunks(), table.column("toxic").to_numpy().astype(bool), counts_for=counts_for)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
-    kind = {"string": pa.string(), "int": pa.int32()}.get(docs.schema["doc_id"].dataType.simpleString(), pa.int64())
-    schema = pa.schema([("doc_id", kind), ("toxic", pa.int32()), ("text", pa.string())])
-    one = rows.select("doc_id", "toxic", "text").repartition(1).mapInArrow(fitted, "model binary")  # one task fits the bounded sample, not the driver
+    one = one_each.repartition(1).mapInArrow(fitted, "model binary")  # one task fits the bounded sample, not the driver
     found = one.first()
     return pickle.loads(found["model"]) if found else fit(pa.array([], pa.string()), np.zeros(0, bool))
 
