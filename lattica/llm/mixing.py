@@ -9,16 +9,18 @@ that table, and the multipliers stay in a table of their own, one row per source
 leaves its bracket is replaced by a bisection.
 
 Rates become copies in two exact steps. Per source, cells in falling order of size get whole numbers of copies so that
-the words taken so far follow the words wanted so far (the rest is at most half of the smallest document). Inside a
-cell all documents have the same size, so any of them may get the odd copies: cells are cut into sub-cells of about
-CELL documents by a hash of the id and the odd copies go to the lowest hashes of each.
+the words taken so far follow the words wanted so far (the rest is at most half of the smallest document); a source's cells are its different
+sizes, whose number grows with the square root of its words at most. Inside a cell all documents have the same size, so any of them may get
+the odd copies: they go by a hash of id and text. Rows that repeat an id and a text are one key with a number, however many they
+are; keys are cut by that hash into sub-cells of about CELL documents, each of which gets its share of the odd copies in hash order.
+No step depends on the order of rows or partitions: sums are of whole numbers or decimals, so reruns agree.
 
 Targets: sources in code point order, null last, weigh ``weights`` in turn and share ``share`` of all words; a target
 stops at MAX_COPIES times its source's words and the excess goes to the others by weight until none is above, which is
-min(weight * level, limit) for one common level.
+min(weight * level, limit) for one common level, found by aggregations of the table of sources.
 
-Defined results: null text and text without words have size 0, rate 1 and take 0 words; null is a source; a source
-without words has target 0; null ids hash alike and are dealt as ties; repeated rows are documents of their own; an
+Defined results: null text and text without words have size 0, rate 1 and take 0 words; null is a source; sources of other types go by their text;
+a source without words has target 0; null ids are told apart by their texts; repeated rows are documents of their own; an
 empty table gives no rows; extra columns are left out of the decision.
 """
 
@@ -36,6 +38,7 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MAX_COPIES = 2
 CELL = 256
+ROWS = 4096
 STEPS = 60
 TOLERANCE = 1e-7
 
@@ -44,24 +47,39 @@ def word_count(text):
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
+def _turns(per: DataFrame) -> DataFrame:
+    """per (source, ...) with turn: the source's place from 0 in code point order, null last. Sorted in ranges; only their sizes meet in the driver."""
+    order = [F.col("source").isNull(), F.col("source").cast("string"), F.col("source")]
+    ranged = per.repartitionByRange(*order).select("*", F.spark_partition_id().alias("__range"))
+    ranged = materialize(ranged, "mix-ranges")  # written, so that a source's range stays
+    before, upto = [], 0
+    for r in ranged.groupBy("__range").count().orderBy("__range").collect():  # a row a partition at most
+        before.append((r["__range"], upto))
+        upto += r["count"]
+    offsets = per.sparkSession.createDataFrame(before, "__range int, __before long")
+    place = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1
+    return ranged.withColumn("turn", place).join(F.broadcast(offsets), "__range").withColumn("turn", F.col("turn") + F.col("__before")).drop("__range", "__before")
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE) -> DataFrame:
     """One row per source: source, source_size, n_docs, target."""
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
-    turn = (F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")) - 1) % len(weights)
-    w = per.withColumn("w", F.element_at(F.array(*[F.lit(float(x)) for x in weights]), turn.cast("int") + 1))
-    w = w.withColumn("cap", F.lit(float(MAX_COPIES)) * F.col("source_size"))
-    order = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").isNull(), "source")
-    everything = Window.partitionBy()
-    w = w.withColumns(
-        {
-            "rank": F.row_number().over(order),
-            "left": F.lit(share) * F.sum("source_size").over(everything) - (F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("cap")),
-            "open": F.sum("w").over(order.rowsBetween(0, Window.unboundedFollowing)),
-        }
-    )
-    fits = F.col("left") / F.col("open") <= F.col("cap") / F.col("w")
-    level = F.min_by(F.when(fits, F.col("left") / F.col("open")), F.when(fits, F.col("rank"))).over(everything)
-    return w.select("source", "source_size", "n_docs", F.least(F.col("cap"), F.col("w") * F.coalesce(level, F.lit(0.0))).alias("target"))
+    weight = F.element_at(F.array(*[F.lit(x) for x in weights]), (F.col("turn") % len(weights)).cast("int") + 1)
+    w = materialize(_turns(per).select("source", "source_size", "n_docs", weight.alias("w"), (MAX_COPIES * F.col("source_size")).alias("cap")), "mix-weights")
+    total, level, capped = None, 0.0, -1
+    while True:  # the level only rises, and with it the sources at their limit
+        full = F.col("cap") < F.col("w") * F.lit(level)
+        r = w.agg(F.sum("source_size").alias("all"), F.count_if(full).alias("k"), F.sum(F.when(full, F.col("cap"))).alias("cap"), F.sum(F.when(~full, F.col("w"))).alias("open")).first()
+        total = share * (r["all"] or 0)
+        if r["k"] == capped or not r["open"]:
+            break
+        capped, level = r["k"], (total - (r["cap"] or 0)) / r["open"]
+    return w.select("source", "source_size", "n_docs", F.least(F.col("cap").cast("double"), F.col("w") * F.lit(level)).alias("target"))
+
+
+def _exact_sum(x):
+    """A sum that doesn't depend on the order of its terms."""
+    return F.sum(x.cast("decimal(38,6)")).cast("double")
 
 
 def _solve(cells: DataFrame, targets: DataFrame) -> DataFrame:
@@ -90,7 +108,7 @@ def _solve(cells: DataFrame, targets: DataFrame) -> DataFrame:
         sums = (
             cells.join(state.filter(~F.col("done")), F.col("source").eqNullSafe(F.col("s")))
             .groupBy(F.col("s").alias("__s"))
-            .agg(F.sum(words * rate).alias("got"), F.sum(F.when(tilt < log2, words * rate * x).otherwise(0.0)).alias("slope"))
+            .agg(_exact_sum(words * rate).alias("got"), _exact_sum(F.when(tilt < log2, words * rate * x).otherwise(0.0)).alias("slope"))
         )
         step = state.join(sums, F.col("s").eqNullSafe(F.col("__s")), "left")
         off = F.col("got") - F.col("target")
@@ -123,42 +141,57 @@ def _whole_copies(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf[["source", "size", "n"]].assign(copies=pd.Series(copies, index=pdf.index, dtype="int64"))
 
 
-def mix(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cell: int = CELL) -> DataFrame:
-    """sizes: doc_id, source, size. Adds source_size, target, copies; one row per row."""
+def _shares(sizes: DataFrame, weights, share: float, cell: int) -> tuple[DataFrame, DataFrame]:
+    """Keys (source, size, doc_id, h; m rows each) with base copies for each row and one more for odd of them; and the targets."""
     cells = materialize(sizes.groupBy("source", "size").agg(F.count("*").alias("n")), "mix-cells")
     targets = materialize(source_targets(sizes, weights, share), "mix-targets")
     solved = _solve(cells, targets).withColumnRenamed("source", "s")
     rate = F.when(F.col("size") == 0, 1.0).when(F.col("lam") == float("inf"), float(MAX_COPIES)).otherwise(F.exp(F.least(F.col("lam") * F.col("size") / F.col("mean"), F.log(F.lit(float(MAX_COPIES))))))
     rated = cells.join(solved, F.col("source").eqNullSafe(F.col("s"))).select("source", "size", "n", rate.alias("rate"))
-    dealt = materialize(rated.groupBy("source").applyInPandas(_whole_copies, "source string, size long, n long, copies long"), "mix-copies")
-    c = dealt.select(F.col("source").alias("s"), F.col("size").alias("z"), "n", F.expr("copies div n").alias("base"), (F.col("copies") % F.col("n")).alias("odd"))
-    rows = sizes.join(c, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")))
-    rows = rows.withColumn("sub", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / cell)).cast("long"))
-    subs = rows.groupBy("s", "z", "sub", "n", "odd").agg(F.count("*").alias("k"))
-    upto = F.sum("k").over(Window.partitionBy("s", "z").orderBy("sub").rowsBetween(Window.unboundedPreceding, 0))
+    kind = sizes.schema["source"].dataType.simpleString()
+    dealt = materialize(rated.groupBy("source").applyInPandas(_whole_copies, f"source {kind}, size long, n long, copies long"), "mix-copies")
+    c = dealt.select(F.col("source").alias("s"), F.col("size").alias("z"), "n", F.expr("copies div n").alias("base"), (F.col("copies") % F.col("n")).alias("cell_odd"))
+    keys = sizes.groupBy("source", "size", "doc_id", "h").agg(F.count("*").alias("m"))
+    keys = keys.join(c, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))).drop("s", "z")
+    keys = keys.withColumn("rank", F.xxhash64("doc_id", "h")).withColumn("sub", F.pmod("rank", F.ceil(F.col("n") / cell)).cast("long"))
+    subs = keys.groupBy("source", "size", "sub", "n", "cell_odd").agg(F.sum("m").alias("k"))
+    upto = F.sum("k").over(Window.partitionBy("source", "size").orderBy("sub").rowsBetween(Window.unboundedPreceding, 0))
     subs = subs.withColumn("upto", upto).select(
-        F.col("s").alias("s2"), F.col("z").alias("z2"), F.col("sub").alias("sub2"), F.expr("(odd * upto) div n - (odd * (upto - k)) div n").alias("odd_here")
+        F.col("source").alias("s"), F.col("size").alias("z"), F.col("sub").alias("b"), F.expr("(cell_odd * upto) div n - (cell_odd * (upto - k)) div n").alias("here")
     )
-    rows = rows.join(subs, F.col("s").eqNullSafe(F.col("s2")) & (F.col("z") == F.col("z2")) & (F.col("sub") == F.col("sub2")))
-    place = F.row_number().over(Window.partitionBy("s", "z", "sub").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    rows = rows.withColumn("copies", F.col("base") + (place <= F.col("odd_here")).cast("long"))
-    t = targets.select(F.col("source").alias("s3"), "source_size", "target")
-    return rows.join(t, F.col("source").eqNullSafe(F.col("s3"))).select("doc_id", "source", "size", "source_size", "target", "copies")
+    keys = keys.join(subs, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("sub") == F.col("b")))
+    before = F.sum("m").over(Window.partitionBy("source", "size", "sub").orderBy("rank", "doc_id", "h").rowsBetween(Window.unboundedPreceding, 0)) - F.col("m")
+    odd = F.greatest(F.lit(0), F.least(F.col("m"), F.col("here") - F.col("before")))
+    return keys.withColumn("before", before).select("source", "size", "doc_id", "h", "m", "base", odd.alias("odd")), targets
+
+
+def mix(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cell: int = CELL) -> DataFrame:
+    """sizes: doc_id, source, size, h (a hash of the text). Adds source_size, target, copies; one row per row."""
+    keys, targets = _shares(sizes, weights, share, cell)
+    part = F.explode(F.array(F.struct((F.col("base") + 1).alias("copies"), F.col("odd").alias("k")), F.struct(F.col("base").alias("copies"), (F.col("m") - F.col("odd")).alias("k"))))
+    parts = keys.select("source", "size", "doc_id", part.alias("p")).select("source", "size", "doc_id", "p.copies", "p.k").filter("k > 0")
+    # a key's rows are alike: k of them are made again, at most ROWS from one array
+    runs = parts.select("source", "size", "doc_id", "copies", "k", F.explode(F.sequence(F.lit(0), F.expr(f"(k - 1) div {ROWS}"))).alias("run"))
+    rows = runs.withColumn("row", F.explode(F.sequence(F.lit(1), F.least(F.lit(ROWS), F.col("k") - ROWS * F.col("run")))))
+    t = targets.select(F.col("source").alias("s"), "source_size", "target")
+    return rows.join(t, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "size", "source_size", "target", "copies")
 
 
 def document_sizes(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
-    return materialize(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size")), "mix-sizes")
+    """A written table: doc_id, source, size in words, h."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    return materialize(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(body).alias("size"), F.xxhash64(body).alias("h")), "mix-sizes")
 
 
-def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE) -> DataFrame:
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cell: int = CELL) -> DataFrame:
     """The documents, each as often as the mix takes it, with their own columns."""
-    plan = mix(document_sizes(docs), weights, share)
-    per = plan.groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("__sum"), F.count("*").alias("__rows"))
-    keys = {"__i": F.col("doc_id"), "__s": F.col("source"), "__z": word_count(F.col("text"))}
-    rows = docs.select(F.struct(*docs.columns).alias("__row"), *[v.alias(k) for k, v in keys.items()])
-    same = F.col("__i").eqNullSafe(F.col("doc_id")) & F.col("__s").eqNullSafe(F.col("source")) & (F.col("__z") == F.col("size"))
-    place = F.row_number().over(Window.partitionBy("__i", "__s", "__z").orderBy(F.xxhash64("__row")))
-    rows = rows.join(per, same).withColumn("__n", place)
-    times = F.expr("(__sum * __n) div __rows - (__sum * (__n - 1)) div __rows")
-    rows = rows.withColumn("__times", times).filter("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int"))))
-    return rows.select(*[F.col("__row")[c].alias(c) for c in docs.columns])
+    keys, _ = _shares(document_sizes(docs), weights, share, cell)
+    body = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col("doc_id").alias("__i"), F.col("source").alias("__s"), F.xxhash64(body).alias("__h"))
+    same = F.col("__i").eqNullSafe(F.col("doc_id")) & F.col("__s").eqNullSafe(F.col("source")) & (F.col("__h") == F.col("h"))
+    rows = rows.join(keys, same)
+    place = F.row_number().over(Window.partitionBy("__i", "__s", "__h").orderBy(F.xxhash64("__row")))
+    single = rows.filter("m = 1").withColumn("__times", F.col("base") + F.col("odd"))
+    several = rows.filter("m > 1").withColumn("__times", F.col("base") + (place <= F.col("odd")).cast("long"))
+    times = single.select("__row", "__times").unionByName(several.select("__row", "__times")).filter("__times > 0")
+    return times.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select(*[F.col("__row")[c].alias(c) for c in docs.columns])
