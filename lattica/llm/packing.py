@@ -11,6 +11,9 @@ falling order of length:
 
 The cost of a sequence of length L is FIXED + L + QUADRATIC * L**2 by default (attention grows with the square).
 
+Rows that repeat an id and a text are spread over the shards. Shards bound a task's memory; best fit over all pieces at once
+would save a fraction of the cost that the README states with figures.
+
 Defined results: null or wordless texts give one piece of 0 words with bin_id null, bin_size 0; null ids are dealt by
 content; repeated rows are packed as often as they occur; ties in length are ordered by id and piece; an empty table
 gives no rows. Extra columns do not matter; with_text keeps the pieces' text.
@@ -23,6 +26,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -82,12 +86,29 @@ def pack(sizes: Sequence[int], lengths: Sequence[int] = LENGTHS, price: Callable
     return bins, offsets, [final[b] for b in bins]
 
 
-def _cut(largest: int, with_text: bool, with_id):
-    schema = pa.schema([("doc_id", with_id), ("piece", pa.int64()), ("word_start", pa.int64()), ("n_words", pa.int64()), ("h", pa.int64())] + [("text", pa.string())] * with_text)
+def _repeats(h: np.ndarray, seen: dict[int, int]) -> np.ndarray:
+    """How often a task has met each row's hash before, for hashes that a batch has repeated; seen holds only those."""
+    order = np.argsort(h, kind="stable")
+    first = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]]) if len(h) else np.zeros(0, np.int64)
+    times = np.diff(np.r_[first, len(h)])
+    out = np.empty(len(h), np.int64)
+    out[order] = np.arange(len(h)) - np.repeat(first, times)
+    for at, k in zip(first.tolist(), times.tolist(), strict=True):
+        value = int(h[order[at]])
+        if k > 1 or value in seen:
+            out[order[at : at + k]] += seen.get(value, 0)
+            seen[value] = seen.get(value, 0) + k
+    return out
+
+
+def _cut(largest: int, with_text: bool):
+    names = ["doc_id", "piece", "word_start", "n_words", "h", "repeat"] + ["text"] * with_text
 
     def run(batches):
+        seen: dict[int, int] = {}
         for batch in batches:
             offsets, data = as_bytes(batch.column("text"))
+            repeat = _repeats(batch.column("h").to_numpy(), seen)
             for a, b, offs, part in blocks(offsets, data):
                 starts, _, before = word_spans(offs, part)
                 n = np.diff(before)
@@ -95,7 +116,8 @@ def _cut(largest: int, with_text: bool, with_id):
                 row = np.repeat(np.arange(b - a), parts)
                 piece = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
                 word = piece * largest
-                out = [batch.column("doc_id").take(pa.array(row + a)), pa.array(piece), pa.array(word), pa.array(np.minimum(largest, n[row] - word)), batch.column("h").take(pa.array(row + a))]
+                at = pa.array(row + a)
+                out = [batch.column("doc_id").take(at), pa.array(piece), pa.array(word), pa.array(np.minimum(largest, n[row] - word)), batch.column("h").take(at), pa.array(repeat[row + a])]
                 if with_text:
                     lo = np.where(piece == 0, offs[row], starts[np.minimum(before[row] + word, max(len(starts) - 1, 0))] if len(starts) else offs[row])
                     ends = np.append(lo[1:], offs[-1])
@@ -103,14 +125,14 @@ def _cut(largest: int, with_text: bool, with_id):
                     hi = np.where(last, offs[row + 1], ends)
                     raw = part.tobytes()
                     out.append(pa.array([raw[i:j].decode("utf-8") for i, j in zip(lo.tolist(), hi.tolist(), strict=True)], pa.string()))
-                yield pa.RecordBatch.from_arrays(out, schema=schema)
+                yield pa.RecordBatch.from_arrays(out, names=names)
 
     return run
 
 
 def _pack_shard(lengths):
     def run(table: pa.Table) -> pa.Table:
-        order = pa.compute.sort_indices(table, sort_keys=[("doc_id", "ascending"), ("h", "ascending"), ("piece", "ascending")])
+        order = pc.sort_indices(table, sort_keys=[("doc_id", "ascending"), ("h", "ascending"), ("piece", "ascending")])
         table = table.take(order)
         n = table.column("n_words").to_numpy()
         some = np.flatnonzero(n > 0)
@@ -118,7 +140,7 @@ def _pack_shard(lengths):
         shard = table.column("shard").to_numpy()
         bin_id, offset, size = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
         bin_id[some], offset[some], size[some] = shard[some] * (1 << 32) + np.array(bins, np.int64), offsets, final
-        keep = [c for c in table.column_names if c not in ("shard", "h")]
+        keep = [c for c in table.column_names if c not in ("shard", "h", "repeat")]
         return pa.table([*(table.column(c) for c in keep), pa.array(bin_id, mask=n == 0), pa.array(offset, mask=n == 0), pa.array(size)], names=[*keep, "bin_id", "bin_offset", "bin_size"])
 
     return run
@@ -133,8 +155,8 @@ def pack_documents(docs: DataFrame, lengths: Sequence[int] = LENGTHS, shard: int
     shards = max(1, -(-int(pieces) // shard))
     id_type = rows.schema["doc_id"].dataType.simpleString()
     body = ", text string" if with_text else ""
-    cut = rows.withColumn("h", F.xxhash64("doc_id", "text")).mapInArrow(
-        _cut(largest, with_text, pa.string() if id_type == "string" else pa.int64()), f"doc_id {id_type}, piece long, word_start long, n_words long, h long{body}"
-    )
-    dealt = cut.withColumn("shard", F.pmod(F.xxhash64("h", "piece"), F.lit(shards)))
+    cut = rows.withColumn("h", F.xxhash64("doc_id", "text")).mapInArrow(_cut(largest, with_text), f"doc_id {id_type}, piece long, word_start long, n_words long, h long, repeat long{body}")
+    # rows that repeat an id and a text are dealt by their task and place too, so that no shard gets all of them
+    again = F.when(F.col("repeat") > 0, F.spark_partition_id()).otherwise(-1)
+    dealt = cut.withColumn("shard", F.pmod(F.xxhash64("h", "piece", "repeat", again), F.lit(shards)))
     return dealt.groupBy("shard").applyInArrow(_pack_shard(tuple(lengths)), f"doc_id {id_type}, piece long, word_start long, n_words long{body}, bin_id long, bin_offset long, bin_size long")
