@@ -1,14 +1,16 @@
 """Audio columns: lossless 8-bit WAV storage and log-mel features as fixed-shape tensors with time spans.
 
-``store`` writes a media table (id, WAV bytes) to the shared folder; ``audio_features`` reads media bytes back and gives, per row, chunks of
-CHUNK frames: start and end in seconds and a CHUNK x BANDS tensor (zero-padded at the end), and the active segments.
+``store`` writes a media table (id, WAV bytes) to the shared folder. ``audio_features`` reads media bytes back and writes feature archives there:
+Arrow streams with a row for each chunk of CHUNK frames, whose tensor column is of the canonical fixed-shape type (CHUNK x BANDS
+float32, zero-padded at the end), with its start and end in seconds and the document's active segments and digests. The archives are
+listed in a manifest table. ``read_chunks`` and ``read_digests`` read them, batch by batch.
 
 * resampling: polyphase, RATE * UP / DOWN, one windowed-sinc filter of TAPS taps a phase, computed in blocks;
 * frames: FRAME samples every HOP (overlapping), Hann window, power spectrum, triangular mel bands, natural log;
 * segments: frames whose level passes ``high`` open a segment, which lasts while the level stays above ``low``
   (hysteresis; both in dB below the loudest frame).
 
-``tensors`` turns the chunks into an Arrow fixed-shape tensor array. Defined results: a null or empty payload is 64 zero
+Defined results: a null or empty payload is 64 zero
 bytes; equal payloads give equal media and features; null and repeated ids and other columns pass through; an empty table gives
 no rows. Memory follows the batch and one row's samples in blocks of BLOCK.
 """
@@ -17,7 +19,9 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 import zlib
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -25,7 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.plans.shared import bound_batches, fresh_path
+from lattica.plans.shared import bound_batches, fresh_path, materialize
+
+from .storage import open_input, open_output
 
 RATE, UP, DOWN, TAPS = 8000, 3, 4, 8
 FRAME, HOP, BANDS, CHUNK = 256, 128, 32, 32
@@ -141,11 +147,6 @@ def features(samples: bytes) -> tuple[np.ndarray, np.ndarray, list[tuple[float,
     return tensor.reshape(chunks, CHUNK, BANDS), spans, [(a * step, (b - 1) * step + FRAME / rate) for a, b in segments(level)]
 
 
-def feature_string(tensor: np.ndarray, spans: np.ndarray, active: list[tuple[float, float]]) -> str:
-    head = f"chunks={len(tensor)};seconds={spans[-1, 1]:.3f};mean={tensor.mean(dtype=np.float64):.3f};tensor={hashlib.sha256(tensor.tobytes()).hexdigest()[:16]}"
-    return f"{head};active=" + ",".join(f"{a:.3f}-{b:.3f}" for a, b in active)
-
-
 def store(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """A written media table: doc_id, n_bytes, media (WAV of the padded UTF-8 text)."""
     bound_batches(docs.sparkSession)
@@ -165,62 +166,145 @@ def store(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     return docs.sparkSession.read.schema(stored.schema).parquet(path)
 
 
-CHUNKS = "array<struct<start:double,end:double,tensor:array<float>>>"
+ROLL = 1 << 14  # chunks in an archive
+ROWS = 1024  # chunks in a record batch
+TENSOR = pa.fixed_shape_tensor(pa.float32(), [CHUNK, BANDS])
+_SPAN = [("start", pa.float64()), ("end", pa.float64())]
+_DIGEST = [("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string())]
+
+
+def _archive_schema(doc_id: pa.DataType) -> pa.Schema:
+    return pa.schema([("row", pa.int64()), ("doc_id", doc_id), *_DIGEST, ("active", pa.list_(pa.struct(_SPAN))), *_SPAN, ("tensor", TENSOR)])
 
 
-def _run_features(digests: bool):
+def _write_features(folder: str):
     def run(batches):
+        sink = writer = None
+        path, chunks, docs = "", 0, 0
+        held: list[tuple] = []
+
+        def put() -> None:
+            """The held documents as one record batch."""
+            row, ids, digests, tensors, spans, active = zip(*held, strict=True)
+            times = [len(x) for x in tensors]
+            at = pa.array(np.repeat(np.arange(len(held)), times))
+            flat = pa.array(np.concatenate(tensors).reshape(-1))
+            storage = pa.FixedSizeListArray.from_arrays(flat, CHUNK * BANDS)
+            both = np.concatenate(spans)
+            columns = [pa.array(row, pa.int64()).take(at), pa.concat_arrays(ids).take(at)]
+            columns += [pa.array([x[i] for x in digests], kind).take(at) for i, (_, kind) in enumerate(_DIGEST)]
+            columns.append(pa.array([[dict(start=a, end=b) for a, b in x] for x in active], pa.list_(pa.struct(_SPAN))).take(at))
+            columns += [pa.array(both[:, 0]), pa.array(both[:, 1]), pa.ExtensionArray.from_storage(TENSOR, storage)]
+            writer.write_batch(pa.RecordBatch.from_arrays(columns, schema=writer_schema))
+            held.clear()
+
+        def close() -> pa.RecordBatch:
+            writer.close()
+            sink.close()
+            return pa.RecordBatch.from_pylist([{"path": path, "documents": docs, "chunks": chunks}], _MANIFEST)
+
         for batch in batches:
-            rows = []
-            for stored in batch.column("media"):
+            ids, sizes = batch.column("doc_id"), batch.column("n_bytes")
+            for k, stored in enumerate(batch.column("media")):
                 stored = stored.as_buffer().to_pybytes()
                 samples, _ = samples_of(stored)
                 tensor, spans, active = features(samples)
-                if digests:
-                    rows.append(
-                        {
-                            "payload_bytes": len(samples),
-                            "payload_sha256": hashlib.sha256(samples).hexdigest(),
-                            "tail_crc32": zlib.crc32(samples[-PAD:]),
-                            "media_bytes": len(stored),
-                            "media_sha256": hashlib.sha256(stored).hexdigest(),
-                            "feature": feature_string(tensor, spans, active),
-                        }
-                    )
-                else:
-                    rows.append(
-                        {
-                            "chunks": [{"start": float(a), "end": float(b), "tensor": t.reshape(-1)} for (a, b), t in zip(spans, tensor, strict=True)],
-                            "active": [{"start": a, "end": b} for a, b in active],
-                        }
-                    )
-            kept = batch.schema.get_all_field_indices("doc_id") + batch.schema.get_all_field_indices("n_bytes")
-            out = pa.Table.from_pylist(rows, _DIGEST if digests else _TENSOR)
-            yield from pa.table([*(batch.column(i) for i in kept), *out.columns], names=["doc_id", "n_bytes", *out.column_names]).to_batches()
+                if writer is None:
+                    path, chunks, docs = f"{folder}/part-{uuid.uuid4().hex}.arrow", 0, 0
+                    sink, writer_schema = open_output(path), _archive_schema(ids.type)
+                    writer = pa.ipc.new_stream(sink, writer_schema, options=pa.ipc.IpcWriteOptions(compression="zstd"))
+                digest = (sizes[k].as_py(), len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-PAD:]), len(stored), hashlib.sha256(stored).hexdigest())
+                held.append((docs, ids.slice(k, 1), digest, tensor, spans, active))
+                docs, chunks = docs + 1, chunks + len(tensor)
+                if chunks // ROWS > (chunks - len(tensor)) // ROWS:
+                    put()
+                if chunks >= ROLL:
+                    if held:
+                        put()
+                    yield close()
+                    writer = None
+            if held:  # their ids belong to this batch
+                put()
+        if writer is not None:
+            yield close()
 
     return run
 
 
-_DIGEST = pa.schema([("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
-_SPAN = [("start", pa.float64()), ("end", pa.float64())]
-_TENSOR = pa.schema([("chunks", pa.list_(pa.struct([*_SPAN, ("tensor", pa.list_(pa.float32()))]))), ("active", pa.list_(pa.struct(_SPAN)))])
+_MANIFEST = pa.schema([("path", pa.string()), ("documents", pa.int64()), ("chunks", pa.int64())])
 
 
 def audio_features(media: DataFrame) -> DataFrame:
-    """media (doc_id, n_bytes, media) -> doc_id, n_bytes, chunks (start, end, tensor), active (start, end)."""
-    kind = media.schema["doc_id"].dataType.simpleString()
-    return media.mapInArrow(_run_features(False), f"doc_id {kind}, n_bytes long, chunks {CHUNKS}, active array<struct<start:double,end:double>>")
+    """media (doc_id, n_bytes, media) -> the written manifest of its feature archives: path, documents, chunks."""
+    folder = fresh_path(media.sparkSession, "audio")
+    return materialize(media.select("doc_id", "n_bytes", "media").mapInArrow(_write_features(folder), "path string, documents long, chunks long"), "audio-manifest")
 
 
-def audio_digests(media: DataFrame) -> DataFrame:
-    """The same features as one string a row, with sizes and digests of what was read back."""
-    kind = media.schema["doc_id"].dataType.simpleString()
-    columns = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return media.mapInArrow(_run_features(True), f"doc_id {kind}, n_bytes long, {columns}")
+def open_archive(path: str) -> Iterator[pa.RecordBatch]:
+    """Record batches of one feature archive."""
+    with open_input(path) as source, pa.ipc.open_stream(source) as reader:
+        yield from reader
 
 
-def tensors(chunks: pa.Array) -> pa.FixedShapeTensorArray:
-    """The tensors of a chunks column (as Spark gives it to Arrow) as a fixed-shape tensor array, one value a chunk."""
-    flat = pa.array(chunks.flatten().field("tensor").flatten(), pa.float32())
-    kind = pa.fixed_shape_tensor(pa.float32(), [CHUNK, BANDS])
-    return pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(flat, CHUNK * BANDS))
+def _read(manifest: DataFrame, rows, schema: str) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                yield from rows(open_archive(path))
+
+    return manifest.repartition(max(1, manifest.count()), "path").select("path").mapInArrow(run, schema)
+
+
+def read_chunks(manifest: DataFrame, doc_id: str = "long") -> DataFrame:
+    """doc_id, start, end, tensor (CHUNK * BANDS numbers) of every chunk; doc_id: the Spark type of the ids."""
+
+    def rows(batches):
+        for b in batches:
+            storage = b.column("tensor").storage
+            offsets = pa.array(np.arange(0, (len(b) + 1) * CHUNK * BANDS, CHUNK * BANDS, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), b.column("end"), pa.ListArray.from_arrays(offsets, storage.flatten())], names=["doc_id", "start", "end", "tensor"])
+
+    return _read(manifest, rows, f"doc_id {doc_id}, start double, end double, tensor array<float>")
+
+
+def _described(batches):
+    """Documents of an archive, each from all its chunks, which may go on in the next batch."""
+    names = [n for n, _ in _DIGEST]
+    now = None  # [row, id, digests, chunks, sum, sha, last end, active]
+
+    def out(docs):
+        feature = [
+            f"chunks={n};seconds={end:.3f};mean={total / (n * CHUNK * BANDS):.3f};tensor={sha.hexdigest()[:16]};active=" + ",".join(f"{x['start']:.3f}-{x['end']:.3f}" for x in active)
+            for _, _, _, n, total, sha, end, active in docs
+        ]
+        columns = [pa.array([d[2][i] for d in docs], kind) for i, (_, kind) in enumerate(_DIGEST)]
+        return pa.RecordBatch.from_arrays([pa.concat_arrays([d[1] for d in docs]), *columns, pa.array(feature)], names=["doc_id", *names, "feature"])
+
+    for batch in batches:
+        docs = []
+        row = batch.column("row").to_numpy()
+        flat = batch.column("tensor").storage.flatten().to_numpy().reshape(len(row), -1)
+        first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+        sums = np.add.reduceat(flat.sum(1, dtype=np.float64), first)
+        ends = batch.column("end").to_numpy()
+        digests = list(zip(*(batch.column(n).take(pa.array(first)).to_pylist() for n in names), strict=True))
+        actives = batch.column("active").take(pa.array(first)).to_pylist()
+        for k, (a, b) in enumerate(zip(first.tolist(), np.r_[first[1:], len(row)].tolist(), strict=True)):
+            if now is None or now[0] != row[a]:
+                if now is not None:
+                    docs.append(now)
+                now = [int(row[a]), batch.column("doc_id").slice(a, 1), digests[k], 0, 0.0, hashlib.sha256(), 0.0, actives[k]]
+            now[3] += b - a
+            now[4] += float(sums[k])
+            now[5].update(flat[a:b])
+            now[6] = float(ends[b - 1])
+        if docs:
+            yield out(docs)
+    if now is not None:
+        yield out([now])
+
+
+def read_digests(manifest: DataFrame, doc_id: str = "long") -> DataFrame:
+    """doc_id, sizes and digests of what was read back, and the tensors read back as one string; doc_id: the Spark type of the ids."""
+    columns = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    return _read(manifest, _described, f"doc_id {doc_id}, {columns}")

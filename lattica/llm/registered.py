@@ -31,7 +31,8 @@ FROM d WINDOW w AS (PARTITION BY norm)
 
 
 def op3_audio_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.audio_digests(media.store(table(spark, sf_dir, "documents")))
+    stored = media.store(table(spark, sf_dir, "documents"))
+    return media.read_digests(media.audio_features(stored), stored.schema["doc_id"].dataType.simpleString())
 
 
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

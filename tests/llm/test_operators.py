@@ -175,19 +175,84 @@ def test_packed_documents_are_whole(docs, empty):
 # ------------------------------------------------------------------------------------------------ media
 
 
-def test_audio_round_trip_and_digests(docs, empty):
-    got = rows_of(media.audio_digests(media.store(docs)))
+def plain_feature(samples):
+    """The feature string of padded bytes by direct sums: every output of the filter, every frame, every segment by itself."""
+    up, down, taps = media.UP, media.DOWN, media.TAPS
+    signal = (np.frombuffer(samples, np.uint8) - 128.0) / 128.0
+    half = taps * up // 2
+    t = np.arange(-half, half + 1)
+    h = up / max(up, down) * np.sinc(t / max(up, down)) * np.hamming(len(t))
+    y = np.zeros(-(-len(signal) * up // down))
+    for m in range(len(y)):  # output m stands at m * down on the grid of zero-stuffed inputs
+        for i in range(max(0, (m * down - half) // up), min(len(signal), (m * down + half) // up + 1)):
+            k = m * down - i * up + half
+            if 0 <= k < len(h):
+                y[m] += signal[i] * h[k]
+    frames = max(1, -(-max(0, len(y) - media.FRAME) // media.HOP) + 1)
+    mels, level = [], []
+    for f in range(frames):
+        part = np.zeros(media.FRAME)
+        cut = y[f * media.HOP : f * media.HOP + media.FRAME]
+        part[: len(cut)] = cut
+        part = part * np.hanning(media.FRAME + 1)[:-1]
+        mels.append(np.round(np.log(np.abs(np.fft.rfft(part)) ** 2 @ media._mel() + 1e-6), 3))
+        level.append(round(10 * math.log10((part**2).sum() + 1e-9), 3))
+    step, rate = media.HOP * down / up / media.RATE, media.RATE * up / down
+    active, f = [], 0
+    while f < frames:
+        g = f
+        while g < frames and level[g] >= max(level) - media.LOW:
+            g += 1
+        if g > f and max(level[f:g]) >= max(level) - media.HIGH:
+            active.append(f"{f * step:.3f}-{(g - 1) * step + media.FRAME / rate:.3f}")
+        f = max(g, f + 1)
+    chunks = -(-frames // media.CHUNK)
+    tensor = np.zeros((chunks * media.CHUNK, media.BANDS), np.float32)
+    tensor[:frames] = mels
+    return chunks, (frames - 1) * step + media.FRAME / rate, tensor, ",".join(active)
+
+
+def audio_rows(docs):
+    stored = media.store(docs)
+    return rows_of(media.read_digests(media.audio_features(stored), stored.schema["doc_id"].dataType.simpleString()))
+
+
+def test_audio_round_trip_and_digests(docs, empty, monkeypatch):
+    monkeypatch.setattr(media, "ROWS", 4)
+    monkeypatch.setattr(media, "ROLL", 16)
+    got = audio_rows(docs.withColumns({"media": F.lit("x"), "row": F.lit(1), "n_bytes": F.lit(2)}))
     want = collections.Counter()
     for i, t, *_ in ROWS:
         raw = (t or "").encode()
         full = media.pad(raw)
-        want[(i, len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-64:]))] += 1
-    assert collections.Counter((r["doc_id"], r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) for r in got) == want
+        stored = media.wav(full)
+        want[(i, len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-64:]), len(stored), hashlib.sha256(stored).hexdigest())] += 1
+    names = ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256")
+    assert collections.Counter(tuple(r[c] for c in names) for r in got) == want
     by_text = collections.defaultdict(set)
     for r in got:
-        by_text[r["payload_sha256"]].add((r["feature"], r["media_sha256"], r["media_bytes"]))
+        by_text[r["payload_sha256"]].add(r["feature"])
     assert all(len(x) == 1 for x in by_text.values())
-    assert media.audio_digests(media.store(empty)).count() == 0
+    for t in {t for _, t, *_ in ROWS}:
+        full = media.pad((t or "").encode())
+        chunks, seconds, tensor, active = plain_feature(full[:4096] if len(full) > 9000 else full)
+        if len(full) > 9000:
+            chunks, seconds, tensor, active = [(len(x), s[-1, 1], x.reshape(-1, media.BANDS), ",".join(f"{a:.3f}-{b:.3f}" for a, b in y)) for x, s, y in [media.features(full)]][0]
+        (feature,) = by_text[hashlib.sha256(full).hexdigest()]
+        told = dict(x.split("=") for x in feature.split(";"))
+        assert (int(told["chunks"]), told["seconds"], told["active"]) == (chunks, f"{seconds:.3f}", active)
+        assert float(told["mean"]) == pytest.approx(tensor.mean(dtype=np.float64), abs=2e-3)
+    assert audio_rows(empty) == []
+
+
+def test_features_equal_direct_sums():
+    for text in ("", "short", "The quick brown fox. " * 90, "\0" * 3000 + "zzz~~~" * 400):
+        full = media.pad(text.encode())
+        tensor, spans, active = media.features(full)
+        chunks, seconds, plain, segments = plain_feature(full)
+        assert len(tensor) == chunks and spans[-1, 1] == pytest.approx(seconds)
+        assert np.abs(tensor.reshape(plain.shape) - plain).max() < 2e-3
+        assert ",".join(f"{a:.3f}-{b:.3f}" for a, b in active) == segments
 
 
 def test_resampling_keeps_a_tone_and_spans_are_times():
@@ -214,11 +279,23 @@ def test_log_mel_against_plain_frames_and_segments():
     assert len(level) == len(mels)
 
 
-def test_tensors_are_fixed_shape(docs):
-    table = media.audio_features(media.store(docs.filter("doc_id < 4"))).toArrow()
-    tensors = media.tensors(table.column("chunks").combine_chunks())
-    assert tensors.type.shape == [media.CHUNK, media.BANDS] and len(tensors) == sum(len(x) for x in table.column("chunks").to_pylist())
-    assert all(c["start"] < c["end"] for x in table.column("chunks").to_pylist() for c in x)
+def test_archives_hold_fixed_shape_tensors(docs):
+    few = docs.filter("doc_id < 10")
+    manifest = media.audio_features(media.store(few))
+    chunks = 0
+    for r in rows_of(manifest):
+        for b in media.open_archive(r["path"]):
+            assert isinstance(b.column("tensor"), pa.FixedShapeTensorArray) and b.column("tensor").type.shape == [media.CHUNK, media.BANDS]
+            chunks += len(b)
+    assert chunks == sum(r["chunks"] for r in rows_of(manifest)) and few.count() == sum(r["documents"] for r in rows_of(manifest))
+    back = collections.defaultdict(list)
+    for r in rows_of(media.read_chunks(manifest)):
+        assert r["start"] < r["end"]
+        back[r["doc_id"]].append((r["start"], np.array(r["tensor"], np.float32)))
+    for i, t, *_ in ROWS:
+        if i is not None and i < 9:
+            tensor, _, _ = media.features(media.pad((t or "").encode()))
+            assert np.array_equal(np.stack([x for _, x in sorted(back[i], key=lambda y: y[0])]), tensor.reshape(len(tensor), -1))
 
 
 # ------------------------------------------------------------------------------------------------ html
