@@ -1,7 +1,7 @@
 """Sentence analysis as DataFrame operators: one stage from scan to tokens, no exchange.
 
 The model goes to the executors once, as a broadcast of fixed size (``Model.size`` is checked against LIMIT; larger dictionaries use
-``operators.candidates``). Each Arrow batch is decoded in blocks of about BLOCK bytes of sentences.
+``operators.relational``). Each Arrow batch is decoded in blocks of about BLOCK bytes of sentences.
 
 Null sentences are empty; an empty or blank sentence has no tokens.
 """
@@ -31,7 +31,7 @@ class _Decoder:
 
     def __init__(self, spark: SparkSession, model: Model):
         if model.size > LIMIT:
-            raise ValueError("the dictionary is too large to send to every executor; use operators.candidates")
+            raise ValueError("the dictionary is too large to send to every executor; use operators.relational")
         self.shared = spark.sparkContext.broadcast(model)
         self.key = uuid.uuid4().hex
 
@@ -298,10 +298,10 @@ def alternatives(nodes: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def register_sql(spark: SparkSession, model: Model, name: str = "morph_tokenize") -> None:
-    """A table function for SQL: SELECT ... FROM t, LATERAL morph_tokenize(t.sentence)."""
+    """A table function for SQL: SELECT ... FROM t, LATERAL morph_tokenize(t.sentence). A call is one sentence; tokenize decodes blocks of them at once."""
     from pyspark.sql.functions import udtf
 
-    shared = spark.sparkContext.broadcast(model)
+    shared = _Decoder(spark, model).shared  # checks the size
 
     @udtf(returnType="tok_idx: int, surface: string, feature: string, start: int, stat: int, cost: long")
     class Tokenize:

@@ -40,6 +40,20 @@ def apply_patch(rows: DataFrame, minus: DataFrame, plus: DataFrame) -> DataFrame
     return rows.exceptAll(minus).unionAll(plus)
 
 
+def apply_hunks(rows: DataFrame, hunks: DataFrame) -> DataFrame:
+    """rows (line_no, line) with hunks (line_no, removed, added: lines put after that one) applied in place: line_no, line, numbered anew from 0.
+
+    The numbering counts the lines before in ranges of line numbers, so it is one file's work only inside a range."""
+    both = rows.join(hunks, "line_no", "left")
+    old = F.when(F.coalesce("removed", F.lit(False)), F.array().cast("array<string>")).otherwise(F.array("line"))
+    kept = both.select("line_no", F.posexplode(F.concat(old, F.coalesce("added", F.array().cast("array<string>")))).alias("k", "line"))
+    span = F.expr("line_no div 65536")
+    before = kept.groupBy(span.alias("span")).agg(F.count("*").alias("n"))
+    before = before.select("span", (F.sum("n").over(Window.orderBy("span")) - F.col("n")).alias("before"))  # a row per 65,536 lines
+    place = F.row_number().over(Window.partitionBy("span").orderBy("line_no", "k")) - 1
+    return kept.withColumn("span", span).withColumn("place", place).join(F.broadcast(before), "span").select((F.col("before") + F.col("place")).cast("int").alias("line_no"), "line")
+
+
 def override_costs(entries: DataFrame, costs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Word costs replaced where an override (keys, new_cost) exists."""
     return entries.join(costs.select(*keys, "new_cost"), list(keys), "left").withColumn("word_cost", F.coalesce("new_cost", "word_cost")).drop("new_cost")
@@ -55,6 +69,18 @@ def first_id(ids: DataFrame, pattern: Column) -> DataFrame:
     return ids.filter(pattern).agg(F.min("id").alias("id"))
 
 
+def override_first(matrix: DataFrame, right_ids: DataFrame, left_ids: DataFrame, rules: Sequence[tuple[Column, Column, int]]) -> DataFrame:
+    """A matrix with the cost of each rule (condition on right features, on left features, cost) at the first ids that match; the last rule of a cell counts."""
+    new = None
+    for k, (right, left, cost) in enumerate(rules):
+        one = first_id(right_ids, right).select(F.col("id").alias("right_ctx")).crossJoin(first_id(left_ids, left).select(F.col("id").alias("left_ctx"))).withColumns({"new_cost": F.lit(cost), "k": F.lit(k)})  # one row
+        new = one if new is None else new.unionByName(one)
+    if new is None:
+        return matrix
+    last = new.filter("right_ctx is not null and left_ctx is not null").groupBy("right_ctx", "left_ctx").agg(F.max_by("new_cost", "k").alias("new_cost"))
+    return override_connections(matrix, last)
+
+
 def classify_names(tokens: DataFrame, places: DataFrame, persons: DataFrame, place: str = "place", person: str = "person") -> DataFrame:
     """Class of each surface: a place if it is one, else a person."""
     t = tokens.join(places.select("surface", F.lit(place).alias("a")).distinct(), "surface", "left").join(persons.select("surface", F.lit(person).alias("b")).distinct(), "surface", "left")
@@ -103,13 +129,54 @@ def edit(lexicon: DataFrame, chosen: Column, change, apply: bool) -> DataFrame:
     return lexicon.filter(~F.coalesce(chosen, F.lit(False))).unionByName(changed) if apply else changed
 
 
-def pair_costs(words: DataFrame, keys: Sequence[str], word: str = "w", order: str = "i", factor: float = 200.0, vocabulary: int | None = None) -> DataFrame:
-    """left, right, cost of neighbouring words: add-half smoothed negative log conditional frequency of the pairs that occur."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    pairs = words.select(F.col(word).alias("left"), F.lead(word).over(w).alias("right")).filter("right is not null").groupBy("left", "right").agg(F.count("*").alias("n"))
+def available(lexicon: DataFrame) -> DataFrame:
+    """Rows of an authoring table that are switched on."""
+    return lexicon.filter("is_available")
+
+
+def tags(lexicon: DataFrame) -> DataFrame:
+    """The distinct pairs of part of speech and class."""
+    return lexicon.select("pos", "semantic_class").distinct()
+
+
+def sorted_unique(lines: DataFrame) -> DataFrame:
+    """Distinct lines in byte order."""
+    return lines.distinct().orderBy(*lines.columns)
+
+
+def ranked(lexicon: DataFrame, group: str = "pos", order: str = "surface") -> DataFrame:
+    """Adds rank: the place of an entry in its group by surface, from 1."""
+    return lexicon.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(order)))
+
+
+def neighbours(rows: DataFrame, items: str) -> DataFrame:
+    """left, right, n of neighbouring items of an array column, paired inside the row."""
+    a = F.col(items)
+    some = F.greatest(F.size(a) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(a, F.lit(1), some), F.slice(a, F.lit(2), some), lambda x, y: F.struct(x.alias("left"), y.alias("right")))
+    return rows.select(F.explode(pairs).alias("p")).select("p.left", "p.right").groupBy("left", "right").agg(F.count("*").alias("n"))
+
+
+def pair_costs(sentences: DataFrame, text: str = "sentence", factor: float = 200.0, vocabulary: int | None = None) -> DataFrame:
+    """left, right, n, cost of neighbouring blank-separated words: add-half smoothed negative log conditional frequency of the pairs that occur.
+
+    Pairs are made inside a sentence's array, so only counts move. The vocabulary is counted from the pairs and the words of lone sentences unless given."""
+    words = sentences.select(F.filter(F.split(text, " "), lambda w: w != "").alias("w"))
+    n = vocabulary if vocabulary is not None else words.select(F.explode("w").alias("w")).distinct().count()
+    return pair_matrix(neighbours(words, "w"), n, factor)
+
+
+def pair_matrix(pairs: DataFrame, words: DataFrame | int, factor: float = 200.0) -> DataFrame:
+    """left, right, n, cost of counted pairs (left, right, n). With a table of words (w) for the vocabulary's size, unseen pairs are filled in: its rows are all pairs."""
+    if isinstance(words, int):
+        kinds, rows = F.lit(words), pairs
+    else:
+        w = words.select("w").distinct()
+        kinds = F.lit(w.count())
+        rows = w.select(F.col("w").alias("left")).crossJoin(w.select(F.col("w").alias("right"))).join(pairs, ["left", "right"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     first = pairs.groupBy("left").agg(F.sum("n").alias("n_left"))
-    n = vocabulary if vocabulary is not None else words.select(word).distinct().count()
-    return pairs.join(first, "left").select("left", "right", "n", log_cost((F.col("n") + 0.5) / (F.col("n_left") + 0.5 * n), factor).alias("cost"))
+    cost = log_cost((F.col("n") + 0.5) / (F.coalesce("n_left", F.lit(0)) + 0.5 * kinds), factor)
+    return rows.join(first, "left", "left").select("left", "right", *(["n"] if isinstance(words, int) else []), cost.alias("cost"))
 
 
 def word_costs(words: DataFrame, word: str = "w", factor: float = 200.0) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lattica.functions.columns import csv_fields, quantized_cost, quote_field
 from lattica.operators.rewrite import Rule, pos_id, rewrite, template_column
 from lattica.plans.model import EngineConf, Model
+from lattica.plans.shared import materialize
 
 
 def compile_entries(entries: DataFrame, pos_rules: Sequence[tuple[str, int]] = (), node_format: str | None = None, wakati: bool = False) -> DataFrame:
@@ -35,9 +36,10 @@ def violations(entries: DataFrame, lsize: int, rsize: int) -> DataFrame:
 def context_ids(features: DataFrame, column: str, bos: str) -> DataFrame:
     """id, feature: the begin and end of sentences is 0, distinct contexts follow from 1 in byte order.
 
-    The numbering is a count of smaller contexts in range partitions: a sort, then offsets of partition counts, so no single task sees all."""
+    The numbering is a count of smaller contexts in range partitions: a sort, then offsets of partition counts, so no single task sees all.
+    The ranges are written before they are counted, so both branches see the same ones."""
     distinct = features.filter(F.col(column).isNotNull() & (F.col(column) != bos)).select(F.col(column).alias("feature")).distinct()
-    ranged = distinct.repartitionByRange("feature").withColumn("part", F.spark_partition_id())
+    ranged = materialize(distinct.repartitionByRange("feature").withColumn("part", F.spark_partition_id()), "context-ranges")
     place = F.row_number().over(Window.partitionBy("part").orderBy("feature"))
     low = ranged.groupBy("part").agg(F.count("*").alias("n"))
     before = low.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # a row per partition

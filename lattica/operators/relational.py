@@ -45,13 +45,16 @@ def heads(with_runs: DataFrame, keys: Sequence[str], space_mask: int) -> DataFra
     return with_runs.withColumn("head_ci", F.min(F.when(F.col("type_mask").bitwiseAND(F.lit(space_mask)) == 0, F.col("ci"))).over(w))
 
 
-def prefix_matches(sentences: DataFrame, lexicon: DataFrame, keys: Sequence[str], text: str = "sentence", longest: int | None = None) -> DataFrame:
-    """keys, ci, end_ci, surface, entry columns: every dictionary surface at every position, by an equi-join on substrings."""
-    if longest is None:
-        longest = lexicon.agg(F.max(F.char_length("surface"))).first()[0] or 0  # one number
+def prefix_matches(sentences: DataFrame, lexicon: DataFrame, keys: Sequence[str], text: str = "sentence", lengths: Sequence[int] | None = None) -> DataFrame:
+    """keys, ci, end_ci, surface, entry columns: every dictionary surface at every position, by an equi-join on the substrings of lengths that the dictionary has.
+
+    Only keys, positions and substrings move, never the sentences."""
+    if lengths is None:
+        lengths = [r[0] for r in lexicon.select(F.char_length("surface")).distinct().collect()]  # as many as the longest surface has characters
     n = F.char_length(text)
     starts = sentences.filter(n > 0).select(*keys, F.col(text), F.explode(F.sequence(F.lit(0), n - 1)).alias("ci"))
-    pieces = starts.select(*keys, "ci", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.char_length(text) - F.col("ci")))).alias("__n"), F.col(text))
+    wanted = F.array(*[F.lit(int(x)) for x in sorted(lengths) if x]) if any(lengths) else F.array().cast("array<int>")
+    pieces = starts.select(*keys, "ci", F.explode(F.filter(wanted, lambda x: x <= F.char_length(text) - F.col("ci"))).alias("__n"), F.col(text))
     cut = pieces.select(*keys, "ci", (F.col("ci") + F.col("__n")).alias("end_ci"), F.substring(F.col(text), F.col("ci") + 1, F.col("__n")).alias("surface"))
     return cut.join(lexicon, "surface")
 
@@ -98,10 +101,14 @@ def nodes(matches: DataFrame, unknown: DataFrame, unknown_entries: DataFrame, wi
 
 
 def edges(node_table: DataFrame, matrix: DataFrame, keys: Sequence[str], penalties: DataFrame | None = None) -> DataFrame:
-    """Pairs of adjacent nodes with the cost of the step: connection, word cost and the penalty of a leading blank."""
+    """Pairs of adjacent nodes with the cost of the step: connection, word cost and the penalty of a leading blank.
+
+    penalties: pos_id, penalty, and ord where a part of speech may stand there more than once; the first counts."""
     left = node_table.select(*keys, F.col("end_ci").alias("begin_ci"), F.col("begin_ci").alias("l_begin"), F.col("right_id").alias("right_ctx"), F.col("feature").alias("l_feature"))
     right = node_table
     if penalties is not None:
+        if "ord" in penalties.columns:
+            penalties = penalties.groupBy("pos_id").agg(F.min_by("penalty", "ord").alias("penalty"))
         right = right.join(penalties, "pos_id", "left").withColumn("penalty", F.when(F.col("start_ci") > F.col("begin_ci"), F.coalesce("penalty", F.lit(0))).otherwise(0))
     else:
         right = right.withColumn("penalty", F.lit(0))

@@ -162,3 +162,8 @@ def expand_templates(tokens: DataFrame, templates: Sequence[str], ufeature: str
     whole = {"t": F.col(char_type), "u": F.col(ufeature), "w": F.col(surface)}
     every = F.array(*[template_column(t, cells, whole) for t in templates])
     return tokens.withColumn("crf_feature", F.explode(F.filter(every, lambda x: x.isNotNull())))
+
+
+def frequent(tokens: DataFrame, freq: int, column: str = "crf_feature") -> DataFrame:
+    """column, n of the features that occur at least freq times."""
+    return tokens.groupBy(column).agg(F.count("*").alias("n")).filter(F.col("n") >= freq)

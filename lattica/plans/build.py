@@ -119,6 +119,11 @@ def read_binary_matrix(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw[4:], "<i2")[: left * right].reshape(right, left).T.astype(np.int64)
 
 
+def binary_matrix(matrix: np.ndarray) -> bytes:
+    """The compiled form of a matrix [right context, left context]."""
+    return np.array(matrix.shape, "<u2").tobytes() + np.ascontiguousarray(matrix.T).astype("<i2").tobytes()
+
+
 def system_eval(system: DataFrame, gold: DataFrame, levels: Sequence[int] = (0, -1)) -> DataFrame:
     """Report lines for two corpora (file lines parted by EOS)."""
     one = lambda d: readers.corpus(d.withColumn("file", F.lit("f")))

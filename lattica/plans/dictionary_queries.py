@@ -131,7 +131,10 @@ def lexicon_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return etl.base_form_only(p, 2).distinct()
 
 
-@query("ext_column_merge", f"{_LEX}, e AS (SELECT surface || ',' || left_id AS key, ' x' || length(surface) || ' ' AS ext FROM lex WHERE length(surface) % 3 = 0) SELECT lex.*, coalesce(trim(ext), '') AS ext FROM lex LEFT JOIN e ON key = surface || ',' || left_id")
+@query(
+    "ext_column_merge",
+    f"{_LEX}, k AS MATERIALIZED (SELECT *, surface || ',' || left_id AS key FROM lex), e AS MATERIALIZED (SELECT key, ' x' || length(surface) || ' ' AS ext FROM k WHERE length(surface) % 3 = 0) SELECT k.surface, k.left_id, k.word_cost, coalesce(trim(ext), '') AS ext FROM k LEFT JOIN e ON e.key = k.key",
+)
 def ext_column_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     lex = _lexicon(spark, sf_dir)
     e = lex.filter(F.char_length("surface") % 3 == 0).select(F.concat_ws(",", "surface", F.col("left_id").cast("string")).alias("key"), F.concat(F.lit(" x"), F.char_length("surface").cast("string"), F.lit(" ")).alias("ext"))
@@ -233,11 +236,31 @@ def eval_prf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.evaluate(*_system_and_gold(spark, sf_dir), ["doc_id", "sent_id"])
 
 
-@query("eval_report")
+@query("eval_report", f"SELECT level, CASE WHEN level < 0 THEN 'LEVEL ALL: ' ELSE 'LEVEL 0:    ' END || printf('%4.4f(%d/%d) %4.4f(%d/%d) %4.4f', precision, correct, n_system, recall, correct, n_gold, f) AS line FROM ({_EVAL})")
 def eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.report(eval_prf(spark, sf_dir))
 
 
+_CELLS = {"o": ("length(w) % 2", "length(w) % 3", "length(w) % 5", "unicode(w)"), "p": ("length(w) % 2", "length(w) % 4", "length(w) % 5", "unicode(w) + length(w) % 7 // 6")}
+_LEVELS = _EVAL[: _EVAL.index("k AS (")]
+for _side, _by in (("p", "length(w) % 3 AS f"), ("o", "length(w) % 2 AS f,")):
+    _LEVELS = _LEVELS.replace(_by, ", ".join(f"{c} AS f{i}" for i, c in enumerate(_CELLS[_side], 1)) + "," * _by.endswith(","))
+_SAME = ["p.w = o.w", *(f"p.f{i} = o.f{i}" for i in range(1, 5))]
+_LEVELS += "k AS (SELECT " + ", ".join(f"count(*) FILTER (WHERE {' AND '.join(_SAME[: i + 1])}) AS c{i}" for i in range(5)) + " FROM p JOIN o USING (doc_id, sent_id, st)), n AS (SELECT (SELECT count(*) FROM p) AS ns, (SELECT count(*) FROM o) AS ng) "
+_LEVELS += " UNION ALL ".join(f"SELECT {i} AS level, c{i} AS correct, ns AS n_system, ng AS n_gold FROM k, n" for i in range(5))
+
+
+@query("eval_levels", _LEVELS)
+def eval_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by the surface and the first one to four cells of the features."""
+    y, g = _system_and_gold(spark, sf_dir)
+    n = F.char_length("w")
+    text = lambda *cells: F.concat_ws(",", *[c.cast("string") for c in cells])
+    y = y.withColumn("feature", text(n % 2, n % 4, n % 5, F.ascii("w") + F.expr("char_length(w) % 7 div 6")))
+    g = g.withColumn("feature", text(n % 2, n % 3, n % 5, F.ascii("w")))
+    return evaluate.evaluate(y, g, ["doc_id", "sent_id"], (0, 1, 2, 3, 4)).select("level", "correct", "n_system", "n_gold")
+
+
 @query("corpus_scan", f"WITH l AS ({lines_sql('benchmark', 'item_id', 'text')}) SELECT item_id, CAST(unnest(range(len(w))) AS INTEGER) AS tok_idx, unnest(w) AS surface, 'F' AS feature FROM (SELECT item_id, list_filter(string_split(string_agg(sentence, ' ' ORDER BY sent_id), ' '), lambda x: x <> '') AS w FROM l GROUP BY item_id)")
 def corpus_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.array_join(F.transform(F.filter(F.split("text", "[ \n]"), lambda x: x != ""), lambda w: F.concat(w, F.lit("\tF"))), "\n"), F.lit("\nEOS"))
@@ -276,5 +299,5 @@ def crf_training(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = part_model(spark, sf_dir, pieces=True)
     tokens = table(spark, sf_dir, "part").select("p_partkey", F.posexplode(F.split("p_name", " ")).alias("tok_idx", "surface")).withColumn("feature", F.concat(F.lit("NOUN,"), F.char_length("surface").cast("string")))
     corpus = train.corpus_sentences(tokens, ["p_partkey"])
-    weights = train.train(corpus, m, {}, ["U0:%F[0]", "U1:%F[0],%F[1]"], ["B0:%L[0]/%R[0]"], steps=6)
+    weights = train.train(corpus, m, {}, ["U0:%F[0]", "U1:%F[0],%F[1]"], ["B0:%L[0]/%R[0]"])
     return spark.createDataFrame(sorted(weights.items()), "feature string, alpha double")

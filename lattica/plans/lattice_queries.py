@@ -10,18 +10,23 @@ from lattica.operators import format as fmt
 from lattica.operators import relational as R
 from lattica.plans.model import EngineConf
 from lattica.plans.registry import query
-from lattica.plans.shapes import CHARS, PENALTY, PIECE_SQL, UNKNOWN, lines_of, lines_sql, part_model, piece_lexicon, piece_model
+from lattica.plans.shapes import CHARS, MATRIX, PENALTY, PIECE_SQL, UNKNOWN, lines_of, lines_sql, part_model, piece_lexicon, piece_model
 from lattica.plans.shared import table
 from lattica.plans.text_queries import _classified, _definition, _runs_sql
 from lattica.sources import readers
 
 KEYS = ["item_id", "sent_id"]
+DOC_KEYS = ["doc_id", "sent_id"]
 
 
 def _benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines_of(spark, sf_dir, "benchmark", "item_id")
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decode.spread(lines_of(spark, sf_dir, "documents", "doc_id"))
+
+
 _POSITIONS = "p AS (SELECT item_id, sent_id, sentence, CAST(unnest(range(length(sentence))) AS INTEGER) AS ci FROM l WHERE sentence <> '')"
 
 
@@ -99,57 +104,93 @@ def space_penalty_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.edges(nodes, matrix, KEYS, penalties).groupBy("feature").agg(F.count("*").alias("n_edges"), F.sum("step_cost").alias("total"))
 
 
-def _path_sql(penalty: int, tail: str) -> str:
-    """Best costs by position in a list, character by character; candidates of one entry a surface and single unknown characters."""
-    return f"""WITH RECURSIVE {PIECE_SQL},
-s AS MATERIALIZED (SELECT item_id, sent_id, sentence, CAST(length(sentence) AS INTEGER) AS n FROM l),
-h AS (SELECT *, CAST(b + length(substr(sentence, b + 1)) - length(ltrim(substr(sentence, b + 1), ' ')) AS INTEGER) AS st FROM (SELECT *, CAST(unnest(range(n)) AS INTEGER) AS b FROM s)),
-m AS MATERIALIZED (SELECT item_id, sent_id, b, st, CAST(st + length(surface) AS INTEGER) AS e, word_cost + CASE WHEN piece = 1 AND st > b THEN {penalty} ELSE 0 END AS c, surface, CASE piece WHEN 0 THEN 'WORD' ELSE 'PIECE' END AS feature
-  FROM h JOIN lex ON starts_with(substr(sentence, st + 1), surface) WHERE st < n),
-cand AS MATERIALIZED (SELECT * FROM m UNION ALL SELECT item_id, sent_id, b, st, st + 1, 3000, substr(sentence, st + 1, 1), 'UNK' FROM h WHERE st < n AND NOT EXISTS (SELECT 1 FROM m WHERE m.item_id = h.item_id AND m.sent_id = h.sent_id AND m.b = h.b)),
-ends AS MATERIALIZED (SELECT item_id, sent_id, e, list({{'b': b, 'c': c}}) AS l FROM cand GROUP BY ALL),
-dp AS (SELECT item_id, sent_id, n, 0 AS i, [{{'cost': CAST(0 AS BIGINT), 'late': CAST(0 AS INTEGER)}}] AS best FROM s
-  UNION ALL SELECT dp.item_id, dp.sent_id, n, i + 1, list_append(best, list_min(list_filter(list_transform(ends.l, lambda x: {{'cost': best[x.b + 1].cost + x.c, 'late': -x.b}}), lambda y: y.cost IS NOT NULL)))
-  FROM dp LEFT JOIN ends ON ends.item_id = dp.item_id AND ends.sent_id = dp.sent_id AND ends.e = i + 1 WHERE i < n),
-done AS MATERIALIZED (SELECT * FROM dp WHERE i = n){tail}"""
+def _candidates_sql(name: str, key: str, penalty: int) -> str:
+    """CTEs s (sentences) and cand: one entry a surface and single unknown characters, found by the lengths that the dictionary has."""
+    return f"""{PIECE_SQL}, sizes AS MATERIALIZED (SELECT DISTINCT length(surface) AS z FROM lex),
+s AS MATERIALIZED (SELECT {key}, sent_id, sentence, CAST(length(sentence) AS INTEGER) AS n FROM ({lines_sql(name, key, "text")})),
+h AS MATERIALIZED (SELECT {key}, sent_id, n, sentence, b, CAST(b + length(substr(sentence, b + 1)) - length(ltrim(substr(sentence, b + 1), ' ')) AS INTEGER) AS st FROM (SELECT *, CAST(unnest(range(n)) AS INTEGER) AS b FROM s)),
+sub AS (SELECT {key}, sent_id, b, st, CAST(st + z AS INTEGER) AS e, substr(sentence, st + 1, z) AS surface FROM h, sizes WHERE st + z <= n),
+m AS MATERIALIZED (SELECT {key}, sent_id, b, st, e, word_cost + CASE WHEN piece = 1 AND st > b THEN {penalty} ELSE 0 END AS c, surface, CASE piece WHEN 0 THEN 'WORD' ELSE 'PIECE' END AS feature, 1 + piece AS k FROM sub JOIN lex USING (surface)),
+hit AS (SELECT DISTINCT {key}, sent_id, b FROM m),
+cand AS MATERIALIZED (SELECT * FROM m UNION ALL SELECT {key}, sent_id, b, st, st + 1, 3000, substr(sentence, st + 1, 1), 'UNK', 0 FROM h ANTI JOIN hit USING ({key}, sent_id, b) WHERE st < n)"""
+
+
+def _fold_sql(penalty: int, first: str, empty: str, step: str, name: str, key: str) -> str:
+    """CTE d: for each sentence the list best, position by position, folded from first by step (over a: so far, x: candidates that end here)."""
+    return f"""{_candidates_sql(name, key, penalty)},
+ends AS MATERIALIZED (SELECT {key}, sent_id, e, list({{'b': b, 'c': CAST(c AS BIGINT), 'k': k}}) AS l FROM cand GROUP BY ALL),
+pos AS (SELECT p.{key}, p.sent_id, p.i, ends.l FROM (SELECT {key}, sent_id, unnest(range(1, n + 1)) AS i FROM s) p LEFT JOIN ends ON ends.{key} = p.{key} AND ends.sent_id = p.sent_id AND ends.e = p.i),
+g AS (SELECT {key}, sent_id, list({{'best': CAST([] AS {empty}), 'l': coalesce(l, [])}} ORDER BY i) AS steps FROM pos GROUP BY ALL),
+d AS MATERIALIZED (SELECT s.{key}, s.sent_id, CASE WHEN n = 0 THEN [{first}] ELSE list_reduce(list_prepend({{'best': [{first}], 'l': CAST([] AS STRUCT(b INTEGER, c BIGINT, k INTEGER)[])}}, steps), lambda a, x: {{'best': list_append(a.best, {step}), 'l': CAST([] AS STRUCT(b INTEGER, c BIGINT, k INTEGER)[])}}).best END AS best FROM s LEFT JOIN g USING ({key}, sent_id))"""
+
+
+def _path_sql(penalty: int, tail: str, name: str = "documents", key: str = "doc_id") -> str:
+    """Best costs of sentences; of equal ones the candidate that begins last."""
+    step = "list_min(list_filter(list_transform(x.l, lambda y: {'cost': a.best[y.b + 1].cost + y.c, 'late': -y.b}), lambda y: y.cost IS NOT NULL))"
+    return "WITH " + _fold_sql(penalty, "{'cost': CAST(0 AS BIGINT), 'late': CAST(0 AS INTEGER)}", "STRUCT(cost BIGINT, late INTEGER)[]", step, name, key) + tail
+
+
+def _matrix_sql(tail: str, name: str = "documents", key: str = "doc_id") -> str:
+    """The same with the connection costs of MATRIX: the best cost by position and last context."""
+    cell = lambda k: "list_min(list_transform(list_filter(x.l, lambda y: y.k = {k}), lambda y: y.c + least({r})))".format(k=k, r=", ".join(f"a.best[y.b + 1].c{r} + {MATRIX[r][k]}" for r in range(3)))
+    step = "{" + ", ".join(f"'c{k}': {cell(k)}" for k in range(3)) + "}"
+    last = ", ".join(f"list_filter(best, lambda x: x.c0 IS NOT NULL OR x.c1 IS NOT NULL OR x.c2 IS NOT NULL)[-1].c{r} + {MATRIX[r][0]}" for r in range(3))
+    first = "{'c0': CAST(0 AS BIGINT), 'c1': CAST(NULL AS BIGINT), 'c2': CAST(NULL AS BIGINT)}"
+    return f"WITH {_fold_sql(0, first, 'STRUCT(c0 BIGINT, c1 BIGINT, c2 BIGINT)[]', step, name, key)}, done AS (SELECT {key}, sent_id, least({last}) AS path_cost FROM d){tail}"
 
 
 _LAST = "list_filter(best, lambda x: x.cost IS NOT NULL)[-1].cost"
 
 
-@query("segment_min_cost", _path_sql(0, f" SELECT item_id, sent_id, {_LAST} AS path_cost FROM done"))
+@query("segment_min_cost", _path_sql(0, f" SELECT doc_id, sent_id, {_LAST} AS path_cost FROM d"))
 def segment_min_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decode.min_cost(_benchmark(spark, sf_dir), piece_model(spark, sf_dir))
+    return decode.min_cost(_documents(spark, sf_dir), piece_model(spark, sf_dir))
+
+
+@query("matrix_min_cost", _matrix_sql(" SELECT * FROM done"))
+def matrix_min_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cheapest paths under a matrix of three contexts, whose costs depend on both sides."""
+    return decode.min_cost(_documents(spark, sf_dir), piece_model(spark, sf_dir, contexts=True))
 
 
-@query("space_penalty_cost", _path_sql(PENALTY, f" SELECT item_id, sent_id, {_LAST} AS path_cost FROM done"))
+@query("matrix_edges", f"{_NODES} SELECT a.feature AS l_feature, b.feature, count(*) AS n_edges, CAST(sum(b.word_cost + CASE WHEN a.feature = 'WORD' THEN CASE WHEN b.feature = 'WORD' THEN {MATRIX[1][1]} WHEN b.feature = 'PIECE' THEN {MATRIX[1][2]} ELSE {MATRIX[1][0]} END WHEN a.feature = 'PIECE' THEN CASE WHEN b.feature = 'WORD' THEN {MATRIX[2][1]} WHEN b.feature = 'PIECE' THEN {MATRIX[2][2]} ELSE {MATRIX[2][0]} END ELSE CASE WHEN b.feature = 'WORD' THEN {MATRIX[0][1]} WHEN b.feature = 'PIECE' THEN {MATRIX[0][2]} ELSE {MATRIX[0][0]} END END) AS BIGINT) AS total FROM nodes a JOIN nodes b ON a.item_id = b.item_id AND a.sent_id = b.sent_id AND a.end_ci = b.begin_ci GROUP BY ALL")
+def matrix_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges with the matrix joined by both contexts."""
+    ctx = F.when(F.col("feature") == "WORD", 1).when(F.col("feature") == "PIECE", 2).otherwise(0)
+    nodes = _nodes(spark, sf_dir).withColumns({"left_id": ctx, "right_id": ctx})
+    matrix = spark.createDataFrame([(r, c, MATRIX[r][c]) for r in range(3) for c in range(3)], "right_ctx int, left_ctx int, cost int")
+    return R.edges(nodes, matrix, KEYS).groupBy("l_feature", "feature").agg(F.count("*").alias("n_edges"), F.sum("step_cost").alias("total"))
+
+
+@query("space_penalty_cost", _path_sql(PENALTY, f" SELECT doc_id, sent_id, {_LAST} AS path_cost FROM d"))
 def space_penalty_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decode.min_cost(_benchmark(spark, sf_dir), piece_model(spark, sf_dir, penalty=True))
+    return decode.min_cost(_documents(spark, sf_dir), piece_model(spark, sf_dir, penalty=True))
 
 
 _TOKENS = _path_sql(
     0,
     """,
-back AS (SELECT item_id, sent_id, best, list_max(list_filter(range(n + 1), lambda p: best[p + 1].cost IS NOT NULL)) AS p, 0 AS k FROM done
-  UNION ALL SELECT item_id, sent_id, best, CAST(-best[p + 1].late AS BIGINT), k + 1 FROM back WHERE p > 0),
-steps AS (SELECT a.item_id, a.sent_id, b.p AS b, a.p AS e, a.k FROM back a JOIN back b ON a.item_id = b.item_id AND a.sent_id = b.sent_id AND b.k = a.k + 1),
-toks AS (SELECT s.item_id, s.sent_id, CAST(row_number() OVER (PARTITION BY s.item_id, s.sent_id ORDER BY s.e) - 1 AS INTEGER) AS tok_idx, surface, feature FROM steps s JOIN cand c ON c.item_id = s.item_id AND c.sent_id = s.sent_id AND c.b = s.b AND c.e = s.e)""",
+far AS (SELECT doc_id, sent_id, best, list_max(list_filter(range(len(best)), lambda p: best[p + 1].cost IS NOT NULL)) AS p FROM d),
+back AS (SELECT doc_id, sent_id, list_reverse(list_reduce(list_prepend({'p': p, 'path': CAST([] AS BIGINT[])}, list_transform(range(p), lambda x: {'p': CAST(0 AS BIGINT), 'path': CAST([] AS BIGINT[])})),
+  lambda a, x: {'p': CASE WHEN a.p > 0 THEN CAST(-best[a.p + 1].late AS BIGINT) ELSE 0 END, 'path': CASE WHEN a.p > 0 THEN list_append(a.path, a.p) ELSE a.path END}).path) AS path FROM far WHERE p > 0),
+steps AS (SELECT doc_id, sent_id, unnest(range(len(path))) AS k, unnest(path) AS e, unnest(list_prepend(0, path[:-2])) AS b FROM back),
+toks AS (SELECT s.doc_id, s.sent_id, CAST(s.k AS INTEGER) AS tok_idx, surface, feature FROM steps s JOIN cand c ON c.doc_id = s.doc_id AND c.sent_id = s.sent_id AND c.b = s.b AND c.e = s.e)""",
 )
 
 
 @query("segment_tokens", _TOKENS + " SELECT * FROM toks")
 def segment_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decode.tokenize(_benchmark(spark, sf_dir), piece_model(spark, sf_dir)).select(*KEYS, "tok_idx", "surface", "feature")
+    return decode.tokenize(_documents(spark, sf_dir), piece_model(spark, sf_dir)).select(*DOC_KEYS, "tok_idx", "surface", "feature")
 
 
-@query("wakati", _TOKENS + " SELECT l.item_id, l.sent_id, coalesce(string_agg(surface || ' ', '' ORDER BY tok_idx), '') || chr(10) AS text FROM l LEFT JOIN toks USING (item_id, sent_id) GROUP BY ALL")
+@query("wakati", _TOKENS + " SELECT s.doc_id, s.sent_id, coalesce(string_agg(surface || ' ', '' ORDER BY tok_idx), '') || chr(10) AS text FROM s LEFT JOIN toks USING (doc_id, sent_id) GROUP BY ALL")
 def wakati(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decode.tokens_column(_benchmark(spark, sf_dir), piece_model(spark, sf_dir)).select(*KEYS, fmt.wakati(F.col("tokens")).alias("text"))
+    return decode.tokens_column(_documents(spark, sf_dir), piece_model(spark, sf_dir)).select(*DOC_KEYS, fmt.wakati(F.col("tokens")).alias("text"))
 
 
-@query("default_format", _TOKENS + " SELECT l.item_id, l.sent_id, coalesce(string_agg(surface || chr(9) || feature || chr(10), '' ORDER BY tok_idx), '') || 'EOS' || chr(10) AS text FROM l LEFT JOIN toks USING (item_id, sent_id) GROUP BY ALL")
+@query("default_format", _TOKENS + " SELECT s.doc_id, s.sent_id, coalesce(string_agg(surface || chr(9) || feature || chr(10), '' ORDER BY tok_idx), '') || 'EOS' || chr(10) AS text FROM s LEFT JOIN toks USING (doc_id, sent_id) GROUP BY ALL")
 def default_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decode.tokens_column(_benchmark(spark, sf_dir), piece_model(spark, sf_dir)).select(*KEYS, fmt.default_format(F.col("tokens")).alias("text"))
+    return decode.tokens_column(_documents(spark, sf_dir), piece_model(spark, sf_dir)).select(*DOC_KEYS, fmt.default_format(F.col("tokens")).alias("text"))
 
 
 @query("none_format", "SELECT p_partkey, '' AS text FROM part")
@@ -159,12 +200,12 @@ def none_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("pos_histogram", _TOKENS + " SELECT feature, count(*) AS n FROM toks GROUP BY feature")
 def pos_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decode.tokenize(_benchmark(spark, sf_dir), piece_model(spark, sf_dir)).groupBy("feature").agg(F.count("*").alias("n"))
+    return decode.tokenize(_documents(spark, sf_dir), piece_model(spark, sf_dir)).groupBy("feature").agg(F.count("*").alias("n"))
 
 
 @query("token_topk", _TOKENS + " SELECT surface, count(*) AS n FROM toks GROUP BY surface ORDER BY n DESC, surface LIMIT 20")
 def token_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = decode.tokenize(_benchmark(spark, sf_dir), piece_model(spark, sf_dir))
+    t = decode.tokenize(_documents(spark, sf_dir), piece_model(spark, sf_dir))
     return t.groupBy("surface").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "surface").limit(20)
 
 
@@ -240,12 +281,75 @@ def partial_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode.tokenize_partial(blocks, part_model(spark, sf_dir)).select("p_partkey", "tok_idx", "surface", "feature")
 
 
-@query("document_tokens", f"WITH l AS ({lines_sql('documents', 'doc_id', 'text')}) SELECT doc_id, sum(length(replace(sentence, ' ', ''))) AS n_chars FROM l GROUP BY doc_id")
+@query("document_tokens", _TOKENS + " SELECT doc_id, feature, count(*) AS n, CAST(sum(strlen(surface)) AS BIGINT) AS n_bytes FROM toks GROUP BY doc_id, feature")
 def document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = decode.tokenize(decode.spread(lines_of(spark, sf_dir, "documents", "doc_id")), piece_model(spark, sf_dir))
-    docs = table(spark, sf_dir, "documents").select("doc_id")
-    counts = tokens.groupBy("doc_id").agg(F.sum(F.char_length("surface")).alias("n"))
-    return docs.join(counts, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("n_chars"))
+    tokens = decode.tokenize(_documents(spark, sf_dir), piece_model(spark, sf_dir))
+    return tokens.groupBy("doc_id", "feature").agg(F.count("*").alias("n"), F.sum("length").alias("n_bytes"))
+
+
+_REACH = f"{_PART_PATHS.replace('paths AS (', 'reach AS (SELECT p_name, CAST(0 AS BIGINT) AS p FROM s UNION SELECT reach.p_name, cand.e FROM reach JOIN cand ON cand.p_name = reach.p_name AND cand.b = reach.p), paths AS (')}"
+
+
+@query("all_morph_spans", f"{_REACH}, best AS (SELECT p_name, min(cost) AS c FROM full_paths GROUP BY p_name), ties AS (SELECT p_name, count(*) AS n FROM full_paths JOIN best USING (p_name) WHERE cost = c GROUP BY p_name), k AS (SELECT p_name, unnest(nodes) AS k FROM full_paths JOIN best USING (p_name) WHERE cost = c) SELECT p_partkey, CAST(b AS INTEGER) AS begin, CAST(e AS INTEGER) AS \"end\", feature, CASE WHEN n = 1 THEN EXISTS (SELECT 1 FROM k WHERE k.p_name = cand.p_name AND k.k.b = cand.b AND k.k.e = cand.e AND k.k.f = cand.feature) END AS isbest FROM part JOIN cand USING (p_name) JOIN reach ON reach.p_name = cand.p_name AND reach.p = cand.b JOIN ties ON ties.p_name = cand.p_name")
+def all_morph_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate that a path reaches, and whether the best path takes it (null where several paths are best)."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("sentence"))
+    m = part_model(spark, sf_dir, pieces=True)
+    nodes = decode.all_nodes(parts, m).filter("stat < 2").select("p_partkey", "begin", "end", "feature", "isbest")
+    two = decode.nbest(parts, m, 2).filter("tok_idx = 0").groupBy("p_partkey").agg((F.count("*") == 2) & (F.min("path_cost") == F.max("path_cost"))).toDF("p_partkey", "tie")
+    return nodes.join(two, "p_partkey").select("p_partkey", "begin", "end", "feature", F.when(~F.col("tie"), F.col("isbest")).alias("isbest"))
+
+
+@query("soft_segments", f"{_PROBS}, g AS (SELECT p_name, k.b AS b, k.e AS e, k.f AS feature, sum(p) AS p FROM k GROUP BY ALL) SELECT feature, count(*) AS n, round(sum(p), 1) AS mass FROM part JOIN g USING (p_name) WHERE p >= 0.01 GROUP BY feature")
+def soft_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of a probability of one in a hundred and more."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("sentence"))
+    nodes = decode.all_nodes(parts, part_model(spark, sf_dir, pieces=True), theta=0.002).filter("stat < 2 and prob >= 0.01")
+    return nodes.groupBy("feature").agg(F.count("*").alias("n"), F.round(F.sum(F.col("prob").cast("double")), 1).alias("mass"))
+
+
+@query("partial_free_text", f"WITH RECURSIVE w AS (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part) SELECT p_partkey, CAST(unnest(range(len(w))) AS INTEGER) AS tok_idx, unnest(w) AS surface, CASE WHEN unnest(range(len(w))) = 0 THEN 'NOUN,' || length(w[1]) ELSE 'NOUN,' || length(unnest(w)) END AS feature FROM w")
+def partial_free_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Free text between fragments, and a feature pattern that only the noun of its span meets."""
+    line = F.transform(F.split("p_name", " "), lambda w, i: F.when(i == 0, F.concat(w, F.lit("\tNOUN,*"))).otherwise(w))
+    blocks = table(spark, sf_dir, "part").select("p_partkey", F.array_join(line, "\n").alias("block"))
+    return decode.tokenize_partial(blocks, part_model(spark, sf_dir)).select("p_partkey", "tok_idx", "surface", "feature")
+
+
+_DOC_RUNS = _runs_sql("documents", "doc_id")
+
+
+def _document_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.runs(_classified(spark, _documents(spark, sf_dir), DOC_KEYS), DOC_KEYS)
+
+
+@query("document_runs", f"WITH {_DOC_RUNS}, g AS (SELECT doc_id, sent_id, run_id, arg_min(class_id, ci) AS class_id, min(ci) AS first_ci, max(ci) + 1 AS run_end FROM r GROUP BY ALL) SELECT doc_id, class_id, count(*) AS n_runs, CAST(sum(run_end - first_ci) AS BIGINT) AS n_chars, max(run_end - first_ci) AS longest FROM g GROUP BY ALL")
+def document_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Character-class runs of all documents, by document and class."""
+    runs = _document_runs(spark, sf_dir).groupBy(*DOC_KEYS, "run_id").agg(F.min("ci").alias("first_ci"), F.max("run_end").alias("run_end"), F.min_by("class_id", "ci").alias("class_id"))
+    size = F.col("run_end") - F.col("first_ci")
+    return runs.groupBy("doc_id", "class_id").agg(F.count("*").alias("n_runs"), F.sum(size).alias("n_chars"), F.max(size).alias("longest"))
+
+
+@query("document_chars", f"WITH l AS ({lines_sql('documents', 'doc_id', 'text')}), c AS (SELECT doc_id, sent_id, CAST(unnest(range(length(sentence))) AS INTEGER) AS ci, sentence FROM l WHERE sentence <> ''), k AS (SELECT doc_id, sent_id, ci, strlen(substr(sentence, ci + 1, 1)) AS b FROM c), p AS (SELECT doc_id, b, sum(b) OVER (PARTITION BY doc_id, sent_id ORDER BY ci) - b AS place FROM k) SELECT doc_id, count(*) AS n_chars, CAST(sum(b) AS BIGINT) AS n_bytes, CAST(sum(place) AS BIGINT) AS offsets FROM p GROUP BY doc_id")
+def document_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters of all documents with their byte offsets, summed by document."""
+    return R.chars(_documents(spark, sf_dir), DOC_KEYS).groupBy("doc_id").agg(F.count("*").alias("n_chars"), F.sum("byte_len").alias("n_bytes"), F.sum("byte_pos").alias("offsets"))
+
+
+@query("document_matches", f"WITH {_candidates_sql('documents', 'doc_id', 0)}, cuts AS (SELECT doc_id, sent_id, b AS ci, substr(sentence, b + 1, z) AS surface FROM h, sizes WHERE b + z <= n) SELECT surface, count(*) AS n, CAST(sum(ci) AS BIGINT) AS positions FROM cuts JOIN lex USING (surface) GROUP BY surface")
+def document_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dictionary surfaces at every position of all documents."""
+    return R.prefix_matches(_documents(spark, sf_dir), piece_lexicon(spark, sf_dir), DOC_KEYS).groupBy("surface").agg(F.count("*").alias("n"), F.sum("ci").alias("positions"))
+
+
+@query("document_candidates")
+def document_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unknown-word candidates of all documents by class and kind; tests hold the operator against plain candidates."""
+    lines = _documents(spark, sf_dir)
+    classes, _ = readers.char_classes(_definition(spark, CHARS))
+    spans = R.unknown_spans(_document_runs(spark, sf_dir), classes, R.prefix_matches(lines, piece_lexicon(spark, sf_dir), DOC_KEYS), DOC_KEYS, 2)
+    return spans.groupBy("class_id", "step").agg(F.count("*").alias("n"), F.sum(F.col("end_ci") - F.col("ci")).alias("n_chars"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

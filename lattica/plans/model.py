@@ -52,6 +52,12 @@ class EngineConf:
             raise ValueError("bos-feature is empty")
         return conf
 
+    def lines(self) -> list[str]:
+        """The settings that differ from the defaults, as lines of a settings file."""
+        plain = asdict(EngineConf())
+        own = {k.replace("_", "-"): v for k, v in asdict(self).items() if k != "extra" and v != plain[k]}
+        return [f"{k} = {v}" for k, v in (own | self.extra).items()]
+
     def formats(self, key: str | None) -> EngineConf:
         """The settings with the named set of formats; missing ones of the set are empty."""
         if key is None:

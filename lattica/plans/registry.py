@@ -24,7 +24,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from lattica.plans import dictionary_queries, lattice_queries, text_queries  # noqa: F401
+    from lattica.plans import dictionary_queries, lattice_queries, source_queries, text_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +39,8 @@ UNKNOWN = "DEFAULT,0,0,3000,UNK\nSPACE,0,0,3000,UNK\nALPHA,0,0,3000,UNK\nNUMERIC
 SIMPLE_CHARS = "DEFAULT 1 0 0\nSPACE 0 1 0\n0x0020 SPACE\n"
 SIMPLE_UNKNOWN = "DEFAULT,0,0,3000,UNK\nSPACE,0,0,3000,UNK\n"
 PENALTY = 1500
+#: Connection costs by the right context of the left token and the left context of the right one: 0 unknown words and ends, 1 words, 2 pieces.
+MATRIX = ((-300, 700, -150), (250, -900, 1300), (-40, 2100, -700))
 
 
 def lines_sql(name: str, key: str, column: str) -> str:
@@ -67,10 +70,12 @@ lex AS MATERIALIZED (SELECT surface, CAST(greatest(-32767, trunc(-400 * pow(strl
   FROM (SELECT w AS surface, 0 AS piece FROM w UNION ALL SELECT left(w, 2), 1 FROM w UNION ALL SELECT left(w, 3), 1 FROM w) GROUP BY surface)"""
 
 
-def piece_model(spark: SparkSession, sf_dir: str, penalty: bool = False) -> Model:
+def piece_model(spark: SparkSession, sf_dir: str, penalty: bool = False, contexts: bool = False) -> Model:
     rows = piece_lexicon(spark, sf_dir).orderBy("surface").collect()  # the dictionary of the benchmark words, which every executor holds
     conf = EngineConf(left_space_penalty_factor=f"2,{PENALTY}" if penalty else "")
-    return Model.build([(r["surface"], 0, 0, r["word_cost"], "WORD" if r["piece"] == 0 else "PIECE", 0, 1 + r["piece"]) for r in rows], conf, SIMPLE_CHARS, SIMPLE_UNKNOWN)
+    matrix = np.array(MATRIX) if contexts else np.zeros((1, 1), np.int64)
+    ctx = lambda r: 1 + r["piece"] if contexts else 0
+    return Model.build([(r["surface"], ctx(r), ctx(r), r["word_cost"], "WORD" if r["piece"] == 0 else "PIECE", 0, 1 + r["piece"]) for r in rows], conf, SIMPLE_CHARS, SIMPLE_UNKNOWN, matrix)
 
 
 def part_model(spark: SparkSession, sf_dir: str, pieces: bool = False, conf: EngineConf | None = None) -> Model:

@@ -236,6 +236,36 @@ def s_expressions(text: str) -> list:
     return stack[0]
 
 
+def s_expression_entries(df: DataFrame, text: str, fields: dict[str, str]) -> DataFrame:
+    """df without its text column, a row for each top-level list of the text, with the fields' values: name -> a path of list heads,
+    whose innermost list's second item (or that item's first) is the value; null where there is none."""
+    kept = [f for f in df.schema if f.name != text]
+
+    def at(item, path: list[str]):
+        for head in path:
+            lists = [x for x in item if isinstance(x, list) and x]
+            inner = [y for x in lists for y in (x if isinstance(x[0], list) else [x]) if isinstance(y, list)]
+            item = next((x for x in inner if x and x[0] == head), None)
+            if item is None:
+                return None
+        value = item[1] if len(item) > 1 else None
+        return value[0] if isinstance(value, list) and value else value
+
+    def run(batches):
+        for batch in batches:
+            rows, values = [], []
+            for i, body in enumerate(batch.column(text).to_pylist()):
+                for entry in s_expressions(body or ""):
+                    if isinstance(entry, list) and entry:
+                        rows.append(i)
+                        values.append([at([entry] if path[0] == entry[0] else [], path) for path in (p.split("/") for p in fields.values())])
+            take = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(f.name).take(take) for f in kept] + [pa.array([v[k] for v in values], pa.string()) for k in range(len(fields))], names=[f.name for f in kept] + list(fields))
+
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"`{n}` string" for n in fields])
+    return df.mapInArrow(run, schema)
+
+
 def jdbc(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
     """A lexicon table of a database; partition options pass through."""
     return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
