@@ -409,11 +409,17 @@ class Lattice:
         return np.where(self.stat == EOS, np.int64(1) << 40, self.end)
 
     def nbest(self, sentence: int, n: int) -> list[tuple[int, list[int]]]:
-        """Up to n cheapest paths of a sentence: (cost, nodes); backwards A* whose bound is the exact best cost."""
-        import heapq
+        """Up to n cheapest paths of a sentence: (cost, nodes)."""
+        from itertools import islice
 
         if not 1 <= n <= 512:
             raise ValueError("n must be between 1 and 512")
+        return list(islice(self.paths(sentence), n))
+
+    def paths(self, sentence: int):
+        """All paths of a sentence as (cost, nodes), cheapest first, made as they are asked for; backwards A* whose bound is the exact best cost."""
+        import heapq
+
         if not hasattr(self, "_by_right"):
             left, right, cost = self.edges()
             order = np.argsort(right, kind="stable")
@@ -421,8 +427,8 @@ class Lattice:
         left, cost, at = self._by_right
         eos = int(self.eos[sentence])
         heap = [(int(self.cost[eos]), 0, 0, eos, None)]
-        made, out = 0, []
-        while heap and len(out) < n:
+        made = 0
+        while heap:
             total, _, behind, node, after = heapq.heappop(heap)
             path = (node, after)
             if self.stat[node] == BOS:
@@ -430,13 +436,12 @@ class Lattice:
                 while path:
                     nodes.append(path[0])
                     path = path[1]
-                out.append((total, nodes))
+                yield total, nodes
                 continue
             for k in range(at[node], at[node + 1]):
                 made += 1
                 gone = behind + int(cost[k])
                 heapq.heappush(heap, (int(self.cost[left[k]]) + gone, made, gone, int(left[k]), path))
-        return out
 
     def feature(self, node: int) -> str:
         if self.entry[node] < 0:

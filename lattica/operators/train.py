@@ -228,6 +228,14 @@ def missing_entries(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
     return tokens.select("surface", "feature").distinct().join(lexicon.select("surface", "feature"), ["surface", "feature"], "left_anti")
 
 
+def observed(corpus: DataFrame, model: Model, rules: dict[str, Sequence[Rule]], unigrams: Sequence[str], bigrams: Sequence[str]) -> dict[str, float]:
+    """How often each feature stands on a gold path."""
+    spark = corpus.sparkSession
+    index = FeatureIndex.build(model, rules, unigrams, bigrams)
+    node, edge, _, _ = _distributed(corpus, spark.sparkContext.broadcast(model), spark.sparkContext.broadcast(index), None)
+    return dict(zip(index.names, index.spread(node, edge).tolist(), strict=True))
+
+
 def train(corpus: DataFrame, model: Model, rules: dict[str, Sequence[Rule]], unigrams: Sequence[str], bigrams: Sequence[str], c: float = 1.0, freq: int = 1, steps: int = 100, eta: float = 1e-4, old: dict[str, float] | None = None, log: list | None = None) -> dict[str, float]:
     """Weights by feature, from a corpus of sentences with gold tokens; the penalty pulls toward the old weights (0 without).
 
@@ -250,12 +258,17 @@ def train(corpus: DataFrame, model: Model, rules: dict[str, Sequence[Rule]], uni
     return {n: float(v) for n, v, k in zip(index.names, x, keep, strict=True) if k}
 
 
-def generate(model: Model, weights: dict[str, float], rules: dict[str, Sequence[Rule]], unigrams: Sequence[str], bigrams: Sequence[str]) -> Model:
-    """A model with costs from weights: word costs, context ids (0 for the ends of sentences, then byte order) and the whole matrix."""
+EXACT = 1 << 20
+
+
+def generate(model: Model, weights: dict[str, float], rules: dict[str, Sequence[Rule]], unigrams: Sequence[str], bigrams: Sequence[str], exact: bool = False) -> Model:
+    """A model with costs from weights: word costs, context ids (0 for the ends of sentences, then byte order) and the whole matrix.
+
+    exact: costs are the weights themselves in steps of 1 / EXACT, not quantised to 16 bits; such a model decodes by the weights."""
     index = FeatureIndex.build(model, rules, unigrams, bigrams)
     alpha = np.array([weights.get(n, 0.0) for n in index.names])
     node, edge = index.scores(alpha)
-    cost = lambda x: np.trunc(np.clip(-x * model.conf.cost_factor, -32767, 32767)).astype(np.int64)
+    cost = lambda x: np.round(-x * EXACT).astype(np.int64) if exact else np.trunc(np.clip(-x * model.conf.cost_factor, -32767, 32767)).astype(np.int64)
     features = [model.conf.bos_feature, *model.features]
 
     def numbering(section, ctx):

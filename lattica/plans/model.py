@@ -1,7 +1,7 @@
 """The analysis model: settings, character classes, dictionary entries, connection costs.
 
 A Model is a set of plain numpy arrays, small enough to be sent to every executor once (a dictionary of 3 million entries is about
-200 MB; ``Model.size`` tells, and ``operators.candidates`` offers the join form for larger ones). It can be built from definition texts or
+200 MB; ``Model.size`` tells, and ``operators.relational`` offers the join form for larger ones). It can be built from definition texts or
 tables, stored as Parquet and loaded again.
 """
 

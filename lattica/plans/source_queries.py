@@ -447,3 +447,39 @@ def cost_from_rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only empty costs of user entries are computed."""
     entries = _features(spark, sf_dir).withColumn("word_cost", F.when(F.length("feature") % 2 == 1, 77))
     return lexicon.model_costs(entries, RULES, UNIGRAMS[:2], _weights(spark, sf_dir, UNIGRAMS[:2]), 800).select("feature", "word_cost")
+
+
+@query("split_long_lines", "SELECT p_partkey, CAST(k AS INTEGER) AS part, length(t) > 10 AS was_split, substr(t, CAST(k * 10 + 1 AS BIGINT), 10) AS sentence FROM (SELECT p_partkey, t, unnest(range(greatest(1, CAST(ceil(length(t) / 10.0) AS BIGINT)))) AS k FROM (SELECT p_partkey, p_name || p_type AS t FROM part))")
+def split_long_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines longer than the buffer come in parts."""
+    p = table(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", "p_type").alias("sentence"))
+    return readers.split_long(p, 10).select("p_partkey", "part", "was_split", "sentence")
+
+
+_KEYS = "translate(lower({w}), 'abcdefghijklmnopqrstuvwxyz', '22233344455566677778889999')"
+
+
+@query("keypad_conversion", f"WITH w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part), d AS (SELECT w, {_KEYS.format(w='w')} AS k, row_number() OVER (ORDER BY w) AS r FROM w), b AS (SELECT k, arg_min(w, r) AS w FROM d GROUP BY k), t AS (SELECT p_partkey, unnest(range(len(s))) AS i, unnest(s) AS x FROM (SELECT p_partkey, string_split(p_name, ' ') AS s FROM part)) SELECT p_partkey, string_agg(b.w || ' ', '' ORDER BY i) AS text FROM t JOIN b ON b.k = {_KEYS.format(w='x')} GROUP BY p_partkey")
+def keypad_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text conversion by a dictionary: digits of a telephone keypad become words again."""
+    from lattica.plans.model import Model
+    from lattica.plans.shapes import SIMPLE_CHARS, SIMPLE_UNKNOWN
+
+    digits = lambda c: F.translate(c, "abcdefghijklmnopqrstuvwxyz", "22233344455566677778889999")
+    p = table(spark, sf_dir, "part")
+    w = p.select(F.explode(F.split("p_name", " ")).alias("w")).distinct().select("w", digits(F.col("w")).alias("k")).orderBy("w").collect()  # a dictionary
+    conf = EngineConf(node_format="%H\\s", eos_format="")
+    m = Model.build([(r["k"], 0, 0, rank - 1000 * len(r["k"]) ** 2, r["w"]) for rank, r in enumerate(w)], conf, SIMPLE_CHARS, SIMPLE_UNKNOWN)
+    t = decode.tokens_column(p.select("p_partkey", digits(F.col("p_name")).alias("sentence")), m)
+    return t.select("p_partkey", fmt.user_format(conf)(F.col("tokens"), F.col("sentence")).alias("text"))
+
+
+@query("observed_counts", "SELECT 'NOUN,' || length(w) AS feature, count(*) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part) GROUP BY 1")
+def observed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of gold features, as training observes them in its lattices."""
+    from lattica.operators import train
+
+    m = part_model(spark, sf_dir, pieces=True)
+    tokens = table(spark, sf_dir, "part").select("p_partkey", F.posexplode(F.split("p_name", " ")).alias("tok_idx", "surface")).withColumn("feature", F.concat(F.lit("NOUN,"), F.char_length("surface").cast("string")))
+    found = train.observed(train.corpus_sentences(tokens, ["p_partkey"]), m, {}, ["%F[0],%F[1]"], [])
+    return spark.createDataFrame([(k, int(v)) for k, v in found.items() if v and k.startswith("NOUN")], "feature string, n long")

@@ -129,6 +129,20 @@ class Tagger:
         end = self._tokens(lat, [int(lat.eos[0])])[0]
         return "".join(out) + format_token(self.templates["eon"], end, sentence.encode())
 
+    def results(self, sentence: str):
+        """The results of a sentence one by one, cheapest first, each as (cost, text): ask for as many as are wanted."""
+        lat = Lattice([sentence.encode()], self.dictionary)
+        for cost, path in lat.paths(0):
+            yield cost, self._written(self._tokens(lat, path), sentence.encode())
+
+    def parse_nbest_init(self, sentence: str) -> None:
+        """Begin a search that next_result goes on with."""
+        self._results = self.results(sentence)
+
+    def next_result(self) -> str | None:
+        """The next cheapest result of the sentence begun last; None after the last one."""
+        return next((text for _, text in getattr(self, "_results", iter(()))), None)
+
     def parse_partial(self, block: str) -> str:
         """A block of fragments and constrained tokens."""
         text, given = decode.parse_partial(block)

@@ -40,6 +40,34 @@ def sentences(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
     return df.select(F.col(key), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("sent_id", "sentence"))
 
 
+def split_long(df: DataFrame, limit: int, text: str = "sentence") -> DataFrame:
+    """df with lines of more than limit bytes cut into rows of at most limit, between characters, in order; adds part (from 0) and was_split, the warning."""
+    kept = [f for f in df.schema if f.name != text]
+
+    def cut(raw: bytes) -> list[str]:
+        out, at = [], 0
+        while at < len(raw):
+            end = min(len(raw), at + limit)
+            while end < len(raw) and end > at + 1 and raw[end] & 0xC0 == 0x80:
+                end -= 1
+            while end < len(raw) and raw[end] & 0xC0 == 0x80:  # a character longer than the limit stays whole
+                end += 1
+            out.append(raw[at:end].decode())
+            at = end
+        return out or [""]
+
+    def run(batches):
+        for batch in batches:
+            parts = [[x] if x is None or len(x) * 4 <= limit else cut(x.encode()) for x in batch.column(text).to_pylist()]
+            take = pa.array([i for i, p in enumerate(parts) for _ in p], pa.int64())
+            columns = [batch.column(f.name).take(take) for f in kept] + [pa.array([x for p in parts for x in p], pa.string())]
+            columns += [pa.array([k for p in parts for k in range(len(p))], pa.int32()), pa.array([len(p) > 1 for p in parts for _ in p], pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*(f.name for f in kept), text, "part", "was_split"])
+
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"`{text}` string", "part int", "was_split boolean"])
+    return df.mapInArrow(run, schema)
+
+
 def partial_blocks(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, sent_id, frag_idx, surface, pattern: blocks that end at EOS or an empty line."""
     rows = df.select(F.col(key), F.posexplode(F.split(F.col(text), "\n", -1)).alias("i", "line"))
