@@ -39,12 +39,13 @@ def test_train_generate_index_by_options(spark, folder, tmp_path):  # noqa: F811
     stored = tools.index(spark, ["-d", folder, "-o", str(tmp_path / "stored")])
     assert build.load_model(spark, str(tmp_path / "stored")).surfaces == stored.surfaces
     assert set(tools.index(spark, ["-d", folder, "-w"]).features) == {""}
-    (tmp_path / "user.csv").write_text("abc,,,,N,user\n")
+    (tmp_path / "u").mkdir()
+    (tmp_path / "u/user.csv").write_text("abc,,,,N,user\n")
     for side in ("left", "right"):
         (tmp_path / f"{side}-id.def").write_text("0 BOS,*\n1 N,*\n")
     for name in ("char.def", "unk.def", "matrix.def", "a.csv", "dicrc", "rewrite.def", "feature.def"):
         (tmp_path / name).write_text(open(f"{folder}/{name}").read())
-    line = tools.index(spark, ["-d", str(tmp_path), "-a", "-m", str(tmp_path / "model")], [str(tmp_path / "user.csv")]).first()["line"]
+    line = tools.index(spark, ["-d", str(tmp_path), "-a", "-m", str(tmp_path / "model")], [str(tmp_path / "u/user.csv")]).first()["line"]
     cells = line.split(",")
     assert cells[:3] == ["abc", "1", "1"] and cells[3].lstrip("-").isdigit() and cells[4:] == ["N", "user"]
     report = tools.evaluate(spark, ["-l", "0 1"], str(tmp_path / "corpus"), str(tmp_path / "corpus")).collect()
