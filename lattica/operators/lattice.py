@@ -409,12 +409,55 @@ class Lattice:
         return np.where(self.stat == EOS, np.int64(1) << 40, self.end)
 
     def nbest(self, sentence: int, n: int) -> list[tuple[int, list[int]]]:
-        """Up to n cheapest paths of a sentence: (cost, nodes)."""
-        from itertools import islice
+        """Up to n cheapest paths of a sentence: (cost, nodes).
+
+        A path is the tree of best predecessors with side steps, each of which costs what its edge costs beyond the best edge into its node. From every
+        path found, the n cheapest side steps after its last one are candidates, gathered for all its nodes at once."""
+        import heapq
 
         if not 1 <= n <= 512:
             raise ValueError("n must be between 1 and 512")
-        return list(islice(self.paths(sentence), n))
+        if not hasattr(self, "_side"):
+            left, right, cost = self.edges()
+            extra = self.cost[left] + cost - self.cost[right]
+            order = np.lexsort((extra, right))
+            at = np.searchsorted(right[order], np.arange(len(self.stat) + 1))
+            best = np.full(len(self.stat), -1)
+            some = np.flatnonzero(np.diff(at))
+            best[some] = left[order][at[some]]
+            self._side = left[order], extra[order], at, best.tolist()
+        left, extra, at, best = self._side
+
+        def down(node: int) -> list[int]:
+            out = []
+            while node >= 0:
+                out.append(node)
+                node = best[node]
+            return out
+
+        found = [(0, down(int(self.eos[sentence])))]
+        heap, made, first = [], 0, 0
+        while len(found) < n:
+            more, path = found[-1]
+            nodes = np.array(path[first:], np.int64)
+            begin = at[nodes] + 1
+            size = np.maximum(at[nodes + 1] - begin, 0)
+            edge = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            place = np.repeat(np.arange(first, len(path)), size)
+            step = extra[edge]
+            if len(step) > n:
+                cheap = np.argpartition(step, n - 1)[:n]
+                edge, place, step = edge[cheap], place[cheap], step[cheap]
+            for d, i, e in zip(step.tolist(), place.tolist(), edge.tolist(), strict=True):
+                made += 1
+                heapq.heappush(heap, (more + d, made, len(found) - 1, i, e))
+            if not heap:
+                break
+            more, _, parent, i, e = heapq.heappop(heap)
+            found.append((more, found[parent][1][: i + 1] + down(int(left[e]))))
+            first = i + 1
+        total = int(self.cost[self.eos[sentence]])
+        return [(total + more, path[::-1]) for more, path in found]
 
     def paths(self, sentence: int):
         """All paths of a sentence as (cost, nodes), cheapest first, made as they are asked for; backwards A* whose bound is the exact best cost."""
