@@ -237,5 +237,7 @@ def test_generators_of_costs(spark):
     w = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (1, 2, "a"), (2, 0, "a")], "k int, i int, w string")
     got = {r["w"]: (r["n"], r["cost"]) for r in etl.word_costs(w).collect()}
     assert got == {"a": (3, int(-np.log(3.5 / 5) * 200)), "b": (1, int(-np.log(1.5 / 5) * 200))}
-    pairs = {(r["left"], r["right"]): r["cost"] for r in etl.pair_costs(w, ["k"]).collect()}
+    pairs = {(r["left"], r["right"]): r["cost"] for r in etl.pair_costs(spark.createDataFrame([(1, "a b a"), (2, "a")], "k int, sentence string")).collect()}
     assert pairs == {("a", "b"): int(-np.log(1.5 / 2) * 200), ("b", "a"): int(-np.log(1.5 / 2) * 200)}
+    every = {(r["left"], r["right"]): r["cost"] for r in etl.pair_matrix(etl.neighbours(spark.createDataFrame([(["a", "b", "a"],), (["a"],), ([],)], "w array<string>"), "w"), w.select("w")).collect()}
+    assert every == pairs | {("a", "a"): int(-np.log(0.5 / 2) * 200), ("b", "b"): int(-np.log(0.5 / 2) * 200)}
