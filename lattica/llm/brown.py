@@ -39,6 +39,7 @@ from .textblocks import as_bytes, blocks, word_hashes, word_spans
 HOT, CLASSES, ROUNDS = 8192, 64, 4
 NEAR = 1 << 17
 ADD, EMIT = 0.1, 0.5
+FEW = 16
 FORMS = 16
 END = np.int64(0x7F3A5C1D2B4E6F80)
 _BITS = 20
@@ -231,21 +232,26 @@ def exchange(classes: np.ndarray, right: np.ndarray, left: np.ndarray, hot: int)
 
 
 def _place(table: np.ndarray):
-    """Rows (h, cell, n) sorted by h -> (h, c): the class of CLASSES that gains most by the word's counts with its neighbours' classes."""
+    """Rows (h, cell, n) sorted by h and cell -> (h, c): the class of CLASSES that gains most by the word's counts with its neighbours' classes."""
     k = len(table)
     rows, columns = table[:CLASSES].T.copy(), table[:, :CLASSES].copy()  # by neighbour: counts of each class before, after it
     sides = np.concatenate([columns, rows])  # cell c: neighbour c stands before; cell k + c: after
     totals = np.stack([table[:, :CLASSES].sum(0), table[:CLASSES].sum(1)])
     plain_sides, plain_totals = _xlogx(sides), _xlogx(totals)
+    few = np.stack([_xlogx(sides + x) - plain_sides for x in range(FEW)])  # the gains of small counts, which most are
 
     def gains(h, cell, n):
+        own = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (cell[1:] != cell[:-1])])  # tasks have counted apart
+        h, cell, n = h[own], cell[own], np.add.reduceat(n, own)
         first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
         out = np.zeros((len(first), CLASSES))
         step = 1 << 15
         word = np.cumsum(np.r_[True, h[1:] != h[:-1]]) - 1
         for lo in range(0, len(h), step):
-            c, x, w = cell[lo : lo + step], n[lo : lo + step, None], word[lo : lo + step]
-            gain = _xlogx(sides[c] + x) - plain_sides[c]
+            c, x, w = cell[lo : lo + step], n[lo : lo + step], word[lo : lo + step]
+            gain = few[np.minimum(x, FEW - 1).astype(np.int64), c]
+            more = np.flatnonzero(x >= FEW)
+            gain[more] = _xlogx(sides[c[more]] + x[more, None]) - plain_sides[c[more]]
             begin = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
             out[w[begin]] += np.add.reduceat(gain, begin)
         sums = [np.add.reduceat(np.where(cell // k == side, n, 0.0), first) for side in (0, 1)]
@@ -324,7 +330,7 @@ def classify(training: DataFrame, counts: DataFrame, hot_words: int = HOT) -> Da
             classes = exchange(classes, right, left, len(hot))
     _, classes, table = best
     others = texts.mapInArrow(_counted(("h", "cell"), _neighbours(lookup, classes)), "h long, cell long, n long")
-    placed = others.repartition("h").sortWithinPartitions("h").mapInArrow(_place(table), "h long, c int")
+    placed = others.repartition("h").sortWithinPartitions("h", "cell").mapInArrow(_place(table), "h long, c int")
     known = spark.createDataFrame(pa.table({"h": pa.array(np.append(lookup.hashes, END)), "c": pa.array(np.append(classes[: len(hot)], CLASSES).astype(np.int32))}))
     return materialize(counts.join(placed.unionByName(known), "h").select("h", "form", "n", "c"), "brown-words")
 
