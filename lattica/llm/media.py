@@ -2,7 +2,7 @@
 
 ``store`` writes a media table (id, WAV bytes) to the shared folder. ``audio_features`` reads media bytes back and writes feature archives there:
 Arrow streams with a row for each chunk of CHUNK frames, whose tensor column is of the canonical fixed-shape type (CHUNK x BANDS
-float32, zero-padded at the end), with its start and end in seconds and the document's active segments and digests. The archives are
+float16, zero-padded at the end), with its start and end in seconds and the document's active segments and digests. The archives are
 listed in a manifest table. ``read_chunks`` and ``read_digests`` read them, batch by batch.
 
 * resampling: polyphase, RATE * UP / DOWN, one windowed-sinc filter of TAPS taps a phase, computed in blocks;
@@ -134,12 +134,12 @@ def segments(level: np.ndarray, high: float = HIGH, low: float = LOW) -> list[tu
 
 
 def features(samples: bytes) -> tuple[np.ndarray, np.ndarray, list[tuple[float, float]]]:
-    """Tensors (chunks, CHUNK, BANDS) as float32, their spans (chunks, 2) and active segments, in seconds."""
+    """Tensors (chunks, CHUNK, BANDS) in half precision, their spans (chunks, 2) and active segments, in seconds."""
     x = (np.frombuffer(samples, np.uint8) - 128.0) / 128.0
     mels, level = log_mel(resample(x))
     step, rate = HOP * DOWN / UP / RATE, RATE * UP / DOWN
     chunks = -(-len(mels) // CHUNK)
-    tensor = np.zeros((chunks * CHUNK, BANDS), np.float32)
+    tensor = np.zeros((chunks * CHUNK, BANDS), np.float16)
     tensor[: len(mels)] = mels
     first = np.arange(chunks) * CHUNK
     last = np.minimum(first + CHUNK, len(mels)) - 1
@@ -168,7 +168,7 @@ def store(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
 
 ROLL = 1 << 14  # chunks in an archive
 ROWS = 1024  # chunks in a record batch
-TENSOR = pa.fixed_shape_tensor(pa.float32(), [CHUNK, BANDS])
+TENSOR = pa.fixed_shape_tensor(pa.float16(), [CHUNK, BANDS])
 _SPAN = [("start", pa.float64()), ("end", pa.float64())]
 _DIGEST = [("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string())]
 
@@ -262,7 +262,7 @@ def read_chunks(manifest: DataFrame, doc_id: str = "long") -> DataFrame:
         for b in batches:
             storage = b.column("tensor").storage
             offsets = pa.array(np.arange(0, (len(b) + 1) * CHUNK * BANDS, CHUNK * BANDS, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), b.column("end"), pa.ListArray.from_arrays(offsets, storage.flatten())], names=["doc_id", "start", "end", "tensor"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), b.column("end"), pa.ListArray.from_arrays(offsets, pa.array(storage.flatten().to_numpy(zero_copy_only=False).astype(np.float32)))], names=["doc_id", "start", "end", "tensor"])
 
     return _read(manifest, rows, f"doc_id {doc_id}, start double, end double, tensor array<float>")
 
@@ -283,7 +283,7 @@ def _described(batches):
     for batch in batches:
         docs = []
         row = batch.column("row").to_numpy()
-        flat = batch.column("tensor").storage.flatten().to_numpy().reshape(len(row), -1)
+        flat = batch.column("tensor").storage.flatten().to_numpy(zero_copy_only=False).reshape(len(row), -1)
         first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
         sums = np.add.reduceat(flat.sum(1, dtype=np.float64), first)
         ends = batch.column("end").to_numpy()

@@ -241,7 +241,7 @@ def test_audio_round_trip_and_digests(docs, empty, monkeypatch):
         (feature,) = by_text[hashlib.sha256(full).hexdigest()]
         told = dict(x.split("=") for x in feature.split(";"))
         assert (int(told["chunks"]), told["seconds"], told["active"]) == (chunks, f"{seconds:.3f}", active)
-        assert float(told["mean"]) == pytest.approx(tensor.mean(dtype=np.float64), abs=2e-3)
+        assert float(told["mean"]) == pytest.approx(tensor.mean(dtype=np.float64), abs=5e-3)
     assert audio_rows(empty) == []
 
 
@@ -251,7 +251,7 @@ def test_features_equal_direct_sums():
         tensor, spans, active = media.features(full)
         chunks, seconds, plain, segments = plain_feature(full)
         assert len(tensor) == chunks and spans[-1, 1] == pytest.approx(seconds)
-        assert np.abs(tensor.reshape(plain.shape) - plain).max() < 2e-3
+        assert tensor.dtype == np.float16 and np.abs(tensor.reshape(plain.shape).astype(float) - plain).max() < 1e-2  # half precision
         assert ",".join(f"{a:.3f}-{b:.3f}" for a, b in active) == segments
 
 
@@ -606,7 +606,8 @@ def test_placing_takes_the_class_of_greatest_gain():
     table = r.integers(0, 30, (k, k)).astype(float)
     h = np.repeat(np.arange(40), 6)
     cell = np.concatenate([np.sort(r.choice(2 * k, 6, replace=False)) for _ in range(40)])
-    n = r.integers(1, 9, len(h))
+    h, cell = np.repeat(h, 2), np.repeat(cell, 2)  # counts of two tasks
+    n = r.integers(1, 25, len(h))
     (got,) = brown._place(table)(iter([pa.RecordBatch.from_arrays([pa.array(h), pa.array(cell), pa.array(n)], names=["h", "cell", "n"])]))
     for w in range(40):
         values = []
