@@ -11,11 +11,11 @@
 4. merging: the posting lists that still join several components are merged with counters. Inside a list the rarest values come first
    again, by their count in that list, so that what all its members share takes no part: collisions in these shorter prefixes name
    the candidates, whose other coordinates are then counted, and pairs of MATCHES and more are held against SKETCH further
-   coordinates (a byte each). First each node's best partner is confirmed, which joins most of what belongs
+   coordinates (a byte each). First each node's best partner is confirmed (BEST passes), which joins most of what belongs
    together; then all other pairs of different components that pass both thresholds. No pair is skipped but those
    already connected, so the components are those of all pairs.
 
-Lists of more than PIECE nodes are never one task's work. Further rounds of step 3 run on them as long as they shrink, which takes the groups of
+Lists of more than PIECE nodes are never one task's work. Further rounds of step 3 run on them as long as the components in them become fewer, which takes the groups of
 near copies out of them. The nodes that are left in long lists are posted once more, in one table, by WIDE further minima, of which similar texts share WIDE_MATCHES:
 texts that have a passage in common but are not similar have prefixes of their own there, so long lists of passages dissolve in linear work. What is
 longer still is compared in pieces of BLOCK nodes outside of a list's largest component against BLOCK nodes of the whole list.
@@ -48,9 +48,9 @@ ROUNDS = 2
 SKETCH, SKETCH_MATCHES = 512, 364  # five standard deviations below a similarity of 0.8
 WIDE, WIDE_MATCHES = 256, 172  # five standard deviations too
 PIECE, BLOCK = 256, 512
-LONG_ROUNDS, SHRINK = 8, 0.8
-CHUNK = 4096  # rows merged at a time
-PAIRS = 1 << 20  # candidates at a time
+LONG_ROUNDS, SHRINK, BEST = 2, 0.8, 2
+CHUNK = 2048  # rows merged at a time
+PAIRS, SLICE = 1 << 18, 1 << 13  # candidates at a time, and those compared at a time
 _MULTIPLIERS = np.random.default_rng(7).integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SKETCH = np.random.default_rng(13).integers(1, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ROLL = np.random.default_rng(11).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
@@ -252,6 +252,12 @@ def _candidates(g: np.ndarray, sig: np.ndarray, comp: np.ndarray, matches: int):
 def _merge(percent: int, matches: int, best: bool):
     """Pairs of whole lists that pass both thresholds: each node's most similar one of a list, or all."""
 
+    def named(x, y):
+        a, b = np.minimum(x, y), np.maximum(x, y)
+        if len(a):
+            a, b = np.unique(np.stack([a, b]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
     def run(batches):
         for table in _whole_lists(batches):
             table = table.combine_chunks()
@@ -259,28 +265,34 @@ def _merge(percent: int, matches: int, best: bool):
             g = np.cumsum(np.r_[True, token[1:] != token[:-1]]) - 1
             sig = np.ascontiguousarray(table.column("sig").combine_chunks().flatten().to_numpy().reshape(len(node), COORDINATES))
             sketch = np.stack([np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("sketch")])
-            found = [np.zeros((3, 0), np.int64)]
+            lists, own = table.column("lists"), {}
+            most, who = np.zeros(len(node), np.int64), np.full(len(node), -1)  # each row's most similar one so far
             for x, y in _candidates(g, sig, comp, matches):
                 ok = ((side[x] & 1 & side[y] >> 1) | (side[y] & 1 & side[x] >> 1)) > 0
                 ok &= 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
                 x, y = x[ok], y[ok]
-                for lo in range(0, len(x), 4096):
-                    u, v = x[lo : lo + 4096], y[lo : lo + 4096]
+                for lo in range(0, len(x), SLICE):
+                    u, v = x[lo : lo + SLICE], y[lo : lo + SLICE]
                     ok = (sig[u] == sig[v]).sum(1) >= matches
                     u, v = u[ok], v[ok]
                     like = (sketch[u] == sketch[v]).sum(1)
                     ok = like >= SKETCH_MATCHES
-                    found.append(np.stack([u[ok], v[ok], like[ok]]))
-            x, y, like = np.concatenate(found, 1)
-            if best and len(x):
-                both = np.concatenate([np.stack([x, y, like]), np.stack([y, x, like])], 1)
-                both = both[:, np.lexsort((node[both[1]], -both[2], both[0]))]
-                first = np.r_[True, both[0, 1:] != both[0, :-1]]
-                x, y = both[0, first], both[1, first]
-            a, b = np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
-            if len(a):
-                a, b = np.unique(np.stack([a, b]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                    u, v, like = u[ok], v[ok], like[ok]
+                    if not best:
+                        for k in np.unique(np.r_[u, v]).tolist():
+                            if k not in own:
+                                own[k] = set(lists[k].as_py())
+                        first = [min(own[a] & own[b]) == t for a, b, t in zip(u.tolist(), v.tolist(), token[u].tolist(), strict=True)]
+                        yield named(node[u[first]], node[v[first]])  # a pair is named in one list of those that both are in
+                        continue
+                    u, v, like = np.r_[u, v], np.r_[v, u], np.r_[like, like]
+                    order = np.lexsort((-node[v], like))  # the best one last, which stays
+                    u, v, like = u[order], v[order], like[order]
+                    better = like > most[u]
+                    most[u[better]], who[u[better]] = like[better], v[better]
+            if best:
+                x = np.flatnonzero(who >= 0)
+                yield named(node[x], node[who[x]])
 
     return run
 
@@ -343,10 +355,10 @@ def node_components(docs: DataFrame, profile: DataFrame, shingle: int, percent:
         sets = picked.select("text").mapInArrow(_sets(shingle), "node long, set binary").join(posted, "node", "left_semi").dropDuplicates(["node"])
         sets = materialize(sets, "minhash-sets")
         stars = spark.createDataFrame([], "a long, b long")
-        known, left, stage = None, None, "centres"  # then "long", "best", "all"
+        known, left, stage, passes = None, None, "centres", 0  # then "long", "best", "all"
         for r in itertools.count():
             named = materialize(_labelled(lists, stars), "minhash-mixed")
-            most, long = named.agg(F.max("size"), F.count_if(F.col("size") > PIECE)).first()
+            most, long = named.agg(F.max("size"), F.count_distinct(F.when(F.col("size") > PIECE, F.col("comp")))).first()  # components that long lists still join
             if most is None:
                 break
             if stage == "centres" and r == ROUNDS:
@@ -362,13 +374,16 @@ def node_components(docs: DataFrame, profile: DataFrame, shingle: int, percent:
                     rest = named.select("node").distinct()
                     sketches = sets.join(rest, "node", "left_semi").mapInArrow(_sketches, "node long, sketch binary")
                     known = materialize(sketches.join(distinct, "node"), "minhash-known")
-                whole = _bounded_lists(named, most, sets).join(known, "node").repartition("token").sortWithinPartitions("token")
+                bounded = materialize(_bounded_lists(named, most, sets), "minhash-bounded")
+                own = bounded.groupBy("node").agg(F.collect_set("token").alias("lists"))  # at most two prefixes, and its pieces of long lists
+                whole = bounded.join(known.join(own, "node"), "node").repartition("token").sortWithinPartitions("token")
                 found = whole.mapInArrow(_merge(percent, matches, stage == "best"), "a long, b long").distinct()
                 more = _confirmed(materialize(found, "minhash-pairs"), sets, percent)
             stars = connected(materialize(more.union(stars), "minhash-links"))
             if stage == "all":
                 break
-            if stage == "best":
+            passes += stage == "best"
+            if passes == BEST:
                 stage = "all"
         keep(stars)
     return stars
