@@ -15,7 +15,7 @@
    together; then all other pairs of different components that pass both thresholds. No pair is skipped but those
    already connected, so the components are those of all pairs.
 
-Lists of more than PIECE nodes are never one task's work. Further rounds of step 3 run on them as long as the components in them become fewer, which takes the groups of
+Lists of more than PIECE nodes are never one task's work. LONG_ROUNDS further rounds of step 3 (none by default) can run on them while the components in them become fewer, to take the groups of
 near copies out of them. The nodes that are left in long lists are posted once more, in one table, by WIDE further minima, of which similar texts share WIDE_MATCHES:
 texts that have a passage in common but are not similar have prefixes of their own there, so long lists of passages dissolve in linear work. What is
 longer still is compared in pieces of BLOCK nodes outside of a list's largest component against BLOCK nodes of the whole list.
@@ -48,7 +48,7 @@ ROUNDS = 2
 SKETCH, SKETCH_MATCHES = 512, 364  # five standard deviations below a similarity of 0.8
 WIDE, WIDE_MATCHES = 256, 172  # five standard deviations too
 PIECE, BLOCK = 256, 512
-LONG_ROUNDS, SHRINK, BEST = 2, 0.8, 2
+LONG_ROUNDS, SHRINK, BEST = 0, 0.8, 1
 CHUNK = 2048  # rows merged at a time
 PAIRS, SLICE = 1 << 18, 1 << 13  # candidates at a time, and those compared at a time
 _MULTIPLIERS = np.random.default_rng(7).integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
