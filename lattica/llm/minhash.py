@@ -16,12 +16,13 @@
    already connected, so the components are those of all pairs.
 
 Lists of more than PIECE nodes are never one task's work. LONG_ROUNDS further rounds of step 3 (none by default) can run on them while the components in them become fewer, to take the groups of
-near copies out of them. The nodes that are left in long lists are posted once more, in one table, by WIDE further minima, of which similar texts share WIDE_MATCHES:
-texts that have a passage in common but are not similar have prefixes of their own there, so long lists of passages dissolve in linear work. What is
-longer still is compared in pieces of BLOCK nodes outside of a list's largest component against BLOCK nodes of the whole list.
+near copies out of them. The nodes that are left in long lists are posted once more, in one table of BANDS rows a node, by bands of BAND further minima each:
+texts that have a passage in common but are not similar seldom agree in a whole band, so long lists of passages dissolve in linear work. In the last
+round of step 3 each node also meets the centres of all its bands. What is longer still is compared in pieces of BLOCK nodes outside of a list's largest
+component against BLOCK nodes of the whole list.
 
 A pair of similarity 0.8 agrees in fewer than 36 of 64 coordinates about 4 times in a million (binomial tail); more similar ones
-more rarely; it agrees in fewer than SKETCH_MATCHES of SKETCH, or WIDE_MATCHES of WIDE, about 3 times in 10 millions each. A confirmed link is exact up to collisions of 64-bit hashes.
+more rarely; it agrees in fewer than SKETCH_MATCHES of SKETCH, or WIDE_MATCHES of the first WIDE of them, or in no whole band, about 3 times in 10 millions each. A confirmed link is exact up to collisions of 64-bit hashes.
 
 Defined results: null, empty and wordless texts have an empty set and are linked with nothing; texts of fewer words
 than a shingle are one shingle; null ids take part, are never the smallest and are kept only if no other id is in their
@@ -46,7 +47,8 @@ COORDINATES, MATCHES = 64, 36
 SHINGLE, PERCENT = 5, 80
 ROUNDS = 2
 SKETCH, SKETCH_MATCHES = 512, 364  # five standard deviations below a similarity of 0.8
-WIDE, WIDE_MATCHES = 256, 172  # five standard deviations too
+WIDE, WIDE_MATCHES = 256, 172  # the first of them; five standard deviations too
+BANDS, BAND = 50, 6  # a pair of similarity 0.8 has no whole band in common 3 times in ten millions
 PIECE, BLOCK = 256, 512
 LONG_ROUNDS, SHRINK, BEST = 0, 0.8, 1
 CHUNK = 2048  # rows merged at a time
@@ -138,13 +140,14 @@ def _sketches(batches):
         yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([x.tobytes() for x in low], pa.binary())], names=["node", "sketch"])
 
 
-def _wide_tokens(batches):
+def _band_tokens(batches):
     for batch in batches:
         for lo in range(0, batch.num_rows, 256):
             part = batch.slice(lo, 256)
-            tokens = mix(_minima(part.column("set"), WIDE, 0, np.uint64) + np.arange(WIDE, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            offsets = pa.array(np.arange(0, (part.num_rows + 1) * WIDE, WIDE, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([part.column("node"), pa.ListArray.from_arrays(offsets, pa.array(tokens.reshape(-1).view(np.int64)))], names=["node", "tokens"])
+            minima = _minima(part.column("set"), BANDS * BAND, 0, np.uint64).reshape(part.num_rows, BANDS, BAND)
+            tokens = mix((mix(minima) * _ROLL[:BAND]).sum(2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            node, n = (pa.array(np.repeat(part.column(c).to_numpy(), BANDS)) for c in ("node", "n"))
+            yield pa.RecordBatch.from_arrays([pa.array(tokens.reshape(-1).view(np.int64)), node, n], names=["token", "node", "n"])
 
 
 def _confirm(percent: int):
@@ -275,6 +278,8 @@ def _merge(percent: int, matches: int, best: bool):
                     u, v = x[lo : lo + SLICE], y[lo : lo + SLICE]
                     ok = (sig[u] == sig[v]).sum(1) >= matches
                     u, v = u[ok], v[ok]
+                    ok = (sketch[u, :WIDE] == sketch[v, :WIDE]).sum(1) >= WIDE_MATCHES
+                    u, v = u[ok], v[ok]
                     like = (sketch[u] == sketch[v]).sum(1)
                     ok = like >= SKETCH_MATCHES
                     u, v, like = u[ok], v[ok], like[ok]
@@ -309,28 +314,36 @@ def _labelled(lists: DataFrame, stars: DataFrame) -> DataFrame:
     return _mixed(lists.join(s, "node", "left").select("token", "node", "n", F.coalesce("m", "node").alias("comp")))
 
 
-def _centres(named: DataFrame, r: int, percent: int) -> DataFrame:
-    """Each node with one of the centres of its lists, (a, b); long lists meet their centre in pieces."""
+def _centre_pairs(named: DataFrame, r: int, percent: int) -> DataFrame:
+    """Each node with the centres of its lists, (a, b), repeats included; long lists meet their centre in pieces."""
     pieces = F.ceil(F.col("size") / PIECE).cast("int")
     centre = named.groupBy("token").agg(F.min_by(F.struct(F.col("node").alias("c"), F.col("comp").alias("cc"), F.col("n").alias("cn")), F.xxhash64("node", F.lit(r))).alias("s"), F.max("size").alias("size"))
     centre = centre.select("token", "s", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece"))
     dealt = named.withColumn("piece", F.pmod(F.xxhash64("node"), pieces).cast("int"))
     pairs = dealt.join(centre, ["token", "piece"]).select("node", "comp", "n", "s.*").filter("comp <> cc").filter(100 * F.least("n", "cn") >= percent * F.greatest("n", "cn"))
-    return pairs.groupBy("node").agg(F.min_by("c", F.xxhash64("c", F.lit(r))).alias("b")).select(F.col("node").alias("a"), "b")
+    return pairs.select(F.col("node").alias("a"), F.col("c").alias("b"))
+
+
+def _centres(named: DataFrame, r: int, percent: int) -> DataFrame:
+    """Each node with one of the centres of its lists, (a, b)."""
+    return _centre_pairs(named, r, percent).groupBy("a").agg(F.min_by("b", F.xxhash64("b", F.lit(r))).alias("b"))
+
+
+def _bands(named: DataFrame, sets: DataFrame) -> DataFrame:
+    """(token, node, n): the nodes of long lists by the values of whole bands."""
+    long = named.filter(F.col("size") > PIECE).select("node", "n").distinct()
+    return sets.join(long, "node").select("node", "n", "set").mapInArrow(_band_tokens, "token long, node long, n long")
 
 
-def _bounded_lists(named: DataFrame, most: int, sets: DataFrame) -> DataFrame:
-    """The lists (token, node, n, comp, side) in which every pair that the thresholds ask for still meets, none longer than PIECE or about two blocks."""
+def _bounded_lists(named: DataFrame, banded: DataFrame | None) -> DataFrame:
+    """The lists (token, node, n, comp, side) in which every pair that the thresholds ask for still meets, none longer than PIECE or about two blocks.
+    banded: the lists of bands that still join several components, in place of long lists."""
     columns = ["token", "node", "n", "comp"]
     out = named.filter(F.col("size") <= PIECE).select(*columns, F.lit(3).alias("side"))
-    if most <= PIECE:
+    if banded is None:
         return out
-    left = named.filter(F.col("size") > PIECE).select("node", "n", "comp").distinct()
-    posted = sets.join(left, "node", "left_semi").mapInArrow(_wide_tokens, "node long, tokens array<long>").select("node", F.explode("tokens").alias("token"))
-    wide = _prefixes(posted, WIDE_MATCHES).join(left, "node").select(F.xxhash64(F.lit("wide"), "token").alias("token"), "node", "n", "comp")
-    wide = materialize(_mixed(wide), "minhash-wide")
-    out = out.union(wide.filter(F.col("size") <= PIECE).select(*columns, F.lit(3).alias("side")))
-    long = wide.filter(F.col("size") > PIECE)
+    out = out.union(banded.filter(F.col("size") <= PIECE).select(*columns, F.lit(3).alias("side")))
+    long = banded.filter(F.col("size") > PIECE)
     lead = long.groupBy("token", "comp").agg(F.count("*").alias("k")).groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("largest"), F.max("k").alias("inside"))
     long = long.join(lead, "token").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("outer", F.ceil((F.col("size") - F.col("inside")) / BLOCK).cast("int"))
     upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
@@ -355,7 +368,7 @@ def node_components(docs: DataFrame, profile: DataFrame, shingle: int, percent:
         sets = picked.select("text").mapInArrow(_sets(shingle), "node long, set binary").join(posted, "node", "left_semi").dropDuplicates(["node"])
         sets = materialize(sets, "minhash-sets")
         stars = spark.createDataFrame([], "a long, b long")
-        known, left, stage, passes = None, None, "centres", 0  # then "long", "best", "all"
+        known, left, bands, stage, passes = None, None, None, "centres", 0  # then "long", "best", "all"
         for r in itertools.count():
             named = materialize(_labelled(lists, stars), "minhash-mixed")
             most, long = named.agg(F.max("size"), F.count_distinct(F.when(F.col("size") > PIECE, F.col("comp")))).first()  # components that long lists still join
@@ -366,15 +379,23 @@ def node_components(docs: DataFrame, profile: DataFrame, shingle: int, percent:
             if stage == "long" and (not long or r >= ROUNDS + LONG_ROUNDS or left is not None and long > SHRINK * left):
                 stage = "best"
             left = long
+            banded = None
+            if most > PIECE and (stage in ("best", "all") or r == ROUNDS - 1):
+                if bands is None:  # later long lists hold no other nodes
+                    bands = materialize(_bands(named, sets), "minhash-bands")
+                banded = materialize(_labelled(bands, stars), "minhash-banded")
             if stage in ("centres", "long"):
                 wanted = named if stage == "centres" else named.filter(F.col("size") > PIECE)
-                more = _confirmed(_centres(wanted, r, percent), sets, percent)
+                pairs = _centres(wanted, r, percent)
+                if banded is not None:
+                    pairs = pairs.union(_centre_pairs(banded, r, percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+                more = _confirmed(pairs, sets, percent)
             else:
                 if known is None:
                     rest = named.select("node").distinct()
                     sketches = sets.join(rest, "node", "left_semi").mapInArrow(_sketches, "node long, sketch binary")
                     known = materialize(sketches.join(distinct, "node"), "minhash-known")
-                bounded = materialize(_bounded_lists(named, most, sets), "minhash-bounded")
+                bounded = materialize(_bounded_lists(named, banded), "minhash-bounded")
                 own = bounded.groupBy("node").agg(F.collect_set("token").alias("lists"))  # at most two prefixes, and its pieces of long lists
                 whole = bounded.join(known.join(own, "node"), "node").repartition("token").sortWithinPartitions("token")
                 found = whole.mapInArrow(_merge(percent, matches, stage == "best"), "a long, b long").distinct()

@@ -1,9 +1,13 @@
 """The near-duplicate stage tells rows apart by id and content."""
 
+import collections
+import random
+
 from pyspark.sql import functions as F
 
 from lattica.llm import minhash
-from tests.llm.test_operators import word_salad
+from lattica.plans.shared import materialize
+from tests.llm.test_operators import plain_components, word_salad
 
 
 def test_drop_near_keeps_unique_texts_without_or_with_repeated_ids(spark):
@@ -21,3 +25,29 @@ def test_drop_near_keeps_unique_texts_without_or_with_repeated_ids(spark):
     key = lambda x: (str(x[0]), x[1])
     assert sorted((x for x in got if x != (None, "") and x != (None, None)), key=key) == sorted(want, key=key)
     assert sum(not (t or "") and i is None for i, t in got) == 1  # a null text is an empty one
+
+
+def edited(words, seed, share):
+    r = random.Random(seed)
+    return " ".join(f"edit{seed}x{i}" if r.random() < share else w for i, w in enumerate(words))
+
+
+def test_long_lists_of_passages_and_near_copies(spark, monkeypatch):
+    """Near copies of many degrees and texts around one passage, in lists far beyond PIECE: all links, and work that follows the rows."""
+    monkeypatch.setattr(minhash, "PIECE", 16)
+    monkeypatch.setattr(minhash, "BLOCK", 32)
+    base, passage = word_salad(1, 120).split(), word_salad(2, 90)
+    rows = [(i, edited(base, 100 + i, 0.004 * (i % 14))) for i in range(160)]
+    rows += [(1000 + i, passage + " " + word_salad(3000 + i, 25 + i % 20)) for i in range(160)]
+    sizes = {}
+
+    def counted(df, label):
+        out = materialize(df, label)
+        sizes[label] = max(sizes.get(label, 0), out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "materialize", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = collections.Counter((x["doc_id"], x["n_shingles"], x["component_id"], x["kept"]) for x in minhash.near_duplicates(docs, shingle=4).collect())
+    assert got == plain_components(rows, 4)
+    assert sizes["minhash-bounded"] <= 32 * len(rows), sizes
