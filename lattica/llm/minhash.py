@@ -10,8 +10,8 @@
    linked when the full sets confirm it. Lists whose nodes are all in one component can add nothing and are skipped.
 4. merging: the posting lists that still join several components are merged with counters. Inside a list the rarest values come first
    again, by their count in that list, so that what all its members share takes no part: collisions in these shorter prefixes name
-   the candidates, whose other coordinates are then counted, and pairs of MATCHES and more are held against SKETCH further
-   coordinates (a byte each). First each node's best partner is confirmed (BEST passes), which joins most of what belongs
+   the candidates, whose other coordinates are then counted once a list, and pairs of MATCHES and more are held against SKETCH further
+   coordinates (a byte each). First each node's best partner is confirmed (BEST passes; in long lists other centres of its bands), which joins most of what belongs
    together; then all other pairs of different components that pass both thresholds. No pair is skipped but those
    already connected, so the components are those of all pairs.
 
@@ -268,12 +268,14 @@ def _merge(percent: int, matches: int, best: bool):
             g = np.cumsum(np.r_[True, token[1:] != token[:-1]]) - 1
             sig = np.ascontiguousarray(table.column("sig").combine_chunks().flatten().to_numpy().reshape(len(node), COORDINATES))
             sketch = np.stack([np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("sketch")])
-            lists, own = table.column("lists"), {}
+            lists, own, seen = table.column("lists"), {}, np.zeros(0, np.int64)
             most, who = np.zeros(len(node), np.int64), np.full(len(node), -1)  # each row's most similar one so far
             for x, y in _candidates(g, sig, comp, matches):
                 ok = ((side[x] & 1 & side[y] >> 1) | (side[y] & 1 & side[x] >> 1)) > 0
                 ok &= 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
                 x, y = x[ok], y[ok]
+                new = ~np.isin(x * len(node) + y, seen)  # pairs that collide again, in another part of the candidates
+                x, y = x[new], y[new]
                 for lo in range(0, len(x), SLICE):
                     u, v = x[lo : lo + SLICE], y[lo : lo + SLICE]
                     ok = (sig[u] == sig[v]).sum(1) >= matches
@@ -283,6 +285,7 @@ def _merge(percent: int, matches: int, best: bool):
                     like = (sketch[u] == sketch[v]).sum(1)
                     ok = like >= SKETCH_MATCHES
                     u, v, like = u[ok], v[ok], like[ok]
+                    seen = np.concatenate([seen, u * len(node) + v])
                     if not best:
                         for k in np.unique(np.r_[u, v]).tolist():
                             if k not in own:
@@ -395,10 +398,14 @@ def node_components(docs: DataFrame, profile: DataFrame, shingle: int, percent:
                     rest = named.select("node").distinct()
                     sketches = sets.join(rest, "node", "left_semi").mapInArrow(_sketches, "node long, sketch binary")
                     known = materialize(sketches.join(distinct, "node"), "minhash-known")
-                bounded = materialize(_bounded_lists(named, banded), "minhash-bounded")
+                best = stage == "best"
+                bounded = materialize(_bounded_lists(named, None if best else banded), "minhash-bounded")
                 own = bounded.groupBy("node").agg(F.collect_set("token").alias("lists"))  # at most two prefixes, and its pieces of long lists
                 whole = bounded.join(known.join(own, "node"), "node").repartition("token").sortWithinPartitions("token")
-                found = whole.mapInArrow(_merge(percent, matches, stage == "best"), "a long, b long").distinct()
+                found = whole.mapInArrow(_merge(percent, matches, best), "a long, b long")
+                if best and banded is not None:  # of long lists, other centres
+                    found = found.union(_centre_pairs(banded, r, percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+                found = found.distinct()
                 more = _confirmed(materialize(found, "minhash-pairs"), sets, percent)
             stars = connected(materialize(more.union(stars), "minhash-links"))
             if stage == "all":

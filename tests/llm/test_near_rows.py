@@ -3,6 +3,8 @@
 import collections
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lattica.llm import minhash
@@ -51,3 +53,18 @@ def test_long_lists_of_passages_and_near_copies(spark, monkeypatch):
     got = collections.Counter((x["doc_id"], x["n_shingles"], x["component_id"], x["kept"]) for x in minhash.near_duplicates(docs, shingle=4).collect())
     assert got == plain_components(rows, 4)
     assert sizes["minhash-bounded"] <= 32 * len(rows), sizes
+
+
+def test_a_pair_is_named_once(monkeypatch):
+    """Near copies collide in many coordinates; candidates come in parts, each pair is compared and named in one of them."""
+    monkeypatch.setattr(minhash, "PAIRS", 8)
+    r = np.random.default_rng(1)
+    size = 12
+    sig = np.repeat(r.integers(0, 1 << 30, (1, minhash.COORDINATES)), size, axis=0).astype(np.int32)
+    sig[np.arange(size), np.arange(size)] += 1  # no two are equal, all are near
+    sketch = r.integers(0, 256, minhash.SKETCH).astype(np.uint8).tobytes()
+    batch = pa.RecordBatch.from_pydict(
+        {"token": [5] * size, "side": [3] * size, "node": list(range(size)), "n": [100] * size, "comp": list(range(size)), "sig": pa.array(sig.tolist(), pa.list_(pa.int32())), "sketch": [sketch] * size, "lists": [[5]] * size}
+    )
+    got = [(x["a"], x["b"]) for part in minhash._merge(80, minhash.MATCHES, False)([batch]) for x in part.to_pylist()]
+    assert sorted(got) == [(a, b) for a in range(size) for b in range(a + 1, size)]
