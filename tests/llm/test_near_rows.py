@@ -68,3 +68,22 @@ def test_a_pair_is_named_once(monkeypatch):
     )
     got = [(x["a"], x["b"]) for part in minhash._merge(80, minhash.MATCHES, False)([batch]) for x in part.to_pylist()]
     assert sorted(got) == [(a, b) for a in range(size) for b in range(a + 1, size)]
+
+
+def test_prefixes_of_long_lists_are_posted_once(spark, monkeypatch):
+    """drop_near on a long list: the rows of prefixes are those of the signatures, at most COORDINATES - MATCHES + 1 a text."""
+    monkeypatch.setattr(minhash, "PIECE", 8)
+    made, plain = [], minhash._prefixes
+
+    def counted(posted, matches):
+        out = plain(posted, matches)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "_prefixes", counted)
+    passage = word_salad(2, 90)
+    rows = [(i, passage + " " + word_salad(3000 + i, 25 + i % 20)) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(x["doc_id"] for x in minhash.drop_near(docs).collect())
+    assert got == sorted(i for (i, _, _, stays) in plain_components(rows, 5) if stays)
+    assert sum(made) <= (minhash.COORDINATES - minhash.MATCHES + 1) * len(rows), made
