@@ -11,8 +11,9 @@
 4. merging: the posting lists that still join several components are merged with counters. Inside a list the rarest values come first
    again, by their count in that list, so that what all its members share takes no part: collisions in these shorter prefixes name
    the candidates, whose other coordinates are then counted once a list, and pairs of MATCHES and more are held against SKETCH further
-   coordinates (a byte each). First each node's best partner is confirmed (BEST passes; in long lists other centres of its bands), which joins most of what belongs
-   together; then all other pairs of different components that pass both thresholds. No pair is skipped but those
+   coordinates (a byte each). Of what is left, pairs that can't be links are refuted there and then: shingles are counted in COUNTS hash buckets
+   a node, and the sum of the lesser counts is never below the number of common shingles. First each node's best partner is confirmed (BEST
+   passes; in long lists other centres of its bands), which joins most of what belongs together; then all other pairs of different components that pass both thresholds and may be links. No pair is skipped but those
    already connected, so the components are those of all pairs.
 
 Lists of more than PIECE nodes are never one task's work. LONG_ROUNDS further rounds of step 3 (none by default) can run on them while the components in them become fewer, to take the groups of
@@ -48,6 +49,7 @@ SHINGLE, PERCENT = 5, 80
 ROUNDS = 2
 SKETCH, SKETCH_MATCHES = 512, 364  # five standard deviations below a similarity of 0.8
 WIDE, WIDE_MATCHES = 256, 172  # the first of them; five standard deviations too
+COUNTS = 1024  # buckets; the more shingles a text has, the weaker is the bound
 BANDS, BAND = 50, 6  # a pair of similarity 0.8 has no whole band in common 3 times in ten millions
 PIECE, BLOCK = 256, 512
 LONG_ROUNDS, SHRINK, BEST = 0, 0.8, 1
@@ -134,10 +136,27 @@ def _minima(column: pa.Array, size: int, shift: int, dtype) -> np.ndarray:
     return out
 
 
+def _bucket_counts(column: pa.Array) -> np.ndarray:
+    """(rows, COUNTS): how many of a set's hashes are in each bucket; 255 stands for that many or more."""
+    out = np.zeros((len(column), COUNTS), np.uint8)
+    for i, x in enumerate(column):
+        values = np.frombuffer(x.as_buffer(), np.uint64)
+        out[i] = np.minimum(np.bincount((values % np.uint64(COUNTS)).astype(np.int64), minlength=COUNTS), 255)
+    return out
+
+
+def _may_link(x: np.ndarray, y: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Whether pairs of sets with bucket counts x and y, of so many shingles together, may be similar enough. False is exact: no two sets have more in common than
+    the sum of the lesser counts."""
+    least = np.minimum(x, y)
+    return ((100 + percent) * least.sum(1, dtype=np.int64) >= percent * sizes) | (least == 255).any(1)
+
+
 def _sketches(batches):
     for batch in batches:
         low = _minima(batch.column("set"), SKETCH, 40, np.uint32).astype(np.uint8) if batch.num_rows else np.zeros((0, SKETCH), np.uint8)
-        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([x.tobytes() for x in low], pa.binary())], names=["node", "sketch"])
+        counts = _bucket_counts(batch.column("set"))
+        yield pa.RecordBatch.from_arrays([batch.column("node"), *(pa.array([x.tobytes() for x in rows], pa.binary()) for rows in (low, counts))], names=["node", "sketch", "counts"])
 
 
 def _band_tokens(batches):
@@ -252,8 +271,8 @@ def _candidates(g: np.ndarray, sig: np.ndarray, comp: np.ndarray, matches: int):
         yield pair // max(n, 1), pair % max(n, 1)
 
 
-def _merge(percent: int, matches: int, best: bool):
-    """Pairs of whole lists that pass both thresholds: each node's most similar one of a list, or all."""
+def _merge(percent: int, matches: int, best: bool, counted: bool = False):
+    """Pairs of whole lists that pass both thresholds: each node's most similar one of a list, or all. counted: only those that may be links by their bucket counts."""
 
     def named(x, y):
         a, b = np.minimum(x, y), np.maximum(x, y)
@@ -267,7 +286,7 @@ def _merge(percent: int, matches: int, best: bool):
             token, side, node, n, comp = (table.column(c).to_numpy() for c in ("token", "side", "node", "n", "comp"))
             g = np.cumsum(np.r_[True, token[1:] != token[:-1]]) - 1
             sig = np.ascontiguousarray(table.column("sig").combine_chunks().flatten().to_numpy().reshape(len(node), COORDINATES))
-            sketch = np.stack([np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("sketch")])
+            sketch, *counts = (np.stack([np.frombuffer(x.as_buffer(), np.uint8) for x in table.column(c)]) for c in ("sketch", "counts")[: 1 + counted])
             lists, own, seen = table.column("lists"), {}, np.zeros(0, np.int64)
             most, who = np.zeros(len(node), np.int64), np.full(len(node), -1)  # each row's most similar one so far
             for x, y in _candidates(g, sig, comp, matches):
@@ -286,6 +305,9 @@ def _merge(percent: int, matches: int, best: bool):
                     ok = like >= SKETCH_MATCHES
                     u, v, like = u[ok], v[ok], like[ok]
                     seen = np.concatenate([seen, u * len(node) + v])
+                    if counted:
+                        ok = _may_link(counts[0][u], counts[0][v], n[u] + n[v], percent)
+                        u, v, like = u[ok], v[ok], like[ok]
                     if not best:
                         for k in np.unique(np.r_[u, v]).tolist():
                             if k not in own:
@@ -396,13 +418,13 @@ def node_components(docs: DataFrame, profile: DataFrame, shingle: int, percent:
             else:
                 if known is None:
                     rest = named.select("node").distinct()
-                    sketches = sets.join(rest, "node", "left_semi").mapInArrow(_sketches, "node long, sketch binary")
+                    sketches = sets.join(rest, "node", "left_semi").mapInArrow(_sketches, "node long, sketch binary, counts binary")
                     known = materialize(sketches.join(distinct, "node"), "minhash-known")
                 best = stage == "best"
                 bounded = materialize(_bounded_lists(named, None if best else banded), "minhash-bounded")
                 own = bounded.groupBy("node").agg(F.collect_set("token").alias("lists"))  # at most two prefixes, and its pieces of long lists
                 whole = bounded.join(known.join(own, "node"), "node").repartition("token").sortWithinPartitions("token")
-                found = whole.mapInArrow(_merge(percent, matches, best), "a long, b long")
+                found = whole.mapInArrow(_merge(percent, matches, best, True), "a long, b long")
                 if best and banded is not None:  # of long lists, other centres
                     found = found.union(_centre_pairs(banded, r, percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
                 found = found.distinct()

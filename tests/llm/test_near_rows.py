@@ -87,3 +87,44 @@ def test_prefixes_of_long_lists_are_posted_once(spark, monkeypatch):
     got = sorted(x["doc_id"] for x in minhash.drop_near(docs).collect())
     assert got == sorted(i for (i, _, _, stays) in plain_components(rows, 5) if stays)
     assert sum(made) <= (minhash.COORDINATES - minhash.MATCHES + 1) * len(rows), made
+
+
+def test_pairs_that_full_sets_would_refute_are_not_named(spark, monkeypatch):
+    """Texts that are nearly similar enough pass the thresholds, but their bucket counts tell most of them apart: rows to confirm follow the texts, not their square."""
+    r, base = random.Random(5), word_salad(1, 300).split()
+    rows = []
+    for i in range(120):
+        w = list(base)
+        for j in r.sample(range(len(w)), 5):
+            w[j] = f"edit{i}x{j}"
+        rows.append((i, " ".join(w)))
+    named = []
+
+    def counted(df, label):
+        out = materialize(df, label)
+        if label == "minhash-pairs":
+            named.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "materialize", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = collections.Counter((x["doc_id"], x["n_shingles"], x["component_id"], x["kept"]) for x in minhash.near_duplicates(docs, shingle=4).collect())
+    assert got == plain_components(rows, 4)
+    assert named[-1] <= len(rows), named  # the pass before them names at most one a node and list
+
+
+def test_bucket_counts_refute_no_link():
+    """Pairs around the threshold, of few shingles to buckets that are full, in a coordinate's 255 and beyond."""
+    r = np.random.default_rng(2)
+    refuted = 0
+    for size, spread in [(1, 1 << 62), (30, 1 << 62), (400, 1 << 62), (5000, 1 << 62), (3000, 4)]:
+        for same in np.linspace(0.5, 1, 26):
+            pool = r.choice(1 << 20, 2 * size, replace=False).astype(np.uint64) * np.uint64(minhash.COUNTS) + r.integers(0, spread, 2 * size, dtype=np.uint64) % np.uint64(minhash.COUNTS)
+            k = round(same * size)
+            a, b = pool[:size], np.concatenate([pool[:k], pool[size : 2 * size - k]])
+            counts = minhash._bucket_counts(pa.array([a.tobytes(), b.tobytes()], pa.binary()))
+            may = bool(minhash._may_link(counts[:1], counts[1:], np.array([2 * size]), 80)[0])
+            link = 100 * k >= 80 * (2 * size - k)
+            assert may or not link, (size, same)
+            refuted += not may
+    assert refuted >= 26, refuted
