@@ -267,7 +267,8 @@ def _candidates(g: np.ndarray, sig: np.ndarray, comp: np.ndarray, matches: int):
         a, b = row[a], row[b]
         ok = comp[a] != comp[b]
         a, b = a[ok], b[ok]
-        pair = np.unique(np.minimum(a, b) * n + np.maximum(a, b))
+        pair = np.sort(np.minimum(a, b) * n + np.maximum(a, b))
+        pair = pair[np.r_[True, pair[1:] != pair[:-1]]] if len(pair) else pair  # faster than np.unique, which hashes
         yield pair // max(n, 1), pair % max(n, 1)
 
 
@@ -297,7 +298,7 @@ def _merge(percent: int, matches: int, best: bool, counted: bool = False):
                 x, y = x[new], y[new]
                 for lo in range(0, len(x), SLICE):
                     u, v = x[lo : lo + SLICE], y[lo : lo + SLICE]
-                    ok = (sig[u] == sig[v]).sum(1) >= matches
+                    ok = (sig[u] == sig[v]).view(np.uint8).sum(1, dtype=np.uint8) >= matches  # at most COORDINATES
                     u, v = u[ok], v[ok]
                     ok = (sketch[u, :WIDE] == sketch[v, :WIDE]).sum(1) >= WIDE_MATCHES
                     u, v = u[ok], v[ok]
