@@ -21,6 +21,7 @@ from lattica.operators.lattice import INSIDE, TOKEN, Dictionary, Lattice
 from lattica.plans.model import BOS, EOS, Model
 
 BLOCK = 1 << 20
+ROWS = 1 << 18  # results of a batch that goes out at once, where sentences repeat
 LIMIT = 1 << 30
 TOKEN_FIELDS = "surface string, feature string, begin int, start int, end int, length int, rlength int, left_id int, right_id int, pos_id int, char_type int, stat int, wcost int, cost long, node_id int"
 _FEATURES: dict[str, tuple] = {}
@@ -45,7 +46,7 @@ class _Decoder:
 
 def _blocks(column: pa.Array) -> Iterator[tuple[np.ndarray, list[bytes]]]:
     """(rows, sentences) of similar lengths, about BLOCK bytes together."""
-    texts = [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
+    texts = [b"" if x is None else x for x in column.cast(pa.large_binary()).to_pylist()]
     sizes = np.array([len(x) for x in texts], np.int64)
     order = np.argsort(sizes, kind="stable")
     total = np.cumsum(sizes[order])
@@ -103,18 +104,47 @@ def _token_arrays(lat: Lattice, nodes: np.ndarray, features: pa.Array) -> dict[s
     }
 
 
+def _copies(counts: np.ndarray, row: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(copy, index into row) of the results that each copy of a sentence takes, where sentence i has counts[i] copies that follow one another
+    and row, the sentence of each result, doesn't fall; in pieces of about ROWS results."""
+    first = np.searchsorted(row, np.arange(len(counts) + 1))
+    begin, size = np.repeat(first[:-1], counts), np.repeat(np.diff(first), counts)  # of each copy
+    total = np.cumsum(size)
+    at = 0
+    while at < len(size):
+        stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + ROWS, "right")))
+        n = size[at:stop]
+        yield np.repeat(np.arange(at, stop), n), np.repeat(begin[at:stop] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        at = stop
+
+
 def _apply(df: DataFrame, text: str, schema: str, work) -> DataFrame:
-    """work(sentences) -> (index of the sentence, arrays) for rows of schema, beside all columns of df."""
+    """work(sentences) -> (index of the sentence, arrays) for rows of schema, beside all columns of df; the index doesn't fall.
+
+    Equal sentences of a batch are worked on once."""
     kept = [f for f in df.schema if f.name != text]
     names = [f.name for f in kept] + [x.split()[0] for x in _columns(schema)]
 
     def run(batches):
         for batch in batches:
             at = batch.schema.get_field_index(text)
-            for rows, sentences in _blocks(batch.column(at)):
+            one = batch.column(at).cast(pa.large_binary()).fill_null(b"").dictionary_encode()  # nulls are empty
+            code = one.indices.to_numpy(zero_copy_only=False)
+            by_code = np.argsort(code, kind="stable")  # rows of the same sentence together
+            copies = np.bincount(code, minlength=len(one.dictionary))
+            first = np.cumsum(copies) - copies
+            for which, sentences in _blocks(one.dictionary):
                 row, arrays = work(sentences)
-                take = pa.array(rows[row])
-                yield pa.RecordBatch.from_arrays([batch.column(f.name).take(take) for f in kept] + arrays, names=names)
+                if len(by_code) == len(one.dictionary):
+                    parts = [(row, None)]
+                else:
+                    parts = _copies(copies[which], row)
+                n = copies[which]
+                rows = by_code[np.repeat(first[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+                for copy, index in parts:
+                    take = pa.array(rows[copy])
+                    got = arrays if index is None else [a.take(pa.array(index)) for a in arrays]
+                    yield pa.RecordBatch.from_arrays([batch.column(f.name).take(take) for f in kept] + got, names=names)
 
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
     return df.mapInArrow(run, f"{out}, {schema}" if out else schema)
@@ -259,7 +289,7 @@ def nbest(df: DataFrame, model: Model, n: int, text: str = "sentence") -> DataFr
 
 def parse_partial(block: str) -> tuple[bytes, tuple[dict[int, int], dict[int, tuple[int, str]]]]:
     """Sentence and constraints of a block of surface[TAB pattern] lines; a lone EOS ends it."""
-    text, edges, features = b"", {}, {}
+    text, edges, features = bytearray(), {}, {}
     for line in block.split("\n"):
         surface, tab, pattern = line.partition("\t")
         if line == "EOS":
@@ -271,7 +301,7 @@ def parse_partial(block: str) -> tuple[bytes, tuple[dict[int, int], dict[int, tu
             features[a] = (b, pattern)
             edges.update({p: INSIDE for p in range(a + 1, b)})
         text += raw
-    return text, (edges, features)
+    return bytes(text), (edges, features)
 
 
 def tokenize_partial(df: DataFrame, model: Model, text: str = "block") -> DataFrame:
