@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattica.operators.lattice import INSIDE, TOKEN, Dictionary, Lattice
+from lattica.operators.lattice import INSIDE, TOKEN, Dictionary, Lattice, Text, characters, unknown_spans
 from lattica.plans.model import BOS, EOS, Model
 
 BLOCK = 1 << 20
@@ -150,6 +150,20 @@ def _apply(df: DataFrame, text: str, schema: str, work) -> DataFrame:
     return df.mapInArrow(run, f"{out}, {schema}" if out else schema)
 
 
+def _sums(df: DataFrame, text: str, schema: str, work) -> DataFrame:
+    """Partial sums of a text column: work(sentences, copies of each) -> arrays of schema, for each block of a batch."""
+    names = [x.split()[0] for x in _columns(schema)]
+
+    def run(batches):
+        for batch in batches:
+            one = batch.column(0).cast(pa.large_binary()).fill_null(b"").dictionary_encode()
+            copies = np.bincount(one.indices.to_numpy(zero_copy_only=False), minlength=len(one.dictionary))
+            for which, sentences in _blocks(one.dictionary):
+                yield pa.RecordBatch.from_arrays(work(sentences, copies[which]), names=names)
+
+    return df.select(text).mapInArrow(run, schema)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df, dealt anew only where its scan has fewer partitions than the cluster has cores (a small file, one row group)."""
     cores = df.sparkSession.sparkContext.defaultParallelism
@@ -262,6 +276,29 @@ def log_partition(df: DataFrame, model: Model, text: str = "sentence", theta: fl
     return _apply(df, text, "z double", work)
 
 
+def unknown_counts(df: DataFrame, model: Model, text: str = "sentence") -> DataFrame:
+    """class_id, step, n, n_chars: unknown words of all positions, counted by class and step (see lattice.unknown_spans)."""
+    decoder = _Decoder(df.sparkSession, model)
+
+    def work(sentences, copies):
+        dictionary, block = decoder.ready()[0], Text(sentences)
+        c = characters(block, dictionary.model)
+        last = np.searchsorted(c.sentence, np.arange(len(block.sizes)), "right")[c.sentence] if len(c.at) else c.at
+        heads = np.flatnonzero((c.mask & dictionary.model.char_mask[0x20]) == 0)
+        who, _, _ = dictionary.matches(block, c.at[heads], block.offsets[c.sentence[heads] + 1])
+        hit = np.zeros(len(heads), bool)
+        hit[who] = True
+        want, wu, end, step = unknown_spans(c, dictionary.model, last, heads, hit)
+        begin = heads[want][wu]
+        key, index = np.unique(c.kind[begin] << 21 | step, return_inverse=True)
+        n = copies[c.sentence[begin]]
+        total = lambda x: pa.array(np.bincount(index, x, len(key)).astype(np.int64))
+        return [pa.array((key >> 21).astype(np.int32)), pa.array((key & ((1 << 21) - 1)).astype(np.int32)), total(n), total(n * (end - begin))]
+
+    parts = _sums(df, text, "class_id int, step int, n long, n_chars long", work)
+    return parts.groupBy("class_id", "step").agg(F.sum("n").alias("n"), F.sum("n_chars").alias("n_chars"))
+
+
 def nbest(df: DataFrame, model: Model, n: int, text: str = "sentence") -> DataFrame:
     """Up to n cheapest paths of each sentence: rank (from 1), path_cost, tok_idx and TOKEN_FIELDS; token costs are those of the best path to each node."""
     decoder = _Decoder(df.sparkSession, model)

@@ -1,7 +1,7 @@
 """Lattices as tables: characters, classes, runs, candidates, nodes and edges, all as DataFrame operators.
 
-This form scales with the cluster whatever the dictionary's size: a dictionary lookup is an equi-join on substrings of at
-most the longest surface, never a prefix comparison of all pairs. Small tables (classes, character map, connection costs) are joined as they are; Spark
+This form scales with the cluster whatever the dictionary's size: a dictionary lookup is an equi-join on the substrings that pass a
+filter of fixed size, never a prefix comparison of all pairs. Characters, runs and substrings of a sentence are cut where it is read, in time that follows its length. Small tables (classes, character map, connection costs) are joined as they are; Spark
 broadcasts those below its own size threshold.
 
 Character positions (ci) and byte positions run within a sentence; ``end_ci`` is exclusive.
@@ -11,16 +11,75 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattica.operators.decode import _apply, _sums
+from lattica.operators.lattice import Text
+from lattica.plans.model import Model
 
-def chars(sentences: DataFrame, keys: Sequence[str], text: str = "sentence") -> DataFrame:
-    """keys, ci, ch, cp, byte_len, byte_pos of every character."""
-    rows = sentences.filter(F.col(text) != "").select(*keys, F.posexplode(F.split(text, "")).alias("ci", "ch")).filter("ch <> ''")
-    w = Window.partitionBy(*keys).orderBy("ci").rowsBetween(Window.unboundedPreceding, -1)
-    size = F.octet_length("ch")
-    return rows.select(*keys, "ci", "ch", F.ascii("ch").alias("cp"), size.alias("byte_len"), F.coalesce(F.sum(size).over(w), F.lit(0)).cast("int").alias("byte_pos"))
+_BITS = 22  # of the filter that substrings pass before they are joined
+_HEAD = 1 << 40
+CHAR_FIELDS = {"ci": "int", "ch": "string", "cp": "int", "byte_len": "int", "byte_pos": "int"}
+
+
+def _cut(sentences: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes, sentence offsets, and of each character its place, sentence and number in the sentence."""
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in sentences])]).astype(np.int64)
+    data = np.frombuffer(b"".join(sentences), np.uint8)
+    at = np.flatnonzero((data & 0xC0) != 0x80)
+    first = np.searchsorted(at, offsets)
+    n = np.diff(first)
+    return data, offsets, at, np.repeat(np.arange(len(sentences)), n), np.arange(len(at)) - np.repeat(first[:-1], n)
+
+
+def _code_points(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    pad = np.concatenate([data, np.zeros(4, np.uint8)]).astype(np.int32)
+    b0, b1, b2, b3 = pad[at], pad[at + 1] & 63, pad[at + 2] & 63, pad[at + 3] & 63
+    return np.select([size == 1, size == 2, size == 3], [b0, (b0 & 31) << 6 | b1, (b0 & 15) << 12 | b1 << 6 | b2], (b0 & 7) << 18 | b1 << 12 | b2 << 6 | b3)
+
+
+def chars(sentences: DataFrame, keys: Sequence[str], text: str = "sentence", fields: Sequence[str] = tuple(CHAR_FIELDS)) -> DataFrame:
+    """keys, ci, ch, cp, byte_len, byte_pos of every character, or those fields that are asked for."""
+
+    def work(block):
+        data, offsets, at, sentence, ci = _cut(block)
+        size = np.diff(np.append(at, len(data)))
+        made = {
+            "ci": lambda: ci,
+            "ch": lambda: pa.StringArray.from_buffers(len(at), pa.py_buffer(np.append(at, len(data)).astype(np.int32)), pa.py_buffer(data)),
+            "cp": lambda: _code_points(data, at, size),
+            "byte_len": lambda: size,
+            "byte_pos": lambda: at - offsets[sentence],
+        }
+        return sentence, [made[f]() if f == "ch" else pa.array(made[f]().astype(np.int32)) for f in fields]
+
+    return _apply(sentences.filter(F.col(text) != "").select(*keys, text), text, ", ".join(f"{f} {CHAR_FIELDS[f]}" for f in fields), work)
+
+
+def class_runs(sentences: DataFrame, keys: Sequence[str], model: Model, text: str = "sentence") -> DataFrame:
+    """keys, run_id (from 1), class_id of its first character, first_ci, run_end: the stretches that runs marks, cut where a sentence is read.
+
+    Classes are those of the model."""
+    of_class, of_mask = model.char_class.astype(np.int32), model.char_mask.astype(np.int32)
+
+    def work(block):
+        data, _, at, sentence, ci = _cut(block)
+        code = _code_points(data, at, np.diff(np.append(at, len(data))))
+        code = np.where(code > 65535, 0, code)
+        mask = of_mask[code]
+        begins = ci == 0
+        begins[1:] |= (mask[1:] & mask[:-1]) == 0
+        head = np.flatnonzero(begins)
+        stop = np.append(head[1:], len(at)) - 1  # its last character
+        row = sentence[head]
+        run_id = np.arange(1, len(head) + 1) - np.searchsorted(row, row, "left")
+        i32 = lambda x: pa.array(x.astype(np.int32))
+        return row, [pa.array(run_id), i32(of_class[code[head]]), i32(ci[head]), i32(ci[stop] + 1)]
+
+    return _apply(sentences.filter(F.col(text) != "").select(*keys, text), text, "run_id long, class_id int, first_ci int, run_end int", work)
 
 
 def classify(characters: DataFrame, char_map: DataFrame, default_class: int) -> DataFrame:
@@ -45,18 +104,81 @@ def heads(with_runs: DataFrame, keys: Sequence[str], space_mask: int) -> DataFra
     return with_runs.withColumn("head_ci", F.min(F.when(F.col("type_mask").bitwiseAND(F.lit(space_mask)) == 0, F.col("ci"))).over(w))
 
 
+class _Surfaces:
+    """What a filter of fixed size keeps of a dictionary's surfaces: sizes in bytes, first two bytes by size, bits of hashes. Whatever passes is still to be joined."""
+
+    def __init__(self, lexicon: DataFrame):
+        def marks(batches):
+            for batch in batches:
+                block = Text([x.encode() for x in batch.column(0).to_pylist() if x])
+                at, size = block.offsets[:-1], block.sizes
+                first = np.append(block.data, 0).astype(np.int64)
+                head = first[at] << 8 | np.where(size > 1, first[at + 1], 0)
+                bit = (block.hashes(at, at + size) & np.uint64((1 << _BITS) - 1)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([_HEAD | size << 16 | head, bit])))], names=["v"])
+
+        v = lexicon.select("surface").mapInArrow(marks, "v long").distinct().toArrow().column("v").to_numpy()  # at most 2 ** _BITS, and 65,536 a size
+        self.bits = np.zeros(1 << _BITS, bool)
+        self.bits[v[v < _HEAD]] = True
+        head = v[v >= _HEAD] - _HEAD
+        self.heads = []
+        for size in np.unique(head >> 16).tolist():
+            some = np.zeros(1 << 16, bool)
+            some[head[head >> 16 == size] & 65535] = True
+            self.heads.append((size, np.repeat(some.reshape(256, 256).any(1), 256) if size == 1 else some))
+
+    def find(self, sentences: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+        """(sentence, first character, character after the last, substring) of what passes, by sentence."""
+        block = Text(sentences)
+        _, _, at, sentence, ci = _cut(sentences)
+        limit, number = block.offsets[sentence + 1], np.append(np.cumsum((block.data & 0xC0) != 0x80), 0)  # characters up to each byte
+        follow = np.append(block.data, 0)
+        pair = follow[at].astype(np.int32) << 8 | np.where(at + 1 < limit, follow[at + 1], 0)
+        follow[-1] = 0
+        who, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for size, heads in self.heads:
+            x = np.flatnonzero(heads[pair])
+            x = x[at[x] + size <= limit[x]]
+            x = x[self.bits[block.hashes(at[x], at[x] + size) & np.uint64((1 << _BITS) - 1)]]
+            x = x[(follow[at[x] + size] & 0xC0) != 0x80]  # it ends with a character
+            who.append(x)
+            sizes.append(np.full(len(x), size))
+        x, size = np.concatenate(who), np.concatenate(sizes)
+        order = np.argsort(x, kind="stable")
+        x, size = x[order], size[order]
+        gather = np.repeat(at[x] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        surface = pa.StringArray.from_buffers(len(x), pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(block.data[gather])))
+        return sentence[x], ci[x], ci[x] + number[at[x] + size - 1] - number[at[x]] + 1, surface
+
+
 def prefix_matches(sentences: DataFrame, lexicon: DataFrame, keys: Sequence[str], text: str = "sentence", lengths: Sequence[int] | None = None) -> DataFrame:
-    """keys, ci, end_ci, surface, entry columns: every dictionary surface at every position, by an equi-join on the substrings of lengths that the dictionary has.
+    """keys, ci, end_ci, surface, entry columns: every dictionary surface (of lengths given in characters) at every position, by an equi-join on the substrings that may be one.
 
     Only keys, positions and substrings move, never the sentences."""
-    if lengths is None:
-        lengths = [r[0] for r in lexicon.select(F.char_length("surface")).distinct().collect()]  # as many as the longest surface has characters
-    n = F.char_length(text)
-    starts = sentences.filter(n > 0).select(*keys, F.col(text), F.explode(F.sequence(F.lit(0), n - 1)).alias("ci"))
-    wanted = F.array(*[F.lit(int(x)) for x in sorted(lengths) if x]) if any(lengths) else F.array().cast("array<int>")
-    pieces = starts.select(*keys, "ci", F.explode(F.filter(wanted, lambda x: x <= F.char_length(text) - F.col("ci"))).alias("__n"), F.col(text))
-    cut = pieces.select(*keys, "ci", (F.col("ci") + F.col("__n")).alias("end_ci"), F.substring(F.col(text), F.col("ci") + 1, F.col("__n")).alias("surface"))
-    return cut.join(lexicon, "surface")
+    if lengths is not None:
+        lexicon = lexicon.filter(F.char_length("surface").isin(list(lengths)))
+    known = _Surfaces(lexicon)
+
+    def work(block):
+        sentence, ci, end, surface = known.find(block)
+        return sentence, [pa.array(ci.astype(np.int32)), pa.array(end.astype(np.int32)), surface]
+
+    return _apply(sentences.select(*keys, text), text, "ci int, end_ci int, surface string", work).join(lexicon, "surface")
+
+
+def match_counts(sentences: DataFrame, lexicon: DataFrame, text: str = "sentence") -> DataFrame:
+    """surface, n, positions (sum of ci), entry columns: prefix_matches counted by surface, first in each block."""
+    known = _Surfaces(lexicon)
+
+    def work(block, copies):
+        sentence, ci, _, surface = known.find(block)
+        one = surface.dictionary_encode()
+        code, n = one.indices.to_numpy(zero_copy_only=False), copies[sentence]
+        total = lambda x: pa.array(np.bincount(code, x, len(one.dictionary)).astype(np.int64))
+        return [one.dictionary, total(n), total(n * ci)]
+
+    sums = _sums(sentences, text, "surface string, n long, positions long", work)
+    return sums.groupBy("surface").agg(F.sum("n").alias("n"), F.sum("positions").alias("positions")).join(lexicon, "surface")
 
 
 def unknown_spans(with_runs: DataFrame, classes: DataFrame, matched: DataFrame, keys: Sequence[str], space_mask: int, longest_group: int = 24) -> DataFrame:

@@ -70,12 +70,17 @@ lex AS MATERIALIZED (SELECT surface, CAST(greatest(-32767, trunc(-400 * pow(strl
   FROM (SELECT w AS surface, 0 AS piece FROM w UNION ALL SELECT left(w, 2), 1 FROM w UNION ALL SELECT left(w, 3), 1 FROM w) GROUP BY surface)"""
 
 
-def piece_model(spark: SparkSession, sf_dir: str, penalty: bool = False, contexts: bool = False) -> Model:
+def class_model() -> Model:
+    """The classes of CHARS without a dictionary."""
+    return Model.build([], None, CHARS, UNKNOWN)
+
+
+def piece_model(spark: SparkSession, sf_dir: str, penalty: bool = False, contexts: bool = False, classes: bool = False) -> Model:
     rows = piece_lexicon(spark, sf_dir).orderBy("surface").collect()  # the dictionary of the benchmark words, which every executor holds
     conf = EngineConf(left_space_penalty_factor=f"2,{PENALTY}" if penalty else "")
     matrix = np.array(MATRIX) if contexts else np.zeros((1, 1), np.int64)
     ctx = lambda r: 1 + r["piece"] if contexts else 0
-    return Model.build([(r["surface"], ctx(r), ctx(r), r["word_cost"], "WORD" if r["piece"] == 0 else "PIECE", 0, 1 + r["piece"]) for r in rows], conf, SIMPLE_CHARS, SIMPLE_UNKNOWN, matrix)
+    return Model.build([(r["surface"], ctx(r), ctx(r), r["word_cost"], "WORD" if r["piece"] == 0 else "PIECE", 0, 1 + r["piece"]) for r in rows], conf, *((CHARS, UNKNOWN) if classes else (SIMPLE_CHARS, SIMPLE_UNKNOWN)), matrix)
 
 
 def part_model(spark: SparkSession, sf_dir: str, pieces: bool = False, conf: EngineConf | None = None) -> Model:

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.functions import columns as C
+from lattica.operators import decode
 from lattica.operators import relational as R
 from lattica.plans.registry import query
-from lattica.plans.shapes import CHARS, CLASS_SQL, MASK_SQL, lines_of, lines_sql, words
+from lattica.plans.shapes import CHARS, CLASS_SQL, MASK_SQL, class_model, lines_of, lines_sql, words
 from lattica.plans.shared import table
 from lattica.sources import readers
 
@@ -77,9 +78,8 @@ def class_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {_runs_sql('conversations', 'conv_id, turn').replace('PARTITION BY conv_id, turn, sent_id', 'PARTITION BY conv_id, turn, sent_id')}, g AS (SELECT arg_min(class_id, ci) AS class_id, count(*) AS length FROM r GROUP BY conv_id, turn, sent_id, run_id) SELECT class_id, length, count(*) AS n FROM g GROUP BY ALL",
 )
 def run_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = ["conv_id", "turn", "sent_id"]
-    lines = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("sent_id", "sentence"))
-    runs = R.runs(_classified(spark, lines, keys), keys).groupBy(*keys, "run_id").agg(F.min_by("class_id", "ci").alias("class_id"), F.count("*").alias("length"))
+    lines = table(spark, sf_dir, "conversations").select(F.explode(F.split("text", "\n")).alias("sentence"))
+    runs = R.class_runs(decode.spread(lines), [], class_model()).withColumn("length", (F.col("run_end") - F.col("first_ci")).cast("long"))
     return runs.groupBy("class_id", "length").agg(F.count("*").alias("n"))
 
 

@@ -2,10 +2,14 @@
 
 import time
 
-from lattica.operators import decode
+from pyspark.sql import functions as F
+
+from lattica.operators import decode, relational
 from lattica.operators.lattice import Dictionary, Lattice
 from lattica.plans.model import EngineConf, Model
-from lattica.plans.shapes import SIMPLE_CHARS, SIMPLE_UNKNOWN
+from lattica.plans.shapes import CHARS, SIMPLE_CHARS, SIMPLE_UNKNOWN, UNKNOWN, class_model
+from lattica.plans.text_queries import _classified, _definition
+from lattica.sources import readers
 
 
 def words(count: int) -> list[str]:
@@ -35,3 +39,46 @@ def test_equal_sentences_are_worked_on_once(spark):
     assert sorted(t) == sorted((i, k, w) for i, x in enumerate(texts) for k, w in enumerate((x or "").split()))
     n = decode.nbest(df, model(words(5)), 2).filter("tok_idx = 0").groupBy("id").count().count()
     assert n == len(texts)
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_characters_and_runs_move_nothing(spark):
+    """Characters and runs are cut where a sentence is read: no exchange, and the same as by windows."""
+    texts = ["ab  12é", "", None, "𝒳a,", "  ", "ab  12é"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, sentence string")
+    made = relational.chars(df, ["id"])
+    assert "Exchange" not in plan(made) and "Window" not in plan(made)
+    assert sorted(tuple(r) for r in made.collect()) == sorted((i, k, c, ord(c), len(c.encode()), len(x[:k].encode())) for i, x in enumerate(texts) for k, c in enumerate(x or ""))
+    runs = relational.class_runs(df, ["id"], class_model())
+    assert "Exchange" not in plan(runs)
+    classed = _classified(spark, df, ["id"])
+    old = relational.runs(classed, ["id"]).groupBy("id", "run_id").agg(F.min_by("class_id", "ci"), F.min("ci"), F.max("run_end"))
+    assert sorted(map(tuple, runs.collect())) == sorted(map(tuple, old.collect()))
+
+
+def test_surfaces_and_unknown_words_of_long_lines(spark):
+    """A line's own length must not count once per position; counts are those of the rows."""
+    line = "é".join(words(12000))
+    lexicon = spark.createDataFrame([("w00001é", 1), ("w0", 2), ("é", 3), ("zz", 4), ("", 5)], "surface string, word_cost int")
+    df = spark.createDataFrame([(1, line), (2, "w0 w0"), (3, "w0 w0"), (4, None)], "id int, sentence string")
+    begin = time.perf_counter()
+    rows = relational.prefix_matches(df, lexicon, ["id"])
+    found = rows.groupBy("surface").agg(F.count("*"), F.sum("ci")).collect()
+    assert time.perf_counter() - begin < 20
+    at = {s: [i for x in (line, "w0 w0", "w0 w0") for i in range(len(x)) if x.startswith(s, i)] for s in ("w00001é", "w0", "é")}
+    assert sorted(map(tuple, found)) == sorted((s, len(v), sum(v)) for s, v in at.items())
+    assert sorted(map(tuple, relational.match_counts(df, lexicon).select("surface", "n", "positions").collect())) == sorted(map(tuple, found))
+    assert rows.filter("id = 1 and surface = 'w00001é'").select("ci", "end_ci").collect() == [(7, 14)]
+
+
+def test_unknown_counts_are_those_of_the_spans(spark):
+    df = spark.createDataFrame([(1, "ab 12 éñ, x"), (2, "ab 12 éñ, x"), (3, "xyz  99"), (4, ""), (5, None)], "id int, sentence string")
+    m = Model.build([("ab", 0, 0, 1, "W"), ("9", 0, 0, 1, "W")], EngineConf(), CHARS, UNKNOWN)
+    lexicon = spark.createDataFrame([("ab",), ("9",)], "surface string")
+    classes, _ = readers.char_classes(_definition(spark, CHARS))
+    spans = relational.unknown_spans(relational.runs(_classified(spark, df, ["id"]), ["id"]), classes, relational.prefix_matches(df, lexicon, ["id"]), ["id"], 2)
+    want = spans.groupBy("class_id", "step").agg(F.count("*"), F.sum(F.col("end_ci") - F.col("ci"))).collect()
+    assert want and sorted(map(tuple, decode.unknown_counts(df, m).collect())) == sorted(map(tuple, want))
