@@ -9,7 +9,7 @@ Null sentences are empty; an empty or blank sentence has no tokens.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -17,16 +17,25 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattica.operators.lattice import INSIDE, TOKEN, Dictionary, Lattice, Text, characters, unknown_spans
+from lattica.operators.lattice import INSIDE, TOKEN, Dictionary, Lattice, Text, characters, parted, unknown_spans
+from lattica.operators.parts import CONTEXTS, Best, best, costs
 from lattica.plans.model import BOS, EOS, Model
 
 BLOCK = 1 << 20
+PARTS = 1 << 22
 ROWS = 1 << 18  # results of a batch that goes out at once, where sentences repeat
 LIMIT = 1 << 30
 TOKEN_FIELDS = "surface string, feature string, begin int, start int, end int, length int, rlength int, left_id int, right_id int, pos_id int, char_type int, stat int, wcost int, cost long, node_id int"
+FIELDS = tuple(x.split()[0] for x in TOKEN_FIELDS.split(", "))
 _FEATURES: dict[str, tuple] = {}
 
 
+def _schema(fields: Sequence[str]) -> str:
+    return ", ".join(x for x in TOKEN_FIELDS.split(", ") if x.split()[0] in fields)
+
+
+
+
 class _Decoder:
     """Holds a broadcast model and, per Python worker, its dictionary."""
 
@@ -44,23 +53,42 @@ class _Decoder:
         return _FEATURES[self.key]
 
 
-def _blocks(column: pa.Array) -> Iterator[tuple[np.ndarray, list[bytes]]]:
-    """(rows, sentences) of similar lengths, about BLOCK bytes together."""
-    texts = [b"" if x is None else x for x in column.cast(pa.large_binary()).to_pylist()]
+def _blocks(column: pa.Array, limit: int = BLOCK, alike: bool = True) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    """(rows, sentences) of similar lengths, or of any where alike isn't asked for, about so many bytes together."""
+    texts = column.cast(pa.large_binary()).to_pylist()
+    if column.null_count:
+        texts = [b"" if x is None else x for x in texts]
     sizes = np.array([len(x) for x in texts], np.int64)
     order = np.argsort(sizes, kind="stable")
     total = np.cumsum(sizes[order])
     at = 0
     while at < len(order):
-        stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + BLOCK, "right")))
-        stop = max(at + 1, min(stop, int(np.searchsorted(sizes[order], 2 * sizes[order[at]] + 64, "right"))))
+        stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + limit, "right")))
+        if alike:
+            stop = max(at + 1, min(stop, int(np.searchsorted(sizes[order], 2 * sizes[order[at]] + 64, "right"))))
         rows = order[at:stop]
         yield rows, [texts[i] for i in rows]
         at = stop
 
 
-def _strings(lat: Lattice, nodes: np.ndarray) -> pa.Array:
+def _parted(model: Model, contexts: int = 1) -> bool:
+    return parted(model) and len(np.unique(np.append(model.right, 0))) <= contexts and (contexts > 1 or model.matrix.shape == (1, 1))
+
+
+def _best(sentences: list[bytes], dictionary: Dictionary) -> tuple[Lattice | Best, np.ndarray, np.ndarray]:
+    """(lattice or its best paths by parts, tokens of the best paths, total costs)."""
+    found = best(sentences, dictionary, _blocks, _strings)
+    if found is not None:
+        return found, np.arange(len(found.sentence)), found.total
+    lat = Lattice(sentences, dictionary)
+    nodes = lat.best()
+    return lat, nodes[(lat.stat[nodes] != BOS) & (lat.stat[nodes] != EOS)], lat.cost[lat.eos]
+
+
+def _strings(lat: Lattice | Best, nodes: np.ndarray) -> pa.Array:
     """Surfaces of nodes, gathered from the block's bytes."""
+    if isinstance(lat, Best):
+        return lat.strings()  # its nodes are all asked for
     base = lat.text.offsets[lat.sentence[nodes]]
     start, size = base + lat.start[nodes], lat.end[nodes] - lat.start[nodes]
     at = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
@@ -80,28 +108,19 @@ def _features(lat: Lattice, nodes: np.ndarray, features: pa.Array) -> pa.Array:
     return out
 
 
-def _token_arrays(lat: Lattice, nodes: np.ndarray, features: pa.Array) -> dict[str, pa.Array]:
+def _token_arrays(lat: Lattice | Best, nodes: np.ndarray, features: pa.Array, fields: Sequence[str] = FIELDS) -> dict[str, pa.Array]:
     i32 = lambda a: pa.array(a.astype(np.int32))
-    blank = (lat.stat[nodes] == BOS) | (lat.stat[nodes] == EOS)
-    begin = np.where(lat.stat[nodes] == EOS, lat.start[nodes], lat.begin[nodes])
-    surface = _strings(lat, nodes)
-    return {
-        "surface": surface,
-        "feature": _features(lat, nodes, features),
-        "begin": i32(begin),
-        "start": i32(lat.start[nodes]),
-        "end": i32(lat.end[nodes]),
-        "length": i32(np.where(blank, 0, lat.end[nodes] - lat.start[nodes])),
-        "rlength": i32(np.where(blank, 0, lat.end[nodes] - lat.begin[nodes])),
-        "left_id": i32(lat.left[nodes]),
-        "right_id": i32(lat.right[nodes]),
-        "pos_id": i32(lat.pos[nodes]),
-        "char_type": i32(lat.kind[nodes]),
-        "stat": i32(lat.stat[nodes]),
-        "wcost": i32(lat.wcost[nodes]),
-        "cost": pa.array(lat.cost[nodes]),
-        "node_id": i32(lat.id[nodes]),
+    blank = lambda: (lat.stat[nodes] == BOS) | (lat.stat[nodes] == EOS)
+    plain = {"start": "start", "end": "end", "left_id": "left", "right_id": "right", "pos_id": "pos", "char_type": "kind", "stat": "stat", "wcost": "wcost", "node_id": "id"}
+    made = {
+        "surface": lambda: _strings(lat, nodes),
+        "feature": lambda: _features(lat, nodes, features),
+        "begin": lambda: i32(np.where(lat.stat[nodes] == EOS, lat.start[nodes], lat.begin[nodes])),
+        "length": lambda: i32(np.where(blank(), 0, lat.end[nodes] - lat.start[nodes])),
+        "rlength": lambda: i32(np.where(blank(), 0, lat.end[nodes] - lat.begin[nodes])),
+        "cost": lambda: pa.array(lat.cost[nodes]),
     }
+    return {f: i32(getattr(lat, plain[f])[nodes]) if f in plain else made[f]() for f in fields}
 
 
 def _copies(counts: np.ndarray, row: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -118,10 +137,10 @@ def _copies(counts: np.ndarray, row: np.ndarray) -> Iterator[tuple[np.ndarray, n
         at = stop
 
 
-def _apply(df: DataFrame, text: str, schema: str, work) -> DataFrame:
+def _apply(df: DataFrame, text: str, schema: str, work, by_parts: bool = False) -> DataFrame:
     """work(sentences) -> (index of the sentence, arrays) for rows of schema, beside all columns of df; the index doesn't fall.
 
-    Equal sentences of a batch are worked on once."""
+    Equal sentences of a batch are worked on once. Work by parts takes larger blocks, in which more of them are equal."""
     kept = [f for f in df.schema if f.name != text]
     names = [f.name for f in kept] + [x.split()[0] for x in _columns(schema)]
 
@@ -133,7 +152,7 @@ def _apply(df: DataFrame, text: str, schema: str, work) -> DataFrame:
             by_code = np.argsort(code, kind="stable")  # rows of the same sentence together
             copies = np.bincount(code, minlength=len(one.dictionary))
             first = np.cumsum(copies) - copies
-            for which, sentences in _blocks(one.dictionary):
+            for which, sentences in _blocks(one.dictionary, *((PARTS, False) if by_parts else ())):
                 row, arrays = work(sentences)
                 if len(by_code) == len(one.dictionary):
                     parts = [(row, None)]
@@ -183,41 +202,40 @@ def _columns(schema: str) -> list[str]:
     return [*out, now.strip()]
 
 
-def tokenize(df: DataFrame, model: Model, text: str = "sentence", with_ends: bool = False, constraints: str | None = None) -> DataFrame:
-    """One row per token of the cheapest path: the other columns of df, tok_idx and TOKEN_FIELDS.
+def tokenize(df: DataFrame, model: Model, text: str = "sentence", with_ends: bool = False, fields: Sequence[str] = FIELDS) -> DataFrame:
+    """One row per token of the cheapest path: the other columns of df, tok_idx and TOKEN_FIELDS, or those of them that are asked for.
 
     with_ends keeps the begin and end nodes (tok_idx of BOS is -1)."""
-    decoder = _Decoder(df.sparkSession, model)
+    decoder, fields = _Decoder(df.sparkSession, model), [f for f in FIELDS if f in fields]
 
     def work(sentences):
         dictionary, features = decoder.ready()
-        lat = Lattice(sentences, dictionary)
-        nodes = lat.best()
-        if not with_ends:
-            nodes = nodes[(lat.stat[nodes] != BOS) & (lat.stat[nodes] != EOS)]
+        if with_ends:
+            lat = Lattice(sentences, dictionary)
+            nodes = lat.best()
+        else:
+            lat, nodes, _ = _best(sentences, dictionary)
         row = lat.sentence[nodes]
         first = np.searchsorted(row, row, "left")
-        return row, [pa.array((np.arange(len(row)) - first - with_ends).astype(np.int32)), *_token_arrays(lat, nodes, features).values()]
+        return row, [pa.array((np.arange(len(row)) - first - with_ends).astype(np.int32)), *_token_arrays(lat, nodes, features, fields).values()]
 
-    return _apply(df, text, f"tok_idx int, {TOKEN_FIELDS}", work)
+    return _apply(df, text, f"tok_idx int, {_schema(fields)}", work, by_parts=_parted(model))
 
 
-def tokens_column(df: DataFrame, model: Model, text: str = "sentence", out: str = "tokens") -> DataFrame:
-    """df with an array column of token structs and the path's cost; the text column stays."""
-    decoder = _Decoder(df.sparkSession, model)
+def tokens_column(df: DataFrame, model: Model, text: str = "sentence", out: str = "tokens", fields: Sequence[str] = FIELDS) -> DataFrame:
+    """df with an array column of token structs (of the fields asked for) and the path's cost; the text column stays."""
+    decoder, fields = _Decoder(df.sparkSession, model), [f for f in FIELDS if f in fields]
 
     def work(sentences):
         dictionary, features = decoder.ready()
-        lat = Lattice(sentences, dictionary)
-        nodes = lat.best()
-        nodes = nodes[(lat.stat[nodes] != BOS) & (lat.stat[nodes] != EOS)]
-        arrays = _token_arrays(lat, nodes, features)
+        lat, nodes, total = _best(sentences, dictionary)
+        arrays = _token_arrays(lat, nodes, features, fields)
         values = pa.StructArray.from_arrays(list(arrays.values()), names=list(arrays))
         offsets = np.searchsorted(lat.sentence[nodes], np.arange(len(sentences) + 1)).astype(np.int32)
-        return np.arange(len(sentences)), [pa.ListArray.from_arrays(pa.array(offsets), values), pa.array(lat.cost[lat.eos])]
+        return np.arange(len(sentences)), [pa.ListArray.from_arrays(pa.array(offsets), values), pa.array(total)]
 
-    fields = ",".join(x.replace(" ", ":") for x in TOKEN_FIELDS.split(", "))
-    return _apply(df.withColumn("__s", F.col(text)), "__s", f"{out} array<struct<{fields}>>, path_cost long", work)
+    schema = ",".join(x.replace(" ", ":") for x in _schema(fields).split(", "))
+    return _apply(df.withColumn("__s", F.col(text)), "__s", f"{out} array<struct<{schema}>>, path_cost long", work, by_parts=_parted(model))
 
 
 def min_cost(df: DataFrame, model: Model, text: str = "sentence") -> DataFrame:
@@ -225,10 +243,9 @@ def min_cost(df: DataFrame, model: Model, text: str = "sentence") -> DataFrame:
     decoder = _Decoder(df.sparkSession, model)
 
     def work(sentences):
-        lat = Lattice(sentences, decoder.ready()[0])
-        return np.arange(len(sentences)), [pa.array(lat.cost[lat.eos])]
+        return np.arange(len(sentences)), [pa.array(costs(sentences, decoder.ready()[0], _blocks))]
 
-    return _apply(df, text, "path_cost long", work)
+    return _apply(df, text, "path_cost long", work, by_parts=_parted(model, CONTEXTS))
 
 
 def all_nodes(df: DataFrame, model: Model, text: str = "sentence", theta: float | None = None) -> DataFrame:

@@ -1,15 +1,22 @@
 """Steps whose work must follow the rows that they get."""
 
+import random
 import time
 
+import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from lattica.operators import decode, relational
+from lattica.operators import decode, parts, relational
 from lattica.operators.lattice import Dictionary, Lattice
 from lattica.plans.model import EngineConf, Model
 from lattica.plans.shapes import CHARS, SIMPLE_CHARS, SIMPLE_UNKNOWN, UNKNOWN, class_model
 from lattica.plans.text_queries import _classified, _definition
 from lattica.sources import readers
+from tests.test_lattice import CHARS as WIDE_CHARS
+from tests.test_lattice import UNKNOWN as WIDE_UNKNOWN
+from tests.test_lattice import random_model
 
 
 def words(count: int) -> list[str]:
@@ -82,3 +89,57 @@ def test_unknown_counts_are_those_of_the_spans(spark):
     spans = relational.unknown_spans(relational.runs(_classified(spark, df, ["id"]), ["id"]), classes, relational.prefix_matches(df, lexicon, ["id"]), ["id"], 2)
     want = spans.groupBy("class_id", "step").agg(F.count("*"), F.sum(F.col("end_ci") - F.col("ci"))).collect()
     assert want and sorted(map(tuple, decode.unknown_counts(df, m).collect())) == sorted(map(tuple, want))
+
+
+def texts_of_parts() -> list[bytes]:
+    r = random.Random(3)
+    some = ["".join(r.choice("abé1A-𝒳") for _ in range(r.randint(1, 9))) for _ in range(60)]
+    made = ["".join(r.choice((" ", "  ", "   ", "")) + r.choice(some) for _ in range(r.randint(0, 12))) + r.choice(("", " ", "  ")) for _ in range(300)]
+    return [x.encode() for x in [*made, "", " ", "   ", "a", " a ", "a" * 300]]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_parts_give_what_whole_sentences_give(seed):
+    """Costs under several contexts, and all fields of the best tokens under one, ties and penalties included."""
+    m = random_model(seed, ties=seed % 3 == 0)
+    keep = [(s, m.first[i], m.first[i + 1]) for i, s in enumerate(m.surfaces) if b" " not in s]
+    entries = [(s, int(m.left[k]), int(m.right[k]), int(m.cost[k]), m.features[k], 0, int(m.pos[k])) for s, a, b in keep for k in range(a, b)]
+    for contexts in (True, False):
+        rows = entries if contexts else [(s, 0, 0, *rest) for s, _, _, *rest in entries]
+        unknown = WIDE_UNKNOWN if contexts else "".join(f"{n},0,0,{c},U{n}\n" for n, c in (("DEFAULT", 300), ("SPACE", 10), ("ALPHA", 400), ("NUMERIC", 100), ("HEAD", 400)))
+        model = Model.build(rows, m.conf, WIDE_CHARS, unknown, m.matrix if contexts else np.array([[7]]))
+        d, texts = Dictionary(model), texts_of_parts()
+        assert d.parted
+        lat = Lattice(texts, d)
+        assert parts.costs(texts, d, decode._blocks).tolist() == lat.cost[lat.eos].tolist()
+        found = parts.best(texts, d, decode._blocks, decode._strings)
+        if contexts:
+            assert found is None
+            continue
+        nodes = lat.best()
+        nodes = nodes[lat.stat[nodes] < 2]
+        features = pa.array([*model.features, ""])
+        assert found.total.tolist() == lat.cost[lat.eos].tolist() and found.sentence.tolist() == lat.sentence[nodes].tolist()
+        a, b = decode._token_arrays(lat, nodes, features), decode._token_arrays(found, np.arange(len(nodes)), features)
+        assert {k: v.to_pylist() for k, v in a.items()} == {k: v.to_pylist() for k, v in b.items()}
+
+
+def test_surfaces_with_blanks_are_decoded_whole():
+    d = Dictionary(Model.build([("a b", 0, 0, -500, "X")], EngineConf(), SIMPLE_CHARS, SIMPLE_UNKNOWN))
+    assert not d.parted and parts.best([b"a b"], d, decode._blocks, decode._strings) is None
+    assert parts.costs([b"a b"], d, decode._blocks).tolist() == [-500]
+
+
+def test_equal_parts_are_decoded_once(monkeypatch):
+    """The lattices of a block hold its distinct parts, however often they stand in it and however long its sentences are."""
+    seen = []
+
+    class Seen(Lattice):
+        def __init__(self, sentences, *rest):
+            seen.extend(sentences)
+            super().__init__(sentences, *rest)
+
+    monkeypatch.setattr(parts, "Lattice", Seen)
+    d = Dictionary(model(words(5)))
+    decode._best([b"w00001 w00002" + b" w00001" * 5000, b"w00001"] * 3, d)
+    assert sorted(seen) == [b" w00001", b" w00002", b"w00001"]
