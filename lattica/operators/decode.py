@@ -13,6 +13,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -238,6 +239,27 @@ def tokens_column(df: DataFrame, model: Model, text: str = "sentence", out: str
     return _apply(df.withColumn("__s", F.col(text)), "__s", f"{out} array<struct<{schema}>>, path_cost long", work, by_parts=_parted(model))
 
 
+def written(df: DataFrame, model: Model, text: str = "sentence", kind: str | None = None, out: str = "text") -> DataFrame:
+    """The other columns of df and the best path as text, made where it is found: by default the lines of format.default_format, for "wakati" those of format.wakati."""
+    decoder = _Decoder(df.sparkSession, model)
+
+    def work(sentences):
+        dictionary, features = decoder.ready()
+        lat, nodes, _ = _best(sentences, dictionary)
+        surface = _strings(lat, nodes)
+        if kind == "wakati":
+            token, end = pc.binary_join_element_wise(surface, " ", ""), "\n"
+        else:
+            token, end = pc.binary_join_element_wise(surface, _features(lat, nodes, features), "\t"), "EOS\n"
+            token = pc.binary_join_element_wise(token, "\n", "")
+        lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(lat.sentence[nodes], np.arange(len(sentences) + 1)).astype(np.int32)), token)
+        return np.arange(len(sentences)), [pc.binary_join_element_wise(pc.binary_join(lists, ""), end, "")]
+
+    if kind not in (None, "wakati"):
+        raise ValueError(f"no such format: {kind}")
+    return _apply(df, text, f"{out} string", work, by_parts=_parted(model))
+
+
 def min_cost(df: DataFrame, model: Model, text: str = "sentence") -> DataFrame:
     """Cost of the cheapest path of each sentence."""
     decoder = _Decoder(df.sparkSession, model)

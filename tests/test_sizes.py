@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lattica.operators import decode, parts, relational
+from lattica.operators import format as fmt
 from lattica.operators.lattice import Dictionary, Lattice
 from lattica.plans.model import EngineConf, Model
 from lattica.plans.shapes import CHARS, SIMPLE_CHARS, SIMPLE_UNKNOWN, UNKNOWN, class_model
@@ -143,3 +144,11 @@ def test_equal_parts_are_decoded_once(monkeypatch):
     d = Dictionary(model(words(5)))
     decode._best([b"w00001 w00002" + b" w00001" * 5000, b"w00001"] * 3, d)
     assert sorted(seen) == [b" w00001", b" w00002", b"w00001"]
+
+
+def test_written_text_is_that_of_the_format_functions(spark):
+    df = spark.createDataFrame([(1, "w00001 xw00002"), (2, ""), (3, None), (4, "  w00003 "), (5, "w00001 xw00002")], "id int, sentence string")
+    m = model(words(5))
+    for kind, function in ((None, fmt.default_format), ("wakati", fmt.wakati)):
+        want = decode.tokens_column(df, m).select("id", function(F.col("tokens")).alias("text")).collect()
+        assert sorted(decode.written(df, m, kind=kind).collect()) == sorted(want) and len(want) == 5
