@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.columns import csv_fields
+from lattica.plans.model import csv_split
 
 
 def offsets(tokens: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -29,6 +32,54 @@ def evaluate(system: DataFrame, gold: DataFrame, keys: Sequence[str], levels: Se
     g = offsets(gold, keys).select(*keys, "start", *[c.alias("g_" + n) for n, c in shown.items()], F.lit(1).alias("g"))
     both = s.join(g, [*keys, "start"], "full")
     sums = both.agg(F.count("s").alias("n_system"), F.count("g").alias("n_gold"), *[F.sum(F.when(F.col("s_" + n) == F.col("g_" + n), 1).otherwise(0)).alias(n) for n in shown])
+    return _figures(sums, levels)
+
+
+def evaluate_arrays(df: DataFrame, levels: Sequence[int] = (0, -1), system: str = "system", gold: str = "gold") -> DataFrame:
+    """The same for sentences whose tokens (arrays of structs of surface and feature, in order) stand in one row: nothing is moved but sums."""
+    wanted = list(levels)
+
+    def tokens(column: pa.Array):
+        column = column.fill_null([])
+        flat = column.flatten()
+        surface, feature = (flat.field(n).cast(pa.large_string()).dictionary_encode() for n in ("surface", "feature"))
+        n = np.diff(column.offsets.to_numpy())
+        row = np.repeat(np.arange(len(n)), n)
+        texts = surface.dictionary.to_pylist()
+        code = surface.indices.to_numpy(zero_copy_only=False)
+        size = np.array([len(x.encode()) for x in texts], np.int64)[code] if len(code) else np.zeros(0, np.int64)
+        start = np.cumsum(size) - size
+        first = np.cumsum(n) - n
+        start = start - np.append(start, 0)[np.minimum(first, len(start))][row] if len(start) else start
+        return row, start, texts, code, [csv_split(x) for x in feature.dictionary.to_pylist()], feature.indices.to_numpy(zero_copy_only=False)
+
+    def run(batches):
+        for batch in batches:
+            (rs, ss, ts, cs, fs, ks), (rg, sg, tg, cg, fg, kg) = tokens(batch.column(0)), tokens(batch.column(1))
+            wide = 1 + int(max(ss.max(initial=0), sg.max(initial=0)))
+            place_s, place_g = rs * wide + ss, rg * wide + sg  # neither falls
+            low, high = np.searchsorted(place_g, place_s, "left"), np.searchsorted(place_g, place_s, "right")
+            n = high - low
+            s = np.repeat(np.arange(len(n)), n)
+            g = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            counts = []
+            for level in wanted:
+                text = lambda surface, cells, level=level: ",".join([surface, *(cells if level < 0 else cells[:level])])
+                ids: dict[str, int] = {}
+                shown = []
+                for texts, code, cells, kind in ((ts, cs[s], fs, ks[s]), (tg, cg[g], fg, kg[g])):
+                    pair, index = np.unique(code.astype(np.int64) * max(len(cells), 1) + kind, return_inverse=True)
+                    one = np.array([ids.setdefault(text(texts[x // max(len(cells), 1)], cells[x % max(len(cells), 1)]), len(ids)) for x in pair.tolist()], np.int64)
+                    shown.append(one[index])
+                counts.append(int((shown[0] == shown[1]).sum()))
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (len(rs), len(rg), *counts)], names=names)
+
+    names = ["n_system", "n_gold", *(f"l{i}" for i in range(len(wanted)))]
+    sums = df.select(system, gold).mapInArrow(run, ", ".join(f"{n} long" for n in names)).agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names])
+    return _figures(sums, levels)
+
+
+def _figures(sums: DataFrame, levels: Sequence[int]) -> DataFrame:
     rows = F.array(*[F.struct(F.lit(x).alias("level"), F.coalesce(F.col(f"l{i}"), F.lit(0)).alias("correct")) for i, x in enumerate(levels)])
     out = sums.select("n_system", "n_gold", F.inline(rows))
     percent = lambda n: F.when(F.col(n) == 0, 0.0).otherwise(100.0 * F.col("correct") / F.col(n))

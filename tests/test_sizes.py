@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lattica.operators import decode, parts, relational
+from lattica.operators import decode, evaluate, parts, relational
 from lattica.operators import format as fmt
 from lattica.operators.lattice import Dictionary, Lattice
 from lattica.plans.model import EngineConf, Model
@@ -152,3 +152,14 @@ def test_written_text_is_that_of_the_format_functions(spark):
     for kind, function in ((None, fmt.default_format), ("wakati", fmt.wakati)):
         want = decode.tokens_column(df, m).select("id", function(F.col("tokens")).alias("text")).collect()
         assert sorted(decode.written(df, m, kind=kind).collect()) == sorted(want) and len(want) == 5
+
+
+def test_evaluation_of_arrays_is_that_of_tables(spark):
+    """Sentences with both token arrays in a row are counted without moving tokens; commas, quotes, empty and null lists included."""
+    some = [([("ab", "N,x"), ("c", "V")], [("ab", "N,y"), ("c", "V")]), ([("a", "b")], [("a,b", "c")]), ([("é", '"N,1",z'), ("x", "")], [("é", '"N,1",z'), ("xy", "N")]), ([], [("q", "N")]), (None, None)]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(some)], "id int, system array<struct<surface:string,feature:string>>, gold array<struct<surface:string,feature:string>>")
+    made = evaluate.evaluate_arrays(df, (0, 1, 2, -1))
+    assert "SortMergeJoin" not in plan(made)
+    table = lambda c: df.select("id", F.posexplode(c).alias("tok_idx", "t")).select("id", "tok_idx", "t.*")
+    want = evaluate.evaluate(table("system"), table("gold"), ["id"], (0, 1, 2, -1))
+    assert sorted(map(tuple, made.collect())) == sorted(map(tuple, want.collect()))
