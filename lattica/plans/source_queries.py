@@ -256,7 +256,7 @@ def expectation_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("nbest_text", f"{_PART_PATHS}, r AS (SELECT p_name, least(3, count(*)) AS n, list_sum(list_slice(list_sort(list(len(nodes) * 0 + cost)), 1, 3)) AS cost FROM full_paths GROUP BY p_name) SELECT p_partkey, CAST(n AS INTEGER) AS results, true AS ended FROM part JOIN r USING (p_name)")
 def nbest_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many results stand in the text, and whether it ends as it should."""
-    parts = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("sentence"))
+    parts = decode.spread(table(spark, sf_dir, "part")).select("p_partkey", F.col("p_name").alias("sentence"))
     text = fmt.nbest_text(decode.nbest(parts, part_model(spark, sf_dir, pieces=True), 3), ["p_partkey"], "EON\n")
     return text.select("p_partkey", F.regexp_count("text", F.lit("(?m)^EOS$")).cast("int").alias("results"), F.col("text").endswith("EOS\nEON\n").alias("ended"))
 
