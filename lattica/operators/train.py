@@ -2,24 +2,31 @@
 
 The weights' scores depend on a node only through (entry, character class) and on an edge only through (right context of the left token, left context of the right
 token), so executors sum probabilities by those keys, Spark adds the partial sums, and the driver (which holds one weight per feature anyway)
-spreads them over features. Sentences are never gathered. Gold tokens that no dictionary entry gives become entries of the
-training dictionary.
+spreads them over features. Sentences are never gathered: their lattices are made once, as graphs of labelled nodes, equal graphs are counted, and each step
+goes over the written table of distinct ones. Gold tokens that no dictionary entry gives become entries of the training dictionary.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.operators.decode import _blocks
-from lattica.operators.lattice import Dictionary, Lattice, _waves
+from lattica.operators.lattice import Dictionary, Lattice, _ranges, _waves
 from lattica.operators.rewrite import Rule, bigram_features, rewrite_one, unigram_features
 from lattica.plans.model import BOS, EOS, Model, csv_split
+from lattica.plans.shared import bound_batches, materialize, scratch
+
+TEXT = 1 << 17  # bytes of sentences a block
+GRAPHS = 1 << 20  # and of graphs
+WIDTH = 12  # bytes of a node of a graph
 
 
 def lbfgs(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, memory: int = 5, steps: int = 100, eta: float = 1e-5, patience: int = 3, log: list | None = None) -> np.ndarray:
@@ -126,101 +133,202 @@ class FeatureIndex:
         return out + np.bincount(self.edge_of[:, 1], edge[self.edge_of[:, 0]], len(self.names))
 
 
-def _keys(lat: Lattice, index: FeatureIndex, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    node = (lat.entry + 1) * index.n_kinds + lat.kind
-    return node, index.right_ctx[lat.entry[left] + 1] * index.n_left + index.left_ctx[lat.entry[right] + 1]
+@dataclass
+class Labels:
+    """Sorts of nodes whose features and contexts are the same, so that no weight tells them apart; node keys of a sort share a number."""
 
+    of: np.ndarray  # per node key
+    key: np.ndarray  # a node key of each
+    right: np.ndarray  # contexts
+    left: np.ndarray
+    n_left: int
+    n_edges: int
 
-def _gold(lat: Lattice, tokens: list[list[tuple[int, int, str]]], size: int, unk_size: int) -> list[list[int]]:
-    """Nodes of each sentence's gold tokens (start, end, feature): the first whose leading features agree; empty if one is missing."""
+    @classmethod
+    def build(cls, index: FeatureIndex) -> Labels:
+        rows = index.node_of[np.argsort(index.node_of[:, 0], kind="stable")]
+        cuts = np.searchsorted(rows[:, 0], np.arange(1, index.n_nodes))
+        seen: dict[bytes, int] = {}
+        same = np.array([seen.setdefault(np.sort(x).tobytes(), len(seen)) for x in np.split(rows[:, 1], cuts)])
+        entry = np.arange(index.n_nodes) // index.n_kinds
+        _, key, of = np.unique(np.stack([same, index.right_ctx[entry], index.left_ctx[entry]]), axis=1, return_index=True, return_inverse=True)
+        return cls(of.reshape(-1), key, index.right_ctx[key // index.n_kinds], index.left_ctx[key // index.n_kinds], index.n_left, index.n_left * index.n_right)
+
+
+def _gold(lat: Lattice, tokens: list[list[tuple[int, int, str]]], size: int, unk_size: int, cells: Callable[[str], list[str]] = csv_split) -> list[list[int]]:
+    """Nodes of each sentence's gold tokens (start, end, feature): the first whose leading features agree; none where one is missing, the ends included."""
     out = []
-    bounds = np.append(lat.bos, len(lat.stat))
-    for i, wanted in enumerate(tokens):
+    stat, starts, ends = lat.stat.tolist(), lat.start.tolist(), lat.end.tolist()
+    for wanted, bos, eos in zip(tokens, lat.bos.tolist(), lat.eos.tolist(), strict=True):
         spans: dict[tuple[int, int], list[int]] = {}
-        for k in range(bounds[i], bounds[i + 1]):
-            if lat.stat[k] not in (BOS, EOS):
-                spans.setdefault((int(lat.start[k]), int(lat.end[k])), []).append(k)
-        path = [int(lat.bos[i])]
+        for k in range(bos + 1, eos):
+            spans.setdefault((starts[k], ends[k]), []).append(k)
+        path = [bos]
         for start, end, feature in wanted:
-            cells = csv_split(feature)
-            same = lambda k: csv_split(lat.feature(k))[: size if lat.stat[k] == 0 else unk_size] == cells[: size if lat.stat[k] == 0 else unk_size]  # noqa: E731, B023
+            own = cells(feature)
+            same = lambda k: cells(lat.feature(k))[: size if stat[k] == 0 else unk_size] == own[: size if stat[k] == 0 else unk_size]  # noqa: E731, B023
             found = next((k for k in spans.get((start, end), []) if same(k)), None)
             if found is None:
                 path = []
                 break
             path.append(found)
-        out.append([*path, int(lat.eos[i])] if path else [])
+        out.append([*path, eos] if path else [])
     return out
 
 
+def _graphs(dictionary: Dictionary, n_kinds: int, labels: Labels, sentences: list[bytes], tokens: list, cells: Callable[[str], list[str]] = csv_split) -> tuple[pa.Array, np.ndarray]:
+    """(graphs of the usable sentences, whether each is usable). A graph is a lattice as training sees it: for all nodes between the ends, in order, the ranks of the places where they begin and end, and
+    twice their label, one more for gold ones. Sentences of equal graphs have equal sums."""
+    lat = Lattice(sentences, dictionary)
+    conf = dictionary.model.conf
+    gold = _gold(lat, tokens, conf.eval_size, conf.unk_eval_size, cells)
+    on = np.zeros(len(lat.stat), np.int64)
+    on[[k for path in gold for k in path]] = 1
+    usable = np.array([bool(path) for path in gold], bool)
+    nodes = np.flatnonzero((lat.stat != BOS) & (lat.stat != EOS) & usable[lat.sentence])
+    sentence = lat.sentence[nodes]
+    wide = int(lat.text.sizes.max(initial=0)) + 1
+    places, rank = np.unique(np.concatenate([sentence * wide + lat.begin[nodes], sentence * wide + lat.end[nodes]]), return_inverse=True)
+    rank = rank.reshape(2, -1) - np.searchsorted(places, sentence * wide)
+    code = 2 * labels.of[(lat.entry[nodes] + 1) * n_kinds + lat.kind[nodes]] + on[nodes]
+    order = np.lexsort((code, rank[1], rank[0], sentence))
+    raw = np.stack([rank[0], rank[1], code], 1)[order].astype("<i4").tobytes()
+    offsets = np.concatenate([[0], np.cumsum(WIDTH * np.bincount(sentence, minlength=len(sentences))[usable])])
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), int(usable.sum()), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(raw)]), usable
+
+
+def _graph_sums(graphs: list[bytes], copies: np.ndarray, labels: Labels, scores: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
+    """Sums by label, then by edge key, of graphs that stand for so many sentences each, then the loss and the number of sentences: observed counts without
+    scores (of labels and edges); expected counts and the sum of log Z - gold score with them."""
+    rows = np.frombuffer(b"".join(graphs), "<i4").reshape(-1, 3).astype(np.int64)
+    size = np.array([len(x) // WIDTH for x in graphs], np.int64) + 2
+    eos = np.cumsum(size) - 1
+    bos = eos - size + 1
+    sentence = np.repeat(np.arange(len(graphs)), size)
+    inner = np.ones(len(sentence), bool)
+    inner[bos] = inner[eos] = False
+    reach = np.zeros(len(graphs), np.int64)
+    np.maximum.at(reach, sentence[inner], rows[:, 1])
+    begin, end, code = (np.zeros(len(sentence), np.int64) for _ in range(3))
+    begin[inner], end[inner], code[inner] = rows.T
+    begin[bos], begin[eos], end[eos] = -1, reach, -1
+    label, gold = code >> 1, (code & 1).astype(bool)
+    label[bos] = label[eos] = labels.of[0]
+    gold[bos] = gold[eos] = True
+    edge_key = lambda a, b: labels.right[label[a]] * labels.n_left + labels.left[label[b]]
+    weight = copies[sentence].astype(np.float64)
+    path = np.flatnonzero(gold)
+    of_gold = path[1:][begin[path[1:]] >= 0], path[:-1][begin[path[1:]] >= 0]
+    total = lambda right, key, w: np.concatenate([np.bincount(label[right], w, len(labels.key)), np.bincount(key, w, labels.n_edges)])
+    observed = total(of_gold[0], edge_key(of_gold[1], of_gold[0]), weight[of_gold[0]])
+    if scores is None:
+        return np.concatenate([observed, [0.0, copies.sum()]])
+    # edges by the place where two nodes meet, then by the right node
+    slot = np.cumsum(reach + 1) - (reach + 1)
+    ending = np.flatnonzero(end >= 0)
+    place = slot[sentence[ending]] + end[ending]
+    ending = ending[np.argsort(place, kind="stable")]
+    upto = np.concatenate([[0], np.cumsum(np.bincount(place, minlength=int((reach + 1).sum())))])
+    nodes = np.flatnonzero(begin >= 0)
+    nodes = nodes[np.argsort(begin[nodes], kind="stable")]
+    wanted = slot[sentence[nodes]] + begin[nodes]
+    count = upto[wanted + 1] - upto[wanted]
+    right = np.repeat(nodes, count)
+    left = ending[np.repeat(upto[wanted], count) + _ranges(count)]
+    key = edge_key(left, right)
+    score = scores[0][label[right]] + scores[1][key]
+    alpha, beta = np.full(len(sentence), -np.inf), np.full(len(sentence), -np.inf)
+    alpha[bos] = beta[eos] = 0.0
+    _waves(alpha, left, right, score, begin[right])
+    order = np.lexsort((left, -begin[right]))
+    _waves(beta, right[order], left[order], score[order], -begin[right[order]])
+    z = alpha[eos]
+    p = np.exp(alpha[left] + score + beta[right] - z[sentence[right]]) * weight[right]
+    loss = float(copies @ z) - float(observed @ np.concatenate(scores))
+    return np.concatenate([total(right, key, p), [loss, copies.sum()]])
+
+
+def _by_keys(sums: np.ndarray, index: FeatureIndex, labels: Labels):
+    node = np.zeros(index.n_nodes)
+    node[labels.key] = sums[: len(labels.key)]
+    return node, sums[len(labels.key) : -2], float(sums[-2]), int(sums[-1])
+
+
 def sentence_sums(model: Model, index: FeatureIndex, sentences: list[bytes], tokens: list, node_score: np.ndarray | None, edge_score: np.ndarray | None):
-    """Sums by node and edge key: observed counts without scores; expected counts and sum of log Z - gold score with them. Unusable sentences are left out."""
-    lat = Lattice(sentences, Dictionary(model) if not isinstance(model, Dictionary) else model)
-    m = lat.model
-    node, edge = np.zeros(index.n_nodes), np.zeros(index.n_left * index.n_right)
-    gold = _gold(lat, tokens, m.conf.eval_size, m.conf.unk_eval_size)
-    usable = np.array([bool(p) for p in gold])
-    loss, n = 0.0, int(usable.sum())
-    gold_left = np.array([x for p in gold for x in p[:-1]], np.int64)
-    gold_right = np.array([x for p in gold for x in p[1:]], np.int64)
-    gold_node, gold_edge = _keys(lat, index, gold_left, gold_right)
-    if node_score is None:
-        np.add.at(node, gold_node[gold_right], 1.0)
-        np.add.at(edge, gold_edge, 1.0)
-        return node, edge, loss, n
-    left, right, _ = lat.edges()
-    node_key, edge_key = _keys(lat, index, left, right)
-    score = node_score[node_key[right]] + edge_score[edge_key]
-    size = len(lat.stat)
-    alpha, beta = np.full(size, -np.inf), np.full(size, -np.inf)
-    alpha[lat.bos], beta[lat.eos] = 0.0, 0.0
-    wave = np.where(lat.stat == EOS, lat.text.sizes[lat.sentence] + 1, lat.begin)
-    order = np.lexsort((right, wave[right]))
-    _waves(alpha, left[order], right[order], score[order], wave[right[order]])
-    last = lat._last_key()
-    order = np.lexsort((left, -last[left]))
-    _waves(beta, right[order], left[order], score[order], -last[left[order]])
-    z = alpha[lat.eos]
-    p = np.nan_to_num(np.exp(alpha[left] + score + beta[right] - z[lat.sentence[right]])) * usable[lat.sentence[right]]
-    np.add.at(edge, edge_key, p)
-    np.add.at(node, node_key[right], p)
-    loss = float(z[usable].sum()) - float(node_score[gold_node[gold_right]].sum() + edge_score[gold_edge].sum())
-    return node, edge, loss, n
-
-
-def _distributed(corpus: DataFrame, shared, index_shared, scores):
-    """Sums of sentence_sums over a corpus (sentence, tokens array) as arrays; scores None for observed counts."""
+    """Sums by node and edge key: observed counts without scores; expected counts and sum of log Z - gold score with them. Unusable sentences are left out.
+
+    Of node keys with the same features and contexts one has the sum of all."""
+    labels = Labels.build(index)
+    graphs = _graphs(Dictionary(model) if not isinstance(model, Dictionary) else model, index.n_kinds, labels, sentences, tokens)[0].to_pylist()
+    scores = None if node_score is None else (node_score[labels.key], edge_score)
+    return _by_keys(_graph_sums(graphs, np.ones(len(graphs), np.int64), labels, scores), index, labels)
+
+
+def _distinct(corpus: DataFrame, model: Model, index: FeatureIndex, labels: Labels) -> DataFrame:
+    """graph, n: the distinct graphs of a corpus (sentence, tokens array) and how many sentences have each. Equal sentences meet before their lattices are made."""
     spark = corpus.sparkSession
-    score_shared = spark.sparkContext.broadcast(scores)
+    bound_batches(spark)
+    shared = spark.sparkContext.broadcast((model, index.n_kinds, labels))
+    same = corpus.select("sentence", F.transform("tokens", lambda t: F.struct(t["surface"].alias("surface"), t["feature"].alias("feature"))).alias("tokens")).groupBy("sentence", "tokens").agg(F.count("*").alias("n"))
+
+    def run(batches):
+        model, n_kinds, labels = shared.value
+        dictionary, cells = Dictionary(model), lru_cache(1 << 14)(csv_split)
+        for batch in batches:
+            copies = batch.column("n").to_numpy()
+            for rows, sentences in _blocks(batch.column("sentence"), TEXT):
+                tokens = batch.column("tokens").take(pa.array(rows))
+                flat = tokens.flatten()
+                size = pc.fill_null(pc.binary_length(flat.field("surface")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                stop = np.cumsum(size)
+                bounds = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)))
+                first = np.append(stop - size, 0)[bounds[:-1]]
+                feature, stop, size = flat.field("feature").to_pylist(), stop.tolist(), size.tolist()
+                gold = [[(stop[k] - size[k] - base, stop[k] - base, feature[k]) for k in range(a, b)] for a, b, base in zip(bounds[:-1].tolist(), bounds[1:].tolist(), first.tolist(), strict=True)]
+                graphs, usable = _graphs(dictionary, n_kinds, labels, sentences, gold, cells)
+                one = graphs.dictionary_encode()
+                n = np.bincount(one.indices.to_numpy(zero_copy_only=False), copies[rows][usable], len(one.dictionary)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([one.dictionary.cast(pa.binary()), pa.array(n)], names=["graph", "n"])
+
+    return same.mapInArrow(run, "graph binary, n long").groupBy("graph").agg(F.sum("n").alias("n"))
+
+
+def _distributed(graphs: DataFrame, index: FeatureIndex, labels: Labels, shared, scores: tuple[np.ndarray, np.ndarray] | None):
+    """Sums of sentence_sums over distinct graphs as arrays; scores None for observed counts."""
+    spark = graphs.sparkSession
+    score_shared = spark.sparkContext.broadcast(scores and (scores[0][labels.key], scores[1]))
 
     def run(batches):
-        dictionary, index = Dictionary(shared.value), index_shared.value
-        node, edge = np.zeros(index.n_nodes), np.zeros(index.n_left * index.n_right)
-        loss, n = 0.0, 0
+        labels, scores = shared.value, score_shared.value
+        sums = np.zeros(len(labels.key) + labels.n_edges + 2)
         for batch in batches:
-            tokens = batch.column("tokens").to_pylist()
-            for rows, sentences in _blocks(batch.column("sentence")):
-                gold = [[(t["start"], t["start"] + len(t["surface"].encode()), t["feature"]) for t in sorted(tokens[i], key=lambda t: t["tok_idx"])] for i in rows]
-                a, b, c, d = sentence_sums(dictionary, index, sentences, gold, *(score_shared.value or (None, None)))
-                node, edge, loss, n = node + a, edge + b, loss + c, n + d
-        values = np.concatenate([node, edge, [loss, n]])
-        at = np.flatnonzero(values)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(values[at])], names=["k", "v"])
-
-    rows = corpus.mapInArrow(run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).toArrow()  # a row per key at most
-    index = index_shared.value
-    out = np.zeros(index.n_nodes + index.n_left * index.n_right + 2)
+            copies = batch.column("n").to_numpy()
+            for rows, some in _blocks(batch.column("graph"), GRAPHS):
+                sums += _graph_sums(some, copies[rows], labels, scores)
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], names=["k", "v"])
+
+    rows = graphs.mapInArrow(run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).toArrow()  # a row per key at most
+    out = np.zeros(len(labels.key) + labels.n_edges + 2)
     out[rows.column("k").to_numpy()] = rows.column("v").to_numpy()
-    score_shared.unpersist()
-    return out[: index.n_nodes], out[index.n_nodes : -2], float(out[-2]), int(out[-1])
+    score_shared.destroy()
+    return _by_keys(out, index, labels)
 
 
 def corpus_sentences(tokens: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """keys, sentence, tokens (tok_idx, start, surface, feature) of a token table."""
-    from lattica.operators.evaluate import offsets
+    """keys, sentence, tokens (tok_idx, surface, feature) of a token table."""
+    t = tokens.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("tok_idx", "surface", "feature"))).alias("tokens"))
+    return t.withColumn("sentence", _joined())
 
-    t = offsets(tokens, keys).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("tok_idx", F.col("start").cast("int").alias("start"), "surface", "feature"))).alias("tokens"))
-    return t.withColumn("sentence", F.array_join(F.transform("tokens", lambda x: x["surface"]), ""))
+
+def array_sentences(rows: DataFrame, surfaces: Column, feature: Callable[[Column], Column]) -> DataFrame:
+    """sentence, tokens (surface, feature) of rows that hold all surfaces of a sentence as an array; rows without one are left out. Nothing is moved."""
+    t = rows.select(F.transform(surfaces, lambda w: F.struct(w.alias("surface"), feature(w).alias("feature"))).alias("tokens"))
+    return t.filter(F.col("tokens").isNotNull()).withColumn("sentence", _joined())
+
+
+def _joined() -> Column:
+    return F.array_join(F.transform("tokens", lambda x: x["surface"]), "")
 
 
 def missing_entries(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -230,9 +338,9 @@ def missing_entries(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 def observed(corpus: DataFrame, model: Model, rules: dict[str, Sequence[Rule]], unigrams: Sequence[str], bigrams: Sequence[str]) -> dict[str, float]:
     """How often each feature stands on a gold path."""
-    spark = corpus.sparkSession
     index = FeatureIndex.build(model, rules, unigrams, bigrams)
-    node, edge, _, _ = _distributed(corpus, spark.sparkContext.broadcast(model), spark.sparkContext.broadcast(index), None)
+    labels = Labels.build(index)
+    node, edge, _, _ = _distributed(_distinct(corpus, model, index, labels), index, labels, corpus.sparkSession.sparkContext.broadcast(labels), None)
     return dict(zip(index.names, index.spread(node, edge).tolist(), strict=True))
 
 
@@ -242,19 +350,22 @@ def train(corpus: DataFrame, model: Model, rules: dict[str, Sequence[Rule]], uni
     Features observed fewer than freq times are dropped."""
     spark = corpus.sparkSession
     index = FeatureIndex.build(model, rules, unigrams, bigrams)
-    shared, index_shared = spark.sparkContext.broadcast(model), spark.sparkContext.broadcast(index)
-    node, edge, _, _ = _distributed(corpus, shared, index_shared, None)
-    observed = index.spread(node, edge)
-    keep = observed >= freq
-    start = np.array([(old or {}).get(n, 0.0) for n in index.names])
-
-    def f(x: np.ndarray) -> tuple[float, np.ndarray]:
-        alpha = np.where(keep, x, 0.0)
-        node, edge, loss, _ = _distributed(corpus, shared, index_shared, index.scores(alpha))
-        grad = np.where(keep, index.spread(node, edge) - observed + (alpha - start) / c, 0.0)
-        return loss + float(((alpha - start) ** 2)[keep].sum()) / (2 * c), grad
-
-    x = lbfgs(f, np.where(keep, start, 0.0), steps=steps, eta=eta, log=log)
+    labels = Labels.build(index)
+    shared = spark.sparkContext.broadcast(labels)
+    with scratch(spark):
+        graphs = materialize(_distinct(corpus, model, index, labels), "graphs")
+        node, edge, _, _ = _distributed(graphs, index, labels, shared, None)
+        observed = index.spread(node, edge)
+        keep = observed >= freq
+        start = np.array([(old or {}).get(n, 0.0) for n in index.names])
+
+        def f(x: np.ndarray) -> tuple[float, np.ndarray]:
+            alpha = np.where(keep, x, 0.0)
+            node, edge, loss, _ = _distributed(graphs, index, labels, shared, index.scores(alpha))
+            grad = np.where(keep, index.spread(node, edge) - observed + (alpha - start) / c, 0.0)
+            return loss + float(((alpha - start) ** 2)[keep].sum()) / (2 * c), grad
+
+        x = lbfgs(f, np.where(keep, start, 0.0), steps=steps, eta=eta, log=log)
     return {n: float(v) for n, v, k in zip(index.names, x, keep, strict=True) if k}
 
 

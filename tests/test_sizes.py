@@ -1,5 +1,6 @@
 """Steps whose work must follow the rows that they get."""
 
+import math
 import random
 import time
 
@@ -8,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lattica.operators import decode, evaluate, parts, relational
+from lattica.operators import decode, evaluate, parts, relational, train
 from lattica.operators import format as fmt
 from lattica.operators.lattice import Dictionary, Lattice
 from lattica.plans.model import EngineConf, Model
@@ -163,3 +164,67 @@ def test_evaluation_of_arrays_is_that_of_tables(spark):
     table = lambda c: df.select("id", F.posexplode(c).alias("tok_idx", "t")).select("id", "tok_idx", "t.*")
     want = evaluate.evaluate(table("system"), table("gold"), ["id"], (0, 1, 2, -1))
     assert sorted(map(tuple, made.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_training_makes_each_lattice_once(spark):
+    """However many steps training takes, the corpus is read once, equal sentences count together, and so do sentences that no weight tells apart."""
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    texts = [["ab", "cd"], ["ab", "ef"], ["cd", "ab"], ["ab"], ["zz", "ab"], None, []] * 40
+    df = spark.createDataFrame([(x,) for x in texts], "w array<string>").coalesce(1).mapInArrow(seen, "w array<string>")
+    m = Model.build([(x, 0, 0, 0, "N,2") for x in ("ab", "cd", "ef")] + [("a", 0, 0, 0, "P,1")], EngineConf(), SIMPLE_CHARS, SIMPLE_UNKNOWN)
+    rules = ({}, ["U:%F[0],%F[1]"], ["B:%L[0]/%R[0]"])
+    corpus = train.array_sentences(df, F.col("w"), lambda w: F.lit("N,2"))
+    log = []
+    weights = train.train(corpus, m, *rules, log=log)
+    assert read.value == len(texts) and len(log) > 2 and weights["U:N,2"] > 0
+    index = train.FeatureIndex.build(m, *rules)
+    found = {r["graph"]: r["n"] for r in train._distinct(corpus, m, index, train.Labels.build(index)).collect()}
+    # ab cd and ab ef are alike; cd ab isn't, as only ab begins with an entry; zz is no entry; a sentence without tokens is its ends
+    assert sorted(found.values()) == [40, 40, 40, 80] and found[b""] == 40
+    plain = train.train(spark.createDataFrame([("".join(x), [(w, "N,2") for w in x]) for x in texts if x is not None], "sentence string, tokens array<struct<surface:string,feature:string>>"), m, *rules)
+    assert weights == pytest.approx(plain)
+    assert train.observed(corpus, m, *rules)["U:N,2"] == 40 * 7
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_sums_over_graphs_are_those_over_paths(seed):
+    """Observed and expected counts and the loss, against all paths of each lattice; blanks, unknown words and unusable sentences included."""
+    m = random_model(seed)
+    d, r = Dictionary(m), random.Random(seed)
+    index = train.FeatureIndex.build(m, {}, ["U0:%F[0]", "U1:%F[0]-%t"], ["B:%L[0]/%R[0]"])
+    sentences = ["".join(r.choice("abA1 é") for _ in range(r.randint(0, 7))).encode() for _ in range(25)] * 2
+    lat = Lattice(sentences, d)
+    every = [[[math.nan, *nodes] for _, nodes in lat.paths(i)] for i in range(len(sentences))]
+    gold = [[(int(lat.start[k]), int(lat.end[k]), lat.feature(k)) for k in r.choice(paths)[2:-1]] for paths in every]
+    gold[3] = [(0, 99, "none")]
+    chosen = train._gold(lat, gold, m.conf.eval_size, m.conf.unk_eval_size)
+    x = np.random.default_rng(seed).normal(size=len(index.names))
+    node_score, edge_score = index.scores(x)
+    of = lambda k: (int(lat.entry[k]) + 1) * index.n_kinds + int(lat.kind[k])
+    join = lambda a, b: int(index.right_ctx[lat.entry[a] + 1]) * index.n_left + int(index.left_ctx[lat.entry[b] + 1])
+    seen, expected, loss = np.zeros(len(x)), np.zeros(len(x)), 0.0
+
+    def counts(path):
+        node, edge = np.zeros(index.n_nodes), np.zeros(index.n_left * index.n_right)
+        for a, b in zip(path[:-1], path[1:], strict=True):
+            node[of(b)] += 1
+            edge[join(a, b)] += 1
+        return index.spread(node, edge), float(node @ node_score + edge @ edge_score)
+
+    for paths, path in zip(every, chosen, strict=True):
+        if path:
+            of_path = [counts(p[1:]) for p in paths]
+            z = math.log(sum(math.exp(s) for _, s in of_path))
+            observed, score = counts(path)
+            seen, loss = seen + observed, loss + z - score
+            expected = expected + sum(c * math.exp(s - z) for c, s in of_path)
+    node, edge, _, n = train.sentence_sums(m, index, sentences, gold, None, None)
+    assert n == sum(map(bool, chosen)) < len(sentences) and index.spread(node, edge).tolist() == pytest.approx(seen.tolist())
+    node, edge, got, _ = train.sentence_sums(d, index, sentences, gold, node_score, edge_score)
+    assert got == pytest.approx(loss) and index.spread(node, edge).tolist() == pytest.approx(expected.tolist())
