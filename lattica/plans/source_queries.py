@@ -14,7 +14,7 @@ from lattica.operators import decode, etl, lexicon
 from lattica.operators import format as fmt
 from lattica.operators import relational as R
 from lattica.plans import build
-from lattica.plans.dictionary_queries import _FEATURES, _L, _WEIGHTS, RULES, UNIGRAMS, _features, _left_ids, _weights
+from lattica.plans.dictionary_queries import _FEATURES, _L, _WEIGHTS, RULES, UNIGRAMS, _features, _left_ids, _part_names, _weights
 from lattica.plans.lattice_queries import _PART_PATHS, _PROBS
 from lattica.plans.model import EngineConf
 from lattica.plans.registry import query
@@ -480,6 +480,5 @@ def observed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattica.operators import train
 
     m = part_model(spark, sf_dir, pieces=True)
-    tokens = table(spark, sf_dir, "part").select("p_partkey", F.posexplode(F.split("p_name", " ")).alias("tok_idx", "surface")).withColumn("feature", F.concat(F.lit("NOUN,"), F.char_length("surface").cast("string")))
-    found = train.observed(train.corpus_sentences(tokens, ["p_partkey"]), m, {}, ["%F[0],%F[1]"], [])
+    found = train.observed(_part_names(spark, sf_dir), m, {}, ["%F[0],%F[1]"], [])
     return spark.createDataFrame([(k, int(v)) for k, v in found.items() if v and k.startswith("NOUN")], "feature string, n long")

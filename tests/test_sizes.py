@@ -228,3 +228,18 @@ def test_sums_over_graphs_are_those_over_paths(seed):
     assert n == sum(map(bool, chosen)) < len(sentences) and index.spread(node, edge).tolist() == pytest.approx(seen.tolist())
     node, edge, got, _ = train.sentence_sums(d, index, sentences, gold, node_score, edge_score)
     assert got == pytest.approx(loss) and index.spread(node, edge).tolist() == pytest.approx(expected.tolist())
+
+
+def test_gold_sentences_move_nothing(spark):
+    """Gold sentences of rows need no window or exchange, and equal ones meet before Python sees them, in small batches."""
+    df = spark.createDataFrame([("ab cd",), ("ab cd",), ("cd",), (None,)], "s string")
+    corpus = train.array_sentences(df, F.split("s", " "), lambda w: F.concat(F.lit("N,"), F.char_length(w).cast("string")))
+    assert "Exchange" not in plan(corpus) and "Window" not in plan(corpus)
+    m = Model.build([(x, 0, 0, 0, "N,2") for x in ("ab", "cd")], EngineConf(), SIMPLE_CHARS, SIMPLE_UNKNOWN)
+    index = train.FeatureIndex.build(m, {}, ["%F[0],%F[1]"], [])
+    made = plan(train._distinct(corpus, m, index, train.Labels.build(index)))
+    assert "HashAggregate" in made[made.index("MapInArrow") :] and int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+    assert train.observed(corpus, m, {}, ["%F[0],%F[1]"], [])["N,2"] == 5
+    table = df.select(F.monotonically_increasing_id().alias("k"), F.posexplode(F.split("s", " ")).alias("tok_idx", "surface")).withColumn("feature", F.lit("N,2"))
+    rows = train.corpus_sentences(table, ["k"])
+    assert "Window" not in plan(rows) and train.observed(rows, m, {}, ["%F[0],%F[1]"], [])["N,2"] == 5
