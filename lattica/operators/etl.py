@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.columns import csv_fields, final_consonant, log_cost
+from lattica.plans.shared import bound_batches, materialize
+
+PIECE = 1 << 22  # bytes of texts whose words are counted at once
+OFTEN = 4096  # words of a larger share of the text than one in so many are dealt over several tasks
+SALTS = 16
 
 
 def length_filter(entries: DataFrame, shortest: int, longest: int, column: str = "surface") -> DataFrame:
@@ -157,13 +165,83 @@ def neighbours(rows: DataFrame, items: str) -> DataFrame:
     return rows.select(F.explode(pairs).alias("p")).select("p.left", "p.right").groupBy("left", "right").agg(F.count("*").alias("n"))
 
 
-def pair_costs(sentences: DataFrame, text: str = "sentence", factor: float = 200.0, vocabulary: int | None = None) -> DataFrame:
+def _words(texts: pa.Array, line_break: str | None) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(code of each word, whether the next word follows it in its sentence, the distinct words) of blank-separated words of texts without nulls."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = texts.buffers()[2]
+    data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
+    begins = offsets[:-1] - offsets[0]
+    ends = np.zeros(len(data) + 1, bool)  # a sentence begins here
+    ends[begins] = True
+    between = data == 0x20
+    if line_break is not None:
+        breaks = data == ord(line_break)
+        between |= breaks
+        ends[:-1] |= breaks
+    new = ends[:-1].copy()
+    new[1:] |= between[:-1]
+    first = np.flatnonzero(new & ~between)  # of each word
+    letters = ~between
+    sizes = np.add.reduceat(letters, first, dtype=np.int64) if len(first) else first
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(sizes)])), pa.py_buffer(data[letters])]).dictionary_encode()
+    sentence = np.cumsum(ends)[first]
+    return words.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.append(sentence[1:] == sentence[:-1], [False] * min(1, len(first))).astype(bool), words.dictionary.cast(pa.large_string())
+
+
+def _pieces(batches: Iterable[pa.RecordBatch], line_break: str | None) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array]]:
+    """_words of about PIECE bytes of texts at once, whatever the batches hold."""
+    held, size = [], 0
+    for batch in batches:
+        column = batch.column(0).cast(pa.large_binary()).fill_null(b"")
+        total, at = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False)), 0
+        while at < len(column):
+            before = int(total[at - 1]) if at else 0
+            stop = max(at + 1, int(np.searchsorted(total, before + PIECE - size, "right")))
+            held.append(column.slice(at, stop - at))
+            size, at = size + int(total[stop - 1]) - before, stop
+            if size >= PIECE or at < len(column):
+                yield _words(pa.concat_arrays(held), line_break)
+                held, size = [], 0
+    if held:
+        yield _words(pa.concat_arrays(held), line_break)
+
+
+def _counted(texts: DataFrame, text: str, line_break: str | None, schema: str, count) -> DataFrame:
+    """Rows of count(codes, followed, words), summed up by piece."""
+    bound_batches(texts.sparkSession)
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches):
+        for piece in _pieces(batches, line_break):
+            yield pa.RecordBatch.from_arrays(count(*piece), names=names)
+
+    return texts.select(text).mapInArrow(run, schema)
+
+
+def pair_costs(texts: DataFrame, text: str = "sentence", factor: float = 200.0, vocabulary: int | None = None, line_break: str | None = None) -> DataFrame:
     """left, right, n, cost of neighbouring blank-separated words: add-half smoothed negative log conditional frequency of the pairs that occur.
 
-    Pairs are made inside a sentence's array, so only counts move. The vocabulary is counted from the pairs and the words of lone sentences unless given."""
-    words = sentences.select(F.filter(F.split(text, " "), lambda w: w != "").alias("w"))
-    n = vocabulary if vocabulary is not None else words.select(F.explode("w").alias("w")).distinct().count()
-    return pair_matrix(neighbours(words, "w"), n, factor)
+    A text is a sentence, or several where a line break is given. Words and pairs are counted where texts are read, so only counts move. The vocabulary is that of the texts unless given."""
+
+    def of_words(code, followed, words):
+        return [words.cast(pa.string()), pa.array(np.bincount(code, followed, len(words)).astype(np.int64))]
+
+    def of_pairs(code, followed, words):
+        at = np.flatnonzero(followed)
+        key, n = np.unique(code[at] * len(words) + code[at + 1], return_counts=True)
+        take = lambda i: words.take(pa.array(i)).cast(pa.string())
+        return [take(key // max(1, len(words))), take(key % max(1, len(words))), pa.array(n)]
+
+    words = materialize(_counted(texts, text, line_break, "left string not null, n_left long", of_words).groupBy("left").agg(F.sum("n_left").alias("n_left")), "words")
+    total = words.agg(F.count("*").alias("kinds"), F.sum("n_left").alias("n_all"))  # one row
+    words = words.crossJoin(F.broadcast(total))
+    often = words.filter(F.col("n_left") * OFTEN > F.col("n_all")).select("left", F.lit(True).alias("often"))  # fewer than OFTEN words
+    words = words.withColumn("salt", F.explode(F.when(F.col("n_left") * OFTEN > F.col("n_all"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    pairs = _counted(texts, text, line_break, "left string not null, right string not null, n long", of_pairs).join(F.broadcast(often), "left", "left")
+    # moved once, to where the first word's total is; counted there, as pairs that repeat are few after the first count
+    pairs = pairs.withColumn("salt", F.when(F.col("often"), F.pmod(F.hash("right"), F.lit(SALTS))).otherwise(0)).repartition("left", "salt").groupBy("left", "salt", "right").agg(F.sum("n").alias("n"))
+    kinds = F.col("kinds") if vocabulary is None else F.lit(vocabulary)
+    return pairs.join(words.hint("shuffle_hash"), ["left", "salt"]).select("left", "right", "n", log_cost((F.col("n") + 0.5) / (F.col("n_left") + 0.5 * kinds), factor).alias("cost"))
 
 
 def pair_matrix(pairs: DataFrame, words: DataFrame | int, factor: float = 200.0) -> DataFrame:

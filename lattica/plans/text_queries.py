@@ -168,7 +168,7 @@ SELECT "left", "right", n, CAST(trunc(-ln((n + 0.5) / (sum(n) OVER (PARTITION BY
 def bigram_lm_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattica.operators.etl import pair_costs
 
-    return pair_costs(lines_of(spark, sf_dir, "documents", "doc_id"))
+    return pair_costs(decode.spread(table(spark, sf_dir, "documents").select("text")), "text", line_break="\n")
 
 
 @query(

@@ -3,13 +3,14 @@
 import math
 import random
 import time
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lattica.operators import decode, evaluate, parts, relational, train
+from lattica.operators import decode, etl, evaluate, parts, relational, train
 from lattica.operators import format as fmt
 from lattica.operators.lattice import Dictionary, Lattice
 from lattica.plans.model import EngineConf, Model
@@ -243,3 +244,26 @@ def test_gold_sentences_move_nothing(spark):
     table = df.select(F.monotonically_increasing_id().alias("k"), F.posexplode(F.split("s", " ")).alias("tok_idx", "surface")).withColumn("feature", F.lit("N,2"))
     rows = train.corpus_sentences(table, ["k"])
     assert "Window" not in plan(rows) and train.observed(rows, m, {}, ["%F[0],%F[1]"], [])["N,2"] == 5
+
+
+def test_pairs_are_counted_where_texts_are_read(spark, monkeypatch):
+    """Pairs of neighbouring words, against plain Python: frequent first words dealt over tasks, pieces of few texts, lines, nulls, blanks and letters of several bytes."""
+    r = random.Random(7)
+    texts = [None, "", " ", "\n", "a", "é  𝒳\n\nb ", "\na b", "a\tb a\tb"] + ["".join(r.choice(("of", "é", "w%d" % r.randint(0, 99))) + r.choice((" ", " ", "  ", "\n", " \n")) for _ in range(60)) for _ in range(80)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(3)
+    for line_break in ("\n", None):
+        lines = [[w for w in s.split(" ") if w] for x in texts if x is not None for s in (x.split("\n") if line_break else [x])]
+        pairs = Counter(p for w in lines for p in zip(w[:-1], w[1:], strict=True))
+        left, kinds = Counter(), len({w for x in lines for w in x})
+        for (a, _), n in pairs.items():
+            left[a] += n
+        made = etl.pair_costs(df, "text", line_break=line_break)
+        assert "SortMergeJoin" not in plan(made) and "Generate explode(filter" not in plan(made)
+        want = sorted((a, b, n, int(-math.log((n + 0.5) / (left[a] + 0.5 * kinds)) * 200)) for (a, b), n in pairs.items())
+        assert sorted(map(tuple, made.collect())) == want
+        assert {x["cost"] for x in etl.pair_costs(df, "text", vocabulary=9, line_break=line_break).filter("left = 'é' and right = 'of'").collect()} == {int(-math.log((pairs["é", "of"] + 0.5) / (left["é"] + 4.5)) * 200)}
+    assert etl.pair_costs(df.filter("id < 4"), "text").collect() == []
+    monkeypatch.setattr(etl, "PIECE", 64)
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    parts = list(etl._pieces([batch, batch], "\n"))
+    assert len(parts) > 20 and sum(len(code) for code, _, _ in parts) == 2 * sum(len([w for w in s.split(" ") if w]) for x in texts for s in (x or "").split("\n"))
